@@ -8,7 +8,9 @@ the end of the partitions is merged by a second pass over groups of partitions.
 
 from __future__ import annotations
 
+import functools
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +29,9 @@ OPEN_WINDOWS = 16
 #: Partitions whose leftovers one merging task takes.
 FAN_IN = 32
 #: Words whose ids a Python worker remembers; the memory is bounded, results don't depend on it.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
+#: Texts encoded together.
+TEXTS = 200
 ID_BYTES = 4
 
 
@@ -51,18 +55,24 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
 
-    def encode(self, text: bytes) -> bytes:
-        chunks = text.split()
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        split = [text.split() for text in texts]
         memo = self.memo
-        if missing := [c for c in set(chunks) if c not in memo]:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = list(set(chunks))
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False)
-            for chunk, encoding in zip(missing, found, strict=True):
-                ids = encoding.ids
-                memo[chunk] = b"".join([i.to_bytes(ID_BYTES, "little") for i in ids])
-        return b"".join([memo[c] for c in chunks])
+        missing = list(set().union(*split).difference(memo))
+        if len(memo) + len(missing) > MEMO_WORDS:
+            memo.clear()
+            missing = list(set().union(*split))
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False)
+        for chunk, encoding in zip(missing, found, strict=True):
+            ids = encoding.ids
+            memo[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        return [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, whichever tasks it runs."""
+    return WordEncoder(path)
 
 
 class Windows:
@@ -122,12 +132,11 @@ def _packer(path: str, window: int, limit: int, types: list[pa.DataType]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, windows, rows, closed = WordEncoder(path), Windows(window, limit), [], 0
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for doc, text in zip(ids, b.column(1).cast(pa.binary()), strict=True):
-                coded = encoder.encode(text.as_py() or b"") + END_ID.to_bytes(ID_BYTES, "little")
-                for sequence in windows.place(doc, coded):
+        windows, rows, closed, end = Windows(window, limit), [], 0, END_ID.to_bytes(ID_BYTES, "little")
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            for doc, coded in zip(b.column(0).to_pylist(), encoder(path).encode_all(texts), strict=True):
+                for sequence in windows.place(doc, coded + end):
                     rows += _rows(sequence, part << 32 | closed, False)
                     closed += 1
             if rows:
