@@ -42,7 +42,9 @@ def _exact(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.n
 def block_search(q, q_rows, c, c_ids, c_rows, k: int, counts: dict | None = None):
     """The k best candidates of each query in one block; q and c are whole numbers."""
     qf, cf = q.astype(np.float64), c.astype(np.float64)
-    slack = 1e-9 * np.sqrt((qf**2).sum(1).max() * (cf**2).sum(1).max()) + 1e-6
+    largest = np.sqrt((qf**2).sum(1).max() * (cf**2).sum(1).max())
+    slack = 1e-9 * largest + 1e-6
+    whole = largest < 2**52  # then products and their sums are exact in double precision
     sums_q, sums_c = ([_summary(x, n) for n in LEVELS] for x in (qf, cf))
     means_q, means_c = (x[-1][:, : x[-1].shape[1] // 2] for x in (sums_q, sums_c))
     found = []
@@ -62,14 +64,24 @@ def block_search(q, q_rows, c, c_ids, c_rows, k: int, counts: dict | None = None
             cols = np.flatnonzero(alive.any(axis=0))
             finer = sums_q[level][part] @ sums_c[level][cols].T
             alive[:, cols] &= finer >= floor[:, None] - slack
-        qi, ci = np.nonzero(alive)
-        qi = qi + at
         if counts is not None:
-            counts["exact"] = counts.get("exact", 0) + len(qi)
+            counts["exact"] = counts.get("exact", 0) + int(alive.sum())
             counts["pairs"] = counts.get("pairs", 0) + alive.size
-        score = _exact(q, c, qi, ci)
+        cols = np.flatnonzero(alive.any(axis=0))
+        if not len(cols):
+            continue
+        exact = (qf[part] @ cf[cols].T).astype(np.int64) if whole else q[part] @ c[cols].T
+        alive = alive[:, cols]
+        if len(cols) > k:
+            least = np.partition(np.where(alive, exact, np.iinfo(np.int64).min), -k, axis=1)[:, -k]
+            alive = alive & (exact >= least[:, None])
+        qi, ci = np.nonzero(alive)
+        score = exact[qi, ci]
+        qi, ci = qi + at, cols[ci]
         kept = vectors.best(qi, ci, score, c_ids, k)
         found.append((qi[kept], ci[kept], score[kept]))
+    if not found:
+        found = [(np.zeros(0, dtype=np.int64),) * 3]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 

@@ -39,8 +39,8 @@ def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
-def matrix(table: pa.Table) -> np.ndarray:
-    column = table.column("v").combine_chunks()
+def matrix(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
@@ -56,24 +56,20 @@ def search(rows: DataFrame, is_query: Column, k: int, score_type: str, block: Ca
     deal = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = rows.where(is_query).select(deal(q_blocks).alias("q"), spread(c_blocks).alias("c"), "row", "vec_id", "v")
-    candidates = rows.select(deal(c_blocks).alias("c"), spread(q_blocks).alias("q"), "row", "vec_id", "v")
+    renamed = [F.col(name).alias(f"c_{name}") for name in ("row", "vec_id", "v")]
+    candidates = rows.select(deal(c_blocks).alias("c"), spread(q_blocks).alias("q"), *renamed)
+
+    kind = pa.int64() if score_type == "long" else pa.float64()
+    fields = [*((n, pa.int64()) for n in ("q_row", "query_id", "vec_id", "c_row")), ("score", kind)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = lambda t, name: t.column(name).to_numpy()
         if not left.num_rows or not right.num_rows:
-            qi = ci = np.zeros(0, dtype=np.int64)
-            score = np.zeros(0, dtype=np.int64 if score_type == "long" else np.float64)
-        else:
-            qi, ci, score = block(matrix(left), ids(left, "row"), matrix(right), ids(right, "vec_id"), ids(right, "row"))
-        return pa.table(
-            {
-                "q_row": pa.array(ids(left, "row")[qi] if left.num_rows else qi, pa.int64()),
-                "query_id": pa.array(ids(left, "vec_id")[qi] if left.num_rows else qi, pa.int64()),
-                "vec_id": pa.array(ids(right, "vec_id")[ci] if right.num_rows else ci, pa.int64()),
-                "c_row": pa.array(ids(right, "row")[ci] if right.num_rows else ci, pa.int64()),
-                "score": pa.array(score, pa.int64() if score_type == "long" else pa.float64()),
-            }
-        )
+            return pa.schema(fields).empty_table()
+        ids = lambda t, name: t.column(name).to_numpy()
+        q_rows, c_rows, c_ids = ids(left, "row"), ids(right, "c_row"), ids(right, "c_vec_id")
+        qi, ci, score = block(matrix(left, "v"), q_rows, matrix(right, "c_v"), c_ids, c_rows)
+        values = q_rows[qi], ids(left, "vec_id")[qi], c_ids[ci], c_rows[ci], score
+        return pa.table([pa.array(v, t) for v, (_, t) in zip(values, fields, strict=True)], schema=pa.schema(fields))
 
     found = (
         queries.groupBy("q", "c")
