@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, hmm, linededup, packing, pii, quality, simhash, topk
+from . import ann, hmm, langid, linededup, packing, pii, quality, simhash, spm, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,35 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_pii, op4_ann, op5_linededup, op6_quality, op8_packing, op10_hmm)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_topk,
+        op3_pii,
+        op4_ann,
+        op5_linededup,
+        op6_quality,
+        op7_langid,
+        op8_packing,
+        op9_sentencepiece,
+        op10_hmm,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
