@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; one is set only where the session names none."""
@@ -22,11 +24,17 @@ def write_table(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later jobs reread files that outlive any executor instead of
-    computing df again.
+    computing df again. So the shuffle files of the writing job have no further use and
+    are removed when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cladeforge/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
