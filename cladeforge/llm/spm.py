@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words and pairs of pieces that a Python worker remembers; results don't depend on it.
-MEMO_WORDS = 600_000
-MEMO_PAIRS = 1_000_000
+MEMO_WORDS = 300_000
+MEMO_PAIRS = 500_000
 #: Texts worked on together.
 TEXTS = 200
+ID_BYTES = 4
 
 
 def default_model() -> str:
@@ -53,7 +54,14 @@ class Pieces:
         self.rank = {self.text[i]: r for r, i in enumerate(order)}
         self.longest = max(map(len, self.id), default=1)
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.ends: dict = {}  # pieces that merging makes, as a trie from their last character back
+        for text, i in self.id.items():
+            if len(text) == 1 or self.split(text) is not None:
+                node = self.ends
+                for c in reversed(text):
+                    node = node.setdefault(c, {})
+                node[""] = i
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         special = [i for i in range(len(self.text)) if i not in set(self.bytes.values()) and self.text[i] not in self.id]
@@ -79,80 +87,97 @@ class Pieces:
             self.halves[piece] = last if len(parts) == 1 else None
         return self.halves[piece]
 
-    def reachable(self, piece: str) -> bool:
-        return piece in self.id and (len(piece) == 1 or self.split(piece) is not None)
-
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether merging leaves a | b apart.
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging leaves the pieces left | right apart.
 
         Undoes the merges of the two, latest first; a merge across the boundary that
         comes before the undone one would have been done.
         """
-        key = (a, b)
-        found = self.pairs.get(key)
-        if found is None:
-            rank, limit = self.rank, len(self.rank) + 1
-            while True:
-                across = rank.get(a + b)
-                if across is not None and across < limit:
-                    found = False
-                    break
-                ra, rb = rank.get(a, -1), rank.get(b, -1)
-                if ra < 0 and rb < 0:
-                    found = True
+        rank, limit = self.rank, len(self.rank) + 1
+        a, b = self.text[left], self.text[right]
+        while True:
+            across = rank.get(a + b)
+            if across is not None and across < limit:
+                return False
+            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, a = ra, self.split(a)[1]
+            else:  # of equal merges the left one is first
+                limit, b = rb + 1, self.split(b)[0]
+
+    def _advance(self, window: str, last: list[int], first: int) -> None:
+        """Appends the last piece before each boundary from `first` on; -1 for a character
+        that falls back to bytes, as for the start."""
+        pairs, ends = self.pairs, self.ends
+        if len(pairs) > MEMO_PAIRS:
+            pairs.clear()
+        for end in range(first, len(window) + 1):
+            chosen, node, start = -1, ends, end
+            while start:
+                start -= 1
+                node = node.get(window[start])
+                if node is None:
                     break
-                if ra > rb:
-                    limit, a = ra, self.split(a)[1]
-                else:  # of equal merges the left one is first
-                    limit, b = rb + 1, self.split(b)[0]
-            if len(self.pairs) > MEMO_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = found
-        return found
+                piece = node.get("")
+                if piece is None:
+                    continue
+                before = last[start]
+                if before >= 0:
+                    key = before << 20 | piece
+                    apart = pairs.get(key)
+                    if apart is None:
+                        apart = pairs[key] = self.compatible(before, piece)
+                    if not apart:
+                        continue
+                chosen = piece
+                break
+            last.append(chosen)
 
     def stream(self, characters: Iterable[str]) -> Iterator[int]:
         """Ids of a sequence of characters, given out as soon as they are certain."""
-        window = ""  # the characters since the last committed boundary
-        last: list[str | None] = [None]  # last piece before each boundary of the window; None: unknown or start
+        window, last = "", [-1]  # the characters since the last committed boundary
         for c in characters:
             window += c
-            end = len(window)
-            chosen = None
-            for start in range(max(0, end - self.longest), end):
-                piece = window[start:end]
-                if piece in self.id and self.reachable(piece):
-                    before = last[start]
-                    if before is None or before not in self.id or self.compatible(before, piece):
-                        chosen = piece
-                        break
-            last.append(chosen or c)
-            if end >= 2 * self.longest:
-                meet = self._meeting(last, end)
-                if meet:
-                    yield from self._ids(last, meet)
-                    keep = last[meet]
-                    window, last = window[meet:], [keep, *last[meet + 1 :]]
-        yield from self._ids(last, len(window))
-
-    def _meeting(self, last: list, end: int) -> int:
+            self._advance(window, last, len(window))
+            if len(window) >= 2 * self.longest and (meet := self._meeting(last)):
+                yield from self._ids(window, last, meet)
+                window, last = window[meet:], last[meet:]
+        yield from self._ids(window, last, len(window))
+
+    def _size(self, piece: int) -> int:
+        return len(self.text[piece]) if piece >= 0 else 1
+
+    def _meeting(self, last: list[int]) -> int:
         """The latest boundary that the paths of all live boundaries pass through."""
+        end = len(last) - 1
         live = set(range(end - self.longest + 1, end + 1))
         while len(live) > 1:
             top = max(live)
             live.remove(top)
-            live.add(max(0, top - len(last[top])))
+            live.add(max(0, top - self._size(last[top])))
         return live.pop()
 
-    def _ids(self, last: list, end: int) -> list[int]:
+    def _ids(self, window: str, last: list[int], end: int) -> list[int]:
         out: list[int] = []
         while end > 0:
             piece = last[end]
-            out += [self.id[piece]] if piece in self.id else [self.bytes.get(b, 0) for b in reversed(piece.encode())]
-            end -= len(piece)
+            if piece >= 0:
+                out.append(piece)
+                end -= len(self.text[piece])
+            else:
+                out += [self.bytes.get(b, 0) for b in reversed(window[end - 1].encode())]
+                end -= 1
         return out[::-1]
 
     def _packed(self, text: str) -> bytes:
-        ids = list(self.stream(text))
+        if len(text) <= 4 * self.longest:
+            last = [-1]
+            self._advance(text, last, 1)
+            ids = self._ids(text, last, len(text))
+        else:
+            ids = list(self.stream(text))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: list[list[str]], memo: dict[str, bytes], prefix: str) -> None:
@@ -189,28 +214,35 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _encoder(path: str):
+def _encoder(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pieces(path)
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
-            coded = pieces(path).encode_all([t or "" for t in batch.column(1).to_pylist()])
-            ends = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            coded = vocabulary.encode_all(texts)
+            ends = np.concatenate(([0], np.cumsum([len(c) // ID_BYTES for c in coded]))).astype(np.int32)
             ids = np.frombuffer(b"".join(coded), dtype="<i4")
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[1:]], ["doc_id", "ids", "text"])
+            columns, names = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"]
+            if check:
+                back = [vocabulary.decode(memoryview(c).cast("I")) for c in coded]
+                same = [t.replace(SPACE, " ") == x for t, x in zip(texts, back, strict=True)]
+                columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "decoded_same"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode(docs: DataFrame, model: str | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, ids (and text) of every row; null and empty texts have no ids.
+def encode(docs: DataFrame, model: str | None = None, check: bool = False) -> DataFrame:
+    """doc_id, ids of every row; null and empty texts have no ids.
 
-    Repeated rows are repeated, null doc_ids kept, further columns ignored; an empty
-    table gives no rows.
+    With check also decoded_same: whether decoding gives the text back (a null one as
+    empty; the model has one character for blanks and U+2581). Repeated rows are
+    repeated, null doc_ids kept, further columns ignored; an empty table gives no rows.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = given.mapInArrow(_encoder(model or default_model()), f"doc_id {id_type}, ids array<int>, text string")
-    return out if keep_text else out.drop("text")
+    schema = f"doc_id {id_type}, ids array<int>" + (", decoded_same boolean" if check else "")
+    return given.mapInArrow(_encoder(model or default_model(), check), schema)
 
 
 def decoded(ids, model: str | None = None):
@@ -226,8 +258,6 @@ def decoded(ids, model: str | None = None):
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_ids, ids, decoded_same: whether decoding gives the text back (as empty if
-    null; the model has one character for blanks and U+2581)."""
-    coded = encode(docs, model, keep_text=True)
-    same = decoded(F.col("ids"), model) == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("decoded_same"))
+    """doc_id, n_ids, ids, decoded_same of every row; see encode()."""
+    coded = encode(docs, model, check=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_same")

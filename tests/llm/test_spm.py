@@ -55,4 +55,6 @@ def test_encode_and_decode(spark):
     by = {r.doc_id: r.ids for r in got}
     for d, t, _ in rows:
         assert by[d] == LIB.encode(t or "")
+    texts = {r.doc_id: r.x for r in spm.encode(df).select('doc_id', spm.decoded('ids').alias('x')).collect()}
+    assert texts[None] == "été\n  x" and texts[2] == ""
     assert spm.round_trip(df.limit(0)).count() == 0
