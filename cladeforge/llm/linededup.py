@@ -29,6 +29,8 @@ from .common import drop_table, write_table
 
 #: Words of a run that counts as repeated, and of the lines that are hashed.
 RUN, SPAN = 50, 25
+#: Windows that may be broadcast: those that take more than 1/HOT of all rows each.
+HOT = 1000
 
 
 def gram_hashes(hashes: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
@@ -197,10 +199,14 @@ def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN) -> DataFrame:
     marks = lines.join(again, "hash").groupBy("row").agg(F.collect_list("hash").alias("marks"))
     near = given.join(marks, "row").select("row", "doc_id", "text", "marks")
     windows = write_table(near.mapInArrow(_windows(run, span), f"{head}, at long, hash long"))
-    # All but the first occurrence of a window repeat it.
+    # All but the first occurrence of a window repeat it. Windows that very many texts
+    # share, HOT of them at most, find theirs by a broadcast, so no task gets all of one.
     rank = F.struct(*place, "at")
     firsts = windows.groupBy("hash").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(firsts.select("hash", "first"), "hash").where(
+    many = max(10_000, windows.count() // HOT + 1)
+    hot = F.broadcast(firsts.where(F.col("n") >= many).select("hash", "first"))
+    cold = windows.join(hot.select("hash"), "hash", "left_anti").join(firsts.where(F.col("n") < many).select("hash", "first"), "hash")
+    later = windows.join(hot, "hash").unionByName(cold).where(
         (F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + run)
     )
     kind = "array<struct<a: bigint, b: bigint>>"
