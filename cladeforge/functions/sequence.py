@@ -31,8 +31,19 @@ def has_homopolymer(seq: Column, length: int) -> Column:
     return seq.rlike(f"([{HOMOPOLYMER}])\\1{{{length - 1},}}")
 
 
+#: Letters of the pieces that kmers() cuts a sequence into: finding a place in a string
+#: takes time in proportion to it.
+PIECE = 512
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All substrings of k letters, in order; none where the sequence is shorter."""
     n = F.length(seq) - k + 1
-    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
+
+    def of_piece(start: Column) -> Column:
+        piece = F.substring(seq, start, F.lit(PIECE + k - 1))
+        last = F.least(n - start + 1, F.lit(PIECE))
+        return F.transform(F.array(piece), lambda p: F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(p, i, F.lit(k))))[0]
+
+    some = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(PIECE)), of_piece))
     return F.when(n >= 1, some).otherwise(F.array().cast("array<string>"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.functions import lineage as L
@@ -27,8 +27,9 @@ def clusters(sequences: DataFrame, derep_prefix: bool = False, perc_identity: fl
     kinds = kinds.select("key", F.col("first.id").alias("centroid"), F.col("first.ord").alias("ord"), "n")
     out = rows.join(kinds.select("key", "centroid"), "key").select("id", "centroid")
     if derep_prefix:
-        out = _recentred(out, _prefix_map(kinds))
-        kinds = kinds.join(_prefix_map(kinds), "centroid", "left_anti")
+        moves = _prefix_map(kinds, max(1, min_length))
+        out = _recentred(out, moves)
+        kinds = kinds.join(moves, "centroid", "left_anti")
     if perc_identity < 1:
         out = _recentred(out, align.greedy_clusters(kinds.select(F.col("centroid").alias("id"), "ord", F.col("key").alias("seq")), perc_identity))
     return out
@@ -39,24 +40,25 @@ def _recentred(members: DataFrame, moves: DataFrame) -> DataFrame:
     return members.join(moves, "centroid", "left").select("id", F.coalesce("target", "centroid").alias("centroid"))
 
 
-def _prefix_map(kinds: DataFrame) -> DataFrame:
-    """centroid, target of the sequences that are a prefix of another.
+def _prefix_map(kinds: DataFrame, stem: int) -> DataFrame:
+    """centroid, target of the sequences (of stem letters at least) that others extend.
 
-    Each distinct length m gives a join on the first m letters, all of them together an
-    equi-join on (m, prefix): a sequence offers its prefix at each shorter length that
-    occurs. Only their hashes are shuffled; the letters are compared after the join. Of
-    chains the last link counts, found at once as the target of no further extension.
+    A sequence offers the hash of its prefix at each shorter length that occurs among
+    those with the same first letters, and meets the sequences of that hash and length;
+    the letters are compared then. So the work follows the lengths in a stem's group, not
+    its pairs. Only sequences that nothing extends are targets.
     """
-    sizes = kinds.select(F.length("key").alias("m")).distinct()
-    spread = kinds.select("centroid", "ord", "n", "key", F.length("key").alias("size"))
-    offers = spread.join(F.broadcast(sizes), F.col("m") < F.col("size"))  # lengths of sequences: few
+    start = F.xxhash64(F.substring("key", 1, stem)).alias("stem")
+    spread = kinds.select(start, "centroid", "ord", "n", "key", F.length("key").alias("size"))
+    sizes = spread.select("stem", F.col("size").alias("m")).distinct()
+    offers = spread.join(sizes, "stem").where(F.col("m") < F.col("size"))
     offers = offers.select("m", F.xxhash64(F.substring("key", F.lit(1), F.col("m"))).alias("h"), "centroid", "ord", "n", "key", "size")
     short = spread.select(F.col("size").alias("m"), F.xxhash64("key").alias("h"), F.col("centroid").alias("short"), F.col("key").alias("short_key"))
     found = short.join(offers, ["m", "h"]).where(F.startswith("key", "short_key"))
     inner = found.select(F.col("short").alias("centroid")).distinct()
-    whole = found.join(inner, "centroid", "left_anti")  # targets that are no prefix themselves
+    whole = found.join(inner, "centroid", "left_anti")
     best = F.struct("size", -F.col("n"), "ord")
-    return whole.groupBy(F.col("short")).agg(F.min_by("centroid", best).alias("target")).withColumnRenamed("short", "centroid")
+    return whole.groupBy("short").agg(F.min_by("centroid", best).alias("target")).withColumnRenamed("short", "centroid")
 
 
 def dereplicate(
