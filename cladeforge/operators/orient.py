@@ -16,12 +16,10 @@ MARGIN = 4
 def orientation(sequences: DataFrame, references: DataFrame, key: str = "id") -> DataFrame:
     """key, strand (+, - or ?), forward, backward: distinct words shared by each strand."""
     known = words(references.select("id", "seq"), WORD).select("word").distinct()
-    seq = F.upper(to_dna(F.col("seq")))
-    strands = F.array(
-        *[F.struct(F.lit(s).alias("strand"), F.array_distinct(kmers(x, WORD)).alias("words")) for s, x in (("+", seq), ("-", reverse_complement(seq)))]
-    )
-    each = sequences.select(key, F.explode(strands).alias("x")).select(key, "x.strand", F.explode("x.words").alias("word"))
-    hits = each.join(known, "word", "left_semi").groupBy(key).agg(
+    turned = known.select(reverse_complement(F.col("word")).alias("word"), F.lit("-").alias("strand"))
+    known = known.withColumn("strand", F.lit("+")).unionByName(turned)  # a sequence turned, or the words: the same hits
+    found = F.array_distinct(kmers(F.upper(to_dna(F.col("seq"))), WORD))
+    hits = sequences.select(key, F.explode(found).alias("word")).join(known, "word").groupBy(key).agg(
         *[F.sum(F.when(F.col("strand") == s, 1).otherwise(0)).alias(n) for s, n in (("+", "forward"), ("-", "backward"))]
     )
     all_keys = sequences.select(key).join(hits, key, "left").fillna(0, ["forward", "backward"])
