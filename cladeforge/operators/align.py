@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions.sequence import kmers, to_dna
+from cladeforge.operators.rounds import cut
 from cladeforge.schema import check_range
 
 #: Scores of an alignment column, and costs of a gap: to open, and for each letter.
@@ -115,8 +116,8 @@ def greedy_clusters(records: DataFrame, identity: float) -> DataFrame:
         (F.col("ord_a") < F.col("ord_b")) | ((F.col("ord_a") == F.col("ord_b")) & (F.col("a") < F.col("b")))
     )
     near = aligned_pairs(pairs).where(F.col("identity") >= identity).select("a", "b", "identity")
-    near = near.join(orders[0].select("a", "ord_a"), "a").checkpoint()
-    state = ranked.select("id").withColumn("target", F.lit(None).cast("string")).checkpoint()  # target: itself for centroids
+    near = cut(near.join(orders[0].select("a", "ord_a"), "a"))
+    state = cut(ranked.select("id").withColumn("target", F.lit(None).cast("string")))  # target: itself for centroids
     while not state.where("target is null").isEmpty():
         of_a = state.select(F.col("id").alias("a"), F.col("target").alias("target_a"))
         centroid = F.col("target_a") == F.col("a")
@@ -126,7 +127,7 @@ def greedy_clusters(records: DataFrame, identity: float) -> DataFrame:
         )
         told = state.join(seen.withColumnRenamed("b", "id"), "id", "left")
         new = F.when(F.coalesce("waits", F.lit(False)), F.lit(None)).otherwise(F.coalesce("best", "id"))
-        state = told.select("id", F.coalesce("target", new).alias("target")).checkpoint()
+        state = cut(told.select("id", F.coalesce("target", new).alias("target")))
     return state.where("id <> target").select(F.col("id").alias("centroid"), "target")
 
 

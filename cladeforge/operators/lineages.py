@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions import lineage as L
+from cladeforge.operators.rounds import cut
 from cladeforge.schema import PR2_RANKS, RANKS, RECORD_RANKS, SILVA_RANKS, SIX_RANKS, check_subset
 
 
@@ -22,9 +23,10 @@ def tree_ancestors(nodes: DataFrame) -> DataFrame:
     while not jump.isEmpty():
         above = paths.join(jump, paths.ancestor_id == jump["at"])
         above = above.select("node_id", F.col("to").alias("ancestor_id"), (F.col("distance") + reach).alias("distance"))
-        paths = paths.unionByName(above).checkpoint()
+        paths = cut(paths.unionByName(above))
         far = jump.select(F.col("at").alias("mid"), F.col("to").alias("far"))
-        jump = jump.join(far, F.col("to") == F.col("mid")).select("at", F.col("far").alias("to")).checkpoint()
+        jump = jump.join(far, F.col("to") == F.col("mid")).select("at", F.col("far").alias("to"))
+        jump = cut(jump)
         reach *= 2
     return paths
 
