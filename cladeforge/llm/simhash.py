@@ -10,10 +10,18 @@ Bounds. Buckets hold distinct fingerprints that share `width - free` bits, so at
 2**free of them (65,536 with the defaults), whatever the number of documents, copies
 or near copies; a bucket yields a star of at most one link per fingerprint. Copies
 never meet: they are one fingerprint.
+
+A radius of 3 bits is far above a similarity of 0.8, so near_dedup() with a similarity
+takes its candidates elsewhere: texts whose shingle sets have a Jaccard similarity of t
+share one of the n - ceil(t n) + 1 first shingles of either, in any one order of all
+shingles. The order is that of frequency in a sample, rare ones first, which says only
+how many candidates there are, not which pairs are found. Distances of fingerprints, by
+the same bit planes in large buckets, prune them; the shingle sets themselves decide.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -23,23 +31,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, write_table
+from .common import connected_components, drop_table, write_table
 
 WIDTH = 64
 #: Bit blocks of the pigeonhole split; with radius 2, any 6 of the 8 form a key.
 BLOCKS = 8
 #: Lanes compared at once, and abandoned together.
 LANES = 4096
-
-
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """SimHash of the lower-cased (A-Z) UTF-8 text; null or wordless text gives 0.
-
-    Texts of fewer words than a shingle have their whole word sequence as the only one.
-    """
+#: Bits in which fingerprints of sets of similarity 0.8 may differ: 10 on average, more
+#: than 28 in fewer than one pair of a million (small sets: about 8, by a binomial bound).
+FAR = 28
+#: Texts whose shingles are counted for the order, and the shingles with a known count.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 100_000
+#: Rows of a bucket that are compared pair by pair, and those beyond which it is dealt out.
+FEW, MANY = 64, 20_000
+#: Pairs handed over at once.
+HANDED = 500_000
+
+
+def shingle_hashes(text: bytes | None, words: int, seed: int) -> np.ndarray:
+    """Hashes of the shingles of the lower-cased (A-Z) text in turn, repeated ones too."""
     tokens = text.lower().split() if text else []
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
         hashes = [xxhash.xxh64_intdigest(joined, seed)]
@@ -48,11 +62,24 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
         starts = [0, *(end + 1 for end in ends)]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.array(hashes, dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that more than half of the hashes have."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int.from_bytes(np.packbits(ones, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    """SimHash of the lower-cased (A-Z) UTF-8 text; null or wordless text gives 0.
+
+    Texts of fewer words than a shingle have their whole word sequence as the only one.
+    """
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (long, the fingerprint's 64 bits as a signed number) of every row."""
 
@@ -165,7 +192,7 @@ def _bucket_links(masks: list[int], radius: int):
     return run
 
 
-def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(links: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
     both = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
@@ -211,20 +238,277 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42)
     )
 
 
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 3, seed: int = 42) -> DataFrame:
+def within(planes: list[int], bits: list[int], probe: int, lanes: int, radius: int) -> int:
+    """As near_lanes(), for any radius: counters that begin so that radius + 1 overflows."""
+    size = radius.bit_length()
+    bias = (1 << size) - 1 - radius
+    counters = [lanes if bias >> k & 1 else 0 for k in range(size)]
+    over = 0
+    for plane, bit in zip(planes, bits, strict=True):
+        carry = (~plane if probe >> bit & 1 else plane) & lanes
+        for k in range(size):
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            if not carry:
+                break
+        over |= carry
+        if over == lanes:
+            return 0
+    return lanes & ~over
+
+
+def _least_shared(a, b, similarity: float):
+    """Shingles that sets of a and b must share to be that similar."""
+    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
+
+
+def _sampled(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                found = np.unique(shingle_hashes(text.as_py(), words, seed))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+    return run
+
+
+def _shingle_counts(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a bounded sample of the distinct texts (column text),
+    ascending, and in how many of those texts each is."""
+    share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
+    picked = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
+    counts = texts.where(picked).distinct().mapInArrow(_sampled(words, seed), "h long").groupBy("h").count()
+    top = counts.where("count > 1").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
+    hashes, n = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _prefixes(words: int, seed: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """Of each text a hash of its shingle set, the set's size and fingerprint, and its
+    first shingles, of which similar sets share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, sizes, fps, keys = [], [], [], []
+            for text in batch.column(1).cast(pa.binary()):
+                found = np.unique(shingle_hashes(text.as_py(), words, seed))
+                seen = np.zeros(len(found), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    seen = np.where(common[at] == found, counts[at], 0)
+                kinds.append(xxhash.xxh64_intdigest(found.tobytes(), seed))
+                sizes.append(len(found))
+                fps.append(majority(found))
+                first = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+                keys.append(found[np.lexsort((found, seen))[:first]].view(np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, dtype=np.int64), *keys])
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (kinds, fps)]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            columns = [batch.column(0), longs[0], pa.array(sizes, pa.int32()), longs[1], lists]
+            yield pa.RecordBatch.from_arrays(columns, ["spot", "kind", "n", "fp", "keys"])
+
+    return run
+
+
+def _bucket_pairs(similarity: float, radius: int, stars: bool):
+    """Over rows key, part, n, at, fp, id, class sorted by key and part: pairs a < b of
+    different classes of a bucket that can be similar as far as sizes, places and
+    fingerprints say; with stars only some, so that each row is in one pair with another
+    that leads it."""
+
+    def fitting(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        _, _, n, at, fps, _, classes = cols
+        # What two sets can share if this is the first shingle that they do.
+        most = np.minimum(n[i] - at[i], n[j] - at[j])
+        near = np.bitwise_count(fps[i].view(np.uint64) ^ fps[j].view(np.uint64)) <= radius
+        return near & (classes[i] != classes[j]) & (most >= _least_shared(n[i], n[j], similarity))
+
+    def paired(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = cols[5][i], cols[5][j]
+        return np.column_stack((np.minimum(a, b), np.maximum(a, b)))
+
+    def sliced(cols: list[np.ndarray]) -> Iterator[np.ndarray]:
+        _, number, size = np.unique(cols[6], return_inverse=True, return_counts=True)
+        # The rows of one largest class come last: they need not look for each other.
+        largest = len(size) - 1 - int(np.argmax(size[::-1]))
+        order = np.argsort(number == largest, kind="stable")
+        cols = [c[order] for c in cols]
+        probes = len(cols[0]) - int(size.max())
+        fps = cols[4].view(np.uint64)
+        bits = list(range(WIDTH))
+        planes = _planes(fps, bits) if probes else []
+        waiting = [(1 << min(LANES, len(fps) - at)) - 1 for at in range(0, len(fps), LANES)]
+        for k in range(probes):
+            block, lane = divmod(k, LANES)
+            if not waiting[block] >> lane & 1:
+                continue
+            waiting[block] ^= 1 << lane
+            for place in range(block, len(planes)):
+                lanes = waiting[place]
+                near = within(planes[place], bits, int(fps[k]), lanes, radius) if lanes else 0
+                if not near:
+                    continue
+                lit = np.frombuffer(near.to_bytes(LANES // 8, "little"), dtype=np.uint8)
+                j = place * LANES + np.flatnonzero(np.unpackbits(lit, bitorder="little"))
+                i = np.full(len(j), k)
+                fit = fitting(cols, i, j)
+                yield paired(cols, i[fit], j[fit])
+                if stars:
+                    led = np.zeros(LANES, dtype=bool)
+                    led[j[fit] - place * LANES] = True
+                    waiting[place] ^= int.from_bytes(np.packbits(led, bitorder="little").tobytes(), "little")
+
+    def emit(cols: list[np.ndarray]) -> Iterator[np.ndarray]:
+        key, part = cols[:2]
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+        size = ends - starts
+        for a, b in zip(starts[size > FEW], ends[size > FEW], strict=True):
+            yield from sliced([c[a:b] for c in cols])
+        some = (size > 1) & (size <= FEW)
+        if not some.any():
+            return
+        few = [c[np.repeat(some, size)] for c in cols]
+        if stars:
+            first = np.repeat(np.cumsum(size[some]) - size[some], size[some])
+            i = np.arange(len(first))
+            fit = fitting(few, first, i)
+            yield paired(few, first[fit], i[fit])
+            return
+        for d in range(1, FEW):
+            i = np.flatnonzero((few[0][d:] == few[0][:-d]) & (few[1][d:] == few[1][:-d]))
+            if not len(i):
+                break
+            i = i[fitting(few, i, i + d)]
+            yield paired(few, i, i + d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            found, n = [], 0
+            for pairs in emit(cols):
+                found.append(pairs)
+                n += len(pairs)
+                if n > HANDED:
+                    yield _pairs(np.unique(np.concatenate(found), axis=0))
+                    found, n = [], 0
+            if n:
+                yield _pairs(np.unique(np.concatenate(found), axis=0))
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            new = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            if held and (cols[0][0] != held[0][0][-1] or cols[1][0] != held[0][1][-1]):
+                yield from done([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = []
+            if len(new):
+                last = int(new[-1]) + 1
+                held.append([c[:last] for c in cols])
+                yield from done([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = [[c[last:] for c in cols]]
+            else:
+                held.append(cols)
+        if held:
+            yield from done([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def _similar(words: int, seed: int, similarity: float):
+    """Those of the pairs a, b whose shingle sets are as similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for r, (one, two) in enumerate(zip(*(batch.column(i).cast(pa.binary()) for i in (2, 3)), strict=True)):
+                x, y = (np.unique(shingle_hashes(t.as_py(), words, seed)) for t in (one, two))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep[r] = shared >= _least_shared(len(x), len(y), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def similar_components(texts: DataFrame, similarity: float, words: int = 5, seed: int = 42) -> DataFrame:
+    """spot, class of every row of texts (spot, a distinct long; text): rows of one class
+    are linked by Jaccard similarities of that or more, directly or through others.
+
+    Equal shingle sets meet once. A shingle that more than MANY sets begin with is dealt
+    out to squares of groups, so no task gets all of them. Buckets first give stars, at
+    most a pair for each row, and then all pairs that the confirmed ones have not linked:
+    a large group of near copies never gives its pairs.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0, at most 1")
+    texts = texts.select("spot", F.col("text").cast("string").alias("text"))
+    order = _shingle_counts(texts.select("text"), words, seed)
+    schema = "spot long, kind long, n int, fp long, keys array<long>"
+    marked = write_table(texts.mapInArrow(_prefixes(words, seed, similarity, *order), schema))
+    kind = ["kind", "n", "fp"]
+    kinds = write_table(marked.groupBy(*kind).agg(F.min("spot").alias("id")))
+    firsts = marked.join(kinds.select(F.col("id").alias("spot")), "spot", "left_semi")
+    firsts = write_table(firsts.select(F.col("spot").alias("id"), "n", "fp", "keys"))
+    counts = firsts.select(F.explode("keys").alias("key")).groupBy("key").count()
+    heavy = counts.where(F.col("count") > MANY).select("key", F.ceil(F.col("count") / MANY).cast("int").alias("groups"))
+    heavy = write_table(heavy)
+
+    def candidates(labelled: DataFrame, stars: bool) -> DataFrame:
+        keyed = labelled.select(F.posexplode("keys").alias("at", "key"), "n", "fp", "id", "class")
+        dealt = keyed.join(F.broadcast(heavy), "key", "left")  # at most a row for each MANY of keyed
+        group = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
+        squares = F.transform(
+            F.sequence(F.lit(0), F.col("groups") - 1),
+            lambda other: F.least(group, other) * F.col("groups") + F.greatest(group, other),
+        )
+        part = F.explode(F.when(F.col("groups").isNull(), F.array(F.lit(0))).otherwise(squares))
+        rows = dealt.select("key", part.alias("part"), "n", "at", "fp", "id", "class").repartition("key", "part")
+        run = _bucket_pairs(similarity, FAR, stars)
+        return write_table(rows.sortWithinPartitions("key", "part", "id").mapInArrow(run, "a long, b long").distinct())
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        ends = some.select(F.col("a").alias("spot")).union(some.select(F.col("b").alias("spot"))).distinct()
+        needed = write_table(texts.join(ends, "spot", "left_semi"))
+        for end in ("a", "b"):
+            some = some.join(needed.select(F.col("spot").alias(end), F.col("text").alias(f"text_{end}")), end)
+        some = some.select("a", "b", "text_a", "text_b")
+        edges = write_table(some.mapInArrow(_similar(words, seed, similarity), "a long, b long"))
+        drop_table(needed)
+        return edges
+
+    tried = candidates(firsts.withColumn("class", F.col("id")), True)
+    edges = confirmed(tried)
+    roots = connected_components(edges).withColumnRenamed("node", "id")
+    labelled = firsts.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id"))
+    edges = edges.union(confirmed(candidates(labelled, False).join(tried, ["a", "b"], "left_anti")))
+    drop_table(firsts)
+    linked = connected_components(edges)
+    rooted = kinds.join(linked.withColumnRenamed("node", "id"), "id", "left")
+    rooted = rooted.select(*kind, F.coalesce("root", "id").alias("class"))
+    return marked.select("spot", *kind).join(rooted, kind).select("spot", "class")
+
+
+def near_dedup(
+    docs: DataFrame, words: int = 5, radius: int = 3, seed: int = 42, similarity: float | None = None
+) -> DataFrame:
     """docs without near copies: of each component, the row of the smallest doc_id stays.
 
-    Shingles of five words; three differing bits or fewer stand for a similarity far
-    above 0.8. Rows with a null doc_id stay only if no row of their component has one.
+    Shingles of five words. With a similarity, texts whose shingle sets have that Jaccard
+    similarity or more are linked, and the radius has no part; without one, texts of three
+    differing bits or fewer, which stand for a similarity far above 0.8. Rows with a null doc_id stay only if no row of their component has one.
     Of rows that repeat the kept doc_id, one stays. Columns are those of docs.
     """
     names = docs.columns
     spot = F.monotonically_increasing_id()
     held = write_table(docs.withColumn("__spot", spot))
     marked = held.select(F.col("__spot").alias("doc_id"), "text")
-    keyed = components(marked, words, radius, seed).select(
-        F.col("doc_id").alias("__spot"), F.col("component_id").alias("__class")
-    )
+    if similarity is None:
+        keyed = components(marked, words, radius, seed).toDF("__spot", "__fp", "__class").drop("__fp")
+    else:
+        found = similar_components(marked.toDF("spot", "text"), similarity, words, seed)
+        keyed = found.toDF("__spot", "__class")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__spot")
     ids = held.select("__spot", "doc_id").join(keyed, "__spot")
     kept = ids.groupBy("__class").agg(F.min(order).alias("first")).select(F.col("first.__spot").alias("__spot"))

@@ -99,3 +99,96 @@ def test_near_dedup_keeps_one_of_each(spark):
     assert out.columns == df.columns
     classes = {r[2] if r[2] is not None else "none" for r in brute_components(rows, 5, 3)}
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(c for c in classes if c != "none")
+
+
+def shingles(text):
+    t = (text or "").lower().split()
+    return {" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
+
+
+def copy_rows():
+    """Texts of 6 to 600 words with copies of which planted edits leave a Jaccard
+    similarity of about 0.80 to 0.95, some of a copy, and a phrase that most share."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    phrase = [word() for _ in range(30)]
+    rows = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice((6, 9, 20, 60, 200, 600)))]
+        if rng.random() < 0.7:
+            base[3:3] = phrase
+        rows.append(base)
+        for _ in range(4):
+            t = list(rng.choice((base, rows[-1])))
+            for _ in range(max(1, round(len(t) * rng.choice((0.005, 0.01, 0.015, 0.02, 0.022))))):
+                t[rng.randrange(len(t))] = word()
+            rows.append(t)
+    rows = [(d, " ".join(t)) for d, t in enumerate(rows)]
+    return rows + [(4, rows[4][1]), (None, rows[9][1]), (9001, None), (9002, " \n"), (9003, "Only one"), (9004, "only  ONE")]
+
+
+def brute_similar(rows, similarity):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    bands = [0] * 4
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            j_ = len(x & y) / len(x | y) if x | y else 1
+            if j_ >= similarity:
+                bands[min(3, int((j_ - 0.8) * 20))] += 1
+                root[find(i)] = find(j)
+    classes = {}
+    for i, (d, _) in enumerate(rows):
+        classes.setdefault(find(i), []).append(d)
+    return sorted(min(x for x in c if x is not None) for c in classes.values()), bands
+
+
+def test_near_dedup_by_similarity_matches_brute_force(spark, monkeypatch):
+    rows = copy_rows()
+    want, bands = brute_similar(rows, 0.8)
+    assert min(bands) > 10  # pairs in each twentieth from 0.80 on
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(df, similarity=0.8).collect()) == want
+    monkeypatch.setattr(simhash, "MANY", 20)  # the shared phrase's buckets in squares
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", 1)
+    assert sorted(r.doc_id for r in simhash.near_dedup(df, similarity=0.8).collect()) == want
+
+
+def test_within_matches_popcounts():
+    rng = random.Random(4)
+    import numpy as np
+
+    fps = np.array([rng.getrandbits(64) for _ in range(300)], dtype=np.uint64)
+    planes = simhash._planes(fps, list(range(64)))[0]
+    for radius in (0, 3, 7, 26, 28, 31, 32):
+        near = simhash.within(planes, list(range(64)), int(fps[0]), (1 << 300) - 1, radius)
+        assert near == sum(1 << i for i, f in enumerate(fps) if (int(f) ^ int(fps[0])).bit_count() <= radius)
+
+
+def test_sliced_buckets_find_every_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    n = 9000  # more than two blocks of lanes, one bucket
+    fps = rng.integers(0, 1 << 20, n) ^ (rng.integers(0, 3, n) << 40)
+    sizes, at = rng.integers(90, 110, n).astype(np.int32), rng.integers(0, 20, n).astype(np.int32)
+    pick = rng.integers(0, 2, n) == 0
+    sizes[pick] = 5000  # these are similar to none of the others
+    zero = np.zeros(n, dtype=np.int64)
+    cols = [zero, zero.astype(np.int32), sizes, at, fps, np.arange(n), rng.permutation(n) // 3000]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 1000]) for c in cols], list("kpnafic")) for a in range(0, n, 1000)]
+    got = {(a, b) for x in simhash._bucket_pairs(0.8, 5, False)(iter(batches)) for a, b in zip(*map(pa.Array.to_pylist, x.columns))}
+    want = set()
+    for i in range(n):
+        j = np.arange(i + 1, n)
+        most = np.minimum(sizes[i] - at[i], sizes[j] - at[j])
+        fit = (most * 1.8 >= 0.8 * (int(sizes[i]) + sizes[j]) - 1e-6) & (np.bitwise_count(fps[j] ^ fps[i]) <= 5) & (cols[6][j] != cols[6][i])
+        want.update((i, int(x)) for x in j[fit])
+    assert got == want and len(want) > 1000
