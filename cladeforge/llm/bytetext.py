@@ -52,6 +52,21 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, _STEP, dtype=np.uint64))))
 
 
+def window_sums(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
+    """A 64-bit hash of the words from first to end (exclusive), for each of the places.
+
+    A polynomial in step over the words' hashes, the same wherever the words stand: taken
+    from sums over all words before, so its cost doesn't grow with the windows.
+    """
+    if not len(first):
+        return np.zeros(0, dtype=np.uint64)
+    ones = np.ones(len(hashes) + 1, dtype=np.uint64)
+    up, down = ones, ones.copy()
+    up[1:], down[1:] = np.uint64(step), np.uint64(pow(step, -1, 1 << 64))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * np.multiply.accumulate(up)[:-1], dtype=np.uint64)))
+    return mix((sums[end] - sums[first]) * np.multiply.accumulate(down)[first]) | np.uint64(1)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit numbers, one to one."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -12,14 +12,28 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one is set only where the session names none."""
+    """The folder all executors see; in local mode one is set where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cladeforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def unused(base: str, names: list[str]) -> str:
+    """base, or base with underscores where a column of that name (in any case) exists."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+#: Folders of tables written and not dropped yet, in turn.
+_written: list[str] = []
+
+
 def write_table(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -32,18 +46,55 @@ def write_table(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files behind a table of write_table() that no later result reads."""
-    spark = df.sparkSession
-    for name in df.inputFiles():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        _written[:] = [p for p in _written if p.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
+        _remove(df.sparkSession, folder)
+
+
+def written_tables() -> int:
+    """How many tables are written and not dropped; for drop_since()."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Remove the tables written since there were `mark`, but the one behind `keep`."""
+    kept = {name.rsplit("/", 2)[1] for name in keep.inputFiles()}
+    for path in _written[mark:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            _remove(spark, path)
+    _written[mark:] = [p for p in _written[mark:] if p.rsplit("/", 1)[1] in kept]
+
+
+def _star_round(pairs: DataFrame) -> DataFrame:
+    """Pairs a > b with the components of the given ones, nearer to stars.
+
+    First the larger neighbours of every node move to its smallest one, then all but the
+    smallest of the smaller ones do. A round about halves the paths of a component.
+    """
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
+
+
+def _digest(pairs: DataFrame) -> tuple:
+    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -52,36 +103,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Returns node, root for every node with an edge, root being the smallest node of
     its component. Self loops and repeated edges are allowed; nulls are dropped.
 
-    Every round maps each node to its smallest neighbour and the edges to the images
-    of their ends, until no edge is left; the maps are then composed backwards. No
-    step gathers a node's neighbours, so hubs only meet in partial minima and joins
-    that Spark may split.
+    Rounds of two star steps until the pairs stay the same, their number growing with the
+    logarithm of the longest path. No step gathers a node's neighbours, so hubs only meet
+    in partial minima and joins that Spark may split.
     """
-    live = write_table(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
-    )
-    maps = []
-    while not live.isEmpty():
-        up = write_table(live.groupBy("hi").agg(F.min("lo").alias("up")))
-        lo_up = up.select(F.col("hi").alias("lo"), F.col("up").alias("lo_up"))
-        moved = live.join(up, "hi").join(lo_up, "lo", "left")
-        moved = moved.select(F.col("up").alias("a"), F.coalesce("lo_up", "lo").alias("b"))
-        after = write_table(
-            moved.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-        )
-        maps.append((up, live))
-        live = after
-    spark = edges.sparkSession
-    node_type = dict(edges.dtypes)["a"]
-    found = spark.createDataFrame([], f"node {node_type}, root {node_type}")
-    for up, ends in reversed(maps):
-        known = found.select(F.col("node").alias("up"), "root")
-        here = up.join(known, "up", "left").select(F.col("hi").alias("node"), F.coalesce("root", "up").alias("root"))
-        roots = ends.join(up, ends.lo == up.hi, "left_anti").select(F.col("lo").alias("node"))
-        still = roots.distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        found = here.unionByName(still)
-        if len(maps) > 1:
-            found = write_table(found)
-    return found
+    hi, lo = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    pairs = write_table(edges.where("a is not null and b is not null and a <> b").select(hi, lo).distinct())
+    before, now = None, _digest(pairs)
+    while now[0] and now != before:
+        after = write_table(_star_round(pairs))
+        drop_table(pairs)
+        pairs, before, now = after, now, _digest(after)
+    nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return nodes.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

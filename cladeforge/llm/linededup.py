@@ -1,13 +1,17 @@
-"""Removal of long passages that occur again.
+"""Removal of long passages and lines that occur again.
 
-Method: winnowing. A text is a sequence of lines, a line here being the SPAN words that
-begin at each word, whatever the line breaks (planted and quoted passages seldom start
-at one). Of the hashes of WINDOW successive lines the smallest is selected, so any run
-of SPAN + WINDOW - 1 = `run` words that two texts share has a selected hash in common.
-Selected hashes that occur more than once are joined back to their positions; round
-them, in both directions, every window of `run` words is compared with all others by
-its hash; all but the first occurrence of a window are repeats, and the words that
-repeats cover are deleted.
+Method: winnowing. A text is a sequence of lines of two kinds: those it has, and, as
+passages seldom begin at a line break, the SPAN words that begin at each word. Of the
+hashes of WINDOW successive ones of the second kind the smallest is selected with its
+place, so any run of SPAN + WINDOW - 1 = `run` words that two texts share has a selected
+hash in common; of the first kind, whose runs may be one line long, the window is one and
+every line of LINE words or more is selected. Selected hashes that occur more than once
+are joined back to their places, and the match is extended from there both ways: window
+by window of `run` words, as far as windows lie round the place. All but the first
+occurrence of a window or line are repeats, and the words that repeats cover are deleted.
+
+What is deleted was compared by two 64-bit hashes of different polynomials, so that two
+unlike windows among 10^13 agree with a chance under 10^-12.
 
 The first occurrence is the one in the row of the smallest doc_id (then the first such
 row), then the leftmost. Within one text a window repeats an earlier one only if the two
@@ -25,31 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .common import drop_table, write_table
+from .common import drop_table, unused, write_table
 
-#: Words of a run that counts as repeated, and of the lines that are hashed.
+#: Words of a run that counts as repeated, and of the spans that are hashed.
 RUN, SPAN = 50, 25
-#: Windows that may be broadcast: those that take more than 1/HOT of all rows each.
+#: Words that a line of the text needs to count as repeated by itself.
+LINE = 8
+#: Keys that may be broadcast: those that take more than 1/HOT of all rows each.
 HOT = 1000
-
-
-def gram_hashes(hashes: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` words that begin at each word; 0 where the text ends before."""
-    out = np.zeros(len(hashes), dtype=np.uint64)
-    if len(hashes) < size:
-        return out
-    power = bytetext.powers(size - 1)
-    sums = np.zeros(len(hashes) - size + 1, dtype=np.uint64)
-    for i in range(size):
-        sums += hashes[i : len(hashes) - size + 1 + i] * power[i]
-    whole = text[size - 1 :] == text[: len(text) - size + 1]
-    out[: len(sums)] = np.where(whole, bytetext.mix(sums) | np.uint64(1), 0)
-    return out
+#: Odd bases of the two polynomials (fractions of the golden ratio and of root 2).
+BASES = (0x9E3779B97F4A7C15, 0x6A09E667F3BCC909)
 
 
 def selected(grams: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
-    """Places of the window minima of the lines, in each text; all of equal minima's
-    rightmost. A text with fewer lines than the window selects none."""
+    """Places of the window minima of the spans, in each text; all of equal minima's
+    rightmost. A text with fewer spans than the window selects none."""
     n = len(grams) - window + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
@@ -64,187 +58,228 @@ def selected(grams: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at[whole])
 
 
-def _word_lists(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+class Words:
+    """The words of a run of texts: starts, ends, their text, hashes, and each text's first."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.n = data, len(offsets) - 1
+        self.starts, self.ends = bytetext.words(data, offsets)
+        self.text = np.searchsorted(offsets, self.starts, side="right") - 1
+        self.hashes = bytetext.word_hashes(data, self.starts, self.ends)
+        self.size = np.bincount(self.text, minlength=self.n)
+        self.before = np.concatenate(([0], np.cumsum(self.size)))
+
+    def spans(self, size: int, base: int) -> np.ndarray:
+        """Hash of the `size` words that begin at each word; 0 where the text ends before."""
+        out = np.zeros(len(self.text), dtype=np.uint64)
+        first = np.arange(max(0, len(out) - size + 1))
+        first = first[self.text[first + size - 1] == self.text[first]]
+        out[first] = bytetext.window_sums(self.hashes, first, first + size, base)
+        return out
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and word after the last of every line that has words."""
+        if not len(self.text):
+            return (np.zeros(0, dtype=np.int64),) * 2
+        feeds = np.cumsum(self.data == 10)[self.starts]
+        new = np.r_[True, (feeds[1:] != feeds[:-1]) | (self.text[1:] != self.text[:-1])]
+        first = np.flatnonzero(new)
+        return first, np.r_[first[1:], len(self.text)]
+
+
+def _word_lists(texts: pa.Array) -> Iterator[tuple[int, Words]]:
     for row, data, offsets in bytetext.slices(texts):
-        starts, ends = bytetext.words(data, offsets)
-        text = np.searchsorted(offsets, starts, side="right") - 1
-        yield row, offsets, starts, ends, text, bytetext.word_hashes(data, starts, ends)
+        yield row, Words(data, offsets)
 
 
-def _arrow(*columns, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _lists(text: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Values, whose texts are given in order, as a list for each of n texts."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), values)
 
 
-def _prints(run: int, span: int):
-    """Of each text its number of words, a hash of them all (0 if fewer than run), the
-    selected hashes, and whether each is selected more than once."""
+def _prints(run: int, span: int, line: int):
+    """Of each text its number of words, two hashes of them all (0 if fewer than run),
+    the selected spans and lines."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, offsets, _, _, text, hashes in _word_lists(batch.column(2)):
-                n = len(offsets) - 1
-                size = np.bincount(text, minlength=n)
-                before = np.concatenate(([0], np.cumsum(size)))
-                keys = np.zeros(n, dtype=np.uint64)
-                if len(text):
-                    terms = hashes * bytetext.powers(int(size.max()))[np.arange(len(text)) - before[text]]
-                    keys[size > 0] = bytetext.mix(np.add.reduceat(terms, before[:-1][size > 0])) | np.uint64(1)
-                    keys[size < run] = 0
-                grams = gram_hashes(hashes, text, span)
-                at = selected(grams, text, run - span + 1)
-                order = np.lexsort((grams[at], text[at]))
-                row, gram = text[at][order], grams[at][order]
-                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])][: len(row)])
-                times = np.diff(np.r_[new, len(row)])
-                ends = np.searchsorted(row[new], np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (_signed(gram[new]), times > 1)]
-                part = batch.slice(first, n)
-                columns = [*part.columns[:2], pa.array(size.astype(np.int64)), pa.array(_signed(keys)), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "words", "key", "hashes", "twice"])
+            for row, w in _word_lists(batch.column(2)):
+                keys = [np.zeros(w.n, dtype=np.uint64) for _ in BASES]
+                long = np.flatnonzero(w.size >= run)
+                for key, base in zip(keys, BASES, strict=True):
+                    key[long] = bytetext.window_sums(w.hashes, w.before[long], w.before[long + 1], base)
+                grams = w.spans(span, BASES[0])
+                at = selected(grams, w.text, run - span + 1)
+                text = w.text[at]
+                fields = [_signed(grams[at]), pa.array((at - w.before[text]).astype(np.int32))]
+                marks = _lists(text, w.n, pa.StructArray.from_arrays(fields, ["hash", "at"]))
+                first, end = w.lines()
+                fit = (end - first >= line) & (end - first < run)
+                first, end = first[fit], end[fit]
+                text = w.text[first]
+                fields = [_signed(bytetext.window_sums(w.hashes, first, end, base)) for base in BASES]
+                fields += [pa.array((first - w.before[text]).astype(np.int32)), pa.array((end - first).astype(np.int32))]
+                lines = _lists(text, w.n, pa.StructArray.from_arrays(fields, ["h1", "h2", "at", "n"]))
+                part = batch.slice(row, w.n)
+                columns = [*part.columns[:2], pa.array(w.size.astype(np.int64)), *map(_signed, keys), marks, lines]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "words", "k1", "k2", "marks", "lines"])
 
     return go
 
 
 def _windows(run: int, span: int):
-    """row, doc_id, at, hash of the windows of words round the given hashes (marks)."""
+    """row, doc_id, at, n, two hashes of the windows of words round the given places."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(3)
-            for first, offsets, _, _, text, hashes in _word_lists(batch.column(2)):
-                grams, wide = gram_hashes(hashes, text, span), gram_hashes(hashes, text, run)
-                n = len(offsets) - 1
-                before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n))))
-                near = np.zeros(len(text) + 1, dtype=np.int32)
-                for i in range(n):
-                    here = marks[first + i].values.to_numpy().view(np.uint64)
-                    a, b = before[i], before[i + 1]
-                    found = a + np.flatnonzero(np.isin(grams[a:b], here))
+            places = batch.column(3)
+            for row, w in _word_lists(batch.column(2)):
+                near = np.zeros(len(w.text) + 1, dtype=np.int32)
+                for i in range(w.n):
+                    a, b = w.before[i], w.before[i + 1]
+                    found = a + places[row + i].values.to_numpy()
                     np.add.at(near, np.maximum(found - (run - span), a), 1)
                     np.add.at(near, np.minimum(found + 1, b), -1)
-                at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (wide != 0))
-                part = batch.slice(first, n)
-                given = [column.take(pa.array(text[at])) for column in part.columns[:2]]
-                columns = [*given, pa.array(at - before[text[at]]), pa.array(_signed(wide[at]))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "at", "hash"])
+                at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+                at = at[at + run <= w.before[w.text[at] + 1]]
+                text = w.text[at]
+                part = batch.slice(row, w.n)
+                given = [column.take(pa.array(text)) for column in part.columns[:2]]
+                hashes = [_signed(bytetext.window_sums(w.hashes, at, at + run, base)) for base in BASES]
+                ends = [pa.array((at - w.before[text]).astype(np.int32)), pa.array(np.full(len(at), run, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([*given, *ends, *hashes], ["row", "doc_id", "at", "n", "h1", "h2"])
 
     return go
 
 
-def _runs(run: int):
-    """Of places where repeated windows begin, the runs of words they cover together."""
+def joined_runs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the runs that the stretches at:at+size cover together."""
+    order = np.argsort(at, kind="stable")
+    at, reach = at[order], np.maximum.accumulate((at + size)[order])
+    cuts = np.flatnonzero(at[1:] > reach[:-1]) + 1
+    return at[np.r_[0, cuts]], reach[np.r_[cuts - 1, len(at) - 1]]
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for places in batch.column(1):
-                at = np.sort(places.values.to_numpy())
-                cuts = np.flatnonzero(at[1:] > at[:-1] + run) + 1
-                firsts, lasts = at[np.r_[0, cuts]], at[np.r_[cuts - 1, len(at) - 1]]
-                out.append([{"a": a, "b": b + run} for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True)])
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["row", "runs"])
 
-    return go
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    for batch in batches:
+        out = []
+        for places in batch.column(1):
+            at, size = (places.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            out.append([{"a": a, "b": b} for a, b in zip(*(x.tolist() for x in joined_runs(at, size)), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["row", "runs"])
 
 
-def cut(text: bytes, word_runs: list[tuple[int, int]]) -> bytes:
+def cut(text: bytes, word_runs: list[tuple[int, int]]) -> tuple[bytes, int]:
     """text without the given runs (first word, word after the last) and the white space
-    after each of them."""
+    after each of them, and the number of its words."""
     data = np.frombuffer(text, dtype=np.uint8)
     starts, _ = bytetext.words(data, np.array([0, len(data)]))
-    starts = np.append(starts, len(data))
+    size, starts = len(starts), np.append(starts, len(data))
     out, at = [], 0
     for a, b in word_runs:
         out.append(text[at : starts[a]])
         at = starts[b]
-    return b"".join([*out, text[at:]])
+    return b"".join([*out, text[at:]]), size
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, runs, number of words, others of text, runs, any number, others."""
     for batch in batches:
-        runs = batch.column(1).to_pylist()
-        texts = [
-            None if t is None else cut(t, [(r["a"], r["b"]) for r in some or ()]).decode()
-            for t, some in zip(batch.column(0).cast(pa.binary()).to_pylist(), runs, strict=True)
-        ]
-        names = batch.schema.names
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], names)
-
-
-def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN) -> DataFrame:
-    """row, words, runs (array of a, b: first word and word after the last) of every row;
-    docs has columns row (distinct), doc_id, text."""
-    if not 1 <= span <= run:
-        raise ValueError("span must be 1 to run")
+        texts, sizes = [], []
+        for t, some in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            left, size = cut(t or b"", [(r["a"], r["b"]) for r in some or ()])
+            texts.append(None if t is None else left.decode())
+            sizes.append(size)
+        columns = [pa.array(texts, pa.string()), batch.column(1), pa.array(sizes, pa.int64()), *batch.columns[3:]]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
+def repeated(rows: DataFrame, key: list[str], rank=None) -> DataFrame:
+    """The rows whose key occurs more than once, with the least rank (first) of the key.
+
+    rows is a written table. Keys that more than 1/HOT of all rows have (and 1,000 at
+    least), of which there are HOT at most, are told by a broadcast and the others by a
+    join, so that no task gets all rows of a frequent key.
+    """
+    firsts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), *([] if rank is None else [F.min(rank).alias("first")]))
+    firsts = firsts.where("times > 1")
+    many = max(1000, rows.count() // HOT + 1)
+    hot = F.broadcast(firsts.where(F.col("times") >= many).drop("times"))
+    cold = rows.join(hot.select(*key), key, "left_anti").join(firsts.where(F.col("times") < many).drop("times"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
+def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE) -> DataFrame:
+    """row, runs (array of a, b: first word and word after the last) of every row that has
+    any; docs is a written table with columns row (distinct), doc_id, text."""
+    if not 1 <= span <= run or line < 1:
+        raise ValueError("span must be 1 to run, line 1 or more")
     given = docs.select("row", "doc_id", F.col("text").cast("string").alias("text"))
     id_type = given.schema["doc_id"].dataType.simpleString()
     head = f"row long, doc_id {id_type}"
     place = [F.col("doc_id").isNull().alias("none"), "doc_id", "row"]
-    prints = write_table(
-        given.mapInArrow(_prints(run, span), f"{head}, words long, key long, hashes array<long>, twice array<boolean>")
-    )
+    schema = f"{head}, words long, k1 long, k2 long, marks array<struct<hash: long, at: int>>, lines array<struct<h1: long, h2: long, at: int, n: int>>"
+    prints = write_table(given.mapInArrow(_prints(run, span, line), schema))
     # Whole copies of an earlier text need no comparison of windows.
-    keyed = prints.where("key <> 0").select("key", "row", "words", F.struct(*place).alias("rank"))
-    firsts = keyed.groupBy("key").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = write_table(keyed.join(firsts, "key").where(F.col("rank") != F.col("first")).select("row", "words"))
-    # Selected hashes that occur more than once, and the texts they occur in.
-    lines = prints.join(copies, "row", "left_anti").select("row", F.explode(F.arrays_zip("hashes", "twice")).alias("x"))
-    lines = lines.select("row", F.col("x.hashes").alias("hash"), F.col("x.twice").cast("int").alias("more"))
-    again = lines.groupBy("hash").agg(F.sum(F.col("more") + 1).alias("n")).where("n > 1").select("hash")
-    marks = lines.join(again, "hash").groupBy("row").agg(F.collect_list("hash").alias("marks"))
-    near = given.join(marks, "row").select("row", "doc_id", "text", "marks")
-    windows = write_table(near.mapInArrow(_windows(run, span), f"{head}, at long, hash long"))
-    # All but the first occurrence of a window repeat it. Windows that very many texts
-    # share, HOT of them at most, find theirs by a broadcast, so no task gets all of one.
-    rank = F.struct(*place, "at")
-    firsts = windows.groupBy("hash").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = max(10_000, windows.count() // HOT + 1)
-    hot = F.broadcast(firsts.where(F.col("n") >= many).select("hash", "first"))
-    cold = windows.join(hot.select("hash"), "hash", "left_anti").join(firsts.where(F.col("n") < many).select("hash", "first"), "hash")
-    later = windows.join(hot, "hash").unionByName(cold).where(
-        (F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + run)
+    keyed = write_table(prints.where("k1 <> 0").select("k1", "k2", "row", "words", F.struct(*place).alias("rank")))
+    copies = write_table(repeated(keyed, ["k1", "k2"], F.col("rank")).where(F.col("rank") != F.col("first")).select("row", "words"))
+    # The places of selected spans that occur more than once, and the windows round them.
+    originals = prints.join(copies, "row", "left_anti")
+    marks = write_table(originals.select("row", F.inline("marks")))
+    places = repeated(marks, ["hash"]).groupBy("row").agg(F.collect_list("at").alias("places"))
+    near = given.join(places, "row").select("row", "doc_id", "text", "places")
+    windows = near.mapInArrow(_windows(run, span), f"{head}, at int, n int, h1 long, h2 long")
+    lines = originals.select("row", "doc_id", F.inline("lines")).select("row", "doc_id", "at", "n", "h1", "h2")
+    windows = write_table(windows.unionByName(lines))
+    drop_table(marks)
+    # All but the first occurrence of a window or line repeat it.
+    later = repeated(windows, ["h1", "h2"], F.struct(*place, "at")).where(
+        (F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + F.col("n"))
     )
     kind = "array<struct<a: bigint, b: bigint>>"
-    runs = later.groupBy("row").agg(F.collect_list("at").alias("ats")).mapInArrow(_runs(run), f"row long, runs {kind}")
+    stretches = later.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("stretches"))
+    runs = stretches.mapInArrow(_runs, f"row long, runs {kind}")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("words").alias("b")))
     runs = write_table(runs.unionByName(copies.select("row", whole.cast(kind).alias("runs"))))
-    drop_table(windows)
-    return prints.select("row", "words").join(runs, "row", "left").withColumn(
-        "runs", F.coalesce("runs", F.array().cast(kind))
-    )
+    for done in (windows, keyed, copies, prints):
+        drop_table(done)
+    return runs
 
 
-def _deduped(docs: DataFrame, run: int, span: int) -> DataFrame:
-    held = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = repeats(held.select(F.col("__row").alias("row"), "doc_id", "text"), run, span)
-    found = found.select(F.col("row").alias("__row"), F.col("words").alias("__words"), F.col("runs").alias("__runs"))
-    others = [c for c in docs.columns if c != "text"]
-    joined = held.join(found, "__row").select(F.col("text").cast("string").alias("text"), "__runs", *others, "__words")
-    return joined.mapInArrow(_remove, joined.schema)
+def _deduped(docs: DataFrame, run: int, span: int, line: int) -> tuple[DataFrame, str, str]:
+    """docs, deduplicated, with the runs and the number of words in columns so named."""
+    names = docs.columns
+    row, runs, size = (unused(n, names) for n in ("row__", "runs__", "words__"))
+    # Numbered once: later jobs must see the same numbers, however they split the rows.
+    held = write_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = repeats(held.select(F.col(row).alias("row"), "doc_id", "text"), run, span, line).toDF(row, runs)
+    others = [c for c in names if c != "text"]
+    number = F.lit(0).cast("long").alias(size)
+    joined = held.join(found, row, "left").select(F.col("text").cast("string").alias("text"), runs, number, *others)
+    return joined.mapInArrow(_remover, joined.schema), runs, size
 
 
-def dedup(docs: DataFrame, run: int = RUN, span: int = SPAN) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE) -> DataFrame:
     """doc_id, text, words, removed_words, runs of every row of docs.
 
     text lacks the repeated runs, with the white space after each; words counts those of
     the given text; runs lists the removed ones as first:end in words, comma-joined.
-    Null text stays null and, like texts shorter than a run, has no runs. A null doc_id
-    ranks after all others; rows that repeat a row are whole copies of it. An empty table
-    gives no rows; further columns are ignored.
+    Null text stays null and, like texts without a run or a long enough line, has no
+    runs. A null doc_id ranks after all others; rows that repeat a row are whole copies of
+    it. A text of any length is looked at whole, by itself. An empty table gives no rows;
+    further columns are ignored.
     """
-    done = _deduped(docs.select("doc_id", "text"), run, span)
-    size = F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
-    listed = F.array_join(F.transform("__runs", lambda r: F.concat_ws(":", r["a"], r["b"])), ",")
-    return done.select(
-        "doc_id", "text", F.col("__words").alias("words"), size.alias("removed_words"), listed.alias("runs")
-    )
+    done, runs, words = _deduped(docs.select("doc_id", "text"), run, span, line)
+    size = F.aggregate(F.coalesce(runs, F.array().cast(done.schema[runs].dataType)), F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+    listed = F.coalesce(F.array_join(F.transform(runs, lambda r: F.concat_ws(":", r["a"], r["b"])), ","), F.lit(""))
+    return done.select("doc_id", "text", F.col(words).alias("words"), size.alias("removed_words"), listed.alias("runs"))
 
 
-def without_repeats(docs: DataFrame, run: int = RUN, span: int = SPAN) -> DataFrame:
-    """docs with the texts of dedup(); columns are those of docs."""
-    return _deduped(docs, run, span).select(*docs.columns)
+def without_repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE) -> DataFrame:
+    """docs with the texts of dedup(); columns are those of docs, whatever their names."""
+    return _deduped(docs, run, span, line)[0].select(*docs.columns)

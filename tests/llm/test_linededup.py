@@ -7,19 +7,25 @@ import pytest
 from cladeforge.llm import linededup
 
 
-def brute(rows, run):
+def brute(rows, run, line=8):
     """Removed word places of each row, by its place in rows."""
     words = [(t or "").encode().split() for _, t in rows]
     where = defaultdict(list)
     for i, w in enumerate(words):
         for a in range(len(w) - run + 1):
             where[tuple(w[a : a + run])].append(((rows[i][0] is None, rows[i][0] or 0, i), a))
+        at = 0
+        for some in (rows[i][1] or "").encode().split(b"\n"):
+            n = len(some.split())
+            if line <= n < run:
+                where[tuple(some.split())].append(((rows[i][0] is None, rows[i][0] or 0, i), at))
+            at += n
     gone = [set() for _ in rows]
-    for places in where.values():
+    for window, places in where.items():
         first = min(places)
         for rank, a in places:
-            if rank != first[0] or a >= first[1] + run:
-                gone[rank[2]].update(range(a, a + run))
+            if rank != first[0] or a >= first[1] + len(window):
+                gone[rank[2]].update(range(a, a + len(window)))
     return words, gone
 
 
@@ -28,14 +34,17 @@ def corpus(seed, n=60):
     vocab = [f"w{i}" for i in range(300)] + ["é", "le"]
     text = lambda k: [rng.choice(vocab) for _ in range(k)]
     passages = [text(k) for k in (9, 12, 14, 30)]
+    lines = [text(k) for k in (3, 5, 9)]
     rows = []
     for d in range(n):
         w = text(rng.randint(0, 60))
+        if d % 3 == 0:
+            w[rng.randint(0, len(w)) : 0] = ["\n", *lines[rng.randrange(3)], "\n"]
         for _ in range(rng.randint(0, 2)):
             at = rng.randint(0, len(w))
             w[at:at] = rng.choice(passages)
         if rows and rng.random() < 0.25:
-            w = list(rng.choice(rows)[1].split())
+            w = list(rng.choice(rows)[1].split(" "))
             if w and rng.random() < 0.6:
                 w[rng.randrange(len(w))] = "edited"
         rows.append((d, rng.choice([" ", "\n", "  \t"]).join(w)))
@@ -43,14 +52,14 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,run,span", [(1, 10, 5), (2, 12, 12), (3, 10, 4), (4, 11, 1)])
-def test_matches_brute_force(spark, seed, run, span):
+@pytest.mark.parametrize("seed,run,span,line", [(1, 10, 5, 4), (2, 12, 12, 8), (3, 10, 4, 1), (4, 11, 1, 20)])
+def test_matches_brute_force(spark, seed, run, span, line):
     rows = corpus(seed)
     df = spark.createDataFrame([(a, b, 5) for a, b in rows], "doc_id long, text string, row int").coalesce(1)
     got = defaultdict(list)
-    for r in linededup.dedup(df, run, span).collect():
+    for r in linededup.dedup(df, run, span, line).collect():
         got[r.doc_id].append(r)
-    words, gone = brute(rows, run)
+    words, gone = brute(rows, run, line)
     want = defaultdict(list)
     for (d, t), w, g in zip(rows, words, gone):
         left = [x for i, x in enumerate(w) if i not in g]
@@ -60,9 +69,42 @@ def test_matches_brute_force(spark, seed, run, span):
         assert sorted(seen, key=str) == sorted(items, key=str)
 
 
-def test_stage_keeps_columns_and_clean_texts(spark):
-    rows = [(d, f"text {d}\n\nwith  its own\twords {d}", "s", d) for d in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, words string, runs int")
+def test_short_repeated_lines(spark):
+    rule = "all rights to these words stay with them who wrote"
+    rows = [(d, f"start {d}\n{rule}\nsome other words of {d}\n{'again and ' * 2}", "s") for d in range(5)]
+    rows.append((9, f"{rule} {rule}\nhere  {rule}\n{rule}\n", "s"))
+    got = dict(tuple(r)[:2] for r in linededup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got[0] == rows[0][1] and got[3] == "start 3\nsome other words of 3\nagain and again and "
+    assert got[9] == f"{rule} {rule}\nhere  {rule}\n"
+
+
+def test_row_numbers_do_not_follow_splits(spark, tmp_path):
+    rows = corpus(5, 200)
+    given = spark.createDataFrame([(a, b, 5) for a, b in rows], "doc_id long, text string, row int").repartition(12)
+    given.write.parquet(str(tmp_path / "docs"))
+    sizes = iter(["16k", "128m"] * 20)
+    real = linededup.write_table
+
+    def resplit(df):  # every job reads the files in other splits than the one before
+        out = real(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        return out
+
+    linededup.write_table = resplit
+    try:
+        got = linededup.dedup(spark.read.parquet(str(tmp_path / "docs")), 10, 5).collect()
+    finally:
+        linededup.write_table = real
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.doc_id, r.words) for r in got if r.doc_id is not None) == sorted((d, len((t or "").split())) for d, t in rows if d is not None)
+
+
+@pytest.mark.parametrize("names", [("row__", "runs__", "words__", "row"), ("__row", "__runs", "__words", "marks")])
+def test_stage_keeps_columns_and_clean_texts(spark, names):
+    rows = [(d, f"text {d}\n\nwith  its own\twords {d}", "s", d, d + 1, d + 2) for d in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} {t}" for n, t in zip(names, ("string", "int", "int", "long"))))
     out = linededup.without_repeats(df, 10, 5)
     assert out.columns == df.columns and sorted(map(tuple, out.collect())) == rows
 
@@ -72,11 +114,17 @@ def test_empty(spark):
     assert linededup.dedup(none).count() == 0
 
 
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 99991}" for i in range(250_000))
+    got = linededup.dedup(spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.words, r.removed_words) for r in sorted(got)] == [(1, 250_000, 150_009), (2, 250_001, 250_000)]
+
+
 def test_cut():
-    assert linededup.cut("é b  c\nd e ".encode(), [(1, 3), (4, 5)]) == "é d ".encode()
-    assert linededup.cut(b" a b ", [(0, 2)]) == b" "
+    assert linededup.cut("é b  c\nd e ".encode(), [(1, 3), (4, 5)]) == ("é d ".encode(), 5)
+    assert linededup.cut(b" a b ", [(0, 2)]) == (b" ", 2)
 
 
 def test_slices_of_arrow(spark):
     texts = pa.array([None, "a b", "", "c " * 10]).slice(1)
-    assert sum(len(h) for *_, h in linededup._word_lists(texts)) == 12
+    assert sum(len(w.hashes) for _, w in linededup._word_lists(texts)) == 12
