@@ -7,9 +7,9 @@ together with carry-save counters, and a block of lanes is abandoned once every
 has exceeded the radius.
 
 Bounds. Buckets hold distinct fingerprints that share `width - free` bits, so at most
-2**free of them (65,536 with the defaults), whatever the number of documents, copies
-or near copies; a bucket yields a star of at most one link per fingerprint. Copies
-never meet: they are one fingerprint.
+2**free of them, whatever the number of documents, copies or near copies: 65,536 at a
+radius of 2 (8 blocks), 262,144 at 3 (12 blocks). A bucket yields a star of at most one
+link per fingerprint. Copies never meet: they are one fingerprint.
 
 A radius of 3 bits is far above a similarity of 0.8, so near_dedup() with a similarity
 takes its candidates elsewhere: texts whose shingle sets have a Jaccard similarity of t
@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_table, write_table
+from .common import connected_components, drop_table, unused, write_table
 
 WIDTH = 64
-#: Bit blocks of the pigeonhole split; with radius 2, any 6 of the 8 form a key.
-BLOCKS = 8
+#: Bit blocks of the pigeonhole split by radius; with radius 2, any 6 of the 8 form a key.
+BLOCKS = {1: 4, 2: 8, 3: 12}
 #: Lanes compared at once, and abandoned together.
 LANES = 4096
 #: Bits in which fingerprints of sets of similarity 0.8 may differ: 10 on average, more
@@ -98,9 +98,10 @@ def _blocks(blocks: int) -> list[list[int]]:
     return [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def bucket_masks(radius: int, blocks: int = BLOCKS) -> list[int]:
+def bucket_masks(radius: int, blocks: int | None = None) -> list[int]:
     """Masks of the bits that form the keys: any two fingerprints within the radius
     agree on all bits of at least one mask."""
+    blocks = blocks or BLOCKS[radius]
     split = _blocks(blocks)
     return [sum(1 << b for i in kept for b in split[i]) for kept in combinations(range(blocks), blocks - radius)]
 
@@ -162,6 +163,28 @@ def star_links(fps: np.ndarray, mask: int, radius: int) -> list[tuple[int, int]]
     return links
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
+    """The n columns of rows sorted by the first two, buckets (equal in both) undivided."""
+    held: list[list[np.ndarray]] = []
+    joined = lambda: [np.concatenate(c) for c in zip(*held, strict=True)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)]
+        if held and (cols[0][0] != held[0][0][-1] or cols[1][0] != held[0][1][-1]):
+            yield joined()
+            held = []
+        new = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+        last = int(new[-1]) + 1 if len(new) else 0
+        if last:
+            held.append([c[:last] for c in cols])
+            yield joined()
+            held = []
+        held.append([c[last:] for c in cols])
+    if held:
+        yield joined()
+
+
 def _bucket_links(masks: list[int], radius: int):
     """Over rows t, k, fp sorted by t, k, fp: a star of links for each run of t, k."""
 
@@ -174,20 +197,8 @@ def _bucket_links(masks: list[int], radius: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if held is not None:
-                cols = [np.concatenate(pair) for pair in zip(held, cols, strict=True)]
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = [c[last:] for c in cols]
-            if last:
-                yield _pairs(emit(*(c[:last] for c in cols)))
-        if held is not None:
-            yield _pairs(emit(*held))
+        for cols in _whole_buckets(batches, 3):
+            yield _pairs(emit(*cols))
 
     return run
 
@@ -197,11 +208,11 @@ def _pairs(links: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = 2, blocks: int | None = None) -> DataFrame:
     """node, root for every fingerprint (column fp, distinct, not null) that links to
     another at radius or fewer differing bits, directly or through others."""
-    if not 0 < radius <= 3 < blocks:
-        raise ValueError("radius must be 1 to 3, blocks more than 3")
+    if radius not in BLOCKS or blocks is not None and blocks <= radius:
+        raise ValueError("radius must be 1 to 3, blocks more than that")
     masks = bucket_masks(radius, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = fps.select(
@@ -395,24 +406,8 @@ def _bucket_pairs(similarity: float, radius: int, stars: bool):
             if n:
                 yield _pairs(np.unique(np.concatenate(found), axis=0))
 
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            new = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            if held and (cols[0][0] != held[0][0][-1] or cols[1][0] != held[0][1][-1]):
-                yield from done([np.concatenate(c) for c in zip(*held, strict=True)])
-                held = []
-            if len(new):
-                last = int(new[-1]) + 1
-                held.append([c[:last] for c in cols])
-                yield from done([np.concatenate(c) for c in zip(*held, strict=True)])
-                held = [[c[last:] for c in cols]]
-            else:
-                held.append(cols)
-        if held:
-            yield from done([np.concatenate(c) for c in zip(*held, strict=True)])
+        for cols in _whole_buckets(batches, 7):
+            yield from done(cols)
 
     return run
 
@@ -497,19 +492,20 @@ def near_dedup(
 
     Shingles of five words. With a similarity, texts whose shingle sets have that Jaccard
     similarity or more are linked, and the radius has no part; without one, texts of three
-    differing bits or fewer, which stand for a similarity far above 0.8. Rows with a null doc_id stay only if no row of their component has one.
-    Of rows that repeat the kept doc_id, one stays. Columns are those of docs.
+    differing bits or fewer, which stand for a similarity far above 0.8. Rows with a null
+    doc_id stay only if no row of their component has one. Of rows that repeat the kept
+    doc_id, one stays. Null and wordless texts are copies of each other. Columns are those
+    of docs, whatever their names; an empty table gives no rows.
     """
     names = docs.columns
-    spot = F.monotonically_increasing_id()
-    held = write_table(docs.withColumn("__spot", spot))
-    marked = held.select(F.col("__spot").alias("doc_id"), "text")
+    spot = unused("spot__", names)
+    held = write_table(docs.withColumn(spot, F.monotonically_increasing_id()))
+    marked = held.select(F.col(spot).alias("spot"), "text")
     if similarity is None:
-        keyed = components(marked, words, radius, seed).toDF("__spot", "__fp", "__class").drop("__fp")
+        keyed = components(marked.toDF("doc_id", "text"), words, radius, seed).toDF("spot", "fp", "class")
     else:
-        found = similar_components(marked.toDF("spot", "text"), similarity, words, seed)
-        keyed = found.toDF("__spot", "__class")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__spot")
-    ids = held.select("__spot", "doc_id").join(keyed, "__spot")
-    kept = ids.groupBy("__class").agg(F.min(order).alias("first")).select(F.col("first.__spot").alias("__spot"))
-    return held.join(kept, "__spot", "left_semi").select(*names)
+        keyed = similar_components(marked, similarity, words, seed)
+    ids = held.select(F.col(spot).alias("spot"), "doc_id").join(keyed.select("spot", "class"), "spot")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "spot")
+    kept = ids.groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.spot").alias(spot))
+    return held.join(kept, spot, "left_semi").select(*names)

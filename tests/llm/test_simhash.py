@@ -192,3 +192,26 @@ def test_sliced_buckets_find_every_pair():
         fit = (most * 1.8 >= 0.8 * (int(sizes[i]) + sizes[j]) - 1e-6) & (np.bitwise_count(fps[j] ^ fps[i]) <= 5) & (cols[6][j] != cols[6][i])
         want.update((i, int(x)) for x in j[fit])
     assert got == want and len(want) > 1000
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from cladeforge.llm import common
+
+    rounds = []
+    real = common._star_round
+    monkeypatch.setattr(common, "_star_round", lambda pairs: rounds.append(1) or real(pairs))
+    chain = [(i, i + 1) for i in range(1000)] + [(2000 + (7 * i) % 1000, 2000 + (7 * i + 7) % 1000) for i in range(999)]
+    edges = spark.createDataFrame([*chain, (5, 5), (None, 3), (3000, 3001), (3000, 3001)], "a long, b long")
+    got = {r.node: r.root for r in common.connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(1001)} | {2000 + i: 2000 for i in range(1000)} | {3000: 3000, 3001: 3000}
+    assert len(rounds) <= 13
+    assert common.connected_components(edges.limit(0)).count() == 0
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten " * 3
+    rows = [(1, text, 8, "s"), (2, text, 9, "t"), (3, "x y", 7, "u"), (4, None, 1, None), (5, "", 2, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spot__ int, class string")
+    for similarity in (0.8, None):
+        out = simhash.near_dedup(df, similarity=similarity)
+        assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2], rows[3]]
