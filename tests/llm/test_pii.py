@@ -69,6 +69,30 @@ def test_patterns_discover_identifiers(spark):
     assert got[101] == "id:12:22" and got[102] == ""
 
 
+def test_secrets_are_found_by_their_context(spark):
+    digits = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(12)]
+    rows = [(i, f'of {i} words | token = "{digits[i]}" | and others') for i in range(8)]
+    rows += [(20, 'here token = "s3cret-word9" stands'), (21, f"the sum {digits[9]} of a file of the 2024abc kind"), (22, f"| {digits[10]} |")]
+    rows += [(30 + i, f"of {digits[11][:9]}{i} the plan of a file of the many") for i in range(30)]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()}
+    assert [got[i].n_id for i in range(8)] == [1] * 8 and got[20].n_id == 1
+    at = rows[8][1].index("s3cret")
+    assert got[20].spans == f"id:{at}:{at + 12}"
+    assert got[21].n_id == got[22].n_id == 0 and not any(got[30 + i].n_id for i in range(30))
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = [(1, "to a@b.cc and", 5, "x", "y"), (1, "to a@b.cc and", 5, "x", "y"), (None, None, 6, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row__ int, cuts__ string, row string")
+    out = pii.redact(df)
+    want = [(d, t and "to [EMAIL] and", *more) for d, t, *more in rows]
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_spans_in_one_text(spark):
+    check(spark, ["a@b.cc 1.2.3.4 x9y8z7 " * 20_000, "w " * 300_000 + "a@b.cc"])
+
+
 def test_redact(spark):
     rows = [(i, t, "s") for i, t in enumerate(FIXED[:8])] + [(None, "é mail a@b.cc, ip 1.2.3.4 ", "s"), (3, "é x@y.z", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
