@@ -10,11 +10,13 @@ are joined back to their places, and the match is extended from there both ways:
 by window of `run` words, as far as windows lie round the place. All but the first
 occurrence of a window or line are repeats, and the words that repeats cover are deleted.
 
-What is deleted was compared by two 64-bit hashes of different polynomials, so that two
-unlike windows among 10^13 agree with a chance under 10^-12.
+What is deleted was compared by two hashes of different polynomials, of 64 and of 32 bits
+(64 for whole texts), so that among 10^13 windows two unlike ones agree with a chance
+under 10^-3.
 
-The first occurrence is the one in the row of the smallest doc_id (then the first such
-row), then the leftmost. Within one text a window repeats an earlier one only if the two
+The first occurrence is the one in the row of the smallest doc_id (then of the smallest
+xxhash64 of the text), then the leftmost. Rows are put in that order first, so a row's
+number says which of two comes first. Within one text a window repeats an earlier one only if the two
 don't overlap. Texts that are equal as sequences of words to an earlier row's are repeats
 as a whole if they have a window at all.
 """
@@ -77,6 +79,12 @@ class Words:
         out[first] = bytetext.window_sums(self.hashes, first, first + size, base)
         return out
 
+    def hashed(self, first: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+        """Of stretches of words a hash, and their place in the text over half of another."""
+        one, two = (bytetext.window_sums(self.hashes, first, end, base) for base in BASES)
+        spot = (first - self.before[self.text[first]]).astype(np.int64) << 32 | (two >> np.uint64(32)).astype(np.int64)
+        return [_signed(one), pa.array(spot)]
+
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and word after the last of every line that has words."""
         if not len(self.text):
@@ -107,7 +115,7 @@ def _prints(run: int, span: int, line: int):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, w in _word_lists(batch.column(2)):
+            for row, w in _word_lists(batch.column(1)):
                 keys = [np.zeros(w.n, dtype=np.uint64) for _ in BASES]
                 long = np.flatnonzero(w.size >= run)
                 for key, base in zip(keys, BASES, strict=True):
@@ -121,37 +129,32 @@ def _prints(run: int, span: int, line: int):
                 fit = (end - first >= line) & (end - first < run)
                 first, end = first[fit], end[fit]
                 text = w.text[first]
-                fields = [_signed(bytetext.window_sums(w.hashes, first, end, base)) for base in BASES]
-                fields += [pa.array((first - w.before[text]).astype(np.int32)), pa.array((end - first).astype(np.int32))]
-                lines = _lists(text, w.n, pa.StructArray.from_arrays(fields, ["h1", "h2", "at", "n"]))
-                part = batch.slice(row, w.n)
-                columns = [*part.columns[:2], pa.array(w.size.astype(np.int64)), *map(_signed, keys), marks, lines]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "words", "k1", "k2", "marks", "lines"])
+                fields = [*w.hashed(first, end), pa.array((end - first).astype(np.int32))]
+                lines = _lists(text, w.n, pa.StructArray.from_arrays(fields, ["hash", "spot", "n"]))
+                columns = [batch.column(0).slice(row, w.n), pa.array(w.size.astype(np.int64)), *map(_signed, keys), marks, lines]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "words", "k1", "k2", "marks", "lines"])
 
     return go
 
 
-def _windows(run: int, span: int):
-    """row, doc_id, at, n, two hashes of the windows of words round the given places."""
+def _windows(run: int):
+    """row, hash, spot of the windows of words within reach of the given places."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(3)
-            for row, w in _word_lists(batch.column(2)):
+            places = batch.column(2)
+            for row, w in _word_lists(batch.column(1)):
                 near = np.zeros(len(w.text) + 1, dtype=np.int32)
                 for i in range(w.n):
                     a, b = w.before[i], w.before[i + 1]
-                    found = a + places[row + i].values.to_numpy()
-                    np.add.at(near, np.maximum(found - (run - span), a), 1)
-                    np.add.at(near, np.minimum(found + 1, b), -1)
+                    reach = places[row + i].values
+                    first, last = (a + reach.field(k).to_numpy() for k in (0, 1))
+                    np.add.at(near, np.maximum(first, a), 1)
+                    np.add.at(near, np.minimum(last + 1, b), -1)
                 at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
                 at = at[at + run <= w.before[w.text[at] + 1]]
-                text = w.text[at]
-                part = batch.slice(row, w.n)
-                given = [column.take(pa.array(text)) for column in part.columns[:2]]
-                hashes = [_signed(bytetext.window_sums(w.hashes, at, at + run, base)) for base in BASES]
-                ends = [pa.array((at - w.before[text]).astype(np.int32)), pa.array(np.full(len(at), run, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays([*given, *ends, *hashes], ["row", "doc_id", "at", "n", "h1", "h2"])
+                rows = batch.column(0).slice(row, w.n).take(pa.array(w.text[at]))
+                yield pa.RecordBatch.from_arrays([rows, *w.hashed(at, at + run)], ["row", "hash", "spot"])
 
     return go
 
@@ -216,37 +219,40 @@ def repeated(rows: DataFrame, key: list[str], rank=None) -> DataFrame:
 
 def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE) -> DataFrame:
     """row, runs (array of a, b: first word and word after the last) of every row that has
-    any; docs is a written table with columns row (distinct), doc_id, text."""
+    any; docs is a written table with columns row (distinct, in the order of rows), text."""
     if not 1 <= span <= run or line < 1:
         raise ValueError("span must be 1 to run, line 1 or more")
-    given = docs.select("row", "doc_id", F.col("text").cast("string").alias("text"))
-    id_type = given.schema["doc_id"].dataType.simpleString()
-    head = f"row long, doc_id {id_type}"
-    place = [F.col("doc_id").isNull().alias("none"), "doc_id", "row"]
-    schema = f"{head}, words long, k1 long, k2 long, marks array<struct<hash: long, at: int>>, lines array<struct<h1: long, h2: long, at: int, n: int>>"
+    given = docs.select("row", F.col("text").cast("string").alias("text"))
+    schema = "row long, words long, k1 long, k2 long, marks array<struct<hash: long, at: int>>, lines array<struct<hash: long, spot: long, n: int>>"
     prints = write_table(given.mapInArrow(_prints(run, span, line), schema))
     # Whole copies of an earlier text need no comparison of windows.
-    keyed = write_table(prints.where("k1 <> 0").select("k1", "k2", "row", "words", F.struct(*place).alias("rank")))
-    copies = write_table(repeated(keyed, ["k1", "k2"], F.col("rank")).where(F.col("rank") != F.col("first")).select("row", "words"))
+    keyed = write_table(prints.where("k1 <> 0").select("k1", "k2", "row", "words"))
+    copies = write_table(repeated(keyed, ["k1", "k2"], F.col("row")).where(F.col("row") != F.col("first")).select("row", "words"))
+    drop_table(keyed)
     # The places of selected spans that occur more than once, and the windows round them.
     originals = prints.join(copies, "row", "left_anti")
     marks = write_table(originals.select("row", F.inline("marks")))
-    places = repeated(marks, ["hash"]).groupBy("row").agg(F.collect_list("at").alias("places"))
-    near = given.join(places, "row").select("row", "doc_id", "text", "places")
-    windows = near.mapInArrow(_windows(run, span), f"{head}, at int, n int, h1 long, h2 long")
-    lines = originals.select("row", "doc_id", F.inline("lines")).select("row", "doc_id", "at", "n", "h1", "h2")
-    windows = write_table(windows.unionByName(lines))
+    reach = F.struct((F.col("at") - (run - span)).alias("first"), F.col("at").alias("last"))
+    places = repeated(marks, ["hash"]).groupBy("row").agg(F.collect_list(reach).alias("places"))
+    windows = write_table(given.join(places, "row").select("row", "text", "places").mapInArrow(_windows(run), "row long, hash long, spot long"))
     drop_table(marks)
+    lines = write_table(originals.select("row", F.inline("lines")))
+    drop_table(prints)
     # All but the first occurrence of a window or line repeat it.
-    later = repeated(windows, ["h1", "h2"], F.struct(*place, "at")).where(
-        (F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + F.col("n"))
-    )
+    at, other = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    place = F.struct("row", "spot")
+
+    def later(rows: DataFrame, size) -> DataFrame:
+        found = repeated(rows, ["hash"], place).where(other("spot") == other("first.spot"))
+        found = found.where((F.col("row") != F.col("first.row")) | (at("spot") >= at("first.spot") + size))
+        return found.select("row", F.struct(at("spot").alias("at"), size.cast("long").alias("n")).alias("stretch"))
+
     kind = "array<struct<a: bigint, b: bigint>>"
-    stretches = later.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("stretches"))
-    runs = stretches.mapInArrow(_runs, f"row long, runs {kind}")
+    every = later(windows, F.lit(run)).unionByName(later(lines, F.col("n")))
+    runs = every.groupBy("row").agg(F.collect_list("stretch").alias("stretches")).mapInArrow(_runs, f"row long, runs {kind}")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("words").alias("b")))
     runs = write_table(runs.unionByName(copies.select("row", whole.cast(kind).alias("runs"))))
-    for done in (windows, keyed, copies, prints):
+    for done in (windows, lines, copies):
         drop_table(done)
     return runs
 
@@ -255,9 +261,10 @@ def _deduped(docs: DataFrame, run: int, span: int, line: int) -> tuple[DataFrame
     """docs, deduplicated, with the runs and the number of words in columns so named."""
     names = docs.columns
     row, runs, size = (unused(n, names) for n in ("row__", "runs__", "words__"))
-    # Numbered once: later jobs must see the same numbers, however they split the rows.
-    held = write_table(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = repeats(held.select(F.col(row).alias("row"), "doc_id", "text"), run, span, line).toDF(row, runs)
+    # Numbered once, in order: later jobs must see the same numbers, however they split rows.
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
+    held = write_table(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()))
+    found = repeats(held.select(F.col(row).alias("row"), "text"), run, span, line).toDF(row, runs)
     others = [c for c in names if c != "text"]
     number = F.lit(0).cast("long").alias(size)
     joined = held.join(found, row, "left").select(F.col("text").cast("string").alias("text"), runs, number, *others)
@@ -270,8 +277,8 @@ def dedup(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE) -
     text lacks the repeated runs, with the white space after each; words counts those of
     the given text; runs lists the removed ones as first:end in words, comma-joined.
     Null text stays null and, like texts without a run or a long enough line, has no
-    runs. A null doc_id ranks after all others; rows that repeat a row are whole copies of
-    it. A text of any length is looked at whole, by itself. An empty table gives no rows;
+    runs. A null doc_id ranks after all others, of equal ones the smaller xxhash64 of the
+    text first; rows that repeat a row are whole copies of it. A text of any length is looked at whole, by itself. An empty table gives no rows;
     further columns are ignored.
     """
     done, runs, words = _deduped(docs.select("doc_id", "text"), run, span, line)

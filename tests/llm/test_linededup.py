@@ -3,29 +3,35 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
+import xxhash
 
 from cladeforge.llm import linededup
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute(rows, run, line=8):
     """Removed word places of each row, by its place in rows."""
     words = [(t or "").encode().split() for _, t in rows]
+    ranks = [(d is None, d or 0, 42 if t is None else signed(xxhash.xxh64_intdigest(t.encode(), 42)), i) for i, (d, t) in enumerate(rows)]
     where = defaultdict(list)
     for i, w in enumerate(words):
         for a in range(len(w) - run + 1):
-            where[tuple(w[a : a + run])].append(((rows[i][0] is None, rows[i][0] or 0, i), a))
+            where[tuple(w[a : a + run])].append((ranks[i], a))
         at = 0
         for some in (rows[i][1] or "").encode().split(b"\n"):
             n = len(some.split())
             if line <= n < run:
-                where[tuple(some.split())].append(((rows[i][0] is None, rows[i][0] or 0, i), at))
+                where[tuple(some.split())].append((ranks[i], at))
             at += n
     gone = [set() for _ in rows]
     for window, places in where.items():
         first = min(places)
         for rank, a in places:
             if rank != first[0] or a >= first[1] + len(window):
-                gone[rank[2]].update(range(a, a + len(window)))
+                gone[rank[3]].update(range(a, a + len(window)))
     return words, gone
 
 
