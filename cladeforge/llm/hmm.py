@@ -4,24 +4,30 @@ Method: Baum-Welch. Every partition runs the scaled forward-backward recursion o
 documents and returns expected counts, Spark sums them, and the sums are the next model.
 The scaled forward recursion then gives each text's exact likelihood.
 
-The states emit classes: each of the TOP most frequent words is its own class, the end
-of a text is one, and the other words are dealt to RARE classes by a hash. A rare word
-w of class r follows with (c(w) + 0.1) / (c(r) + 0.1 (v(r) + 1)), v(r) being the class's
-distinct training words and the 1 standing for all unseen ones, so the whole is a
-probability over texts whose unseen words are not told apart within a class. What tasks
-hold of the corpus is bounded (TOP words, STATES x classes); counts of rare words reach
-the documents by a join.
+All rounds run over all training documents and whole texts, until a round gains less than
+TOLERANCE of the log-likelihood. In the rounds but the last, the states emit classes: each
+of the TOP most frequent words is its own class, the end of a text is one, and the other
+words are dealt to RARE classes by a hash; so what tasks hold of the corpus is bounded. In
+the last round every word counts for itself: its expected counts in each state are a Spark
+table of all training words, and each document is scored with the rows of its own words,
+which reach it by a join. A state emits w with (E(w) + 50 u(w)) / (E + 50), E(w) being the
+expected count of w in the state, E that of all words, u(w) = (c(w) + 0.1) / (N + 0.1 (V + 1));
+the 1 stands for all unseen words, so the whole is a probability over texts whose unseen
+words are not told apart.
+
+A text is looked at as a whole whatever its length; long ones are worked on in stretches of
+BLOCK positions, of which the forward pass keeps the ends only.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +36,15 @@ from .common import write_table
 STATES = 8
 TOP = 32_768
 RARE = 1024
-#: Rounds of Baum-Welch: first over a sample, whose model starts those over all documents.
-SAMPLE_ROUNDS, ROUNDS = 10, 2
-SAMPLE_DOCS = 1000
-#: Words a task counts before it hands them over.
+#: Rounds of Baum-Welch end when one gains less than this share of the log-likelihood, or
+#: after ROUNDS of them; the last one, over words, follows.
+TOLERANCE, ROUNDS = 0.005, 8
+#: Weight, in tokens, of the unigram that each state is drawn towards.
+WEIGHT = 50.0
+#: Distinct words a task counts before it hands them over.
 COUNTED_WORDS = 200_000
-#: Positions that one padded block may have.
-BLOCK = 300_000
+#: Texts worked on together, and positions that one padded block may have.
+TEXTS, BLOCK = 1000, 300_000
 #: Stands for the end of a text; no word has a space.
 END = " "
 SMOOTH = 0.1
@@ -47,22 +55,34 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of the words before each text and all words, lower-cased (A-Z)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    offsets = split.offsets.to_numpy()
+    words = split.values.slice(offsets[0], offsets[-1] - offsets[0])
+    some = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    return before[offsets - offsets[0]], words.filter(some)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(count: Counter) -> pa.RecordBatch:
-        words = pa.array(list(count), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(list(count.values()), pa.int64())], ["word", "n"])
-
-    count: Counter = Counter()
-    end = END.encode()
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            count.update((text.as_py() or b"").lower().split())
-            count[end] += 1
-            if len(count) > COUNTED_WORDS:
-                yield rows(count)
-                count = Counter()
-    if count:
-        yield rows(count)
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        table = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+        return table.rename_columns(["word", "n"])
+
+    for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+        found = words_of(batch.column(0))[1].value_counts()
+        words, n = found.field("values"), found.field("counts").cast(pa.int64())
+        held.append(pa.table({"word": pa.concat_arrays([words, pa.array([END])]), "n": pa.concat_arrays([n, pa.array([batch.num_rows])])}))
+        if sum(t.num_rows for t in held) > 2 * COUNTED_WORDS:
+            held = [summed()]
+            if held[0].num_rows > COUNTED_WORDS:
+                yield from held[0].combine_chunks().to_batches()
+                held = []
+    if held:
+        yield from summed().combine_chunks().to_batches()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -71,41 +91,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def _encoder(number: dict[bytes, int], first_rare: int, rare_classes: int):
-    """Class numbers of every document, and its rare words with their counts."""
+def _encoder(top: pa.Array):
+    """Codes of every document's tokens, the end being 0, and its rare words with their
+    counts; the code of a frequent word is its place in top + 1, that of a rare one goes on
+    from there with its place in the document's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                classes, sizes, rare, kinds = [], [], [], []
-                for text in part.column(3).cast(pa.binary()):
-                    words = (text.as_py() or b"").lower().split()
-                    numbers = [number.get(w, -1) for w in words]
-                    other = Counter([w for w, n in zip(words, numbers, strict=True) if n < 0])
-                    if other:
-                        kind = {w: first_rare + zlib.crc32(w) % rare_classes for w in other}
-                        numbers = [n if n >= 0 else kind[w] for w, n in zip(words, numbers, strict=True)]
-                        rare += other.items()
-                        kinds += kind.values()
-                    numbers.append(0)
-                    classes.append(np.array(numbers, dtype=np.int32))
-                    sizes.append(len(other))
-                words = pa.array([w for w, _ in rare], pa.binary()).cast(pa.string())
-                counts = pa.array([n for _, n in rare], pa.int64())
-                fields = pa.StructArray.from_arrays([words, pa.array(kinds, pa.int32()), counts], ["word", "class", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns[:3],
-                        _lists([len(c) for c in classes], pa.array(np.concatenate(classes))),
-                        _lists(sizes, fields),
-                    ],
-                    ["row", "doc_id", "held_out", "classes", "rare"],
-                )
+        first_rare = len(top) + 1
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+            before, words = words_of(batch.column(3))
+            place = pc.index_in(words, value_set=top)
+            codes = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            rare = np.flatnonzero(codes == 0)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(before))
+            kinds = words.take(pa.array(rare)).dictionary_encode()
+            width = max(1, len(kinds.dictionary))
+            keys, first, number, n = np.unique(
+                text[rare] * width + kinds.indices.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True, return_counts=True
+            )
+            ends = np.searchsorted(keys, np.arange(batch.num_rows + 1) * width)
+            codes[rare] = first_rare + number - ends[text[rare]]
+            every = np.insert(codes, before[1:], 0).astype(np.int32)
+            fields = [kinds.dictionary.take(pa.array(keys % width)), pa.array(n.astype(np.int64))]
+            lists = [_lists(before + np.arange(len(before)), pa.array(every)), _lists(ends, pa.StructArray.from_arrays(fields, ["word", "n"]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["row", "doc_id", "held_out", "codes", "rare"])
 
     return run
 
@@ -146,11 +159,18 @@ def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         yield padded, lengths, some
 
 
+
+
+def _live(lengths: np.ndarray, steps: int) -> np.ndarray:
+    """How many of the sequences, longest first, have each step."""
+    return np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
+
+
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each sequence of classes, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
     for padded, lengths, numbers in blocks(sequences):
-        live = np.searchsorted(-lengths, -np.arange(1, len(padded) + 1), side="right")
+        live = _live(lengths, len(padded))
         total = np.zeros(len(lengths))
         alpha = model.start * model.emit[padded[0]]
         for t in range(len(padded)):
@@ -164,115 +184,215 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions over the sequences."""
-    states = len(model.start)
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-    for padded, lengths, _ in blocks(sequences):
-        steps, width = padded.shape
-        live = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
-        alpha = np.zeros((steps, width, states))
-        scales = np.ones((steps, width))
-        for t in range(steps):
-            n = live[t]
-            a = model.start * model.emit[padded[0]] if not t else (alpha[t - 1, :n] @ model.move) * model.emit[padded[t, :n]]
-            scales[t, :n] = a.sum(axis=1)
-            alpha[t, :n] = a / scales[t, :n, None]
-        beta = np.ones((width, states))
-        for t in range(steps - 1, 0, -1):
+def _forward(model: Model, padded: np.ndarray, live: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities and scales of a stretch; before: those of the step
+    before it, None at the start of the sequences."""
+    steps, width = padded.shape
+    alpha = np.zeros((steps, width, len(model.start)), dtype=model.emit.dtype)
+    scales = np.ones((steps, width), dtype=model.emit.dtype)
+    given = model.emit[padded]
+    for t in range(steps):
+        n = live[t]
+        last = alpha[t - 1, :n] if t else before
+        a = model.start * given[0] if last is None else (last[:n] @ model.move) * given[t, :n]
+        scales[t, :n] = a.sum(axis=1)
+        alpha[t, :n] = a / scales[t, :n, None]
+    return alpha, scales
+
+
+class Expected:
+    """Expected starts, transitions and emissions, and the log-likelihood, summed up."""
+
+    def __init__(self, states: int, slots: int):
+        self.start, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((slots, states))
+        self.log = 0.0
+
+    def add(self, model: Model, sequences: list[np.ndarray], slots: list[np.ndarray] | None = None) -> None:
+        """Counts the sequences of classes; emissions under slots, where these are given."""
+        for padded, lengths, numbers in blocks(sequences):
+            places = padded
+            if slots is not None:
+                places = np.zeros_like(padded)
+                for column, i in enumerate(numbers):
+                    places[: lengths[column], column] = slots[i]
+            live = _live(lengths, len(padded))
+            size = max(1, BLOCK // padded.shape[1])
+            cuts = [slice(at, at + size) for at in range(0, len(padded), size)]
+            ends: list = [None]
+            for cut in cuts[:-1]:
+                ends.append(_forward(model, padded[cut], live[cut], ends[-1])[0][-1])
+            beta = np.ones((padded.shape[1], len(model.start)), dtype=model.emit.dtype)
+            for cut, before in zip(cuts[::-1], ends[::-1], strict=True):
+                self._stretch(model, padded[cut], places[cut], live[cut], before, beta)
+
+    def _stretch(self, model: Model, padded: np.ndarray, places: np.ndarray, live: np.ndarray, before: np.ndarray | None, beta: np.ndarray) -> None:
+        """beta: backward probabilities after the stretch, on return those before it."""
+        alpha, scales = _forward(model, padded, live, before)
+        steps = len(padded)
+        inside = np.arange(padded.shape[1])[None, :] < live[:, None]
+        self.log += float(np.log(scales, dtype=np.float64).sum())
+        turned = model.move.T.copy()
+        moved = np.zeros_like(model.move)
+        given = model.emit[padded] / scales[:, :, None]
+        for t in range(steps - 1, -1, -1):
             n = live[t]
-            after = model.emit[padded[t, :n]] * beta[:n] / scales[t, :n, None]
-            move += model.move * (alpha[t - 1, :n].T @ after)
+            after = given[t, :n] * beta[:n]
             alpha[t, :n] *= beta[:n]
-            beta[:n] = after @ model.move.T
-        alpha[0] *= beta
-        start += alpha[0].sum(axis=0)
-        flat = padded.ravel()
-        inside = (np.arange(steps)[:, None] < lengths[None, :]).ravel()
-        for k in range(states):
-            emit[:, k] += np.bincount(flat[inside], weights=alpha[:, :, k].ravel()[inside], minlength=len(emit))
-    return start, move, emit
-
-
-def _sequences(column: pa.Array) -> list[np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)
+            last = alpha[t - 1, :n] if t else before
+            if last is None:
+                break
+            moved += last[:n].T @ after
+            beta[:n] = after @ turned
+        self.move += model.move * moved
+        if before is None:
+            self.start += alpha[0].sum(axis=0)
+        flat = places[inside]
+        for k in range(len(self.start)):
+            self.emit[:, k] += np.bincount(flat, weights=alpha[:, :, k][inside], minlength=len(self.emit))
+
+
+def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, transitions and emissions over the sequences."""
+    found = Expected(len(model.start), len(model.emit))
+    found.add(model, sequences)
+    return found.start, found.move, found.emit
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets from 0, and the values of the lists."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], column.values.slice(offsets[0], offsets[-1] - offsets[0])
+
+
+def _split(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def _expecter(model: Model):
-    """Expected counts of a partition, a row per class; -1 the starts, -2 - k moves from k."""
+def _rare_places(codes: np.ndarray, offsets: np.ndarray, rare: np.ndarray, first_rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes are rare words, and the places of these in the lists (offsets rare)."""
+    at = np.flatnonzero(codes >= first_rare)
+    text = np.searchsorted(offsets, at, side="right") - 1
+    return at, rare[text] + codes[at] - first_rare
+
+
+def rare_class(words: pa.Array, rare_classes: int) -> np.ndarray:
+    """A class of each word, by a hash of its bytes."""
+    return np.fromiter((zlib.crc32(w) % rare_classes for w in words.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(words))
+
+
+def _expecter(model: Model, first_rare: int, rare_classes: int, words: bool):
+    """Expected counts of a partition by key: a class, -1 the starts, -2 - k moves from k,
+    -2 - states the log-likelihood; with words rare ones by word and not by class."""
+    model = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    states = len(model.start)
+    names = ["key", "word", *(f"k{k}" for k in range(states))]
+
+    def rows(keys: np.ndarray, kinds: pa.Array | None, values: np.ndarray) -> pa.RecordBatch:
+        kinds = pa.nulls(len(keys), pa.string()) if kinds is None else kinds
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), kinds, *map(pa.array, values.T.copy())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                found = expected_counts(model, _sequences(batch.column(0)))
-                total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
-        if total is None:
+        total = Expected(states, len(model.emit))
+        some = False
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+            some = some or batch.num_rows > 0
+            offsets, codes = _flat(batch.column(0))
+            rare, kinds = _flat(batch.column(1))
+            codes = codes.to_numpy().copy()
+            at, place = _rare_places(codes, offsets, rare, first_rare)
+            if not words:
+                codes[at] = kinds.to_numpy()[place]
+                total.add(model, _split(codes, offsets))
+                continue
+            kinds = kinds.dictionary_encode()
+            slots, number = codes.copy(), kinds.indices.to_numpy(zero_copy_only=False)
+            classes = rare_class(kinds.dictionary, rare_classes) + first_rare
+            codes[at], slots[at] = classes[number[place]], first_rare + number[place]
+            mine = Expected(states, first_rare + len(kinds.dictionary))
+            mine.add(model, _split(codes, offsets), _split(slots, offsets))
+            total.start, total.move, total.log = total.start + mine.start, total.move + mine.move, total.log + mine.log
+            total.emit[:first_rare] += mine.emit[:first_rare]
+            if len(kinds.dictionary):
+                yield rows(np.full(len(kinds.dictionary), first_rare), kinds.dictionary, mine.emit[first_rare:])
+        if not some:
             return
-        start, move, emit = total
-        seen = np.flatnonzero(emit.any(axis=1))
-        keys = np.concatenate(([-1], -2 - np.arange(len(move)), seen)).astype(np.int32)
-        values = np.vstack([start[None, :], move, emit[seen]])
-        names = [f"k{k}" for k in range(len(start))]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, values.T.copy())], ["key", *names])
+        seen = np.flatnonzero(total.emit.any(axis=1))
+        log = np.full((1, states), total.log / states)
+        keys = np.concatenate(([-1], -2 - np.arange(states), [-2 - states], seen))
+        yield rows(keys, None, np.vstack([total.start[None, :], total.move, log, total.emit[seen]]))
 
     return run
 
 
-def baum_welch(coded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
-    """One round over the column classes of all rows."""
+def _sums(coded: DataFrame, model: Model, first_rare: int, rare_classes: int, words: bool) -> DataFrame:
     names = [f"k{k}" for k in range(len(model.start))]
-    schema = ", ".join(["key int", *(f"{n} double" for n in names)])
-    sums = coded.select("classes").mapInArrow(_expecter(model), schema).groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
-    table = sums.toArrow()
+    schema = ", ".join(["key int", "word string", *(f"{n} double" for n in names)])
+    given = coded.select("codes", F.col("rare.word" if words else "kinds"))
+    found = given.mapInArrow(_expecter(model, first_rare, rare_classes, words), schema)
+    return found.groupBy("key", "word").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _collected(sums: DataFrame, states: int, classes: int) -> Expected:
+    """The sums by key (classes and a few more: bounded) as one object."""
+    table = sums.drop("word").toArrow()
     keys = table.column("key").to_numpy()
-    values = np.column_stack([table.column(n).to_numpy() for n in names])
-    start, move, emit = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
-    emit[keys[keys >= 0]] = values[keys >= 0]
-    start += values[keys == -1].sum(axis=0)
-    move[-2 - keys[keys < -1]] = values[keys < -1]
-    return Model.of_counts(start, move, emit, unigram)
+    values = np.column_stack([table.column(f"k{k}").to_numpy() for k in range(states)])
+    out = Expected(states, classes)
+    out.emit[keys[keys >= 0]] = values[keys >= 0]
+    out.start += values[keys == -1].sum(axis=0)
+    moves = (keys < -1) & (keys > -2 - states)
+    out.move[-2 - keys[moves]] = values[moves]
+    out.log = float(values[keys == -2 - states].sum())
+    return out
+
 
+def baum_welch(coded: DataFrame, model: Model, unigram: np.ndarray, first_rare: int) -> tuple[Model, float]:
+    """One round over the classes of all rows: the next model, and the log-likelihood of
+    this one."""
+    found = _collected(_sums(coded, model, first_rare, len(unigram) - first_rare, False), len(model.start), len(unigram))
+    return Model.of_counts(found.start, found.move, found.emit, unigram, WEIGHT), found.log
 
-def fit(coded: DataFrame, class_counts: np.ndarray, documents: int) -> Model:
-    """The model of all rows of coded (column classes), started from a bounded sample."""
+
+def fit(coded: DataFrame, class_counts: np.ndarray, first_rare: int) -> Model:
+    """The model of classes of all rows of coded (codes, kinds)."""
     unigram = (class_counts + SMOOTH) / (class_counts.sum() + SMOOTH * len(class_counts))
-    model = Model.first(unigram)
-    if not documents:
-        return model
-    share = min(1.0, SAMPLE_DOCS / documents)
-    picked = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
-    some = coded.where(picked).select(F.slice("classes", 1, 2048).alias("classes")).limit(2 * SAMPLE_DOCS).toArrow()
-    column = some.column("classes").combine_chunks()
-    sample = _sequences(column) if len(column) else []
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        model = Model.of_counts(*expected_counts(model, sample), unigram)
-    for _ in range(ROUNDS):
-        model = baum_welch(coded, model, unigram)
+    model, before = Model.first(unigram), -math.inf
+    for _ in range(ROUNDS if class_counts.any() else 0):
+        model, log = baum_welch(coded, model, unigram, first_rare)
+        if log - before < -TOLERANCE * log:
+            break
+        before = log
     return model
 
 
-def _scorer(model: Model, base_log: np.ndarray, known: np.ndarray):
-    """Of each text its tokens, and of the frequent words and the end how many are known
-    and their base score; and the likelihood of its classes."""
+def _scorer(model: Model, base_log: np.ndarray, known: np.ndarray, unseen: np.ndarray, total: float):
+    """Number of tokens, of known ones, base and score of each text, given the counts and
+    the emissions of its rare words (null for words that training didn't see)."""
+    first_rare, states = len(known), len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             if not batch.num_rows:
                 continue
-            offsets = batch.column(3).offsets.to_numpy()
-            values = batch.column(3).values.to_numpy(zero_copy_only=False)[: offsets[-1]]
-            frequent = values < len(known)
-            place = np.where(frequent, values, 0)
+            offsets, codes = _flat(batch.column(2))
+            codes = codes.to_numpy().astype(np.int64)
+            listed = batch.column(3)
+            sizes = pc.list_value_length(listed).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            rare, told = np.concatenate(([0], np.cumsum(sizes))), listed.flatten()
+            counts = told.field("c").fill_null(0).to_numpy(zero_copy_only=False)
+            rows = told.field("e")
+            emit = np.tile(unseen, (len(rows), 1))
+            has = rows.is_valid().to_numpy(zero_copy_only=False)
+            emit[has] = rows.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
+            at, place = _rare_places(codes, offsets, rare, first_rare)
+            codes[at] = first_rare + place
             sums = [
-                np.diff(offsets).astype(np.int64),
-                np.add.reduceat((frequent & known[place]).astype(np.int64), offsets[:-1]),
-                np.add.reduceat(np.where(frequent, base_log[place], 0.0), offsets[:-1]),
-                log_likelihoods(model, _sequences(batch.column(3))) / math.log(10),
+                np.diff(offsets),
+                np.add.reduceat(np.concatenate([known, counts > 0])[codes].astype(np.int64), offsets[:-1]),
+                np.add.reduceat(np.concatenate([base_log, np.log10((counts + SMOOTH) / total)])[codes], offsets[:-1]),
+                log_likelihoods(Model(model.start, model.move, np.vstack([model.emit, emit])), _split(codes, offsets)) / math.log(10),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, sums)], SCORED)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, sums)], SCORED)
 
     return run
 
@@ -288,7 +408,7 @@ def _least_count(words: DataFrame, n: int) -> int:
     return 0
 
 
-SCORED = ["row", "doc_id", "held_out", "n_tokens", "top_known", "top_base", "log_classes"]
+SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
 
 def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int = TOP, rare_classes: int = RARE) -> DataFrame:
@@ -296,11 +416,9 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
 
     Learns from the rows that are not held out. Null text counts as empty: its end alone
     is a token. Null doc_ids are not held out. Repeated rows count, and are scored, each;
-    with no training rows base_score is 0 and all classes are equally likely. An empty
-    table gives no rows; further columns are ignored.
+    with no training rows base_score is 0 and so is score, all texts being of unseen words.
+    An empty table gives no rows; further columns are ignored.
     """
-    spark = docs.sparkSession
-    first_rare, classes = frequent + 1, frequent + 1 + rare_classes
     id_type = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -313,50 +431,48 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
     size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), ends.alias("ends")).first()
     n, v, ends = size["n"] or 0, size["v"], size["ends"] or 0
     words = counts.where(F.col("word") != END)
-    top = words.where(F.col("c") >= _least_count(words, frequent)).orderBy(F.desc("c"), "word").limit(frequent).collect()
-    number = {r["word"].encode(): i + 1 for i, r in enumerate(top)}
+    top = words.where(F.col("c") >= _least_count(words, frequent)).orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    first_rare = top.num_rows + 1
+    class_counts = np.zeros(first_rare + rare_classes)
+    class_counts[:first_rare] = [ends, *top.column("c").to_pylist()]
     others = words.where(F.lit(False))
-    if len(top) == frequent:
-        c, word = top[-1]["c"], top[-1]["word"]
+    if top.num_rows == frequent:
+        c, word = top.column("c")[-1].as_py(), top.column("word")[-1].as_py()
         others = words.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > word)))
-    others = others.withColumn("class", (F.crc32(F.col("word").cast("binary")) % rare_classes + first_rare).cast("int"))
-    class_counts, class_words = np.zeros(classes), np.zeros(classes)
-    class_counts[: len(top) + 1] = [ends, *(r["c"] for r in top)]
-    for r in others.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        class_counts[r["class"]], class_words[r["class"]] = r["n"], r["v"]
-
-    lists = "classes array<int>, rare array<struct<word: string, class: int, n: long>>"
-    coded = write_table(given.mapInArrow(_encoder(number, first_rare, rare_classes), f"row long, doc_id {id_type}, held_out boolean, {lists}"))
-    model = fit(coded.where("not held_out"), class_counts, ends)
+    kind = lambda word: (F.crc32(word.cast("binary")) % rare_classes + first_rare).cast("int")
+    for r in others.groupBy(kind(F.col("word")).alias("class")).agg(F.sum("c").alias("n")).collect():
+        class_counts[r["class"]] = r["n"]
 
-    total = float(n + SMOOTH * (v + 1))
-    known = class_counts[: len(top) + 1] > 0
-    base_log = np.log10((class_counts[: len(top) + 1] + SMOOTH) / total)
-    sums = "n_tokens long, top_known long, top_base double, log_classes double"
-    scored = coded.select("row", "doc_id", "held_out", "classes").mapInArrow(
-        _scorer(model, base_log, known), f"row long, doc_id {id_type}, held_out boolean, {sums}"
-    )
-    bottoms = [(r, float(class_counts[r] + SMOOTH * (class_words[r] + 1))) for r in range(first_rare, classes)]
-    bottom = spark.createDataFrame(bottoms, "class int, bottom double")
-    weight = F.coalesce("c", F.lit(0)) + SMOOTH
-    rare = (
-        coded.select("row", F.explode("rare").alias("w"))
-        .select("row", "w.word", "w.class", "w.n")
-        .join(others.select("word", "c"), "word", "left")
-        .join(F.broadcast(bottom), "class")  # RARE rows
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("n") * F.log10(weight / total)).alias("rare_base"),
-            F.sum(F.col("n") * F.log10(weight / F.col("bottom"))).alias("rare_log"),
-        )
+    coded = given.mapInArrow(
+        _encoder(top.column("word").combine_chunks().cast(pa.string())),
+        f"row long, doc_id {id_type}, held_out boolean, codes array<int>, rare array<struct<word: string, n: long>>",
     )
-    return scored.join(rare, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("top_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("log_classes") + F.coalesce("rare_log", F.lit(0.0))).alias("score"),
+    coded = write_table(coded.withColumn("kinds", F.transform("rare", lambda x: kind(x["word"]))))
+    learned = coded.where("not held_out")
+    model = fit(learned, class_counts, first_rare)
+    # The last round: by word.
+    sums = write_table(_sums(learned, model, first_rare, rare_classes, True))
+    found = _collected(sums.where("word is null"), STATES, first_rare)
+    rare_sums = sums.where("word is not null")
+    names = [f"k{k}" for k in range(STATES)]
+    rest = rare_sums.agg(*(F.sum(k) for k in names)).first()
+    whole = found.emit.sum(axis=0) + np.array([x or 0.0 for x in rest]) + WEIGHT
+    total = float(n + SMOOTH * (v + 1))
+    emit = (found.emit + WEIGHT * ((class_counts[:first_rare] + SMOOTH) / total)[:, None]) / whole
+    start, move = found.start + 0.1, found.move + 0.1
+    model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
+    known = class_counts[:first_rare] > 0
+    base_log = np.log10((class_counts[:first_rare] + SMOOTH) / total)
+    # Each document's rare words with their counts and emissions.
+    share = F.lit(WEIGHT) * (F.col("c") + SMOOTH) / total
+    row = F.array(*(((F.coalesce(k, F.lit(0.0)) + share) / float(w)).cast("float") for k, w in zip(names, whole, strict=True)))
+    table = others.join(rare_sums, "word", "left").select("word", "c", row.alias("e"))
+    said = coded.select("row", F.posexplode("rare.word").alias("at", "word")).join(table, "word", "left")
+    told = said.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "e"))).alias("told"))
+    scored = coded.select("row", "doc_id", "held_out", "codes").join(told, "row", "left").select("doc_id", "held_out", "codes", "told")
+    unseen = WEIGHT * SMOOTH / total / whole if n else np.ones(STATES)
+    done = scored.mapInArrow(
+        _scorer(model, base_log, known, unseen, total),
+        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
+    return done.select(*SCORED[:4], F.lit(n).cast("long").alias("train_tokens"), *SCORED[4:])

@@ -100,3 +100,27 @@ def test_empty_and_nothing_to_learn(spark):
     one = spark.createDataFrame([(d, "a b") for d in range(400) if zlib.crc32(str(d).encode()) % 10 == 0][:2], "doc_id long, text string")
     for r in hmm.score(one).collect():
         assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_stretches_of_long_texts_count_alike(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3).T)
+    seqs = [rng.integers(0, 9, size=k).astype(np.int64) for k in (700, 3, 90, 1)]
+    want = hmm.expected_counts(model, seqs)
+    monkeypatch.setattr(hmm, "BLOCK", 64)
+    for a, b in zip(hmm.expected_counts(model, seqs), want):
+        assert np.allclose(a, b)
+
+
+def test_scores_are_those_of_a_distribution_over_words(spark):
+    """Over all texts of up to one word, known or not, and with rare words in two classes."""
+    rng = random.Random(9)
+    learned = [(d, " ".join(rng.choice("abcdefgh") for _ in range(2))) for d in range(40) if zlib.crc32(str(d).encode()) % 10]
+    held = [d for d in range(1000, 1200) if zlib.crc32(str(d).encode()) % 10 == 0]
+    asked = [*"abcdefgh", "unseen"]
+    df = spark.createDataFrame(learned + list(zip(held, asked)) + [(held[9], "")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hmm.score(df, frequent=3, rare_classes=2).collect()}
+    one = sum(10 ** got[d] for d in held[:10])
+    assert 0 < one < 1
+    more = spark.createDataFrame(learned + [(held[i], f"{a} {b}") for i, (a, b) in enumerate([("a", "b"), ("h", "unseen")])], "doc_id long, text string")
+    assert all(r.score < 0 for r in hmm.score(more, frequent=3, rare_classes=2).collect())
