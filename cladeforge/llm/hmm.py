@@ -10,10 +10,10 @@ of the TOP most frequent words is its own class, the end of a text is one, and t
 words are dealt to RARE classes by a hash; so what tasks hold of the corpus is bounded. In
 the last round every word counts for itself: its expected counts in each state are a Spark
 table of all training words, and each document is scored with the rows of its own words,
-which reach it by a join. A state emits w with (E(w) + 50 u(w)) / (E + 50), E(w) being the
-expected count of w in the state, E that of all words, u(w) = (c(w) + 0.1) / (N + 0.1 (V + 1));
-the 1 stands for all unseen words, so the whole is a probability over texts whose unseen
-words are not told apart.
+which reach it by a join. To the expected count E(w) of w in a state, whose words are E in
+all, come 0.1 E / N and 50 u(w), with u(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); divided by
+their sum over V + 1 words, the 1 standing for all unseen ones, that is what the state
+emits. So the whole is a probability over texts whose unseen words are not told apart.
 
 A text is looked at as a whole whatever its length; long ones are worked on in stretches of
 BLOCK positions, of which the forward pass keeps the ends only.
@@ -456,21 +456,24 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
     rare_sums = sums.where("word is not null")
     names = [f"k{k}" for k in range(STATES)]
     rest = rare_sums.agg(*(F.sum(k) for k in names)).first()
-    whole = found.emit.sum(axis=0) + np.array([x or 0.0 for x in rest]) + WEIGHT
     total = float(n + SMOOTH * (v + 1))
-    emit = (found.emit + WEIGHT * ((class_counts[:first_rare] + SMOOTH) / total)[:, None]) / whole
+    said = found.emit.sum(axis=0) + np.array([x or 0.0 for x in rest])
+    least = SMOOTH * said / max(n, 1)
+    whole = said + (v + 1) * least + WEIGHT
+    emit = (found.emit + least + WEIGHT * ((class_counts[:first_rare] + SMOOTH) / total)[:, None]) / whole
     start, move = found.start + 0.1, found.move + 0.1
     model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
     known = class_counts[:first_rare] > 0
     base_log = np.log10((class_counts[:first_rare] + SMOOTH) / total)
     # Each document's rare words with their counts and emissions.
     share = F.lit(WEIGHT) * (F.col("c") + SMOOTH) / total
-    row = F.array(*(((F.coalesce(k, F.lit(0.0)) + share) / float(w)).cast("float") for k, w in zip(names, whole, strict=True)))
+    each = zip(names, least, whole, strict=True)
+    row = F.array(*(((F.coalesce(k, F.lit(0.0)) + float(a) + share) / float(w)).cast("float") for k, a, w in each))
     table = others.join(rare_sums, "word", "left").select("word", "c", row.alias("e"))
-    said = coded.select("row", F.posexplode("rare.word").alias("at", "word")).join(table, "word", "left")
-    told = said.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "e"))).alias("told"))
+    asked = coded.select("row", F.posexplode("rare.word").alias("at", "word")).join(table, "word", "left")
+    told = asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "e"))).alias("told"))
     scored = coded.select("row", "doc_id", "held_out", "codes").join(told, "row", "left").select("doc_id", "held_out", "codes", "told")
-    unseen = WEIGHT * SMOOTH / total / whole if n else np.ones(STATES)
+    unseen = (least + WEIGHT * SMOOTH / total) / whole
     done = scored.mapInArrow(
         _scorer(model, base_log, known, unseen, total),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
