@@ -24,6 +24,7 @@ as a whole if they have a window at all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,8 +138,9 @@ def _prints(run: int, span: int, line: int):
     return go
 
 
-def _windows(run: int):
-    """row, hash, spot of the windows of words within reach of the given places."""
+def _windows(run: int, span: int, frequent: np.ndarray):
+    """row, hash, spot of the windows of words within reach of the given places, and
+    whether they contain a frequent span."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +156,35 @@ def _windows(run: int):
                 at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
                 at = at[at + run <= w.before[w.text[at] + 1]]
                 rows = batch.column(0).slice(row, w.n).take(pa.array(w.text[at]))
-                yield pa.RecordBatch.from_arrays([rows, *w.hashed(at, at + run)], ["row", "hash", "spot"])
+                many = np.zeros(len(at), dtype=bool)
+                if len(frequent):
+                    upto = np.concatenate(([0], np.cumsum(np.isin(w.spans(span, BASES[0]), frequent))))
+                    many = upto[at + run - span + 1] > upto[at]
+                yield pa.RecordBatch.from_arrays([rows, *w.hashed(at, at + run), pa.array(many)], ["row", "hash", "spot", "many"])
+
+    return go
+
+
+def _later(run: int):
+    """row, at of all but the first of the equal windows, of row, hash, spot sorted by
+    hash, row, spot; of the first only its place is kept."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # hash, row and spot of the first window of the hash seen last
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, key, spot = (batch.column(i).to_numpy() for i in range(3))
+            new = np.r_[held is None or key[0] != held[0], key[1:] != key[:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            inside = first >= 0
+            first_row, first_spot = row[first], spot[first]
+            if held is not None:
+                first_row, first_spot = np.where(inside, first_row, held[1]), np.where(inside, first_spot, held[2])
+            held = key[-1], first_row[-1], first_spot[-1]
+            same = (spot ^ first_spot) & 0xFFFFFFFF == 0
+            again = ~new & same & ((row != first_row) | (spot >> 32 >= (first_spot >> 32) + run))
+            yield pa.RecordBatch.from_arrays([pa.array(row[again]), pa.array(spot[again] >> 32)], ["row", "at"])
 
     return go
 
@@ -229,30 +259,43 @@ def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE)
     keyed = write_table(prints.where("k1 <> 0").select("k1", "k2", "row", "words"))
     copies = write_table(repeated(keyed, ["k1", "k2"], F.col("row")).where(F.col("row") != F.col("first")).select("row", "words"))
     drop_table(keyed)
-    # The places of selected spans that occur more than once, and the windows round them.
+    at, other = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+
+    def later(rows: DataFrame) -> DataFrame:
+        """row, at, n of all but the first of the equal stretches row, hash, spot, n."""
+        found = repeated(rows, ["hash"], F.struct("row", "spot")).where(other("spot") == other("first.spot"))
+        found = found.where((F.col("row") != F.col("first.row")) | (at("spot") >= at("first.spot") + F.col("n")))
+        return found.select("row", at("spot").alias("at"), "n")
+
+    # Lines that occur more than once; the places of selected spans that do.
     originals = prints.join(copies, "row", "left_anti")
+    lines = write_table(originals.select("row", F.inline("lines")))
+    line_repeats = write_table(later(lines))
+    drop_table(lines)
     marks = write_table(originals.select("row", F.inline("marks")))
+    drop_table(prints)
     reach = F.struct((F.col("at") - (run - span)).alias("first"), F.col("at").alias("last"))
-    places = repeated(marks, ["hash"]).groupBy("row").agg(F.collect_list(reach).alias("places"))
-    windows = write_table(given.join(places, "row").select("row", "text", "places").mapInArrow(_windows(run), "row long, hash long, spot long"))
+    places = write_table(repeated(marks, ["hash"]).groupBy("row").agg(F.collect_list(reach).alias("places")))
+    # The windows round these places: all but the first occurrence of one repeat it. Spans
+    # that more than 1/HOT of all have (HOT at most) tell the windows that may be frequent.
+    many = max(1000, marks.count() // HOT + 1)
+    counts = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= many)
+    frequent = np.array([r["hash"] for r in counts.select("hash").collect()], dtype=np.int64).view(np.uint64)
     drop_table(marks)
-    lines = write_table(originals.select("row", F.inline("lines")))
-    drop_table(prints)
-    # All but the first occurrence of a window or line repeat it.
-    at, other = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
-    place = F.struct("row", "spot")
-
-    def later(rows: DataFrame, size) -> DataFrame:
-        found = repeated(rows, ["hash"], place).where(other("spot") == other("first.spot"))
-        found = found.where((F.col("row") != F.col("first.row")) | (at("spot") >= at("first.spot") + size))
-        return found.select("row", F.struct(at("spot").alias("at"), size.cast("long").alias("n")).alias("stretch"))
-
+    windows = given.join(places, "row").select("row", "text", "places")
+    windows = write_table(windows.mapInArrow(_windows(run, span, frequent), "row long, hash long, spot long, many boolean"))
+    drop_table(places)
+    ordered = windows.where("not many").select("row", "hash", "spot").repartition("hash").sortWithinPartitions("hash", "row", "spot")
+    few = write_table(ordered.mapInArrow(_later(run), "row long, at long"))
+    many_rows = write_table(windows.where("many").select("row", "hash", "spot", F.lit(run).alias("n")))
+    every = [line_repeats, few.select("row", "at", F.lit(run).alias("n")), later(many_rows)]
+    every = reduce(DataFrame.unionByName, every).select("row", F.struct("at", F.col("n").cast("long").alias("n")).alias("stretch"))
+    drop_table(windows)
     kind = "array<struct<a: bigint, b: bigint>>"
-    every = later(windows, F.lit(run)).unionByName(later(lines, F.col("n")))
     runs = every.groupBy("row").agg(F.collect_list("stretch").alias("stretches")).mapInArrow(_runs, f"row long, runs {kind}")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("words").alias("b")))
     runs = write_table(runs.unionByName(copies.select("row", whole.cast(kind).alias("runs"))))
-    for done in (windows, lines, copies):
+    for done in (line_repeats, few, many_rows, copies):
         drop_table(done)
     return runs
 

@@ -75,6 +75,14 @@ def test_matches_brute_force(spark, seed, run, span, line):
         assert sorted(seen, key=str) == sorted(items, key=str)
 
 
+def test_frequent_passages(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "max", lambda a, b: 3, raising=False)  # keys of three rows are frequent
+    rows = corpus(6, 90)
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 10, 5, 4).collect()
+    words, gone = brute(rows, 10, 4)
+    assert sorted((r.words, r.removed_words) for r in got) == sorted((len(w), len(g)) for w, g in zip(words, gone))
+
+
 def test_short_repeated_lines(spark):
     rule = "all rights to these words stay with them who wrote"
     rows = [(d, f"start {d}\n{rule}\nsome other words of {d}\n{'again and ' * 2}", "s") for d in range(5)]
