@@ -3,7 +3,11 @@
 Method: multi-resolution segment statistics. With the means m and deviations s of the
 segments of two vectors (length L), the inner product is at most the sum over segments
 of L (m m' + s s'). The bound is taken coarse to fine; candidates whose bound lies under
-the k-th best score found so far are dropped, and only the rest are compared exactly.
+the k-th best score found so far are dropped, each level looks only at what the one before
+left, and only the rest are compared exactly: pair by pair where few are left, and where
+more than DENSE of a chunk are, by one product of it, of which the others' results are
+thrown away. On vectors without structure (white noise), whose means and deviations say
+little, the bounds leave most pairs at every level but the finest.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ from . import vectors
 #: Segments at each resolution.
 LEVELS = (4, 16, 32)
 #: Queries bounded together.
-CHUNK = 256
+CHUNK = 128
+#: Share of survivors from which pairs are bounded or compared as a product of matrices.
+DENSE = 0.1
 
 
 def _summary(x: np.ndarray, segments: int) -> np.ndarray:
@@ -31,8 +37,8 @@ def _summary(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean, deviation]) * np.sqrt(np.hstack([size, size]))
 
 
-def _exact(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
-    out = np.empty(len(qi), dtype=np.int64)
+def _pairwise(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+    out = np.empty(len(qi), dtype=q.dtype)
     for at in range(0, len(qi), 100_000):
         s = slice(at, at + 100_000)
         out[s] = np.einsum("ij,ij->i", q[qi[s]], c[ci[s]])
@@ -55,29 +61,38 @@ def block_search(q, q_rows, c, c_ids, c_rows, k: int, counts: dict | None = None
         likely = means_q[part] @ means_c.T
         likely[own] = -np.inf
         first = np.argpartition(-likely, seeds - 1, axis=1)[:, :seeds]
-        score = _exact(q, c, np.repeat(np.arange(at, at + len(first)), seeds), first.ravel()).reshape(first.shape)
+        score = _pairwise(q, c, np.repeat(np.arange(at, at + len(first)), seeds), first.ravel()).reshape(first.shape)
         score = np.where(np.take_along_axis(own, first, 1), np.iinfo(np.int64).min, score)
         floor = np.sort(score, axis=1)[:, -k] if seeds >= k else np.full(len(first), np.iinfo(np.int64).min)
         bound = sums_q[0][part] @ sums_c[0].T
         alive = (bound >= floor[:, None] - slack) & ~own
         for level in range(1, len(LEVELS)):
-            cols = np.flatnonzero(alive.any(axis=0))
-            finer = sums_q[level][part] @ sums_c[level][cols].T
-            alive[:, cols] &= finer >= floor[:, None] - slack
+            if alive.mean() < DENSE:
+                qi, ci = np.nonzero(alive)
+                finer = _pairwise(sums_q[level][part], sums_c[level], qi, ci)
+                alive[qi, ci] = finer >= floor[qi] - slack
+            else:
+                cols = np.flatnonzero(alive.any(axis=0))
+                finer = sums_q[level][part] @ sums_c[level][cols].T
+                alive[:, cols] &= finer >= floor[:, None] - slack
         if counts is not None:
             counts["exact"] = counts.get("exact", 0) + int(alive.sum())
             counts["pairs"] = counts.get("pairs", 0) + alive.size
-        cols = np.flatnonzero(alive.any(axis=0))
-        if not len(cols):
+        if not alive.any():
             continue
-        exact = (qf[part] @ cf[cols].T).astype(np.int64) if whole else q[part] @ c[cols].T
-        alive = alive[:, cols]
-        if len(cols) > k:
-            least = np.partition(np.where(alive, exact, np.iinfo(np.int64).min), -k, axis=1)[:, -k]
-            alive = alive & (exact >= least[:, None])
-        qi, ci = np.nonzero(alive)
-        score = exact[qi, ci]
-        qi, ci = qi + at, cols[ci]
+        if alive.mean() < DENSE:
+            qi, ci = np.nonzero(alive)
+            score = _pairwise(q, c, qi + at, ci)
+        else:
+            cols = np.flatnonzero(alive.any(axis=0))
+            exact = (qf[part] @ cf[cols].T).astype(np.int64) if whole else q[part] @ c[cols].T
+            alive = alive[:, cols]
+            if len(cols) > k:
+                least = np.partition(np.where(alive, exact, np.iinfo(np.int64).min), -k, axis=1)[:, -k]
+                alive = alive & (exact >= least[:, None])
+            qi, ci = np.nonzero(alive)
+            score, ci = exact[qi, ci], cols[ci]
+        qi = qi + at
         kept = vectors.best(qi, ci, score, c_ids, k)
         found.append((qi[kept], ci[kept], score[kept]))
     if not found:
@@ -91,8 +106,8 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> Da
     Components become floor(scale * x). Queries are the rows whose vec_id is divisible
     by `every`; candidates are all rows but the query's own, so a repeated vec_id is a
     query, and a candidate, once for each row. Ties go to the smaller vec_id. Rows that
-    vectors.usable() drops take no part; an empty table gives no rows; further columns
-    are ignored. |floor(scale * x)| must stay below 2**28 for scores to fit a long.
+    vectors.usable() drops take no part, and a query meets the candidates of its own
+    length; an empty table gives no rows; further columns are ignored. |floor(scale * x)| must stay below 2**28 for scores to fit a long.
     """
     rows = vectors.usable(table).withColumn("v", F.transform("v", lambda x: F.floor(x * scale)))
     search = lambda q, qr, c, ids, cr: block_search(q, qr, c, ids, cr, k)

@@ -1,10 +1,4 @@
-"""What both vector searches share: usable rows, and queries against rows in blocks.
-
-Every query row meets every candidate row exactly once, in a group of at most about
-QUERY_ROWS x CANDIDATE_ROWS; rows are dealt to blocks by a hash of their place, so no
-value of any column can make a block larger than the others. A group returns k rows a
-query, which a window merges.
-"""
+"""What both vector searches share: usable rows, queries against rows in blocks, ranking."""
 
 from __future__ import annotations
 
@@ -18,15 +12,17 @@ from pyspark.sql import functions as F
 
 from .common import write_table
 
-QUERY_ROWS = 4096
-CANDIDATE_ROWS = 8192
+#: Rows of a block of queries, and of candidates, at most.
+BLOCK_ROWS = 32_768
+#: Candidates that are worth a block of their own where cores are free.
+LEAST_ROWS = 1024
 
 
 def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
-    """row, vec_id, v (array of double) of the rows that take part, written once.
+    """row, vec_id, dim, v (array of double) of the rows that take part, written once.
 
-    Rows with a null vec_id, a null vector, null or non-finite components, or another
-    length than most vectors take no part; nor do zero vectors if nonzero.
+    Rows with a null vec_id, a null vector, null or non-finite components take no part;
+    nor do zero vectors if nonzero.
     """
     v = F.col("embedding").cast("array<double>")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -34,30 +30,35 @@ def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
     rows = rows.where(F.forall("v", fine))
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    rows = write_table(rows.withColumn("row", F.monotonically_increasing_id()))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).head(1)
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    return write_table(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("dim"), "v"))
 
 
-def matrix(table: pa.Table, name: str) -> np.ndarray:
-    column = table.column(name).combine_chunks()
+def matrix(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    column = table.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
-def search(rows: DataFrame, is_query: Column, k: int, score_type: str, block: Callable) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query's candidates the k best.
+def in_blocks(queries: DataFrame, rows: DataFrame, k: int, score_type: str, block: Callable) -> DataFrame:
+    """q_row, query_id, vec_id, c_row, score: of each query the k best of all rows of its
+    length, and some more.
 
-    block(queries, query_rows, candidates, candidate_ids, candidate_rows) returns query
-    numbers, candidate numbers and scores of at least the k best candidates a query,
-    ties to the smaller vec_id, itself (the same row) left out.
+    Every query meets every such row exactly once, in a group of at most about BLOCK_ROWS
+    x BLOCK_ROWS; rows are dealt to blocks by a hash of their place, so no value of any
+    column can make a block larger than the others. block(queries, query_rows, candidates,
+    candidate_ids, candidate_rows) returns query numbers, candidate numbers and scores of
+    at least the k best candidates a query, ties to the smaller vec_id, itself (the same
+    row) left out.
     """
-    n, m = rows.count(), rows.where(is_query).count()
-    q_blocks, c_blocks = max(1, math.ceil(m / QUERY_ROWS)), max(1, math.ceil(n / CANDIDATE_ROWS))
+    n, m = rows.count(), queries.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, math.ceil(m / BLOCK_ROWS))
+    c_blocks = max(1, math.ceil(n / BLOCK_ROWS), min(cores, n // LEAST_ROWS))
     deal = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.where(is_query).select(deal(q_blocks).alias("q"), spread(c_blocks).alias("c"), "row", "vec_id", "v")
+    left = queries.select("dim", deal(q_blocks).alias("q"), spread(c_blocks).alias("c"), "row", "vec_id", "v")
     renamed = [F.col(name).alias(f"c_{name}") for name in ("row", "vec_id", "v")]
-    candidates = rows.select(deal(c_blocks).alias("c"), spread(q_blocks).alias("q"), *renamed)
+    right = rows.select("dim", deal(c_blocks).alias("c"), spread(q_blocks).alias("q"), *renamed)
 
     kind = pa.int64() if score_type == "long" else pa.float64()
     fields = [*((n, pa.int64()) for n in ("q_row", "query_id", "vec_id", "c_row")), ("score", kind)]
@@ -71,14 +72,21 @@ def search(rows: DataFrame, is_query: Column, k: int, score_type: str, block: Ca
         values = q_rows[qi], ids(left, "vec_id")[qi], c_ids[ci], c_rows[ci], score
         return pa.table([pa.array(v, t) for v, (_, t) in zip(values, fields, strict=True)], schema=pa.schema(fields))
 
-    found = (
-        queries.groupBy("q", "c")
-        .cogroup(candidates.groupBy("q", "c"))
-        .applyInArrow(run, f"q_row long, query_id long, vec_id long, c_row long, score {score_type}")
-    )
+    key = ["dim", "q", "c"]
+    schema = f"q_row long, query_id long, vec_id long, c_row long, score {score_type}"
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query's candidates the k best."""
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "c_row")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def search(rows: DataFrame, is_query: Column, k: int, score_type: str, block: Callable) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query's candidates the k best."""
+    return ranked(in_blocks(rows.where(is_query), rows, k, score_type, block), k)
 
 
 def best(qi: np.ndarray, ci: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -37,8 +37,7 @@ def test_top_k_matches_brute_force(spark):
 def test_top_k_blocks(spark, monkeypatch):
     from cladeforge.llm import vectors
 
-    monkeypatch.setattr(vectors, "QUERY_ROWS", 16)
-    monkeypatch.setattr(vectors, "CANDIDATE_ROWS", 200)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
     rows, df = table(spark)
     dot = lambda v, w: sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w))
     assert sorted(map(tuple, topk.top_k(df, 7).collect())) == brute(rows, 20, 7, dot, lambda v: True)
@@ -69,6 +68,63 @@ def test_nearest_recall_and_scores(spark):
         assert min(abs(r.score - cos(a, b)) for a in vec[r.query_id] for b in vec[r.vec_id]) < 1e-12
 
 
+def test_forest_reads_a_small_part_of_the_table(spark):
+    """On white noise, the hardest case, of the 0.1 tables."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], dtype=np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, len(x), 50)
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    want = {(int(q), int(c)) for q, row in zip(asked, near) for c in np.argsort(-row)[:5]}
+    reads = []
+    real = ann.Forest.candidates
+
+    def counted(self, queries):
+        ask = self.reach(queries.drop("length")).join(queries.select("kind", "length"), ["kind", "length"])
+        reads.append(ask.groupBy().sum("n").first()[0])
+        return real(self, queries)
+
+    ann.Forest.candidates = counted
+    try:
+        got = {(r.query_id, r.vec_id) for r in ann.nearest(df).collect()}
+    finally:
+        ann.Forest.candidates = real
+    assert len(got & want) >= 0.9 * len(want)
+    assert reads[0] < 0.45 * len(asked) * len(x)  # over all trees, repeated ones counted each time
+
+
+def test_forest_reads_little_of_vectors_with_structure(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(100, 48))
+    x = (np.repeat(centres, 30, axis=0) + 0.1 * rng.normal(size=(3000, 48))).round(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, len(x), 50)
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    want = {(int(q), int(c)) for q, row in zip(asked, near) for c in np.argsort(-row)[:5]}
+    rows = ann.vectors.usable(df, nonzero=True)
+    forest = ann.Forest(rows, 5)
+    queries = forest.coded.join(rows.where("vec_id % 50 = 0").select(ann.F.col("row").alias("kind")), "kind")
+    reach = forest.reach(queries)
+    enough = forest.budget(queries, reach, ann.TARGET)
+    lengths = reach.where(ann.F.col("n") >= enough).groupBy("kind").agg(ann.F.max("length").alias("length"))
+    read = reach.join(lengths, ["kind", "length"]).groupBy().sum("n").first()[0]
+    assert read < 0.2 * len(asked) * len(x)
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_ties_and_copies(spark):
+    rows = [(i, [1.0, 0.5, 0.25]) for i in range(300)] + [(300, [-1.0, 0.0, 0.0]), (301, [0.0, 0.0, 0.0]), (302, [2.0, 1.0, 0.5])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert by[0] == [1, 2, 3, 4, 5] and by[50] == [0, 1, 2, 3, 4] and by[300] == [0, 1, 2, 3, 4]
+
+
 def test_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (50, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in ann.nearest(df).orderBy("query_id").collect()] == [(0, 1, 50), (50, 1, 0)]
