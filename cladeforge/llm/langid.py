@@ -1,38 +1,35 @@
 """Language identification.
 
 Method: a bidirectional gated recurrent network over bytes, trained here in numpy by
-backpropagation through time. It runs over the bytes of each word (with a space before
-and after), gives every position label probabilities, and a document's are the mean over
-the positions of its words. As the state begins anew at each word, a worker keeps the
-sums of the words it has met.
+backpropagation through time. It runs over all bytes of a text, its states carried from
+the first to the last and back, gives every position label probabilities, and a document's
+are the mean over its positions. Texts run side by side, longest first; the backward states
+of a text longer than BLOCK are kept at the ends of stretches only and made again.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hmm import held_out
 
-HIDDEN = 16
+HIDDEN = 12
 EMBED = 12
-#: Training documents of each language, at most, and the words of theirs that are learned.
-DOCS_A_LABEL = 600
-WORDS_A_LABEL = 20_000
-STEPS, BATCH, RATE = 500, 512, 0.01
+#: Distinct training texts of each language, at most, and the excerpts of each that are
+#: learned: how many, and their characters.
+DOCS_A_LABEL, EXCERPTS, EXCERPT = 600, 4, 64
+STEPS, BATCH, RATE = 400, 128, 0.01
 SEED = 5
-#: Words a worker remembers, and bytes of a word that one pass takes (longer ones are cut
-#: into passes of which each begins anew).
-MEMO_WORDS = 400_000
-PASS = 32
+#: Positions that run side by side at once, steps whose outputs are taken together, and
+#: bytes of texts that are sorted by length together.
+BLOCK, STRIDE, SORTED = 1_000_000, 64, 1 << 24
 UNKNOWN = "und"
 
 
@@ -127,23 +124,18 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.arange(len(data))[:, None] < sizes[None, :]
 
 
-def train(counts: dict[str, Counter], seed: int = SEED) -> Network:
-    """Adam over batches of words drawn by language and then by their root frequency."""
-    net = Network(sorted(counts), seed)
+def train(excerpts: dict[str, list[bytes]], seed: int = SEED) -> Network:
+    """Adam over batches of excerpts, as many of each language."""
+    net = Network(sorted(excerpts), seed)
     rng = np.random.default_rng(seed)
-    pools = []
-    for name in net.labels:
-        words = [w[:PASS] for w in counts[name]]
-        weight = np.sqrt(np.array(list(counts[name].values()), dtype=float))
-        pools.append((words, weight / weight.sum()))
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    each = max(1, BATCH // len(pools))
+    each = max(1, BATCH // len(net.labels))
     for step in range(1, STEPS + 1):
-        words, label = [], []
-        for i, (pool, weight) in enumerate(pools):
-            words += [pool[j] for j in rng.choice(len(pool), size=each, p=weight)]
+        some, label = [], []
+        for i, name in enumerate(net.labels):
+            some += [excerpts[name][j] for j in rng.integers(0, len(excerpts[name]), size=each)]
             label += [i] * each
-        _, grads = net.gradients(*padded(words), np.array(label))
+        _, grads = net.gradients(*padded(some), np.array(label))
         rate = RATE * min(1.0, 2 - 2 * step / (STEPS + 1))
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -153,69 +145,92 @@ def train(counts: dict[str, Counter], seed: int = SEED) -> Network:
 
 
 class Labeller:
-    """Pools the position probabilities of texts; keeps the sums of the words met."""
+    """Pools the position probabilities of whole texts."""
 
     def __init__(self, net: Network):
-        self.net = net
-        self.memo: dict[bytes, int] = {}
-        self.sums = np.zeros((0, len(net.labels)))
-        self.places = np.zeros(0)
-
-    def _learn(self, words: list[bytes]) -> None:
-        at = len(self.memo)
-        self.memo.update(zip(words, range(at, at + len(words)), strict=True))
-        pieces = [(i, w[a : a + PASS]) for i, w in enumerate(words) for a in range(0, len(w), PASS)]
-        pieces.sort(key=lambda x: len(x[1]))
-        sums, places = np.zeros((len(words), len(self.net.labels))), np.zeros(len(words))
-        for k in range(0, len(pieces), 2048):
-            some = pieces[k : k + 2048]
-            data, mask = padded([x for _, x in some])
-            prob, _ = self.net.forward(data, mask)
-            word = [i for i, _ in some]
-            np.add.at(sums, word, np.einsum("tbl,tb->bl", prob, mask.astype(np.float32)))
-            np.add.at(places, word, mask.sum(axis=0))
-        if at + len(words) > len(self.sums):
-            grown = max(2 * len(self.sums), at + len(words))
-            self.sums = np.concatenate([self.sums, np.zeros((grown - len(self.sums), sums.shape[1]))])
-            self.places = np.concatenate([self.places, np.zeros(grown - len(self.places))])
-        self.sums[at : at + len(words)], self.places[at : at + len(words)] = sums, places
+        self.labels, self.bias = len(net.labels), net.p["bias"]
+        self.out = {"f": net.p["out"][:HIDDEN], "b": net.p["out"][HIDDEN:]}
+        # What a byte gives to the gates; these go through tanh, of which a sigmoid is a half.
+        half = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)
+        self.given = {s: ((net.p["embed"] @ net.p[f"{s}_in"] + net.p[f"{s}_b"]) * half).astype(np.float32) for s in "fb"}
+        self.again = {s: (net.p[f"{s}_re"] * half).astype(np.float32) for s in "fb"}
+
+    def _step(self, side: str, h: np.ndarray, data: np.ndarray) -> None:
+        """One byte further: h (texts x HIDDEN) is changed in place."""
+        g, a = self.given[side][data], h @ self.again[side]
+        gates = g[:, : 2 * HIDDEN]
+        gates += a[:, : 2 * HIDDEN]
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        new = a[:, 2 * HIDDEN :] * 1  # the reset gate was not halved for it
+        new *= gates[:, HIDDEN:]
+        new += g[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        h -= new
+        h *= gates[:, :HIDDEN]
+        h += new
+
+    def _side_by_side(self, data: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Sums of the label probabilities over the positions of each text; data is (time,
+        text), longest first, live how many texts have each step."""
+        steps, width = data.shape
+        size = max(1, BLOCK // width)
+        starts = list(range(0, steps, size))
+        back = {}  # backward states after each stretch
+        h = np.zeros((width, HIDDEN), dtype=np.float32)
+        for at in starts[:0:-1]:
+            back[at + size] = h.copy()
+            for t in range(min(at + size, steps) - 1, at - 1, -1):
+                self._step("b", h[: live[t]], data[t, : live[t]])
+        back[starts[0] + size] = h
+        total = np.zeros((width, self.labels))
+        f = np.zeros((width, HIDDEN), dtype=np.float32)
+        for at in starts:
+            end = min(at + size, steps)
+            b = back.pop(at + size)
+            states = np.zeros((end - at, live[at], HIDDEN), dtype=np.float32)
+            for t in range(end - 1, at - 1, -1):
+                self._step("b", b[: live[t]], data[t, : live[t]])
+                states[t - at, : live[t]] = b[: live[t]]
+            for t0 in range(at, end, STRIDE):
+                t1, n = min(t0 + STRIDE, end), live[t0]
+                ahead = np.zeros((t1 - t0, n, HIDDEN), dtype=np.float32)
+                for t in range(t0, t1):
+                    self._step("f", f[: live[t]], data[t, : live[t]])
+                    ahead[t - t0, : live[t]] = f[: live[t]]
+                logit = ahead @ self.out["f"] + states[t0 - at : t1 - at, :n] @ self.out["b"] + self.bias
+                np.exp(logit - logit.max(axis=2, keepdims=True), out=logit)
+                logit /= logit.sum(axis=2, keepdims=True)
+                logit *= (np.arange(n)[None, :] < live[t0:t1, None])[:, :, None]
+                total[:n] += logit.sum(axis=0)
+        return total
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
-        """Mean label probabilities over the positions of each text, none of them blank."""
-        split = [t.split() for t in texts]
-        missing = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-            missing = set().union(*split)
-        if missing:
-            self._learn(sorted(missing))
-        place = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), dtype=np.int64)
-        starts = np.concatenate(([0], np.cumsum([len(w) for w in split])[:-1]))
-        total = np.add.reduceat(self.sums[place], starts)
-        return total / np.add.reduceat(self.places[place], starts)[:, None]
+        """Mean label probabilities over the positions of each text, none of them empty."""
+        lengths = np.array([len(t) for t in texts])
+        order = np.argsort(-lengths, kind="stable")
+        out = np.zeros((len(texts), self.labels))
+        at = 0
+        while at < len(order):
+            longest = lengths[order[at]]
+            some = order[at : at + max(1, BLOCK // longest)]
+            at += len(some)
+            data = np.zeros((longest, len(some)), dtype=np.uint8)
+            for column, i in enumerate(some):
+                data[: lengths[i], column] = np.frombuffer(texts[i], dtype=np.uint8)
+            live = np.searchsorted(-lengths[some], -np.arange(1, longest + 1), side="right")
+            out[some] = self._side_by_side(data, live)
+        return out / lengths[:, None]
 
 
 LETTER = regex.compile(r"\p{L}")
-#: Texts pooled together.
-TEXTS = 200
-
-_labellers: dict[str, Labeller] = {}
-
-
-def _labeller(key: str, net: Network) -> Labeller:
-    """One for each worker and network, whichever tasks it runs."""
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = Labeller(net)
-    return _labellers[key]
 
 
 def _predictor(net: Network):
-    key = uuid.uuid4().hex
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = _labeller(key, net)
-        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+        labeller = Labeller(net) if net.labels else None
+        for batch in (part for b in batches for part in _by_bytes(b)):
             texts = batch.column(2).to_pylist()
             plain = [i for i, t in enumerate(texts) if net.labels and t and LETTER.search(t)]
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -229,23 +244,29 @@ def _predictor(net: Network):
     return run
 
 
-def sample_words(rows: DataFrame) -> dict[str, Counter]:
-    """Words of a bounded sample of rows text, lang, chosen by a hash of the text."""
-    sizes = rows.groupBy("lang").count().collect()
-    picked = F.lit(False)
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    for r in sizes:
-        share = min(1.0, DOCS_A_LABEL / r["count"])
-        picked = picked | ((F.col("lang") == r["lang"]) & (hashed < int(share * (1 << 20)) + 1))
-    found: dict[str, Counter] = {}
-    words = rows.where(picked).select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    ranked = words.groupBy("lang", "word").count()
-    for r in sizes:
-        top = ranked.where(F.col("lang") == r["lang"]).orderBy(F.desc("count"), "word").limit(WORDS_A_LABEL)
-        some = Counter({x["word"].encode(): x["count"] for x in top.collect()})
-        if some:
-            found[r["lang"]] = some
-    return found
+def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about SORTED bytes."""
+    size = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SORTED, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def sampled(rows: DataFrame) -> dict[str, list[bytes]]:
+    """Excerpts by language of the rows text, lang: of at most DOCS_A_LABEL distinct texts
+    of each, those of the smallest hashes, EXCERPTS pieces at hashed places."""
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = hashed.select("lang", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_A_LABEL)
+    place = lambda i: F.pmod(F.xxhash64("h", i), F.greatest(F.length("text") - EXCERPT, F.lit(1))).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(1), F.lit(EXCERPTS)), lambda i: F.substring("text", place(i), F.lit(EXCERPT)))
+    once = hashed.join(chosen, ["lang", "h"]).select("lang", "h", pieces.alias("pieces")).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
+    found: dict[str, list[bytes]] = {}
+    for r in once.orderBy("lang", "h").collect():  # DOCS_A_LABEL rows a language
+        found.setdefault(r["lang"], []).extend(p.encode() for p in r["pieces"] if p)
+    return {lang: some for lang, some in found.items() if some}
 
 
 def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
@@ -253,14 +274,15 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame
 
     Learns from text and lang of the rows that are not held out (those with a null doc_id
     are not) and have both. Null texts and texts without a letter are `und` with score 0,
-    as are all where there is nothing to learn from. Repeated rows are repeated; an empty
-    table gives no rows; further columns are ignored.
+    as are all where there is nothing to learn from. Repeated rows are repeated and learned
+    once; a text of any length is read whole; an empty table gives no rows; further columns
+    are ignored.
     """
     given = docs.select(
         "doc_id", held_out(modulus, remainder).alias("held_out"), F.col("text").cast("string").alias("text"), "lang"
     )
-    counts = sample_words(given.where("not held_out and lang is not null and text is not null").select("text", "lang"))
-    net = train(counts) if counts else Network([])
+    excerpts = sampled(given.where("not held_out and lang is not null and text is not null").select("text", "lang"))
+    net = train(excerpts) if excerpts else Network([])
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return given.select("doc_id", "held_out", "text").mapInArrow(
         _predictor(net), f"doc_id {id_type}, held_out boolean, lang_pred string, score double"

@@ -171,7 +171,7 @@ def discovered(base: DataFrame, docs: DataFrame) -> DataFrame:
     lone = needed.select("word").distinct()
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     said = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"[\p{L}_][\p{L}\p{N}_]*+"), F.lit(0))).alias("word"))
-    counts = said.join(lone, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("times"))
+    counts = said.groupBy("word").agg(F.count(F.lit(1)).alias("times")).join(lone, "word", "left_semi")
     rarest = needed.join(counts, "word").groupBy("pattern", "n").agg(F.min("times").alias("times"))
     special = write_table(rarest.where(F.col("n") >= SPECIFIC * F.col("times")).select("pattern"))
     graph = write_table(edges.join(special, "pattern").select("pattern", "value", "seed"))

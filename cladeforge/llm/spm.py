@@ -6,8 +6,10 @@ if it is compatible with the last piece before its start, that is, if merging wo
 leave the two apart; of all pieces that end there just one is, so the surviving path is
 that of merging by rank. Only the boundaries of the last `longest` characters are kept;
 once the paths of all of them pass through one boundary, the pieces before it are
-committed. Where no piece can span a boundary (before white space, at characters that
-fall back to bytes) that is at once, and the ids between such boundaries are remembered.
+committed. All text goes this way, a stretch of characters at a time. As no piece spans
+the boundary before white space (nor a line break that falls back to bytes), the paths
+always meet there; the ids that a worker has committed between two such boundaries are
+remembered and given out again.
 """
 
 from __future__ import annotations
@@ -135,12 +137,12 @@ class Pieces:
                 break
             last.append(chosen)
 
-    def stream(self, characters: Iterable[str]) -> Iterator[int]:
-        """Ids of a sequence of characters, given out as soon as they are certain."""
+    def stream(self, stretches: Iterable[str]) -> Iterator[int]:
+        """Ids of a text given in stretches of any length, given out as soon as they are certain."""
         window, last = "", [-1]  # the characters since the last committed boundary
-        for c in characters:
-            window += c
-            self._advance(window, last, len(window))
+        for stretch in stretches:
+            window += stretch
+            self._advance(window, last, len(last))
             if len(window) >= 2 * self.longest and (meet := self._meeting(last)):
                 yield from self._ids(window, last, meet)
                 window, last = window[meet:], last[meet:]
@@ -172,12 +174,8 @@ class Pieces:
         return out[::-1]
 
     def _packed(self, text: str) -> bytes:
-        if len(text) <= 4 * self.longest:
-            last = [-1]
-            self._advance(text, last, 1)
-            ids = self._ids(text, last, len(text))
-        else:
-            ids = list(self.stream(text))
+        step = 2 * self.longest
+        ids = list(self.stream(text[at : at + step] for at in range(0, len(text), step)))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: list[list[str]], memo: dict[str, bytes], prefix: str) -> None:

@@ -1,6 +1,5 @@
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 
@@ -67,9 +66,39 @@ def test_nothing_to_learn(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
-def test_sample_is_by_language(spark):
-    df = spark.createDataFrame([(t, x) for _, t, x in corpus(30)], "text string, lang string")
-    words = langid.sample_words(df)
-    assert sorted(words) == ["de", "en", "fr"]
-    want = Counter(w for _, t, x in corpus(30) if x == "fr" for w in t.encode().split())
-    assert words["fr"] == want
+def brute(net, text):
+    """Mean probabilities over the positions, byte by byte."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p, n = {k: v.astype(np.float64) for k, v in net.p.items()}, langid.HIDDEN
+
+    def states(side, data):
+        h, out = np.zeros(n), []
+        for byte in data:
+            g, a = p["embed"][byte] @ p[f"{side}_in"] + p[f"{side}_b"], h @ p[f"{side}_re"]
+            update, reset = sigmoid(g[:n] + a[:n]), sigmoid(g[n : 2 * n] + a[n : 2 * n])
+            h = update * h + (1 - update) * np.tanh(g[2 * n :] + reset * a[2 * n :])
+            out.append(h)
+        return np.array(out)
+
+    logit = np.hstack([states("f", text), states("b", text[::-1])[::-1]]) @ p["out"] + p["bias"]
+    e = np.exp(logit)
+    return (e / e.sum(axis=1, keepdims=True)).mean(axis=0)
+
+
+def test_pool_matches_brute_force(monkeypatch):
+    net = langid.Network(["x", "y", "z"], seed=3)
+    rng = random.Random(2)
+    texts = [bytes(rng.randrange(256) for _ in range(k)) for k in (1, 40, 500, 3, 130)]
+    for block in (1_000_000, 150):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert np.allclose(langid.Labeller(net).pool(texts), [brute(net, t) for t in texts], atol=1e-5)
+
+
+def test_sample_takes_distinct_texts_of_each_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_A_LABEL", 5)
+    rows = [(t, x) for _, t, x in corpus(30)] + [("eau que " * 30, "fr")] * 50 + [("only", "xx")] * 40
+    got = langid.sampled(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(got) == ["de", "en", "fr", "xx"] and set(got["xx"]) == {b"only"}
+    assert all(len(v) <= 5 * langid.EXCERPTS and len(x) <= 4 * langid.EXCERPT for v in got.values() for x in v)
+    texts = [t.encode() for t, x in rows if x == "fr"]
+    assert all(any(x in t for t in texts) for x in got["fr"])
