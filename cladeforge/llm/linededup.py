@@ -282,7 +282,8 @@ def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE)
     counts = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= many)
     frequent = np.array([r["hash"] for r in counts.select("hash").collect()], dtype=np.int64).view(np.uint64)
     drop_table(marks)
-    windows = given.join(places, "row").select("row", "text", "places")
+    # The same plan at every size: what joins the texts grows with them.
+    windows = given.join(places.hint("merge"), "row").select("row", "text", "places")
     windows = write_table(windows.mapInArrow(_windows(run, span, frequent), "row long, hash long, spot long, many boolean"))
     drop_table(places)
     ordered = windows.where("not many").select("row", "hash", "spot").repartition("hash").sortWithinPartitions("hash", "row", "spot")
@@ -310,7 +311,7 @@ def _deduped(docs: DataFrame, run: int, span: int, line: int) -> tuple[DataFrame
     found = repeats(held.select(F.col(row).alias("row"), "text"), run, span, line).toDF(row, runs)
     others = [c for c in names if c != "text"]
     number = F.lit(0).cast("long").alias(size)
-    joined = held.join(found, row, "left").select(F.col("text").cast("string").alias("text"), runs, number, *others)
+    joined = held.join(found.hint("merge"), row, "left").select(F.col("text").cast("string").alias("text"), runs, number, *others)
     return joined.mapInArrow(_remover, joined.schema), runs, size
 
 
