@@ -9,23 +9,29 @@ from cladeforge.functions import lineage as L
 from cladeforge.functions.consensus import consensus, most_common
 from cladeforge.functions.sequence import to_dna
 from cladeforge.operators import align
+from cladeforge.operators.rounds import cut
 from cladeforge.schema import SEVEN_RANKS, check_choice, check_range, handles
 
 
-def clusters(sequences: DataFrame, derep_prefix: bool = False, perc_identity: float = 1.0, min_length: int = 32) -> DataFrame:
-    """id, centroid of every sequence of min_length or more.
+def _order(sequences: DataFrame) -> str:
+    return "ord" if "ord" in sequences.columns else "id"
 
-    Sequences are compared without case, T and U alike. A cluster's centroid is its first
-    record in the order of the column ord (of id, where there is none). derep_prefix puts
-    sequences with their longer extensions, the shortest of them (then the most abundant,
-    then the first). Below an identity of 1 the centroids are clustered in turn.
+
+def _members(sequences: DataFrame, derep_prefix: bool, perc_identity: float, min_length: int) -> DataFrame:
+    """id, ord, centroid of every sequence of min_length or more; see clusters().
+
+    Equal sequences meet by a 256-bit digest, so the letters stay where they are; only
+    for prefixes and similarity are those of the centroids joined.
     """
-    order = "ord" if "ord" in sequences.columns else "id"
     key = F.upper(to_dna(F.col("seq")))
-    rows = sequences.select("id", F.col(order).alias("ord"), key.alias("key")).where(F.length("key") >= min_length)
-    kinds = rows.groupBy("key").agg(F.min(F.struct("ord", "id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    kinds = kinds.select("key", F.col("first.id").alias("centroid"), F.col("first.ord").alias("ord"), "n")
-    out = rows.join(kinds.select("key", "centroid"), "key").select("id", "centroid")
+    keys = sequences.select("id", F.col(_order(sequences)).alias("ord"), key.alias("key")).where(F.length("key") >= min_length)
+    rows = keys.select("id", "ord", F.unhex(F.sha2("key", 256)).alias("digest"))
+    kinds = rows.groupBy("digest").agg(F.min(F.struct("ord", "id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    kinds = kinds.select("digest", F.col("first.id").alias("centroid"), F.col("first.ord").alias("ord"), "n")
+    out = rows.join(kinds.select("digest", "centroid"), "digest").select("id", "ord", "centroid")
+    if not derep_prefix and perc_identity >= 1:
+        return out
+    kinds = kinds.select("centroid", "ord", "n").join(keys.select(F.col("id").alias("centroid"), "key"), "centroid")
     if derep_prefix:
         moves = _prefix_map(kinds, max(1, min_length))
         out = _recentred(out, moves)
@@ -35,9 +41,20 @@ def clusters(sequences: DataFrame, derep_prefix: bool = False, perc_identity: fl
     return out
 
 
+def clusters(sequences: DataFrame, derep_prefix: bool = False, perc_identity: float = 1.0, min_length: int = 32) -> DataFrame:
+    """id, centroid of every sequence of min_length or more; ids are distinct.
+
+    Sequences are compared without case, T and U alike. A cluster's centroid is its first
+    record in the order of the column ord (of id, where there is none). derep_prefix puts
+    sequences with their longer extensions, the shortest of them (then the most abundant,
+    then the first). Below an identity of 1 the centroids are clustered in turn.
+    """
+    return _members(sequences, derep_prefix, perc_identity, min_length).select("id", "centroid")
+
+
 def _recentred(members: DataFrame, moves: DataFrame) -> DataFrame:
     """members with centroids replaced by the target of moves (centroid, target)."""
-    return members.join(moves, "centroid", "left").select("id", F.coalesce("target", "centroid").alias("centroid"))
+    return members.join(moves, "centroid", "left").select("id", "ord", F.coalesce("target", "centroid").alias("centroid"))
 
 
 def _prefix_map(kinds: DataFrame, stem: int) -> DataFrame:
@@ -45,16 +62,21 @@ def _prefix_map(kinds: DataFrame, stem: int) -> DataFrame:
 
     A sequence offers the hash of its prefix at each shorter length that occurs among
     those with the same first letters, and meets the sequences of that hash and length;
-    the letters are compared then. So the work follows the lengths in a stem's group, not
-    its pairs. Only sequences that nothing extends are targets.
+    the letters are joined and compared then. So the work follows the lengths in a stem's
+    group, not its pairs, and no letters travel with an offer. Only sequences that nothing extends are targets.
     """
     start = F.xxhash64(F.substring("key", 1, stem)).alias("stem")
-    spread = kinds.select(start, "centroid", "ord", "n", "key", F.length("key").alias("size"))
+    spread = cut(kinds.select(start, "centroid", "ord", "n", "key", F.length("key").alias("size")))
     sizes = spread.select("stem", F.col("size").alias("m")).distinct()
-    offers = spread.join(sizes, "stem").where(F.col("m") < F.col("size"))
-    offers = offers.select("m", F.xxhash64(F.substring("key", F.lit(1), F.col("m"))).alias("h"), "centroid", "ord", "n", "key", "size")
-    short = spread.select(F.col("size").alias("m"), F.xxhash64("key").alias("h"), F.col("centroid").alias("short"), F.col("key").alias("short_key"))
-    found = short.join(offers, ["m", "h"]).where(F.startswith("key", "short_key"))
+    lengths = sizes.groupBy("stem").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # the lengths, not the rows, of a stem
+    shorter = F.filter("ms", lambda m: m < F.col("size"))
+    hashes = F.transform(shorter, lambda m: F.struct(m.alias("m"), F.xxhash64(F.substring(F.col("key"), F.lit(1), m)).alias("h")))
+    offers = spread.join(lengths, "stem").select("centroid", "ord", "n", "size", F.inline(hashes))
+    short = spread.select(F.col("size").alias("m"), F.xxhash64("key").alias("h"), F.col("centroid").alias("short"))
+    hits = short.join(offers, ["m", "h"])
+    letters = spread.select("centroid", "key")
+    hits = hits.join(letters, "centroid").join(letters.select(F.col("centroid").alias("short"), F.col("key").alias("short_key")), "short")
+    found = hits.where(F.startswith("key", "short_key"))
     inner = found.select(F.col("short").alias("centroid")).distinct()
     whole = found.join(inner, "centroid", "left_anti")
     best = F.struct("size", -F.col("n"), "ord")
@@ -79,12 +101,9 @@ def dereplicate(
     check_choice("mode", mode, ("uniq", "lca", "majority", "super"))
     check_range("perc_identity", perc_identity, 0, 1, open_low=True)
     prefixes = handles(SEVEN_RANKS if rank_handles is None else rank_handles)
-    order = "ord" if "ord" in sequences.columns else "id"
-    members = clusters(sequences, derep_prefix, perc_identity, min_length)
+    members = _members(sequences, derep_prefix, perc_identity, min_length)
     tidy = taxa.withColumn("taxon", L.lineage(L.labels(F.col("taxon"))))
-    ranked = members.join(sequences.select("id", F.col(order).alias("ord")), "id").join(
-        tidy.select(F.col("feature_id").alias("id"), "taxon"), "id"
-    )
+    ranked = members.join(tidy.select(F.col("feature_id").alias("id"), "taxon"), "id")
     filled = lambda parts: L.lineage(L.backfilled(parts, prefixes)).alias("taxon")
     if mode == "uniq":
         own = F.col("id") == F.col("centroid")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions import lineage as L
-from cladeforge.functions.sequence import kmers
+from cladeforge.functions.words import unit_weights
 from cladeforge.operators.sequences import missing_ids
 from cladeforge.schema import check_range
 
@@ -86,16 +86,17 @@ def evaluate_taxonomy(taxonomies: list[DataFrame], labels: list[str] | None = No
 def precision_recall(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """level, precision, recall, f_measure over the features of observed.
 
-    At each level both lineages are cut to that many labels. Equal: a true positive. The
+    Levels go to the most labels that are not empty. At each both lineages are cut to that
+    many labels. Equal: a true positive. The
     observed a prefix (as characters) of the expected, or no classification: a false
     negative. Otherwise both a false positive and a false negative.
     """
-    pairs = expected.select("feature_id", F.split("taxon", ";").alias("e")).join(
-        observed.select("feature_id", F.split("taxon", ";").alias("o")), "feature_id"
-    )
+    parts = lambda name: F.split("taxon", ";").alias(name)
+    pairs = expected.select("feature_id", parts("e")).join(observed.select("feature_id", parts("o")), "feature_id")
     kinds = pairs.groupBy("e", "o").agg(F.count(F.lit(1)).alias("n"))
-    top = kinds.agg(F.max(F.greatest(F.size("e"), F.size("o"))).alias("top"))
-    levels = top.select(F.explode(F.sequence(F.lit(1), "top")).alias("level"))
+    deep = lambda c: F.size(L.present(L.labels(F.array_join(c, ";"))))
+    top = kinds.agg(F.max(F.greatest(deep("e"), deep("o"))).alias("top"))
+    levels = top.where("top > 0").select(F.explode(F.sequence(F.lit(1), "top")).alias("level"))
     cut = lambda c: F.array_join(F.slice(c, F.lit(1), F.col("level")), ";")
     each = kinds.join(F.broadcast(levels), F.lit(True)).select("level", "n", cut("e").alias("e"), cut("o").alias("o"))
     right = F.col("e") == F.col("o")
@@ -137,10 +138,7 @@ def kmer_entropy(sequences: DataFrame, k: int, fraction: float = 1.0, seed: int
     check_range("fraction", fraction, 0, 1, open_low=True)
     u = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / float(1 << 53)
     some = sequences.where(u < fraction) if fraction < 1 else sequences
-    each = some.select("id", F.explode(kmers(F.lower("seq"), k)).alias("word"))
-    counts = each.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
-    weights = counts.withColumn("w", F.col("n") / norm).groupBy("word").agg(F.sum("w").alias("w"))
+    weights = some.select(F.lower("seq")).mapInArrow(unit_weights(k), "word string, w double").groupBy("word").agg(F.sum("w").alias("w"))
     return entropy(weights, [], "w").select(F.bround("entropy", 2).alias(f"kmer_entropy_{k}"))
 
 

@@ -6,23 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.functions.sequence import kmers, reverse_complement, to_dna
+from cladeforge.functions.words import shared_words
 from cladeforge.operators.align import words
 
 WORD = 12
 #: Times as many words as on the other strand that a strand needs.
 MARGIN = 4
+#: Distinct words of the references that are sent to all tasks; more are joined.
+SENT_WORDS = 2_000_000
 
 
 def orientation(sequences: DataFrame, references: DataFrame, key: str = "id") -> DataFrame:
-    """key, strand (+, - or ?), forward, backward: distinct words shared by each strand."""
+    """key, strand (+, - or ?), forward, backward: distinct words shared by each strand.
+
+    Up to SENT_WORDS words of the references are looked up inside the rows, so no word of
+    a sequence is shuffled; beyond that, words meet by a join. An empty or null sequence
+    shares none.
+    """
     known = words(references.select("id", "seq"), WORD).select("word").distinct()
-    turned = known.select(reverse_complement(F.col("word")).alias("word"), F.lit("-").alias("strand"))
-    known = known.withColumn("strand", F.lit("+")).unionByName(turned)  # a sequence turned, or the words: the same hits
-    found = F.array_distinct(kmers(F.upper(to_dna(F.col("seq"))), WORD))
-    hits = sequences.select(key, F.explode(found).alias("word")).join(known, "word").groupBy(key).agg(
-        *[F.sum(F.when(F.col("strand") == s, 1).otherwise(0)).alias(n) for s, n in (("+", "forward"), ("-", "backward"))]
-    )
-    all_keys = sequences.select(key).join(hits, key, "left").fillna(0, ["forward", "backward"])
+    turned = known.select(reverse_complement(F.col("word")).alias("word"))  # a sequence turned, or the words: the same hits
+    seq = F.upper(to_dna(F.col("seq")))
+    sent = [r["word"] for r in known.limit(SENT_WORDS + 1).collect()]
+    if len(sent) <= SENT_WORDS:
+        back = [r["word"] for r in turned.collect()]
+        shared = shared_words(seq, WORD, [sent, back])
+        all_keys = sequences.select(key, shared.alias("n")).select(key, F.col("n")[0].alias("forward"), F.col("n")[1].alias("backward"))
+    else:
+        every = known.withColumn("strand", F.lit("+")).unionByName(turned.withColumn("strand", F.lit("-")))
+        found = F.array_distinct(kmers(seq, WORD))
+        hits = sequences.select(key, F.explode(found).alias("word")).join(every, "word").groupBy(key).agg(
+            *[F.sum(F.when(F.col("strand") == s, 1).otherwise(0)).alias(n) for s, n in (("+", "forward"), ("-", "backward"))]
+        )
+        all_keys = sequences.select(key).join(hits, key, "left").fillna(0, ["forward", "backward"])
     f, b = F.col("forward"), F.col("backward")
     strand = F.when((f >= 1) & (f >= MARGIN * b), "+").when((b >= 1) & (b >= MARGIN * f), "-").otherwise("?")
     return all_keys.select(key, strand.alias("strand"), "forward", "backward")

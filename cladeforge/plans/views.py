@@ -13,7 +13,14 @@ LETTERS, MAPPED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTANGTACGTRCGTACGYAW"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of long texts is dealt out to all cores where it lies in fewer files."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in LONG and len(rows.inputFiles()) < cores else rows
+
+
+#: Tables of long texts, whose rows are worth dealing out (a file is a task's at least).
+LONG = ("documents",)
 
 
 def _seq(column: str):
