@@ -40,6 +40,8 @@ RUN, SPAN = 50, 25
 LINE = 8
 #: Keys that may be broadcast: those that take more than 1/HOT of all rows each.
 HOT = 1000
+#: Groups that the stretches of a frequent hash are dealt out to.
+SALTS = 64
 #: Odd bases of the two polynomials (fractions of the golden ratio and of root 2).
 BASES = (0x9E3779B97F4A7C15, 0x6A09E667F3BCC909)
 
@@ -165,28 +167,42 @@ def _windows(run: int, span: int, frequent: np.ndarray):
     return go
 
 
-def _later(run: int):
-    """row, at of all but the first of the equal windows, of row, hash, spot sorted by
-    hash, row, spot; of the first only its place is kept."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # hash, row and spot of the first window of the hash seen last
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            row, key, spot = (batch.column(i).to_numpy() for i in range(3))
-            new = np.r_[held is None or key[0] != held[0], key[1:] != key[:-1]]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            inside = first >= 0
-            first_row, first_spot = row[first], spot[first]
-            if held is not None:
-                first_row, first_spot = np.where(inside, first_row, held[1]), np.where(inside, first_spot, held[2])
-            held = key[-1], first_row[-1], first_spot[-1]
-            same = (spot ^ first_spot) & 0xFFFFFFFF == 0
-            again = ~new & same & ((row != first_row) | (spot >> 32 >= (first_spot >> 32) + run))
-            yield pa.RecordBatch.from_arrays([pa.array(row[again]), pa.array(spot[again] >> 32)], ["row", "at"])
-
-    return go
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, at, n of all but the first of the equal stretches: of hash, salt, n, row, spot,
+    sorted by these. Of the first of a hash and salt only its place is kept."""
+    held = None  # hash, salt, row and spot of the first stretch of the group seen last
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, salt, n, row, spot = (batch.column(i).to_numpy() for i in range(5))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        new[0] = held is None or (key[0], salt[0]) != held[:2]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first_row, first_spot = row[first], spot[first]
+        if held is not None:
+            first_row, first_spot = np.where(first >= 0, first_row, held[2]), np.where(first >= 0, first_spot, held[3])
+        held = key[-1], salt[-1], first_row[-1], first_spot[-1]
+        same = (spot ^ first_spot) & 0xFFFFFFFF == 0
+        again = ~new & same & ((row != first_row) | (spot >> 32 >= (first_spot >> 32) + n))
+        yield pa.RecordBatch.from_arrays([pa.array(row[again]), pa.array(spot[again] >> 32), pa.array(n[again])], ["row", "at", "n"])
+
+
+def later(rows: DataFrame, frequent: bool) -> DataFrame:
+    """row, at, n of all but the first of the equal stretches row, hash, spot, n.
+
+    One sorted pass. Where hashes may be frequent, theirs are dealt out to SALTS groups,
+    each of which begins with the first stretch of all: with n = 0, so it sorts first.
+    """
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)) if frequent else F.lit(0).cast("long")
+    rows = rows.select("hash", salt.cast("int").alias("salt"), "n", "row", "spot")
+    if frequent:
+        groups = rows.groupBy("hash", "salt").agg(F.min(F.struct("row", "spot")).alias("first"))
+        firsts = groups.groupBy("hash").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
+        marks = firsts.select("hash", F.explode("salts").alias("salt"), F.lit(0).alias("n"), "first.row", "first.spot")
+        rows = rows.unionByName(marks)
+    ordered = rows.repartition("hash", "salt").sortWithinPartitions("hash", "salt", "n", "row", "spot")
+    return ordered.mapInArrow(_later, "row long, at long, n int")
 
 
 def joined_runs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,18 +275,10 @@ def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE)
     keyed = write_table(prints.where("k1 <> 0").select("k1", "k2", "row", "words"))
     copies = write_table(repeated(keyed, ["k1", "k2"], F.col("row")).where(F.col("row") != F.col("first")).select("row", "words"))
     drop_table(keyed)
-    at, other = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
-
-    def later(rows: DataFrame) -> DataFrame:
-        """row, at, n of all but the first of the equal stretches row, hash, spot, n."""
-        found = repeated(rows, ["hash"], F.struct("row", "spot")).where(other("spot") == other("first.spot"))
-        found = found.where((F.col("row") != F.col("first.row")) | (at("spot") >= at("first.spot") + F.col("n")))
-        return found.select("row", at("spot").alias("at"), "n")
-
     # Lines that occur more than once; the places of selected spans that do.
     originals = prints.join(copies, "row", "left_anti")
     lines = write_table(originals.select("row", F.inline("lines")))
-    line_repeats = write_table(later(lines))
+    line_repeats = write_table(later(lines, True))
     drop_table(lines)
     marks = write_table(originals.select("row", F.inline("marks")))
     drop_table(prints)
@@ -286,17 +294,15 @@ def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE)
     windows = given.join(places.hint("merge"), "row").select("row", "text", "places")
     windows = write_table(windows.mapInArrow(_windows(run, span, frequent), "row long, hash long, spot long, many boolean"))
     drop_table(places)
-    ordered = windows.where("not many").select("row", "hash", "spot").repartition("hash").sortWithinPartitions("hash", "row", "spot")
-    few = write_table(ordered.mapInArrow(_later(run), "row long, at long"))
-    many_rows = write_table(windows.where("many").select("row", "hash", "spot", F.lit(run).alias("n")))
-    every = [line_repeats, few.select("row", "at", F.lit(run).alias("n")), later(many_rows)]
-    every = reduce(DataFrame.unionByName, every).select("row", F.struct("at", F.col("n").cast("long").alias("n")).alias("stretch"))
+    stretches = lambda rows: rows.select("row", "hash", "spot", F.lit(run).alias("n"))
+    found = [write_table(later(stretches(windows.where(F.col("many") == many)), many)) for many in (False, True)]
     drop_table(windows)
+    every = reduce(DataFrame.unionByName, [line_repeats, *found]).select("row", F.struct("at", F.col("n").cast("long").alias("n")).alias("stretch"))
     kind = "array<struct<a: bigint, b: bigint>>"
     runs = every.groupBy("row").agg(F.collect_list("stretch").alias("stretches")).mapInArrow(_runs, f"row long, runs {kind}")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("words").alias("b")))
     runs = write_table(runs.unionByName(copies.select("row", whole.cast(kind).alias("runs"))))
-    for done in (line_repeats, few, many_rows, copies):
+    for done in (line_repeats, *found, copies):
         drop_table(done)
     return runs
 
