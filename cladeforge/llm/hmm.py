@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import drop_table, write_table
 
 STATES = 8
 TOP = 32_768
@@ -313,7 +313,8 @@ def _expecter(model: Model, first_rare: int, rare_classes: int, words: bool):
             total.start, total.move, total.log = total.start + mine.start, total.move + mine.move, total.log + mine.log
             total.emit[:first_rare] += mine.emit[:first_rare]
             if len(kinds.dictionary):
-                yield rows(np.full(len(kinds.dictionary), first_rare), kinds.dictionary, mine.emit[first_rare:])
+                counts = np.rint(mine.emit[first_rare:] * 1024) / 1024  # few bits: they are shuffled and joined
+                yield rows(np.full(len(kinds.dictionary), first_rare), kinds.dictionary, counts)
         if not some:
             return
         seen = np.flatnonzero(total.emit.any(axis=1))
@@ -349,7 +350,9 @@ def _collected(sums: DataFrame, states: int, classes: int) -> Expected:
 def baum_welch(coded: DataFrame, model: Model, unigram: np.ndarray, first_rare: int) -> tuple[Model, float]:
     """One round over the classes of all rows: the next model, and the log-likelihood of
     this one."""
-    found = _collected(_sums(coded, model, first_rare, len(unigram) - first_rare, False), len(model.start), len(unigram))
+    sums = write_table(_sums(coded, model, first_rare, len(unigram) - first_rare, False))
+    found = _collected(sums, len(model.start), len(unigram))
+    drop_table(sums)
     return Model.of_counts(found.start, found.move, found.emit, unigram, WEIGHT), found.log
 
 
@@ -365,9 +368,9 @@ def fit(coded: DataFrame, class_counts: np.ndarray, first_rare: int) -> Model:
     return model
 
 
-def _scorer(model: Model, base_log: np.ndarray, known: np.ndarray, unseen: np.ndarray, total: float):
-    """Number of tokens, of known ones, base and score of each text, given the counts and
-    the emissions of its rare words (null for words that training didn't see)."""
+def _scorer(model: Model, base_log: np.ndarray, known: np.ndarray, least: np.ndarray, whole: np.ndarray, total: float):
+    """Number of tokens, of known ones, base and score of each text, given the counts of
+    its rare words, whole and by state (null for words that training didn't see)."""
     first_rare, states = len(known), len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,10 +383,11 @@ def _scorer(model: Model, base_log: np.ndarray, known: np.ndarray, unseen: np.nd
             sizes = pc.list_value_length(listed).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             rare, told = np.concatenate(([0], np.cumsum(sizes))), listed.flatten()
             counts = told.field("c").fill_null(0).to_numpy(zero_copy_only=False)
-            rows = told.field("e")
-            emit = np.tile(unseen, (len(rows), 1))
+            rows = told.field("k")
+            emit = np.zeros((len(rows), states))
             has = rows.is_valid().to_numpy(zero_copy_only=False)
             emit[has] = rows.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
+            emit = (emit + least + WEIGHT * ((counts + SMOOTH) / total)[:, None]) / whole
             at, place = _rare_places(codes, offsets, rare, first_rare)
             codes[at] = first_rare + place
             sums = [
@@ -453,9 +457,11 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
     # The last round: by word.
     sums = write_table(_sums(learned, model, first_rare, rare_classes, True))
     found = _collected(sums.where("word is null"), STATES, first_rare)
-    rare_sums = sums.where("word is not null")
     names = [f"k{k}" for k in range(STATES)]
-    rest = rare_sums.agg(*(F.sum(k) for k in names)).first()
+    every = F.array(*(F.coalesce(k, F.lit(0.0)).cast("float") for k in names)).alias("k")
+    table = write_table(others.join(sums.where("word is not null"), "word", "left").select("word", "c", every))
+    drop_table(sums)
+    rest = table.agg(*(F.sum(F.col("k")[k].cast("double")) for k in range(STATES))).first()
     total = float(n + SMOOTH * (v + 1))
     said = found.emit.sum(axis=0) + np.array([x or 0.0 for x in rest])
     least = SMOOTH * said / max(n, 1)
@@ -465,17 +471,12 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
     model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
     known = class_counts[:first_rare] > 0
     base_log = np.log10((class_counts[:first_rare] + SMOOTH) / total)
-    # Each document's rare words with their counts and emissions.
-    share = F.lit(WEIGHT) * (F.col("c") + SMOOTH) / total
-    each = zip(names, least, whole, strict=True)
-    row = F.array(*(((F.coalesce(k, F.lit(0.0)) + float(a) + share) / float(w)).cast("float") for k, a, w in each))
-    table = others.join(rare_sums, "word", "left").select("word", "c", row.alias("e"))
+    # Each document's rare words with their counts, whole and by state.
     asked = coded.select("row", F.posexplode("rare.word").alias("at", "word")).join(table, "word", "left")
-    told = asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "e"))).alias("told"))
+    told = asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "k"))).alias("told"))
     scored = coded.select("row", "doc_id", "held_out", "codes").join(told, "row", "left").select("doc_id", "held_out", "codes", "told")
-    unseen = (least + WEIGHT * SMOOTH / total) / whole
     done = scored.mapInArrow(
-        _scorer(model, base_log, known, unseen, total),
+        _scorer(model, base_log, known, least, whole, total),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return done.select(*SCORED[:4], F.lit(n).cast("long").alias("train_tokens"), *SCORED[4:])
