@@ -15,12 +15,16 @@ def tree_ancestors(nodes: DataFrame) -> DataFrame:
     (distance 0) and all above it.
 
     By pointer doubling: each round joins the known paths with jumps twice as long, so a
-    tree of depth d takes log2(d) rounds.
+    tree of depth d takes log2(d) rounds. Raises ValueError where paths are longer than
+    there are nodes, which takes a cycle.
     """
+    size = nodes.count()
     paths = nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance"))
     jump = nodes.where("parent_id is not null").select(F.col("node_id").alias("at"), F.col("parent_id").alias("to"))
     reach = 1
     while not jump.isEmpty():
+        if reach > size:
+            raise ValueError("the tree has a cycle")
         above = paths.join(jump, paths.ancestor_id == jump["at"])
         above = above.select("node_id", F.col("to").alias("ancestor_id"), (F.col("distance") + reach).alias("distance"))
         paths = cut(paths.unionByName(above))

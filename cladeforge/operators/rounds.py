@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the session's checkpoint folder.
 
-    On a cluster that is the shared folder spark.checkpoint.dir names; one is set here
-    only where the session has none.
+    On a cluster that is the shared folder spark.checkpoint.dir names; one is set here,
+    in local mode, only where the session has none.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cladeforge-"))
     return df.checkpoint()

@@ -101,8 +101,13 @@ def subsample_fasta(sequences: DataFrame, subsample_size: float = 0.1, random_se
     result depends neither on the partitions nor on a retry."""
     check_range("subsample_size", subsample_size, 0, 1, open_low=True)
     check_range("random_seed", random_seed, 1)
-    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(random_seed)), 11) / float(1 << 53)
-    return sequences.where(u < subsample_size)
+    return sequences.where(draw("id", random_seed) < subsample_size)
+
+
+def draw(column: str, seed: int) -> Column:
+    """A number from 0 to 1 for each value: the first 52 bits of the md5 of seed:value."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(column)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def relabel(sequences: DataFrame, by: str, prefix: str = "", keep: bool = False, order: str = "id") -> DataFrame:

@@ -121,6 +121,19 @@ def orient_hits(spark, sf_dir):
     return out.select("id", "strand", F.col("forward").cast("long").alias("forward"), F.col("backward").cast("long").alias("backward"))
 
 
+def orient_seqs(spark, sf_dir):
+    return orient.orient_seqs(V.sequences(spark, sf_dir), V.segments(spark, sf_dir))[0].select("id", "seq")
+
+
+def parse_silva(spark, sf_dir):
+    return lineages.parse_silva_taxonomy(*V.silva(spark, sf_dir), include_species_labels=True)
+
+
+def evaluate_taxonomy(spark, sf_dir):
+    out = evaluate.evaluate_taxonomy([V.taxonomy(spark, sf_dir), V.observed(spark, sf_dir)], ["whole", "observed"])
+    return _rounded(out, "entropy", "p_terminating", "p_classified", "p_unclassified")
+
+
 def extract_segments(spark, sf_dir):
     refs = V.segments(spark, sf_dir).withColumn("seq", F.substring("seq", 21, 60))
     return align.extract_seq_segments(V.segments(spark, sf_dir), refs)[0].select("id", "seq")
@@ -161,6 +174,9 @@ QUERIES = {
     "genus_species_split": genus_species_split,
     "tree_ancestors": lambda spark, sf_dir: lineages.tree_ancestors(V.tree(spark, sf_dir)),
     "orient_hits": orient_hits,
+    "orient_seqs": orient_seqs,
+    "parse_silva": parse_silva,
+    "evaluate_taxonomy": evaluate_taxonomy,
     "extract_segments": extract_segments,
     "derep_clustered": derep_clustered,
     "subsample": _seqs(lambda df: S.subsample_fasta(df, 0.3, 7)),
@@ -279,6 +295,19 @@ y AS (SELECT feature_id, family, CASE WHEN genus IS NULL AND contains(species, '
   WHEN starts_with(species, genus || ' ') THEN substr(species, length(genus) + 2) ELSE species END AS species FROM x)
 SELECT feature_id, 'k__; f__' || family || '; g__' || coalesce(genus, family) || '; s__' || species AS taxon FROM y"""
 
+_CLEAN = "regexp_replace({}, '\\s+', '_', 'g')"
+_SILVA = f"""SELECT c_custkey || '.1.9' AS feature_id, 'd__' || {_CLEAN.format('r_name')} || '; p__' || {_CLEAN.format('n_name')} || '; c__' || {_CLEAN.format('n_name')}
+ || '; o__' || {_CLEAN.format('n_name')} || '; f__' || {_CLEAN.format('c_mktsegment')} || '; g__' || {_CLEAN.format('c_mktsegment')}
+ || '; s__' || regexp_replace(c_name, '[^0-9A-Za-z_\\-\\[\\]()/.]', '', 'g') AS taxon
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def _sql_evaluated(table: str, label: str) -> str:
+    named = f"WITH {V.SQL_TAXONOMY}, {V.SQL_OBSERVED}, t AS (SELECT taxon FROM {table})"
+    depth, kinds = (named + x.replace("FROM taxonomy", "FROM t") for x in (_DEPTH, _ENTROPY))
+    return f"SELECT *, '{label}' AS dataset FROM ({kinds}) JOIN ({depth}) USING (level)"
+
+
 ORACLE_SQL = {
     "derep_lca": _sql_derep(_LCA),
     "derep_super": _sql_derep(_SUPER),
@@ -323,4 +352,9 @@ ORACLE_SQL = {
     "tree_ancestors": "WITH RECURSIVE " + V.SQL_TREE + """, a AS (SELECT node_id, node_id AS ancestor_id, 0 AS distance FROM tree
  UNION ALL SELECT a.node_id, t.parent_id, a.distance + 1 FROM a JOIN tree t ON t.node_id = a.ancestor_id WHERE t.parent_id IS NOT NULL) SELECT * FROM a""",
     "orient_hits": _with(V.SQL_SEQUENCES, V.SQL_SEGMENTS).rstrip() + _HITS,
+    "orient_seqs": f"WITH h AS ({_with(V.SQL_SEQUENCES, V.SQL_SEGMENTS).rstrip()}{_HITS}), {V.SQL_SEQUENCES} "
+    f"SELECT id, CASE WHEN strand = '-' THEN {_TURNED} ELSE seq END AS seq FROM sequences JOIN h USING (id) WHERE strand <> '?'",
+    "parse_silva": _SILVA,
+    "evaluate_taxonomy": f"{_sql_evaluated('taxonomy', 'whole')} UNION ALL BY NAME {_sql_evaluated('observed', 'observed')}",
+    "subsample": _sql_seq("CAST('0x' || substr(md5('7:' || id), 1, 13) AS BIGINT) / 4503599627370496.0 < 0.3"),
 }

@@ -88,6 +88,20 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def silva(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tree, map and rank table: regions, nations and customers as domains, phyla and families."""
+    n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    key = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string")).alias("taxid")
+    ranked = lambda rows, taxid, rank, name: rows.select(F.concat(F.lit("x;"), name, F.lit(";")).alias("path"), taxid, F.lit(rank).alias("rank"))
+    ranks = ranked(r, key("r", "r_regionkey"), "domain", "r_name").union(ranked(n, key("n", "n_nationkey"), "phylum", "n_name"))
+    ranks = ranks.union(ranked(c, key("c", "c_custkey"), "family", "c_mktsegment"))
+    taxmap = c.select(
+        F.col("c_custkey").cast("string").alias("primaryAccession"), F.lit("1").alias("start"), F.lit("9").alias("stop"),
+        F.col("c_name").alias("organism_name"), key("c", "c_custkey"),
+    )
+    return tree(spark, sf_dir), taxmap, ranks
+
+
 _SQL_SEQ = f"translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{MAPPED}')"
 SQL_SEQUENCES = f"sequences AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_SQL_SEQ} AS seq, doc_id AS ord FROM documents)"
 SQL_GAPPED = (

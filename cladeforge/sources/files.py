@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeforge.operators.rounds import cut
 from cladeforge.schema import SILVA_MAP_FILE, SILVA_RANKS_FILE, TAXONOMY
 
 
@@ -13,19 +14,32 @@ def read_fasta(spark: SparkSession, path: str | list[str], upper: bool = False)
 
     ord counts up in the order of the records of a file.
     """
+    rows = spark.read.text(path, lineSep="\n>")
+    return fasta_records(rows.withColumn("ord", F.monotonically_increasing_id()), upper=upper)
+
+
+def fasta_records(rows: DataFrame, *keys: str, upper: bool = False) -> DataFrame:
+    """keys, id, description, seq, ord of rows ord, value: FASTA text cut at each `\\n>`."""
     text = F.regexp_replace("value", "^>", "")
     head = F.regexp_replace(F.substring_index(text, "\n", 1), "\r$", "")
     body = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, "^[^\n]*\n", "")).otherwise("")
     seq = F.translate(body, "\r\n \t", "")
-    rows = spark.read.text(path, lineSep="\n>").where(F.trim("value") != "")
-    return rows.select(
+    return rows.where(F.trim("value") != "").select(
+        *keys,
         F.regexp_extract(head, r"^(\S*)", 1).alias("id"),
         F.regexp_replace(head, r"^\S*\s*", "").alias("description"),
         (F.upper(seq) if upper else seq).alias("seq"),
-        F.monotonically_increasing_id().alias("ord"),
+        "ord",
     )
 
 
+def check_aligned(sequences: DataFrame) -> None:
+    """Raises ValueError if the sequences of an alignment differ in length (a job)."""
+    found = sequences.agg(F.min(F.length("seq")).alias("low"), F.max(F.length("seq")).alias("high")).first()
+    if found["low"] != found["high"]:
+        raise ValueError(f"aligned sequences of {found['low']} to {found['high']} letters")
+
+
 def fasta_lines(sequences: DataFrame) -> DataFrame:
     head = F.concat_ws(" ", "id", F.when(F.col("description") != "", F.col("description"))) if "description" in sequences.columns else F.col("id")
     return sequences.select(F.concat(F.lit(">"), head, F.lit("\n"), "seq").alias("value"), *[c for c in sequences.columns if c == "genome_id"])
@@ -38,8 +52,7 @@ def write_fasta(sequences: DataFrame, path: str, by_genome: bool = False) -> Non
 
 
 def read_taxonomy(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
-    """feature_id, taxon and further columns of tab-separated files; all text but numbers
-    of the further columns."""
+    """feature_id, taxon and further columns of tab-separated files, all as text."""
     if not header:
         return spark.read.csv(path, sep="\t", schema=TAXONOMY, quote="")
     rows = spark.read.csv(path, sep="\t", header=True, quote="")
@@ -77,10 +90,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str, sample_id: str, direction: str) -> DataFrame:
     """sample_id, direction, read_no, header, seq, qual of one file of four-line records.
 
-    A gzipped file is read by one task, in order; its lines are numbered there.
+    A gzipped file is read by one task, in order; a plain one in splits, whose lines are
+    numbered by what the splits before them have.
     """
-    lines = spark.read.text(path, wholetext=False).coalesce(1)
-    numbered = lines.select("value", F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", F.input_file_block_start().alias("part"), F.monotonically_increasing_id().alias("n"))
+    lines = cut(lines)  # the numbers must not follow another split of the file
+    sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("first"))
+    before = (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before")  # a row a split
+    numbered = lines.join(F.broadcast(sizes.select("part", "first", before)), "part")
+    numbered = numbered.select("value", (F.col("n") - F.col("first") + F.col("before")).alias("n"))
     each = numbered.select((F.col("n") / 4).cast("long").alias("read_no"), (F.col("n") % 4).alias("k"), "value")
     line = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
     reads = each.groupBy("read_no").agg(line(0).alias("header"), line(1).alias("seq"), line(3).alias("qual"))
@@ -126,9 +144,16 @@ def newick_edges(text: str) -> list[tuple[str, str | None]]:
     return edges + [(root, None) for root in waiting[0]]
 
 
+REPORT = "assemblyAccession string, assignedMoleculeLocationType string, chrName string, genbankAccession string, refseqAccession string, length long"
+
+
 def read_sequence_report(spark: SparkSession, path: str) -> DataFrame:
-    fields = "assemblyAccession, assignedMoleculeLocationType, chrName, genbankAccession, refseqAccession"
-    return spark.read.json(path, schema=", ".join(f"{f} string" for f in fields.split(", ")) + ", length long")
+    return spark.read.json(path, schema=REPORT)
+
+
+def sequence_reports(lines: DataFrame) -> DataFrame:
+    """The same of rows value, lines of JSON."""
+    return lines.select(F.from_json("value", REPORT).alias("x")).select("x.*").where("assemblyAccession is not null")
 
 
 NCBI_TAXON = (
