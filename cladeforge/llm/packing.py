@@ -187,8 +187,8 @@ def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS
     leftovers of a group of partitions end. Null doc_ids are kept, repeated rows are
     packed once each, an empty table gives no rows, further columns are ignored.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    arrow_id = pa.int64() if id_type in ("bigint", "int") else pa.string()
+    given_type = docs.schema["doc_id"].dataType.simpleString()
+    arrow_id = pa.int64() if given_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
     given = docs.select(F.col("doc_id").cast("long" if arrow_id == pa.int64() else "string"), F.col("text").cast("string"))
     id_type = given.schema["doc_id"].dataType.simpleString()
     types = [arrow_id, *[pa.int64()] * 6, pa.binary()]
@@ -202,4 +202,5 @@ def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS
         .applyInPandas(_merger(window), f"doc_id string, {COLUMNS}")
         .withColumn("doc_id", F.col("doc_id").cast(id_type))
     )
-    return pieces.where("sequence_id is not null").select(NAMES[:7]).unionByName(merged)
+    every = pieces.where("sequence_id is not null").select(NAMES[:7]).unionByName(merged)
+    return every.withColumn("doc_id", F.col("doc_id").cast(given_type))
