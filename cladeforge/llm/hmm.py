@@ -473,7 +473,9 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
     base_log = np.log10((class_counts[:first_rare] + SMOOTH) / total)
     # Each document's rare words with their counts, whole and by state.
     asked = coded.select("row", F.posexplode("rare.word").alias("at", "word")).join(table, "word", "left")
-    told = asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "k"))).alias("told"))
+    told = write_table(asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "k"))).alias("told")))
+    for done in (table, counts):
+        drop_table(done)
     scored = coded.select("row", "doc_id", "held_out", "codes").join(told, "row", "left").select("doc_id", "held_out", "codes", "told")
     done = scored.mapInArrow(
         _scorer(model, base_log, known, least, whole, total),
