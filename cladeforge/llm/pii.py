@@ -157,12 +157,10 @@ def discovered(base: DataFrame, docs: DataFrame) -> DataFrame:
     base: rows row, the shapes' spans, other; docs: their texts. Scores are of distinct
     values, so copies of a text add nothing; occurrences count against the words of all texts.
     """
-    pick = lambda col, seed: F.transform(
-        col, lambda x: F.struct(F.lower(x["v"]).alias("value"), _patterns(x).alias("patterns"), seed(x).alias("seed"))
-    )
+    pick = lambda col, seed: F.transform(col, lambda x: F.struct(x["v"].alias("v"), x["l"].alias("l"), x["r"].alias("r"), seed(x).alias("seed")))
     sure, maybe = (lambda x: F.lit(1.0)), (lambda x: F.when(x["v"].rlike(SECRET), 1.0).otherwise(0.0))
-    all_spans = F.concat(*[pick(F.col(k), sure) for k in SHAPES], pick(F.col("other"), maybe))
-    pairs = base.select(F.explode(all_spans).alias("x")).select("x.value", "x.seed", F.inline("x.patterns"))
+    every = base.select(F.explode(F.concat(*[pick(F.col(k), sure) for k in SHAPES], pick(F.col("other"), maybe))).alias("x"))
+    pairs = every.select(F.lower("x.v").alias("value"), "x.seed", F.inline(_patterns(F.col("x"))))
     edges = pairs.groupBy("pattern", "words", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     edges = write_table(edges)
     # Patterns that could ever have the support, and their share of their rarest word.
