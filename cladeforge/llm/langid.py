@@ -1,10 +1,12 @@
 """Language identification.
 
 Method: a bidirectional gated recurrent network over bytes, trained here in numpy by
-backpropagation through time. It runs over all bytes of a text, its states carried from
-the first to the last and back, gives every position label probabilities, and a document's
-are the mean over its positions. Texts run side by side, longest first; the backward states
-of a text longer than BLOCK are kept at the ends of stretches only and made again.
+backpropagation through time. It runs over all bytes of a text in both directions, its
+states carried across words and lines, gives every position label probabilities, and a
+document's are the mean over its positions. Texts of any length run side by side as
+segments of SEGMENT bytes; either direction enters a segment WARM bytes early, as far as
+training ever looked, so the states at its positions hardly differ from those carried
+through the whole text, and results don't depend on what runs together.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ EMBED = 12
 DOCS_A_LABEL, EXCERPTS, EXCERPT = 600, 4, 64
 STEPS, BATCH, RATE = 400, 128, 0.01
 SEED = 5
-#: Positions that run side by side at once, steps whose outputs are taken together, and
-#: bytes of texts that are sorted by length together.
-BLOCK, STRIDE, SORTED = 1_000_000, 64, 1 << 24
+#: Bytes of a segment, and those before and after it that the states are warmed up on.
+SEGMENT, WARM = 1024, 64
+#: Segments that run side by side at once, steps whose outputs are taken together, and
+#: bytes of texts that are worked on together.
+BESIDE, STRIDE, TOGETHER = 1000, 64, 1 << 24
 UNKNOWN = "und"
 
 
@@ -171,57 +175,50 @@ class Labeller:
         h *= gates[:, :HIDDEN]
         h += new
 
-    def _side_by_side(self, data: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Sums of the label probabilities over the positions of each text; data is (time,
-        text), longest first, live how many texts have each step."""
+    def _side_by_side(self, data: np.ndarray, live: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Sums of the label probabilities over the positions inside each segment; data and
+        inside are (time, segment), longest first, live how many have each step."""
         steps, width = data.shape
-        size = max(1, BLOCK // width)
-        starts = list(range(0, steps, size))
-        back = {}  # backward states after each stretch
+        states = np.zeros((steps, width, HIDDEN), dtype=np.float32)
         h = np.zeros((width, HIDDEN), dtype=np.float32)
-        for at in starts[:0:-1]:
-            back[at + size] = h.copy()
-            for t in range(min(at + size, steps) - 1, at - 1, -1):
-                self._step("b", h[: live[t]], data[t, : live[t]])
-        back[starts[0] + size] = h
+        for t in range(steps - 1, -1, -1):
+            self._step("b", h[: live[t]], data[t, : live[t]])
+            states[t, : live[t]] = h[: live[t]]
         total = np.zeros((width, self.labels))
-        f = np.zeros((width, HIDDEN), dtype=np.float32)
-        for at in starts:
-            end = min(at + size, steps)
-            b = back.pop(at + size)
-            states = np.zeros((end - at, live[at], HIDDEN), dtype=np.float32)
-            for t in range(end - 1, at - 1, -1):
-                self._step("b", b[: live[t]], data[t, : live[t]])
-                states[t - at, : live[t]] = b[: live[t]]
-            for t0 in range(at, end, STRIDE):
-                t1, n = min(t0 + STRIDE, end), live[t0]
-                ahead = np.zeros((t1 - t0, n, HIDDEN), dtype=np.float32)
-                for t in range(t0, t1):
-                    self._step("f", f[: live[t]], data[t, : live[t]])
-                    ahead[t - t0, : live[t]] = f[: live[t]]
-                logit = ahead @ self.out["f"] + states[t0 - at : t1 - at, :n] @ self.out["b"] + self.bias
-                np.exp(logit - logit.max(axis=2, keepdims=True), out=logit)
-                logit /= logit.sum(axis=2, keepdims=True)
-                logit *= (np.arange(n)[None, :] < live[t0:t1, None])[:, :, None]
-                total[:n] += logit.sum(axis=0)
+        h[:] = 0
+        for t0 in range(0, steps, STRIDE):
+            t1, n = min(t0 + STRIDE, steps), live[t0]
+            ahead = np.zeros((t1 - t0, n, HIDDEN), dtype=np.float32)
+            for t in range(t0, t1):
+                self._step("f", h[: live[t]], data[t, : live[t]])
+                ahead[t - t0, : live[t]] = h[: live[t]]
+            logit = ahead @ self.out["f"] + states[t0:t1, :n] @ self.out["b"] + self.bias
+            np.exp(logit - logit.max(axis=2, keepdims=True), out=logit)
+            logit /= logit.sum(axis=2, keepdims=True)
+            total[:n] += np.einsum("tnl,tn->nl", logit, inside[t0:t1, :n].astype(np.float32))
         return total
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
         """Mean label probabilities over the positions of each text, none of them empty."""
-        lengths = np.array([len(t) for t in texts])
-        order = np.argsort(-lengths, kind="stable")
+        sizes = np.array([len(t) for t in texts])
+        count = -(-sizes // SEGMENT)
+        text = np.repeat(np.arange(len(texts)), count)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+        end = np.minimum(first + SEGMENT, sizes[text])
+        low, high = np.maximum(first - WARM, 0), np.minimum(end + WARM, sizes[text])
         out = np.zeros((len(texts), self.labels))
-        at = 0
-        while at < len(order):
-            longest = lengths[order[at]]
-            some = order[at : at + max(1, BLOCK // longest)]
-            at += len(some)
-            data = np.zeros((longest, len(some)), dtype=np.uint8)
+        order = np.argsort(low - high, kind="stable")
+        for at in range(0, len(order), BESIDE):
+            some = order[at : at + BESIDE]
+            lengths = (high - low)[some]
+            time = np.arange(lengths[0])[:, None]
+            data = np.zeros((lengths[0], len(some)), dtype=np.uint8)
             for column, i in enumerate(some):
-                data[: lengths[i], column] = np.frombuffer(texts[i], dtype=np.uint8)
-            live = np.searchsorted(-lengths[some], -np.arange(1, longest + 1), side="right")
-            out[some] = self._side_by_side(data, live)
-        return out / lengths[:, None]
+                data[: lengths[column], column] = np.frombuffer(texts[text[i]], dtype=np.uint8)[low[i] : high[i]]
+            live = np.searchsorted(-lengths, -time[:, 0] - 1, side="right")
+            inside = (time >= (first - low)[some]) & (time < (end - low)[some])
+            np.add.at(out, text[some], self._side_by_side(data, live, inside))
+        return out / sizes[:, None]
 
 
 LETTER = regex.compile(r"\p{L}")
@@ -245,11 +242,11 @@ def _predictor(net: Network):
 
 
 def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have about SORTED bytes."""
+    """Runs of rows whose texts have about TOGETHER bytes."""
     size = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SORTED, side="right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, side="right")))
         yield batch.slice(at, end - at)
         at = end
 

@@ -89,9 +89,19 @@ def test_pool_matches_brute_force(monkeypatch):
     net = langid.Network(["x", "y", "z"], seed=3)
     rng = random.Random(2)
     texts = [bytes(rng.randrange(256) for _ in range(k)) for k in (1, 40, 500, 3, 130)]
-    for block in (1_000_000, 150):
-        monkeypatch.setattr(langid, "BLOCK", block)
-        assert np.allclose(langid.Labeller(net).pool(texts), [brute(net, t) for t in texts], atol=1e-5)
+    assert np.allclose(langid.Labeller(net).pool(texts), [brute(net, t) for t in texts], atol=1e-5)
+    monkeypatch.setattr(langid, "BESIDE", 3)
+    assert np.allclose(langid.Labeller(net).pool(texts), [brute(net, t) for t in texts], atol=1e-5)
+
+
+def test_segments_are_close_to_whole_texts(monkeypatch):
+    rng = random.Random(4)
+    letters = {"a": b"the and of ", "b": "é eau que ".encode()}
+    excerpts = {k: [bytes(rng.choice(v) for _ in range(40)) for _ in range(50)] for k, v in letters.items()}
+    monkeypatch.setattr(langid, "STEPS", 30)
+    net = langid.train(excerpts)
+    texts = [bytes(rng.choice(letters[k]) for _ in range(n)) for k, n in (("a", 5000), ("b", 2049), ("a", 1024), ("b", 1025))]
+    assert np.allclose(langid.Labeller(net).pool(texts), [brute(net, t) for t in texts], atol=2e-3)
 
 
 def test_sample_takes_distinct_texts_of_each_language(spark, monkeypatch):
