@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .hmm import held_out
 
-HIDDEN = 12
+HIDDEN = 8
 EMBED = 12
 #: Distinct training texts of each language, at most, and the excerpts of each that are
 #: learned: how many, and their characters.
 DOCS_A_LABEL, EXCERPTS, EXCERPT = 600, 4, 64
-STEPS, BATCH, RATE = 400, 128, 0.01
+STEPS, BATCH, RATE = 700, 128, 0.01
 SEED = 5
 #: Bytes of a segment, and those before and after it that the states are warmed up on.
 SEGMENT, WARM = 1024, 64
