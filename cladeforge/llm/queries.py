@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, centroids, hmm, langid, linededup, packing, pii, quality, simhash, spm, topk
+from . import ann, centroids, hmm, langid, linededup, minhash, packing, pii, quality, simhash, spm, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(_table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,10 +76,12 @@ QUERIES = {
         op9_sentencepiece,
         op10_hmm,
         op11_centroids,
+        op12_minhash,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op11_centroids": centroids.oracle(),
+    "op12_minhash": minhash.oracle(),
     "op2_topk": """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
