@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, centroids, hmm, langid, linededup, minhash, packing, pii, quality, simhash, spm, topk
+from . import ann, centroids, crosstok, hmm, langid, linededup, minhash, packing, pii, quality, simhash, spm, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.alignments(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES = {
         op10_hmm,
         op11_centroids,
         op12_minhash,
+        op13_alignment,
     )
 }
 ORACLE_SQL: dict[str, str] = {
