@@ -137,6 +137,15 @@ def _joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _slices(one: np.ndarray, two: np.ndarray) -> Iterator[slice]:
+    """Runs of rows, given the offsets of two columns, of bounded bytes (or of one row)."""
+    both, row = one + two, 0
+    while row < len(both) - 1:
+        last = max(row + 1, int(np.searchsorted(both, both[row] + bytetext.SLICE, side="right")) - 1)
+        yield slice(row, last)
+        row = last
+
+
 def _alike(least: int):
     """Pairs a, b (with sig_a, sig_b) that share as many values of their signatures."""
 
@@ -154,14 +163,15 @@ def _similar(words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             keep = np.zeros(batch.num_rows, dtype=bool)
-            (x, at), (y, to) = (shingle_sets(*_joined_bytes(batch.column(i)), words) for i in (2, 3))
-            for r in range(batch.num_rows):
-                one, two = x[at[r] : at[r + 1]], y[to[r] : to[r + 1]]
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                keep[r] = 100 * shared >= percent * (len(one) + len(two) - shared)
+            texts = [_joined_bytes(batch.column(i)) for i in (2, 3)] if batch.num_rows else []
+            for rows in _slices(*(offsets for _, offsets in texts)) if texts else ():
+                parts = ((data[at[rows.start] : at[rows.stop]], at[rows.start : rows.stop + 1] - at[rows.start]) for data, at in texts)
+                (x, at), (y, to) = (shingle_sets(*part, words) for part in parts)
+                for r in range(rows.stop - rows.start):
+                    one, two = x[at[r] : at[r + 1]], y[to[r] : to[r + 1]]
+                    shared = len(np.intersect1d(one, two, assume_unique=True))
+                    keep[rows.start + r] = 100 * shared >= percent * (len(one) + len(two) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
