@@ -33,7 +33,7 @@ from .common import drop_table, write_table
 #: Characters before which a text may be cut.
 CUTS = " \n\t"
 #: Bytes of text of a batch; distinct segments tokenised together.
-BYTES, SEGMENTS = 4 << 20, 5000
+BYTES, SEGMENTS = 8 << 20, 5000
 
 
 def default_paths() -> tuple[str, str]:
@@ -101,34 +101,54 @@ def tools(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
-def align(data: bytes, a: list[int], b: list[int], bytes_a, bytes_b):
-    """Groups ((A ids, B ids) between the ends that both have) and links (A id, B id) of
-    overlapping tokens; None if the tokens' bytes are not those given."""
+#: Steps of a link: the A token, the B token or both follow those of the link before.
+A_NEXT, B_NEXT, BOTH_NEXT = 1, 2, 3
+#: A link as it travels.
+LINK = np.dtype([("a", "<u4"), ("b", "<u4"), ("step", "u1")])
+SMALL_LINK = np.dtype([("a", "<u2"), ("b", "<u2"), ("step", "u1")])
+
+
+def align(data: bytes, a: list[int], b: list[int], bytes_a, bytes_b) -> list[tuple[int, int, int]] | None:
+    """Links (A id, B id, step) of overlapping tokens in turn; groups begin where both
+    tokens are new. None if the tokens' bytes are not those given."""
     one, two = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
     if b"".join(one) != data or b"".join(two) != data:
         return None
-    groups, links = [], []
-    i = j = from_i = from_j = end_a = end_b = 0
-    while i < len(a):
-        if end_a == end_b:
-            end_a += len(one[i])
-            end_b += len(two[j])
-        elif end_a < end_b:
+    if len(a) == len(b) == 1:
+        return [(a[0], b[0], BOTH_NEXT)]
+    links = []
+    i = j = -1
+    end_a = end_b = 0
+    while i < len(a) - 1 or j < len(b) - 1:
+        step = BOTH_NEXT if end_a == end_b else A_NEXT if end_a < end_b else B_NEXT
+        if step & A_NEXT:
             i += 1
             end_a += len(one[i])
-        else:
+        if step & B_NEXT:
             j += 1
             end_b += len(two[j])
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append((a[from_i:i], b[from_j:j]))
-            from_i, from_j = i, j
-    return groups, links
+        links.append((a[i], b[j], step))
+    return links
 
 
-def group_text(groups) -> str:
-    return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+def group_texts(a: list[int], b: list[int], step: list[int], many: list[int]) -> list[str]:
+    """`a1,a2|b1;a3|b2` of each run of so many links."""
+    out, at = [], 0
+    for n in many:
+        if n == 1:
+            out.append(f"{a[at]}|{b[at]}")
+        else:
+            groups: list[tuple[list[str], list[str]]] = []
+            for k in range(at, at + n):
+                if step[k] == BOTH_NEXT:
+                    groups.append(([], []))
+                if step[k] & A_NEXT:
+                    groups[-1][0].append(str(a[k]))
+                if step[k] & B_NEXT:
+                    groups[-1][1].append(str(b[k]))
+            out.append(";".join(f"{','.join(x)}|{','.join(y)}" for x, y in groups))
+        at += n
+    return out
 
 
 def _coded(paths: tuple[str, str]):
@@ -165,29 +185,31 @@ def _coded(paths: tuple[str, str]):
     return run
 
 
-ALIGNED = "seg string, ok boolean, n_a int, n_b int, n_groups int, a array<int>, b array<int>, groups string"
+def link_type(both: Tokenizers) -> np.dtype:
+    return SMALL_LINK if max(len(both.bytes_a), len(both.bytes_b)) <= 1 << 16 else LINK
 
 
 def _aligned(paths: tuple[str, str]):
-    """Of each distinct segment its tokens' alignment; ok is false where bytes differ."""
+    """Of each distinct segment its links, packed; null where bytes differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tools(*paths)
-        kinds = [pa.string(), pa.bool_(), *[pa.int32()] * 3, *[pa.list_(pa.int32())] * 2, pa.string()]
-        names = [x.split()[0] for x in ALIGNED.split(", ")]
+        kind = link_type(both)
         for batch in batches:
             for at in range(0, batch.num_rows, SEGMENTS):
                 segs = batch.column(0).slice(at, SEGMENTS)
-                texts, rows = segs.to_pylist(), []
-                for seg, (a, b) in zip(texts, both.encode(texts), strict=True):
-                    found = align(seg.encode(), a, b, both.bytes_a, both.bytes_b)
-                    if found is None:
-                        rows.append((seg, False, 0, 0, 0, [], [], ""))
-                    else:
-                        groups, links = found
-                        rows.append((seg, True, len(a), len(b), len(groups), [x for x, _ in links], [y for _, y in links], group_text(groups)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                texts, found, ends = segs.to_pylist(), [], [0]
+                fine = np.ones(len(texts), dtype=bool)
+                for k, (seg, (a, b)) in enumerate(zip(texts, both.encode(texts), strict=True)):
+                    links = align(seg.encode(), a, b, both.bytes_a, both.bytes_b)
+                    fine[k] = links is not None
+                    found += links or ()
+                    ends.append(len(found))
+                packed = np.array(found, dtype=kind).tobytes()
+                offsets = pa.py_buffer((np.array(ends) * kind.itemsize).astype(np.int32))
+                valid = pa.py_buffer(np.packbits(fine, bitorder="little"))
+                links = pa.Array.from_buffers(pa.binary(), len(texts), [valid, offsets, pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays([segs, links], ["seg", "packed"])
 
     return run
 
@@ -207,11 +229,13 @@ def _numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Joined values and lengths of a column of lists."""
-    column = column.combine_chunks()
-    column = pa.concat_arrays([column]) if column.offset else column
-    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+def _unpacked(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Joined links, and how many each row has."""
+    rows = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks] or [pa.array([], pa.large_binary())])
+    offsets = np.frombuffer(rows.buffers()[1], dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    data = rows.buffers()[2]
+    data = b"" if data is None else data.to_pybytes()[offsets[0] : offsets[-1]]
+    return np.frombuffer(data, dtype=kind), np.diff(offsets) // kind.itemsize
 
 
 def _totals(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -221,23 +245,27 @@ def _totals(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return sums[edges[1:]] - sums[edges[:-1]]
 
 
-def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
+def _composer(kind: np.dtype):
+    return lambda left, right: _composed(left, right, kind)
+
+
+def _composed(left: pa.Table, right: pa.Table, kind: np.dtype) -> pa.Table:
     """A batch's documents from its segments' alignments: all but what counts of the whole
     corpus decide. links, pair, times: how many distinct pairs of ids each document has,
     which of the batch's pairs a, b they are and how often; n: documents with a pair."""
     sizes, codes = (np.frombuffer(left.column(n)[0].as_py(), dtype=np.int32) for n in ("sizes", "codes"))
     docs = len(sizes)
-    order = np.argsort(_numbers(right.column("code")))
-    right = right.take(pa.array(order))
-    fine = _numbers(right.column("ok")).astype(bool)
+    right = right.take(pa.array(np.argsort(_numbers(right.column("code")))))
+    bad = _numbers(right.column("packed").is_null()).astype(bool)
     doc = np.repeat(np.arange(docs), sizes)
-    good = (_totals(~fine[codes], doc, docs) == 0) & (sizes > 0)
+    good = (_totals(bad[codes], doc, docs) == 0) & (sizes > 0)
     codes, doc = codes[good[doc]], doc[good[doc]]
-    per = {n: _numbers(right.column(n)).astype(np.int64) for n in ("n_a", "n_b", "n_groups")}
-    a, many = _lists(right.column("a"))
-    b, _ = _lists(right.column("b"))
-    found = {n: _totals(v[codes], doc, docs) for n, v in per.items()}
+    links, many = _unpacked(right.column("packed"), kind)
+    owner = np.repeat(np.arange(len(many)), many)
+    per = {"n_a": links["step"] & A_NEXT, "n_b": links["step"] // B_NEXT, "n_groups": links["step"] == BOTH_NEXT}
+    found = {n: _totals(_totals(v, owner, len(many))[codes], doc, docs) for n, v in per.items()}
     found["n_links"] = _totals(many[codes], doc, docs)
+    a, b = links["a"], links["b"]
 
     pairs, pair = np.unique((a.astype(np.int64) << 32) | b, return_inverse=True)
     kinds, times = np.unique(doc.astype(np.int64) * max(1, len(many)) + codes, return_counts=True)
@@ -250,7 +278,7 @@ def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
     link_doc, link_pair = np.divmod(keys, max(1, len(pairs)))
     used = np.bincount(link_pair, minlength=len(pairs))
 
-    groups, at = right.column("groups").to_pylist(), np.searchsorted(doc, np.arange(docs + 1))
+    groups, at = group_texts(*(links[n].tolist() for n in ("a", "b", "step")), many.tolist()), np.searchsorted(doc, np.arange(docs + 1))
     text = codes.tolist()
     sha = [hashlib.sha256(";".join([groups[c] for c in text[at[d] : at[d + 1]]]).encode()).hexdigest() if good[d] else "" for d in range(docs)]
     row = {"batch": left.column("batch")[0].as_py(), "doc_ids": left.column("doc_ids")[0].as_py(), "sha": sha} | found
@@ -277,8 +305,8 @@ def _finished(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def aligned_segments(segs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """The alignment (see ALIGNED) of every distinct segment of segs (column seg)."""
-    return segs.select("seg").distinct().mapInArrow(_aligned(paths), ALIGNED)
+    """seg, packed: the links of every distinct segment of segs (column seg)."""
+    return segs.select("seg").distinct().mapInArrow(_aligned(paths), "seg string, packed binary")
 
 
 def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -301,7 +329,7 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
     coded = write_table(coded.mapInArrow(_coded(paths), "batch long, doc_ids array<long>, sizes binary, codes binary, segs array<string>"))
     segs = coded.select(F.col("batch").alias("of"), F.posexplode("segs").alias("code", "seg"))
     used = segs.join(write_table(aligned_segments(segs, paths)), "seg").drop("seg")
-    composed = coded.drop("segs").groupBy("batch").cogroup(used.groupBy("of")).applyInArrow(_composed, COMPOSED_DDL)
+    composed = coded.drop("segs").groupBy("batch").cogroup(used.groupBy("of")).applyInArrow(_composer(link_type(tools(*paths))), COMPOSED_DDL)
     composed = write_table(composed)
     drop_table(coded)
 
