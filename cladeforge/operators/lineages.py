@@ -132,14 +132,17 @@ def ncbi_lineages(records: DataFrame, ranks: list[str] | None = None, rank_propa
     rank, name) and alternative ids aka (an array), each of which gets a row as well.
 
     With propagation all ranks are filled in canonical order, from the division on.
-    Without, domain (or else kingdom) is the division unless the record names it.
+    Without, domain (or else kingdom) is the division unless the record names it, and the
+    species loses its genus only if genus is wanted, too.
     Records without an organism or a lineage are dropped.
     """
     wanted = RECORD_RANKS if ranks is None else ranks
     check_subset("rank", wanted, RANKS)
     named = lambda r: F.try_element_at(F.filter("lineage", lambda x: x["rank"] == r), F.lit(-1))["name"]
     names = {r: named(r) for r in RANKS}
-    names["genus"], names["species"] = split_species(names["genus"], F.col("organism"))
+    names["species"] = F.col("organism")
+    if rank_propagation or "genus" in wanted:
+        names["genus"], names["species"] = split_species(names["genus"], F.col("organism"))
     if rank_propagation:
         filled = L.filled([F.col("division"), *names.values()])[1:]
         names = dict(zip(names, filled, strict=True))
