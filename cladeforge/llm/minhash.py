@@ -13,16 +13,19 @@ What a link can be lost to: all BANDS differ though the similarity is 0.85 or mo
 a probability of under 1e-10 for each pair (0.5563**40), and the estimate lies under the
 binomial bound of 1e-10. There is no other way to lose one.
 
-Equal sets meet once, by a 128-bit hash. The sets of a bucket first meet only their
-smallest one, a join that Spark may split, so that a large group of near copies becomes
-one class from as many links as it has sets; then, only in buckets that still hold several
-classes, rows of different classes meet, dealt out to squares of at most 2 MANY rows.
+Equal sets meet once, by a 128-bit hash. The sets of a bucket first meet only one of them,
+a join that Spark may split: the one that shares most bands with others, which in a group
+of near copies is the text that all vary, then, in buckets that still hold several classes,
+random ones. So a large group becomes one class from about as many pairs as it has sets;
+only what is left of it, rows of different classes in one bucket whose signatures allow a
+link, meets pair by pair, dealt out to squares of at most 2 MANY rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ ROWS, PERMUTATIONS = 5, 100
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Rows of a bucket beyond which it is dealt out.
 MANY = 10_000
+#: Rounds in which rows of buckets of several classes meet a random one of each bucket.
+MORE_STARS = 2
 #: Probability with which an estimate may lie under the bound of a pair that is similar.
 MISS = 1e-10
 
@@ -211,43 +216,71 @@ def _crossing(least: int, percent: int):
     return run
 
 
+def _those(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose spot is among ids (column spot), by a bitmap of 4 KB for each
+    32,768 spots: a small fraction of the ids' own size, so that Spark, which decides by its
+    size, seldom has to shuffle the texts."""
+    bits = ids.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    place = F.bitmap_bit_position("spot")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    lit = F.expr("shiftright(byte, cast(place % 8 as int)) & 1") == 1
+    found = texts.withColumn("bucket", F.bitmap_bucket_number("spot")).join(bits, "bucket")
+    return found.withColumn("place", place).withColumn("byte", byte).where(lit).select(*texts.columns)
+
+
 def _links(firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """node, root of the sets (id, n, keys, sig) that are linked; texts: spot, text."""
     least = least_equal(percent / 100)
     bands = firsts.select(F.explode("keys").alias("key"), "n", "id")
+    many = bands.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = write_table(bands.join(many, "key"))  # without buckets of one
 
     def confirmed(some: DataFrame) -> DataFrame:
-        ends = some.select(F.col("a").alias("spot")).union(some.select(F.col("b").alias("spot"))).distinct()
-        needed = write_table(texts.join(ends, "spot", "left_semi"))
+        """Those of the pairs a, b that are links."""
+        for end in ("a", "b"):
+            some = some.join(firsts.select(F.col("id").alias(end), F.col("sig").alias(f"sig_{end}")), end)
+        some = write_table(some.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(least), "a long, b long"))
+        ends = some.select(F.col("a").alias("spot")).union(some.select(F.col("b").alias("spot")))
+        needed = write_table(_those(texts, ends))
+        both = some
         for end in ("a", "b"):
-            some = some.join(needed.select(F.col("spot").alias(end), F.col("text").alias(f"text_{end}")), end)
-        edges = write_table(some.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, percent), "a long, b long"))
-        drop_table(needed)
+            both = both.join(needed.select(F.col("spot").alias(end), F.col("text").alias(f"text_{end}")), end)
+        edges = write_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, percent), "a long, b long"))
+        for done in (needed, some):
+            drop_table(done)
         return edges
 
-    leaders = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    stars = bands.join(leaders.select("key", "lead.*").toDF("key", "a", "m"), "key").where("id <> a")
-    stars = write_table(stars.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", F.col("id").alias("b")).distinct())
-    some = stars
-    for end in ("a", "b"):
-        some = some.join(firsts.select(F.col("id").alias(end), F.col("sig").alias(f"sig_{end}")), end)
-    some = write_table(some.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(least), "a long, b long"))
-    edges = confirmed(some)
-
-    roots = connected_components(edges).withColumnRenamed("node", "id")
-    labelled = write_table(firsts.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id")).drop("root"))
-    bands = labelled.select(F.explode("keys").alias("key"), "id", "class")
-    mixed = bands.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("many"))
-    mixed = mixed.where("low <> high").select("key", F.ceil(F.col("many") / MANY).cast("int").alias("groups"))
-    rows = write_table(bands.join(mixed, "key").select("key", "groups", "id"))
-    group = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
-    square = lambda other: F.least(group, other) * F.col("groups") + F.greatest(group, other)
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.col("groups") - 1), square))
-    rows = rows.select("key", part.alias("part"), "id").join(labelled.select("id", "n", "class", "sig"), "id")
+    def stars(rows: DataFrame, order: list) -> DataFrame:
+        """Pairs of each row (key, id, n, class) of a bucket and the first one by the order."""
+        lead = F.max(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col("id").alias("a"), F.col("n").alias("m"), F.col("class").alias("c"))).alias("lead")
+        leaders = rows.groupBy("key").agg(lead).select("key", "lead.a", "lead.m", "lead.c")
+        pairs = rows.join(leaders, "key").where("class <> c").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        return write_table(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+
+    # First by the set that shares most bands with others: the text that the others vary, if it is there.
+    degree = shared.groupBy("id").agg(F.sum("many").alias("degree"))
+    tried = [stars(shared.join(degree, "id").withColumn("class", F.col("id")), [F.col("degree"), F.hash("id")])]
+    edges = confirmed(tried[0])
+    for last in [False] * MORE_STARS + [True]:
+        roots = connected_components(edges).withColumnRenamed("node", "id")
+        labelled = shared.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id")).drop("root")
+        mixed = labelled.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+        rows = write_table(labelled.join(mixed.select("key"), "key"))
+        if last:
+            break
+        tried.append(stars(rows, [F.xxhash64("key", "id", F.lit(len(tried)))]))
+        edges = edges.union(confirmed(tried[-1].join(reduce(DataFrame.union, tried[:-1]), ["a", "b"], "left_anti")))
+        drop_table(rows)
+
+    groups = F.ceil(F.col("many") / MANY).cast("int")
+    group = F.pmod(F.xxhash64("id"), groups).cast("int")
+    part = F.explode(F.transform(F.sequence(F.lit(0), groups - 1), lambda other: F.least(group, other) * groups + F.greatest(group, other)))
+    rows = rows.select("key", part.alias("part"), "n", "id", "class").join(firsts.select("id", "sig"), "id")
     rows = rows.select("key", "part", "n", "id", "class", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "id")
-    rest = write_table(rows.mapInArrow(_crossing(least, percent), "a long, b long").distinct().join(some, ["a", "b"], "left_anti"))
+    rest = rows.mapInArrow(_crossing(least, percent), "a long, b long").distinct()
+    rest = write_table(rest.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"))
     linked = connected_components(edges.union(confirmed(rest)))
-    for done in (stars, some, rest, labelled):
+    for done in (*tried, rest, shared):
         drop_table(done)
     return linked
 
