@@ -67,9 +67,9 @@ def brute(both, rows):
     return sorted(((d, a, b, g, len(k), sum(held[p] == most[p[0]] for p in k), sum(held[p] for p in k), h) for d, a, b, g, k, h in out), key=str)
 
 
-def got(spark, rows):
+def got(spark, rows, **kw):
     df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA).repartition(3)
-    return sorted(map(tuple, crosstok.alignments(df).collect()), key=str)
+    return sorted(map(tuple, crosstok.alignments(df, **kw).collect()), key=str)
 
 
 def test_odd_texts_match_brute_force(spark, both):
@@ -77,13 +77,12 @@ def test_odd_texts_match_brute_force(spark, both):
     assert got(spark, rows) == brute(both, rows)
 
 
-def test_documents_match_brute_force_in_small_batches(spark, both, monkeypatch):
+def test_documents_match_brute_force_in_small_batches(spark, both):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 2500").select("doc_id", "text")
     rows = sorted(map(tuple, table.collect()))
     want = brute(both, rows)
     assert got(spark, rows) == want
-    monkeypatch.setattr(crosstok, "BYTES", 3000)
-    assert got(spark, rows) == want
+    assert got(spark, rows, batch_bytes=3000, together=40, most=100) == want
 
 
 def test_empty_table(spark):
