@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ def _members(sequences: DataFrame, derep_prefix: bool, perc_identity: float, min
         return out
     kinds = kinds.select("centroid", "ord", "n").join(keys.select(F.col("id").alias("centroid"), "key"), "centroid")
     if derep_prefix:
-        moves = _prefix_map(kinds, max(1, min_length))
+        moves = _prefix_map(kinds)
         out = _recentred(out, moves)
         kinds = kinds.join(moves, "centroid", "left_anti")
     if perc_identity < 1:
@@ -57,30 +60,87 @@ def _recentred(members: DataFrame, moves: DataFrame) -> DataFrame:
     return members.join(moves, "centroid", "left").select("id", "ord", F.coalesce("target", "centroid").alias("centroid"))
 
 
-def _prefix_map(kinds: DataFrame, stem: int) -> DataFrame:
-    """centroid, target of the sequences (of stem letters at least) that others extend.
+PREFIXED = "centroid string, inner boolean, size long, n long, ord {ord}, target string, open array<int>"
+
+
+def _sorted_prefixes(firsts: dict[int, str]):
+    """Over rows part, key, centroid, ord, n sorted by part and key: of each row whether
+    another one extends it, and the best that does in its part: the shortest that nothing
+    extends, then the most abundant, then the first. open: later parts that begin with
+    extensions, too (firsts has the first key of each part).
+
+    In this order the extensions of a key follow it, so a stack of the keys that still
+    may be extended is all that is kept, and each key enters and leaves it once.
+    """
 
-    A sequence offers the hash of its prefix at each shorter length that occurs among
-    those with the same first letters, and meets the sequences of that hash and length;
-    the letters are joined and compared then. So the work follows the lengths in a stem's
-    group, not its pairs, and no letters travel with an offer. Only sequences that nothing extends are targets.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[list] = []  # key, centroid, inner, best, part
+        done: list[tuple] = []
+        kinds: list[pa.DataType] = []
+
+        def leave(at_edge: bool) -> None:
+            key, centroid, inner, best, part = stack.pop()
+            later = []
+            if at_edge:
+                for q in range(part + 1, max(firsts) + 1):
+                    if q in firsts and not firsts[q].startswith(key):
+                        break
+                    later += [q] if q in firsts else []
+            if stack and (inner or not later):  # what later parts extend is no target
+                stack[-1][3] = min(filter(None, (stack[-1][3], best)), default=None, key=lambda b: b[:4])
+            size, n, _, order, target = best if best and (inner or not later) else (None,) * 5
+            inner = inner or bool(later)
+            done.append((centroid, inner, size, -n if n is not None else None, order, target if inner else None, later))
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, ["centroid", "inner", "size", "n", "ord", "target", "open"])
+
+        part = None
+        for batch in batches:
+            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), batch.column(3).type, pa.string(), pa.list_(pa.int32())]
+            for own, key, centroid, order, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                while stack and (own != part or not key.startswith(stack[-1][0])):
+                    leave(own != part)
+                if stack:
+                    if not stack[-1][2]:
+                        stack[-1][2:4] = True, None  # not a target itself
+                part = own
+                stack.append([key, centroid, False, (len(key), -n, order is not None, order, centroid), own])
+            if done:
+                yield rows()
+        while stack:
+            leave(True)
+        if done:
+            yield rows()
+
+    return run
+
+
+def _prefix_map(kinds: DataFrame) -> DataFrame:
+    """centroid, target of the sequences (distinct keys) that others extend; only sequences
+    that nothing extends are targets.
+
+    One pass over the keys in order, in ranges; every range is a task. A key whose
+    extensions go on in later ranges is open at the end of its own, which the ranges' first
+    keys tell (as many keys as ranges, which Spark's range partitioning holds as well); the
+    open ones, few, then meet the rows of those ranges. No letters travel but for the order.
     """
-    start = F.xxhash64(F.substring("key", 1, stem)).alias("stem")
-    spread = cut(kinds.select(start, "centroid", "ord", "n", "key", F.length("key").alias("size")))
-    sizes = spread.select("stem", F.col("size").alias("m")).distinct()
-    lengths = sizes.groupBy("stem").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # the lengths, not the rows, of a stem
-    shorter = F.filter("ms", lambda m: m < F.col("size"))
-    hashes = F.transform(shorter, lambda m: F.struct(m.alias("m"), F.xxhash64(F.substring(F.col("key"), F.lit(1), m)).alias("h")))
-    offers = spread.join(lengths, "stem").select("centroid", "ord", "n", "size", F.inline(hashes))
-    short = spread.select(F.col("size").alias("m"), F.xxhash64("key").alias("h"), F.col("centroid").alias("short"))
-    hits = short.join(offers, ["m", "h"])
-    letters = spread.select("centroid", "key")
-    hits = hits.join(letters, "centroid").join(letters.select(F.col("centroid").alias("short"), F.col("key").alias("short_key")), "short")
-    found = hits.where(F.startswith("key", "short_key"))
-    inner = found.select(F.col("short").alias("centroid")).distinct()
-    whole = found.join(inner, "centroid", "left_anti")
+    ranged = kinds.select("key", "centroid", "ord", "n").repartitionByRange("key")
+    ranged = cut(ranged.select(F.spark_partition_id().alias("part"), "key", "centroid", "ord", "n"))
+    firsts = {r["part"]: r["key"] for r in ranged.groupBy("part").agg(F.min("key").alias("key")).collect()}
+    order_type = kinds.schema["ord"].dataType.simpleString()
+    inside = ranged.sortWithinPartitions("part", "key").mapInArrow(_sorted_prefixes(firsts), PREFIXED.format(ord=order_type))
+    inside = cut(inside)
+    found = inside.where("inner and target is not null").select(F.col("centroid").alias("short"), "size", "n", "ord", "target")
+    edge = inside.where(F.size("open") > 0).select(F.col("centroid").alias("short"), F.explode("open").alias("part"))
+    edge = edge.join(ranged.select(F.col("centroid").alias("short"), F.col("key").alias("short_key")), "short")
+    whole = inside.where("not inner").select("centroid")
+    beyond = ranged.join(edge, "part").where(F.startswith("key", "short_key")).join(whole, "centroid", "left_semi")
+    beyond = beyond.select("short", F.length("key").cast("long").alias("size"), "n", "ord", F.col("centroid").alias("target"))
     best = F.struct("size", -F.col("n"), "ord")
-    return whole.groupBy("short").agg(F.min_by("centroid", best).alias("target")).withColumnRenamed("short", "centroid")
+    return found.union(beyond).groupBy("short").agg(F.min_by("target", best).alias("target")).withColumnRenamed("short", "centroid")
 
 
 def dereplicate(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.functions import lineage as L
 from cladeforge.functions.words import unit_weights
-from cladeforge.operators.sequences import draw, missing_ids
+from cladeforge.operators.sequences import missing_ids, sample_exactly
 from cladeforge.schema import check_range
 
 #: Labels that stand for no classification.
@@ -133,10 +133,10 @@ def sequence_entropy(sequences: DataFrame) -> DataFrame:
 
 def kmer_entropy(sequences: DataFrame, k: int, fraction: float = 1.0, seed: int = 1) -> DataFrame:
     """Entropy of the k-mers (lower case) of the sequences, each sequence's counts scaled
-    to a vector of length one; of a seeded share of the sequences."""
+    to a vector of length one; of exactly int(fraction x n) sequences, drawn by the seed."""
     check_range("k", k, 1)
     check_range("fraction", fraction, 0, 1, open_low=True)
-    some = sequences.where(draw("id", seed) < fraction) if fraction < 1 else sequences
+    some = sample_exactly(sequences, fraction, seed) if fraction < 1 else sequences
     weights = some.select(F.lower("seq")).mapInArrow(unit_weights(k), "word string, w double").groupBy("word").agg(F.sum("w").alias("w"))
     return entropy(weights, [], "w").select(F.bround("entropy", 2).alias(f"kmer_entropy_{k}"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.functions import lineage as L
 from cladeforge.operators.rounds import cut
-from cladeforge.schema import PR2_RANKS, RANKS, RECORD_RANKS, SILVA_RANKS, SIX_RANKS, check_subset
+from cladeforge.schema import PR2_RANKS, RANKS, RECORD_RANKS, SILVA_RANKS, SIX_RANKS, check_subset, unused
 
 
 def tree_ancestors(nodes: DataFrame) -> DataFrame:
@@ -211,7 +211,8 @@ def chromosomes(report: DataFrame) -> DataFrame:
     return kept.select(F.col("assemblyAccession").alias("genome_id"), ids.alias("molecule_id")).distinct()
 
 
-def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
+def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key in the order of a column (later records replace earlier)."""
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return rows.withColumn("__n", last).where("__n = 1").drop("__n")
+    n = unused("n", rows.columns)
+    return rows.withColumn(n, last).where(F.col(n) == 1).drop(n)

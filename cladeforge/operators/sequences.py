@@ -3,11 +3,12 @@ so they apply to streams as well."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions import sequence as S
-from cladeforge.schema import check_range
+from cladeforge.operators.rounds import cut
+from cladeforge.schema import check_range, unused
 
 
 def cull_seqs(sequences: DataFrame, num_degenerates: int = 5, homopolymer_length: int = 8) -> DataFrame:
@@ -83,17 +84,19 @@ def filter_seqs_length_by_taxon(
     if check_ids:
         missing_ids(sequences, "id", taxonomy, "feature_id", "sequences without taxonomy")
 
+    taxon = unused("taxon", sequences.columns)
+
     def strictest(lens: list[int] | None, bound: int | None, pick) -> Column:
-        known = [F.when(F.contains(F.col("__taxon"), F.lit(k)), F.lit(n)) for k, n in dict(zip(labels, lens or (), strict=False)).items()]
+        known = [F.when(F.contains(F.col(taxon), F.lit(k)), F.lit(n)) for k, n in dict(zip(labels, lens or (), strict=False)).items()]
         return pick(F.array(*known, F.lit(bound).cast("int")))
 
     low = strictest(min_lens, global_min, F.array_max)
     high = strictest(max_lens, global_max, F.array_min)
     size = F.length("seq")
     fits = F.coalesce(size >= low, F.lit(True)) & F.coalesce(size <= high, F.lit(True))
-    taxa = taxonomy.select(F.col("feature_id").alias("id"), F.col("taxon").alias("__taxon"))
+    taxa = taxonomy.select(F.col("feature_id").alias("id"), F.col("taxon").alias(taxon))
     kept, lost = _split(sequences.join(taxa, "id"), fits)
-    return kept.drop("__taxon"), lost.drop("__taxon")
+    return kept.select(*sequences.columns), lost.select(*sequences.columns)
 
 
 def subsample_fasta(sequences: DataFrame, subsample_size: float = 0.1, random_seed: int = 1) -> DataFrame:
@@ -123,24 +126,59 @@ def relabel(sequences: DataFrame, by: str, prefix: str = "", keep: bool = False,
 
 
 def _renamed(sequences: DataFrame, new: Column, keep: bool) -> DataFrame:
-    out = sequences.withColumn("__new", new)
-    if keep:
-        out = out.withColumn("description", F.col("id"))
-    return out.withColumn("id", F.col("__new")).drop("__new")
+    """All at once, so that each new column is made of the old ones."""
+    return sequences.withColumns({"id": new} | ({"description": F.col("id")} if keep else {}))
 
 
 def _numbered(sequences: DataFrame, prefix: str, keep: bool, order: str) -> DataFrame:
     """Numbers rows in order without one task seeing them all: ranges, then offsets."""
-    from pyspark.sql import Window
-
-    ranged = sequences.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part").orderBy(order)
-    ranged = ranged.withColumn("__n", F.row_number().over(inside))
-    sizes = ranged.groupBy("__part").count()
-    before = sizes.withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count"))  # a row a partition
-    out = ranged.join(F.broadcast(before.select("__part", "__before")), "__part")
-    new = F.concat(F.lit(prefix), (F.col("__n") + F.col("__before")).cast("string"))
-    return _renamed(out, new, keep).drop("__part", "__n", "__before").select(*sequences.columns)
+    out, number = numbered(sequences, order)
+    return _renamed(out, F.concat(F.lit(prefix), F.col(number).cast("string")), keep).select(*sequences.columns)
+
+
+def numbered(rows: DataFrame, order: str) -> tuple[DataFrame, str]:
+    """rows with a column of their numbers from 1 on in an order, and that column's name.
+
+    Ranges are numbered by themselves, and those before one are counted: no task sees all
+    rows. The ranges are kept (see rounds.cut), so that both speak of the same ones.
+    """
+    part, number, before = (unused(n, rows.columns) for n in ("part", "number", "before"))
+    ranged = rows.repartitionByRange(F.col(order)).withColumn(part, F.spark_partition_id())
+    ranged = cut(ranged.withColumn(number, F.row_number().over(Window.partitionBy(part).orderBy(order))))
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(before))  # a row a partition
+    upto = sizes.select(part, (F.sum(before).over(Window.orderBy(part)) - F.col(before)).alias(before))
+    out = ranged.join(F.broadcast(upto), part)
+    return out.withColumn(number, F.col(number) + F.col(before)).drop(part, before), number
+
+
+#: Bits of a draw that a pass decides, and of a whole draw.
+DIGIT, DRAWN = 13, 52
+
+
+def sample_exactly(rows: DataFrame, fraction: float, seed: int = 1, column: str = "id") -> DataFrame:
+    """int(fraction x n) of the n rows, without replacement: those of the smallest draws of
+    a column's values, the same for a seed on any partitioning.
+
+    The bound is found digit by digit: a pass counts the draws by their next 13 bits, 8,192
+    numbers at most. Of rows whose draw is the bound itself, the first ones by the column.
+    """
+    check_range("fraction", fraction, 0, 1)
+    wanted = int(fraction * rows.count())
+    if not wanted:
+        return rows.where("false")
+    drawn = F.floor(draw(column, seed) * float(1 << DRAWN)).cast("long")
+    drawn = F.coalesce(drawn, F.lit((1 << DRAWN) - 1))
+    left, bound = wanted, 0
+    for shift in range(DRAWN - DIGIT, -1, -DIGIT):
+        inside = rows.where(F.shiftright(drawn, shift + DIGIT) == bound)
+        counts = inside.groupBy((F.shiftright(drawn, shift) % (1 << DIGIT)).alias("digit")).count().collect()
+        for digit, n in sorted((r["digit"], r["count"]) for r in counts):
+            if left <= n:
+                bound = (bound << DIGIT) + digit
+                break
+            left -= n
+    tied, number = numbered(rows.where(drawn == bound), column)
+    return rows.where(drawn < bound).unionByName(tied.where(F.col(number) <= left).drop(number))
 
 
 def abundance(sequences: DataFrame) -> Column:

@@ -12,7 +12,7 @@ from cladeforge.functions import lineage as L
 from cladeforge.functions.consensus import MODES, consensus
 from cladeforge.functions.patterns import java_literal, java_regex, java_template
 from cladeforge.operators.sequences import missing_ids
-from cladeforge.schema import SEVEN_RANKS, handles
+from cladeforge.schema import SEVEN_RANKS, handles, unused
 
 
 def filter_taxa(
@@ -41,8 +41,9 @@ def filter_taxa(
         wanted = ids_to_keep.select(F.col("id").alias("feature_id")).distinct()
         if check:
             missing_ids(wanted, "feature_id", taxonomy, "feature_id", "unknown ids to keep")
-        marked = taxonomy.join(wanted.withColumn("__kept", F.lit(True)), "feature_id", "left")
-        out = marked.where(passes | F.coalesce("__kept", F.lit(False))).select(*taxonomy.columns)
+        kept = unused("kept", taxonomy.columns)
+        marked = taxonomy.join(wanted.withColumn(kept, F.lit(True)), "feature_id", "left")
+        out = marked.where(passes | F.coalesce(kept, F.lit(False))).select(*taxonomy.columns)
     if check and out.isEmpty():
         raise ValueError("no lineage is left")
     return out
@@ -111,6 +112,7 @@ def merge_taxa(
 
 def _best(data: list[DataFrame], mode: str, handle_regex: str) -> DataFrame:
     rows, extra = [], {}
+    worth_name, order_name = (unused(n, ["score", *(c for d in data for c in d.columns)]) for n in ("worth", "order"))
     for order, d in enumerate(data):
         names = [c for c in d.columns if c not in ("feature_id", "taxon")]
         if mode == "score" and not names:
@@ -122,9 +124,9 @@ def _best(data: list[DataFrame], mode: str, handle_regex: str) -> DataFrame:
             extra["Score"] = None
         parts = L.labels(F.col("taxon"), handle_regex)
         worth = L.n_distinct(parts) if mode == "len" else F.col(names[0]).try_cast("double")
-        rows.append(d.select("feature_id", parts.alias("parts"), worth.alias("__worth"), F.lit(order).alias("__order"), *columns))
+        rows.append(d.select("feature_id", parts.alias("parts"), worth.alias(worth_name), F.lit(order).alias(order_name), *columns))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
     kept = ["parts", *extra]
-    best = every.groupBy("feature_id").agg(F.max_by(F.struct(*kept), F.struct("__worth", "__order")).alias("x"))
+    best = every.groupBy("feature_id").agg(F.max_by(F.struct(*kept), F.struct(worth_name, order_name)).alias("x"))
     out = best.select("feature_id", "x.*")
     return out.fillna(0, [c for c in extra if mode == "score"]) if extra else out

@@ -180,6 +180,7 @@ QUERIES = {
     "extract_segments": extract_segments,
     "derep_clustered": derep_clustered,
     "subsample": _seqs(lambda df: S.subsample_fasta(df, 0.3, 7)),
+    "sample_exact": _seqs(lambda df: S.sample_exactly(df, 0.3, 7)),
 }
 
 # SQL ------------------------------------------------------------------------------------
@@ -356,5 +357,7 @@ ORACLE_SQL = {
     f"SELECT id, CASE WHEN strand = '-' THEN {_TURNED} ELSE seq END AS seq FROM sequences JOIN h USING (id) WHERE strand <> '?'",
     "parse_silva": _SILVA,
     "evaluate_taxonomy": f"{_sql_evaluated('taxonomy', 'whole')} UNION ALL BY NAME {_sql_evaluated('observed', 'observed')}",
+    "sample_exact": _with(V.SQL_SEQUENCES) + """SELECT id, seq FROM (SELECT id, seq, row_number() OVER (ORDER BY substr(md5('7:' || id), 1, 13), id) AS place, count(*) OVER () AS n FROM sequences)
+WHERE place <= CAST(floor(0.3 * n) AS BIGINT)""",
     "subsample": _sql_seq("CAST('0x' || substr(md5('7:' || id), 1, 13) AS BIGINT) / 4503599627370496.0 < 0.3"),
 }

@@ -76,6 +76,14 @@ def handles(ranks: Sequence[str], allowed: dict[str, str] = RANKS) -> list[str]:
     return [prefix for rank, prefix in allowed.items() if rank in ranks]
 
 
+def unused(base: str, names: Collection[str]) -> str:
+    """base, or base with underscores where a column of that name (in any case) exists."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def check_subset(name: str, values: Collection[str], allowed: Collection[str]) -> None:
     if unknown := [v for v in values if v not in allowed]:
         raise ValueError(f"unknown {name}: {', '.join(map(str, unknown))}")

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladeforge.operators import align, dereplicate, evaluate, lineages, orient
 from cladeforge.operators import sequences as S
@@ -305,3 +306,55 @@ def test_release_formats(spark):
     assert tuple(lineages.blank_to_null(blank).first()) == (None, 1, "v")
     lines = spark.createDataFrame([("##gff",), ("accn|X\t1",)], "value string")
     assert [r.value for r in lineages.gff_without_accession_prefix(lines).collect()] == ["##gff", "X\t1"]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = "id string, description string, seq string, ord long, new string, taxon string, n long, number long, part long, before long, kept long, worth long"
+    df = spark.createDataFrame([("b", "x", "ACGT", 2, "n", "t", 5, 6, 7, 8, 9, 1), ("a", "y", "GG", 1, "m", "u", 5, 6, 7, 8, 9, 1)], names)
+    rest = lambda out: sorted(map(tuple, out.select(*df.columns[3:]).collect()))
+    want = rest(df)
+    for by in ("md5", "ticker"):
+        out = S.relabel(df, by, keep=True, order="ord")
+        assert out.columns == df.columns and rest(out) == want and sorted(r.description for r in out.collect()) == ["a", "b"]
+    taxa = spark.createDataFrame([("a", "k__A", 1, "q"), ("b", "k__B", 2, "r")], "feature_id string, taxon string, kept long, worth string")
+    kept, lost = S.filter_seqs_length_by_taxon(df, taxa, ["k__A"], min_lens=[3])
+    assert kept.columns == df.columns and [r.id for r in kept.collect()] == ["b"] and [r.taxon for r in lost.collect()] == ["u"]
+    out = X.filter_taxa(taxa, df.select("id").where("id = 'a'"), include=["k__B"])
+    assert sorted(map(tuple, out.collect())) == [("a", "k__A", 1, "q"), ("b", "k__B", 2, "r")]
+    merged = X.merge_taxa([taxa.drop("worth"), taxa.select("feature_id", "taxon", F.lit(3).alias("worth"))], "len")
+    assert sorted(merged.columns) == ["Kept", "Worth", "feature_id", "taxon"]
+    assert [tuple(r) for r in lineages.last_by(df, "n", "ord").select("n", "id").collect()] == [(5, "b")]
+
+
+def test_sample_exactly(spark):
+    rows = [(f"s{i % 90}", i) for i in range(200)] + [(None, 7)]
+    df = spark.createDataFrame(rows, "id string, number long").repartition(7)
+    for fraction in (0.0, 0.004, 0.31, 0.5, 1.0):
+        got = S.sample_exactly(df, fraction, 3)
+        assert got.columns == df.columns and got.count() == int(fraction * 201)
+    one, two = (sorted(r.id or "" for r in S.sample_exactly(d, 0.4, 5).collect()) for d in (df, df.coalesce(2)))
+    assert one == two != sorted(r.id or "" for r in S.sample_exactly(df, 0.4, 6).collect())
+
+
+def test_sorted_prefixes_match_brute_force(spark):
+    rng = random.Random(5)
+    keys = {"a" * i for i in range(1, 60, 3)}
+    for _ in range(40):
+        base = "".join(rng.choice("ab") for _ in range(rng.randint(1, 30)))
+        keys |= {base[: rng.randint(1, 30)] + "".join(rng.choice("ab") for _ in range(rng.randint(0, 3))) for _ in range(6)}
+    rows = [(f"c{i}", i, rng.randint(1, 3), k) for i, k in enumerate(sorted(keys, key=lambda _: rng.random()))]
+    want = {}
+    for c, _, _, k in rows:
+        longer = [r for r in rows if r[3] != k and r[3].startswith(k)]
+        longer = [r for r in longer if not any(q[3] != r[3] and q[3].startswith(r[3]) for q in rows)]
+        if longer:
+            want[c] = min(longer, key=lambda r: (len(r[3]), -r[2], r[1]))[0]
+    df = spark.createDataFrame(rows, "centroid string, ord long, n long, key string")
+    for ranges in (1, 5, 60):  # ranges narrower than a key's extensions, too
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {r.centroid: r.target for r in dereplicate._prefix_map(df).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
