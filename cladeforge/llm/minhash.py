@@ -5,27 +5,25 @@ set are kept, so PERMUTATIONS evaluations a shingle give twice as many values, e
 which two sets share with a probability of their similarity; the two of a permutation fall
 on different shingles, which makes the share of equal values an unbiased estimate of less
 variance than that of as many independent minima. Runs of ROWS minima, and the runs of the
-maxima of the same permutations, form the bands; sets that agree on a band are candidates.
-A candidate is compared by its signature (a byte a value), and the links are confirmed on
-the full sets.
-
-What a link can be lost to: all BANDS differ though the similarity is 0.85 or more, with
-a probability of under 1e-10 for each pair (0.5563**40), and the estimate lies under the
-binomial bound of 1e-10. There is no other way to lose one.
-
-Equal sets meet once, by a 128-bit hash. The sets of a bucket first meet only one of them,
-a join that Spark may split: the one that shares most bands with others, which in a group
-of near copies is the text that all vary, then, in buckets that still hold several classes,
-random ones. So a large group becomes one class from about as many pairs as it has sets;
-only what is left of it, rows of different classes in one bucket whose signatures allow a
-link, meets pair by pair, dealt out to squares of at most 2 MANY rows.
+maxima of the same permutations, form the bands; sets that agree on a band are candidates,
+and the links are confirmed on the full sets.
+
+What a link can be lost to: that all BANDS differ though the similarity is 0.85 or more,
+which has a probability of under 1e-10 for each pair (0.5563**40). There is no other way.
+
+Equal sets meet once, by a 128-bit hash. Sets that share bands, directly or through others,
+are a cluster, found from one pair a set and bucket; no text moves for it. A cluster's sets
+go to one task, or, beyond HELD shingles, are dealt out to squares of two groups each, where
+an inverted index of their shingles counts exactly what one set shares with all others. The
+set with the most common shingles is asked first, in a group of near copies the text that
+all vary; of the others only those that it isn't linked with ask, as sets that are of one
+class needn't be compared. A task gives at most one link a set that joins another's class,
+so no group gives its pairs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +32,14 @@ from pyspark.sql import functions as F
 
 from . import bytetext
 from .common import connected_components, drop_table, write_table
-from .simhash import HANDED, _pairs, _whole_buckets
+from .simhash import _pairs
 
 #: Values of a band, and the permutations: each run of ROWS of them gives two bands.
 ROWS, PERMUTATIONS = 5, 100
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Rows of a bucket beyond which it is dealt out.
-MANY = 10_000
-#: Rounds in which rows of buckets of several classes meet a random one of each bucket.
-MORE_STARS = 2
-#: Probability with which an estimate may lie under the bound of a pair that is similar.
+#: Shingles of a group of a cluster; a task holds two groups.
+HELD = 2_000_000
+#: Probability with which a similar pair may share no band.
 MISS = 1e-10
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -95,18 +91,8 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return bytetext.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * np.uint64(_STEP)).T
 
 
-def least_equal(similarity: float, miss: float = MISS) -> int:
-    """Of 2 PERMUTATIONS values, how many two similar sets share but for that probability."""
-    n, tail = 2 * PERMUTATIONS, 0.0
-    for k in range(n + 1):
-        tail += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
-        if tail > miss:
-            return k
-    return n
-
-
 def _marks(words: int):
-    """Of each text: a 128-bit hash of its shingle set, its size, band keys and signature."""
+    """Of each text: a 128-bit hash of its shingle set, its size and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,102 +102,79 @@ def _marks(words: int):
                 size = np.diff(begin)
                 some = np.flatnonzero(size)
                 kind = np.zeros((2, n), dtype=np.uint64)
-                lists, sigs = np.zeros((len(some), BANDS), dtype=np.uint64), np.zeros((len(some), 0), dtype=np.uint8)
+                lists = np.zeros((len(some), BANDS), dtype=np.uint64)
                 if len(some):
                     at = begin[some]
                     for half, weight in enumerate(_WEIGHT[:2]):
                         kind[half, some] = np.add.reduceat(bytetext.mix(sets * weight), at)
-                    values = signatures(sets, at)
-                    lists = band_keys(values)
-                    sigs = (bytetext.mix(values) >> np.uint64(56)).astype(np.uint8).T
+                    lists = band_keys(signatures(sets, at))
                 ends = np.cumsum(np.r_[0, np.where(size > 0, BANDS, 0)]).astype(np.int32)
-                sig = np.full(n, None, dtype=object)
-                for r, s in zip(some, np.ascontiguousarray(sigs), strict=True):
-                    sig[r] = s.tobytes()
                 part = batch.slice(row, n)
                 columns = [part.column(0), part.column(1), *(pa.array(k.view(np.int64)) for k in kind), pa.array(size, pa.int64())]
-                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(lists).view(np.int64).ravel())), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["spot", "doc_id", "k1", "k2", "n", "keys", "sig"])
+                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(lists).view(np.int64).ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, ["spot", "doc_id", "k1", "k2", "n", "keys"])
 
     return run
 
 
-def _joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _slices(one: np.ndarray, two: np.ndarray) -> Iterator[slice]:
-    """Runs of rows, given the offsets of two columns, of bounded bytes (or of one row)."""
-    both, row = one + two, 0
-    while row < len(both) - 1:
-        last = max(row + 1, int(np.searchsorted(both, both[row] + bytetext.SLICE, side="right")) - 1)
-        yield slice(row, last)
-        row = last
-
-
-def _alike(least: int):
-    """Pairs a, b (with sig_a, sig_b) that share as many values of their signatures."""
+def links(sets: list[np.ndarray], percent: int, counts: dict | None = None) -> list[tuple[int, int]]:
+    """Places of linked sets: not all of them, but enough to connect what is linked."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    new = np.r_[True, flat[order][1:] != flat[order][:-1]]
+    start = np.flatnonzero(new)
+    many = np.diff(np.r_[start, len(flat)])
+    kind = np.empty(len(flat), dtype=np.int64)  # of each place in flat the number of its shingle
+    kind[order] = np.cumsum(new) - 1
+    holders = owner[order]
+    begin = np.r_[0, np.cumsum(size)]
+    commonness = np.add.reduceat(many[kind], begin[:-1])
+    label, found = np.arange(len(sets)), []
+
+    def ask(i: int) -> None:
+        kinds = kind[begin[i] : begin[i + 1]]
+        kinds = kinds[many[kinds] > 1]
+        n = many[kinds]
+        place = np.repeat(start[kinds] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(holders[place], minlength=len(sets))
+        if counts is not None:
+            counts["asked"] = counts.get("asked", 0) + 1
+        for j in np.flatnonzero((100 * shared >= percent * (size[i] + size - shared)) & (label != label[i])):
+            if label[j] != label[i]:
+                found.append((i, int(j)))
+                label[label == label[j]] = label[i]
+
+    first = int(np.argmax(commonness))
+    ask(first)
+    for i in range(len(sets)):
+        if label[i] != label[first]:
+            ask(i)
+    return found
+
+
+def _linked(words: int, percent: int):
+    """Over rows root, part, spot, text sorted by root and part: links a, b of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, two = (_joined_bytes(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= least))
-
-    return run
-
+        own, spots, sets = None, [], []
 
-def _similar(words: int, percent: int):
-    """Pairs a, b (with text_a, text_b) whose full sets are similar."""
+        def finished() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                yield _pairs([(spots[i], spots[j]) for i, j in links(sets, percent)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            texts = [_joined_bytes(batch.column(i)) for i in (2, 3)] if batch.num_rows else []
-            for rows in _slices(*(offsets for _, offsets in texts)) if texts else ():
-                parts = ((data[at[rows.start] : at[rows.stop]], at[rows.start : rows.stop + 1] - at[rows.start]) for data, at in texts)
-                (x, at), (y, to) = (shingle_sets(*part, words) for part in parts)
-                for r in range(rows.stop - rows.start):
-                    one, two = x[at[r] : at[r + 1]], y[to[r] : to[r + 1]]
-                    shared = len(np.intersect1d(one, two, assume_unique=True))
-                    keep[rows.start + r] = 100 * shared >= percent * (len(one) + len(two) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
-def _crossing(least: int, percent: int):
-    """Over rows key, part, n, id, class, sig sorted by key and part: the pairs a < b of
-    different classes of a bucket whose sizes and signatures allow a link."""
-
-    def emit(cols: list[np.ndarray]) -> Iterator[np.ndarray]:
-        n, ids, classes, sig = cols
-        _, number, many = np.unique(classes, return_inverse=True, return_counts=True)
-        # Those of the largest class come last: they needn't look for each other.
-        order = np.argsort(number == many.argmax(), kind="stable")
-        n, ids, number = n[order], ids[order], number[order]
-        sig = np.frombuffer(b"".join(sig[order]), dtype=np.uint8).reshape(len(n), -1)
-        for i in range(len(n) - int(many.max())):
-            j = np.flatnonzero((number[i + 1 :] != number[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-            if len(j):
-                yield np.column_stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
-        for key, part, *cols in _whole_buckets(batches, 6):
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
-                for pairs in emit([c[a:b] for c in cols]):
-                    found.append(pairs)
-                    size += len(pairs)
-                    if size > HANDED:
-                        yield _pairs(np.unique(np.concatenate(found), axis=0))
-                        found, size = [], 0
-        if size:
-            yield _pairs(np.unique(np.concatenate(found), axis=0))
+            roots, parts, ids = (batch.column(i).to_pylist() for i in range(3))
+            for row, data, offsets in bytetext.slices(batch.column(3).cast(pa.large_string())):
+                flat, begin = shingle_sets(data, offsets, words)
+                for k in range(len(offsets) - 1):
+                    if (roots[row + k], parts[row + k]) != own:
+                        yield from finished()
+                        own, spots, sets = (roots[row + k], parts[row + k]), [], []
+                    spots.append(ids[row + k])
+                    sets.append(flat[begin[k] : begin[k + 1]].copy())
+        yield from finished()
 
     return run
 
@@ -229,59 +192,21 @@ def _those(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _links(firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, root of the sets (id, n, keys, sig) that are linked; texts: spot, text."""
-    least = least_equal(percent / 100)
-    bands = firsts.select(F.explode("keys").alias("key"), "n", "id")
-    many = bands.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    shared = write_table(bands.join(many, "key"))  # without buckets of one
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        """Those of the pairs a, b that are links."""
-        for end in ("a", "b"):
-            some = some.join(firsts.select(F.col("id").alias(end), F.col("sig").alias(f"sig_{end}")), end)
-        some = write_table(some.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(least), "a long, b long"))
-        ends = some.select(F.col("a").alias("spot")).union(some.select(F.col("b").alias("spot")))
-        needed = write_table(_those(texts, ends))
-        both = some
-        for end in ("a", "b"):
-            both = both.join(needed.select(F.col("spot").alias(end), F.col("text").alias(f"text_{end}")), end)
-        edges = write_table(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, percent), "a long, b long"))
-        for done in (needed, some):
-            drop_table(done)
-        return edges
-
-    def stars(rows: DataFrame, order: list) -> DataFrame:
-        """Pairs of each row (key, id, n, class) of a bucket and the first one by the order."""
-        lead = F.max(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col("id").alias("a"), F.col("n").alias("m"), F.col("class").alias("c"))).alias("lead")
-        leaders = rows.groupBy("key").agg(lead).select("key", "lead.a", "lead.m", "lead.c")
-        pairs = rows.join(leaders, "key").where("class <> c").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        return write_table(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-
-    # First by the set that shares most bands with others: the text that the others vary, if it is there.
-    degree = shared.groupBy("id").agg(F.sum("many").alias("degree"))
-    tried = [stars(shared.join(degree, "id").withColumn("class", F.col("id")), [F.col("degree"), F.hash("id")])]
-    edges = confirmed(tried[0])
-    for last in [False] * MORE_STARS + [True]:
-        roots = connected_components(edges).withColumnRenamed("node", "id")
-        labelled = shared.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id")).drop("root")
-        mixed = labelled.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-        rows = write_table(labelled.join(mixed.select("key"), "key"))
-        if last:
-            break
-        tried.append(stars(rows, [F.xxhash64("key", "id", F.lit(len(tried)))]))
-        edges = edges.union(confirmed(tried[-1].join(reduce(DataFrame.union, tried[:-1]), ["a", "b"], "left_anti")))
-        drop_table(rows)
-
-    groups = F.ceil(F.col("many") / MANY).cast("int")
-    group = F.pmod(F.xxhash64("id"), groups).cast("int")
-    part = F.explode(F.transform(F.sequence(F.lit(0), groups - 1), lambda other: F.least(group, other) * groups + F.greatest(group, other)))
-    rows = rows.select("key", part.alias("part"), "n", "id", "class").join(firsts.select("id", "sig"), "id")
-    rows = rows.select("key", "part", "n", "id", "class", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "id")
-    rest = rows.mapInArrow(_crossing(least, percent), "a long, b long").distinct()
-    rest = write_table(rest.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"))
-    linked = connected_components(edges.union(confirmed(rest)))
-    for done in (*tried, rest, shared):
-        drop_table(done)
+    """node, root of the sets (id, n, keys) that are linked; texts: spot, text."""
+    bands = firsts.select(F.explode("keys").alias("key"), "id")
+    buckets = bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
+    near = bands.join(buckets, "key").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    clusters = write_table(connected_components(near).join(firsts.select(F.col("id").alias("node"), "n"), "node"))
+    whole = clusters.groupBy("root").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("groups"))
+    group = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+    square = lambda other: F.least(group, other) * F.col("groups") + F.greatest(group, other)
+    # With two groups or more, the squares of two different groups hold those of one, too.
+    others = F.filter(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: (g != group) | (F.col("groups") == 1))
+    rows = clusters.join(whole, "root").select("root", F.explode(F.transform(others, square)).alias("part"), F.col("node").alias("spot"))
+    held = _those(texts, clusters.select(F.col("node").alias("spot"))).join(rows, "spot").select("root", "part", "spot", "text")
+    held = held.repartition("root", "part").sortWithinPartitions("root", "part", "spot")
+    linked = connected_components(held.mapInArrow(_linked(words, percent), "a long, b long"))
+    drop_table(clusters)
     return linked
 
 
@@ -304,13 +229,13 @@ def components(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
         raise ValueError(f"{BANDS} bands of {ROWS} values would miss too many pairs of that similarity")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = write_table(docs.select(F.monotonically_increasing_id().alias("spot"), "doc_id", F.col("text").cast("string").alias("text")))
-    schema = f"spot long, doc_id {id_type}, k1 long, k2 long, n long, keys array<long>, sig binary"
+    schema = f"spot long, doc_id {id_type}, k1 long, k2 long, n long, keys array<long>"
     marked = write_table(texts.select("spot", "doc_id", "text").mapInArrow(_marks(words), schema))
     kind = ["k1", "k2", "n"]
     some = marked.where("n > 0")
     kinds = write_table(some.groupBy(*kind).agg(F.min("spot").alias("id"), F.min("doc_id").alias("first_id")))
     firsts = some.join(kinds.select(F.col("id").alias("spot")), "spot", "left_semi")
-    firsts = write_table(firsts.select(F.col("spot").alias("id"), "n", "keys", "sig"))
+    firsts = write_table(firsts.select(F.col("spot").alias("id"), "n", "keys"))
     linked = _links(firsts, texts.select("spot", "text"), words, percent)
     rooted = write_table(kinds.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
