@@ -181,9 +181,9 @@ def _linked(words: int, percent: int):
 
 def _those(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of texts whose spot is among ids (column spot), by a bitmap of 4 KB for each
-    32,768 spots: a small fraction of the ids' own size, so that Spark, which decides by its
-    size, seldom has to shuffle the texts."""
-    bits = ids.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    32,768 spots: a small fraction of the ids' own size, and written, so that Spark knows it
+    when it decides whether the texts have to be shuffled."""
+    bits = write_table(ids.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")))
     place = F.bitmap_bit_position("spot")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     lit = F.expr("shiftright(byte, cast(place % 8 as int)) & 1") == 1
