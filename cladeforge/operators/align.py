@@ -1,14 +1,26 @@
 """Pairwise alignment of candidate pairs, and what is built on it: greedy clusters and
-the extraction of segments. Spark finds the candidates by shared k-mers; each pair is
-then aligned in an Arrow batch."""
+the extraction of segments.
+
+Clusters: each record meets, of the records before it, those that share most minimizers
+with it; every minimizer offers only the first records that hold it, so the pairs grow with
+the records. They are aligned in the band of diagonals that their minimizers show.
+
+Segments: the references go to the tasks in blocks of bounded size, as an index of their
+words. A sequence counts the words that it shares with each, takes those with the most, and
+drops those whose edit distance, by bit-parallel columns of all of them at once, is beyond
+what identity and coverage allow; the rest are aligned.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,25 +85,90 @@ def align(first: str, second: str) -> Alignment:
             i -= 1
         else:
             j = int(start[i, j]) if i else 0
+    return _summed(pairs, a, b, rows)
+
+
+def align_band(first: str, second: str, low: int, high: int) -> Alignment:
+    """As align(), over the diagonals from low to high alone (place in the first sequence
+    less that in the second); a sequence's ends are gaps where the band leaves them out."""
+    a, b = (np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8) for s in (second, first))
+    rows, cols = len(a), len(b)
+    low, high = max(low, -rows), min(high, cols)
+    width = high - low + 1
+    far = -(10**9)
+    k = np.arange(width)
+    edge_cost = lambda n: np.where(n > 0, END_GAP[0] + END_GAP[1] * n, 0)
+    j = k + low  # places in the first sequence before row 0
+    best = np.where((j >= 0) & (j <= cols), -edge_cost(np.maximum(j, 0)), far).astype(np.int64)
+    down = np.full(width, far, dtype=np.int64)
+    step, longer = np.zeros((rows + 1, width), dtype=np.int8), np.zeros((rows + 1, width), dtype=bool)
+    start = np.zeros((rows + 1, width), dtype=np.int32)
+    step[0] = 2
+    end = (far * 2, 0, 0)
+    for i in range(1, rows + 1):
+        j = k + low + i
+        here = (j >= 0) & (j <= cols)
+        edge = (j == 0) | (j == cols)
+        opens, goes = np.where(edge, END_GAP[0], GAP[0]), np.where(edge, END_GAP[1], GAP[1])
+        above, above_down = np.r_[best[1:], far], np.r_[down[1:], far]
+        again, fresh = above_down - goes, above - opens - goes
+        longer[i] = again > fresh
+        down = np.maximum(again, fresh)
+        letter = b[np.clip(j - 1, 0, cols - 1)]
+        diagonal = np.where(j >= 1, best + np.where(letter == a[i - 1], MATCH, MISMATCH), far)
+        stay = np.where(here, np.maximum(diagonal, down), far)
+        if 0 <= -low - i < width:  # before the first letter: a gap down from the corner
+            stay[-low - i] = max(int(stay[-low - i]), -END_GAP[0] - END_GAP[1] * i)
+        cost = END_GAP if i == rows else GAP
+        lifted = stay + cost[1] * k
+        top = np.maximum.accumulate(lifted)
+        where = np.maximum.accumulate(np.where(lifted >= top, k, 0))
+        across = np.full(width, far, dtype=np.int64)
+        across[1:] = top[:-1] - cost[0] - cost[1] * k[1:]
+        start[i, 1:] = where[:-1]
+        best = np.where(here, np.maximum(stay, across), far)
+        step[i] = np.where(best == diagonal, 0, np.where(best == stay, 1, 2))
+        last = cols - low - i
+        if 0 <= last < width:  # after the last letter: a gap down to the corner
+            end = max(end, (int(best[last] - edge_cost(np.int64(rows - i))), i, last))
+    ends = np.where((k + low + rows >= 0) & (k + low + rows <= cols), best - edge_cost(np.maximum(cols - (k + low + rows), 0)), far)
+    end = max(end, (int(ends.max()), rows, int(np.argmax(ends))))
+    (_, i, c), pairs = end, []
+    while i > 0 and 0 <= c < width and i + low + c > 0:
+        if step[i, c] == 0:
+            pairs.append((i - 1, i + low + c - 1))
+            i -= 1
+        elif step[i, c] == 1:
+            while i > 0 and c < width and longer[i, c]:
+                i, c = i - 1, c + 1
+            i, c = i - 1, c + 1
+        else:
+            c = int(start[i, c])
+    return _summed(pairs, a, b, rows)
+
+
+def _summed(pairs: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, rows: int) -> Alignment:
+    """Of the aligned places, last first."""
     if not pairs:
         return Alignment(0.0, 0.0, 0, 0)
-    pairs.reverse()
-    (i0, j0), (i1, j1) = pairs[0], pairs[-1]
+    (i1, j1), (i0, j0) = pairs[0], pairs[-1]
     columns = (i1 - i0 + 1) + (j1 - j0 + 1) - len(pairs)
-    matches = sum(a[i] == b[j] for i, j in pairs)
-    return Alignment(matches / columns, len(pairs) / rows, j0, j1 + 1)
+    i, j = np.array(pairs).T
+    return Alignment(int((a[i] == b[j]).sum()) / columns, len(pairs) / rows, j0, j1 + 1)
 
 
 def _align_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [align(x, y) for x, y in zip(pdf.pop("seq_a"), pdf.pop("seq_b"), strict=True)]
+        several = zip(pdf.pop("seq_a"), pdf.pop("seq_b"), pdf.pop("from"), pdf.pop("upto"), strict=True)
+        found = [align(x, y) if pd.isna(low) else align_band(x, y, int(low), int(high)) for x, y, low, high in several]
         yield pdf.assign(**{n: [getattr(x, n) for x in found] for n in Alignment._fields})
 
 
 def aligned_pairs(pairs: DataFrame) -> DataFrame:
-    """a, b, identity, covered, low, high of rows a, b, seq_a, seq_b."""
+    """a, b, identity, covered, low, high of rows a, b, seq_a, seq_b and a band (from, upto);
+    a null one is all."""
     schema = "a string, b string, identity double, covered double, low int, high int"
-    return pairs.select("a", "b", "seq_a", "seq_b").mapInPandas(_align_batches, schema)
+    return pairs.select("a", "b", "seq_a", "seq_b", "from", "upto").mapInPandas(_align_batches, schema)
 
 
 def words(sequences: DataFrame, k: int) -> DataFrame:
@@ -99,24 +176,109 @@ def words(sequences: DataFrame, k: int) -> DataFrame:
     return sequences.select("id", F.explode(F.array_distinct(kmers(F.upper(to_dna(F.col("seq"))), k))).alias("word"))
 
 
-def greedy_clusters(records: DataFrame, identity: float) -> DataFrame:
+#: Letters of a minimizer at most, words it is the least of, and the diagonals that a band
+#: has on either side of its middle: these, and one a possible edit up to so many more.
+LONGEST, NEXT, PAD, DRIFT = 20, 4, 32, 256
+#: Minimizers shared for each letter of the overlap, at least: about a sixth of what is
+#: expected of records as similar as asked for (0.4 a letter, one of five whole).
+DENSITY = 0.0133
+#: Records, the first ones, that a minimizer offers, and candidates that a record takes.
+OFFERED, TAKEN = 16, 32
+
+
+def minimizer_length(identity: float) -> int:
+    """Letters of which a word stays whole in one of five places at that identity."""
+    return LONGEST if identity >= 1 else max(WORD, min(LONGEST, int(math.log(0.2) / math.log(identity))))
+
+
+def minimizers(seq: str, k: int, window: int = NEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words that are the least of a run of window words, once each
+    where a word occurs once (others are left out: they show no diagonal)."""
+    letters = np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8).astype(np.uint64)
+    n = len(letters) - k + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    code = np.zeros(n, dtype=np.uint64)
+    for i in range(k):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + letters[i : i + n] + np.uint64(1)
+    code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    code ^= code >> np.uint64(32)
+    runs = np.lib.stride_tricks.sliding_window_view(code, min(window, n))
+    place = np.unique(np.argmin(runs, axis=1) + np.arange(len(runs)))
+    kinds, first, many = np.unique(code[place], return_index=True, return_counts=True)
+    return kinds[many == 1].view(np.int64), place[first[many == 1]]
+
+
+def _minimized(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [minimizers(s or "", k) for s in batch.column(1).to_pylist()]
+            sizes = pa.array(np.cumsum([0, *(len(w) for w, _ in found)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x]))) for x in zip(*found, strict=True)] if found else []
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "words", "places"])
+
+    return run
+
+
+def candidates(ranked: DataFrame, identity: float) -> DataFrame:
+    """a, b, from, upto: of each record b (id, ord, seq) up to TAKEN records a before it, by
+    the number of minimizers that it shares with them, and a band around the diagonal in
+    their middle. Pairs that share too few for the letters that overlap there are left out.
+
+    A minimizer offers its first OFFERED records, which are the likely centroids: the pairs
+    are OFFERED a word of a record at most, however many records hold a word.
+    """
+    k = minimizer_length(identity)
+    held = ranked.select("id", "seq").mapInArrow(_minimized(k), "id string, words array<long>, places array<long>")
+    rows = held.select("id", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("place")))).join(ranked.select("id", "ord", F.length("seq").alias("size")), "id")
+    rows = cut(rows)
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("ord", "id"))
+    heads = rows.withColumn("nth", nth).where(F.col("nth") <= OFFERED)
+    heads = heads.select("word", F.col("id").alias("a"), F.col("ord").alias("ord_a"), F.col("place").alias("place_a"), F.col("size").alias("size_a"))
+    pairs = rows.join(heads, "word").where((F.col("ord_a") < F.col("ord")) | ((F.col("ord_a") == F.col("ord")) & (F.col("a") < F.col("id"))))
+    shift = F.col("place_a") - F.col("place")
+    found = pairs.groupBy("a", F.col("id").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.median(shift).cast("long").alias("middle"), *(F.first(c).alias(c) for c in ("ord_a", "size_a", "size"))
+    )
+    overlap = F.least("size_a", F.col("size") + F.col("middle")) - F.greatest("middle", F.lit(0))
+    found = found.withColumn("overlap", overlap).where(F.col("n") >= DENSITY * F.col("overlap"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "ord_a", "a"))
+    found = found.withColumn("nth", best).where(F.col("nth") <= TAKEN)
+    side = PAD + F.least(F.ceil((1 - identity) * F.col("overlap")), F.lit(DRIFT))
+    return found.select("a", "b", (F.col("middle") - side).alias("from"), (F.col("middle") + side).alias("upto"))
+
+
+def _all_pairs(ranked: DataFrame) -> DataFrame:
+    """a, b, from, upto: all pairs, the earlier one first, that share a word of WORD letters."""
+    left, right = (words(ranked, WORD).withColumnRenamed("id", n) for n in ("a", "b"))
+    orders = [ranked.select(F.col("id").alias(n), F.col("ord").alias(f"ord_{n}")) for n in ("a", "b")]
+    pairs = left.join(right, "word").select("a", "b").distinct().join(orders[0], "a").join(orders[1], "b")
+    before = (F.col("ord_a") < F.col("ord_b")) | ((F.col("ord_a") == F.col("ord_b")) & (F.col("a") < F.col("b")))
+    none = F.lit(None).cast("long")
+    return pairs.where(before).select("a", "b", none.alias("from"), none.alias("upto"))
+
+
+def greedy_clusters(records: DataFrame, identity: float, exact: bool = False) -> DataFrame:
     """centroid, target of the records (id, ord, seq) that join another's cluster.
 
     In the order of ord each record joins, of the centroids before it whose identity
     suffices, the most similar (then the first), or becomes a centroid. Rounds decide all
     records whose earlier neighbours are decided; their number is that of the longest
     chain of neighbours.
+
+    Neighbours come from candidates(), aligned in a band: a similar pair is lost where too few
+    of its minimizers are whole, or OFFERED records before it hold each of them. With
+    exact they are all pairs that share a word of 8 letters, aligned in full.
     """
     check_range("identity", identity, 0, 1, open_low=True)
-    ranked = records.select("id", "ord", "seq")
-    left, right = (words(ranked, WORD).withColumnRenamed("id", n) for n in ("a", "b"))
-    orders = [ranked.select(F.col("id").alias(n), F.col("ord").alias(f"ord_{n}"), F.col("seq").alias(f"seq_{n}")) for n in ("a", "b")]
-    shared = left.join(right, "word").groupBy("a", "b").count()
-    pairs = shared.join(orders[0], "a").join(orders[1], "b").where(
-        (F.col("ord_a") < F.col("ord_b")) | ((F.col("ord_a") == F.col("ord_b")) & (F.col("a") < F.col("b")))
-    )
+    ranked = records.select("id", "ord", F.upper(to_dna(F.col("seq"))).alias("seq"))
+    found = _all_pairs(ranked) if exact else candidates(ranked, identity)
+    letters = [ranked.select(F.col("id").alias(n), F.col("seq").alias(f"seq_{n}")) for n in ("a", "b")]
+    pairs = found.join(letters[0], "a").join(letters[1], "b")
+    orders = [ranked.select(F.col("id").alias("a"), F.col("ord").alias("ord_a"))]
     near = aligned_pairs(pairs).where(F.col("identity") >= identity).select("a", "b", "identity")
-    near = cut(near.join(orders[0].select("a", "ord_a"), "a"))
+    near = cut(near.join(orders[0], "a"))
     state = cut(ranked.select("id").withColumn("target", F.lit(None).cast("string")))  # target: itself for centroids
     while not state.where("target is null").isEmpty():
         of_a = state.select(F.col("id").alias("a"), F.col("target").alias("target_a"))
@@ -131,6 +293,164 @@ def greedy_clusters(records: DataFrame, identity: float) -> DataFrame:
     return state.where("id <> target").select(F.col("id").alias("centroid"), "target")
 
 
+#: Words that a sequence and a reference share at least (all of the reference's, if fewer),
+#: references that a sequence takes, by the number of shared words, and letters of a block.
+SHARED, BLOCK = 12, 8_000_000
+#: Bits of the patterns compared at once, and letters between two looks at their scores.
+BITS, LOOK = 1 << 14, 2048
+_BASE = np.full(256, 4, dtype=np.int64)
+_BASE[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def base_words(seq: str, k: int = WORD) -> np.ndarray:
+    """The distinct words of A, C, G and T, as numbers."""
+    base = _BASE[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)]
+    n = len(base) - k + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64)
+    code, bad = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for i in range(k):
+        part = base[i : i + n]
+        code, bad = code * 4 + (part & 3), bad | (part > 3)
+    seen = np.zeros(4**k, dtype=bool)
+    seen[code[~bad]] = True
+    return np.flatnonzero(seen)
+
+
+def least_distances(text: str, patterns: list[str]) -> list[int]:
+    """Of each pattern the least edit distance to any part of text.
+
+    Bit-parallel: a column of the table of all patterns is one long number of vertical
+    differences, a bit a letter and one between patterns that takes the carries.
+    """
+    if not patterns:
+        return []
+    full = top = at = 0
+    tops, equal = [], dict.fromkeys(map(ord, "ACGT"), 0)
+    for p in patterns:
+        for i, c in enumerate(p):
+            equal[ord(c)] = equal.get(ord(c), 0) | 1 << at + i
+        full |= ((1 << len(p)) - 1) << at
+        tops.append(at + len(p) - 1)
+        top |= 1 << tops[-1]
+        at += len(p) + 1
+    size, plus, minus = at // 8 + 1, full, 0
+    score = np.array([len(p) for p in patterns], dtype=np.int64)
+    least, byte, bit = score.copy(), np.array(tops) // 8, np.array(tops) % 8
+    letters = text.encode("ascii", "replace")
+    for begin in range(0, len(letters), LOOK):
+        ups, downs = [], []
+        for c in letters[begin : begin + LOOK]:
+            eq = equal.get(c, 0)
+            xv = eq | minus
+            xh = ((((eq & plus) + plus) ^ plus) | eq) & full
+            up = minus | (full & ~(xh | plus))
+            down = plus & xh
+            ups.append((up & top).to_bytes(size, "little"))
+            downs.append((down & top).to_bytes(size, "little"))
+            up, down = up << 1 & full, down << 1 & full
+            plus, minus = down | (full & ~(xv | up)), up & xv
+        looks = [np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, size)[:, byte] >> bit & 1 for x in (ups, downs)]
+        path = score + np.cumsum(looks[0].astype(np.int64) - looks[1], axis=0)
+        least, score = np.minimum(least, path.min(axis=0)), path[-1]
+    return least.tolist()
+
+
+class References:
+    """A block of references (id, letters) and where their words are."""
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        self.ids, self.seqs = [r[0] for r in rows], [r[1] for r in rows]
+        held = [base_words(s) for s in self.seqs]
+        self.size = np.array([len(w) for w in held], dtype=np.int64)
+        flat, owner = np.concatenate([np.zeros(0, dtype=np.int64), *held]), np.repeat(np.arange(len(rows)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order].astype(np.int32)
+        self.begin = np.searchsorted(flat[order], np.arange(4**WORD + 1))
+
+    def shared(self, seq: str) -> np.ndarray:
+        """How many distinct words each reference shares with a sequence."""
+        found = base_words(seq)
+        n = self.begin[found + 1] - self.begin[found]
+        place = np.repeat(self.begin[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[place], minlength=len(self.ids))
+
+    def most_shared(self, seq: str, most: int | None) -> list[int]:
+        """The references that share enough words, those with most of them first; all, if
+        there is no bound."""
+        if most is None:
+            return list(range(len(self.ids)))
+        shared = self.shared(seq)
+        fit = np.flatnonzero((shared >= np.minimum(SHARED, self.size)) & (shared > 0))
+        return sorted(fit.tolist(), key=lambda r: (-shared[r], self.ids[r]))[:most]
+
+    def near(self, seq: str, chosen: list[int], identity: float, coverage: float) -> list[int]:
+        """Those of the chosen that an alignment as good may have: at most m / identity
+        columns of m letters, of which a share are no matches, and the letters not covered."""
+        out, part, bits = [], [], 0
+        for r in [*chosen, None]:
+            if part and (r is None or bits + len(self.seqs[r]) > BITS):
+                for p, d in zip(part, least_distances(seq, [self.seqs[p] for p in part]), strict=True):
+                    if d <= len(self.seqs[p]) * ((1 - identity) / identity + 1 - coverage) + 1e-9:
+                        out.append(p)
+                part, bits = [], 0
+            if r is not None:
+                part.append(r)
+                bits += len(self.seqs[r])
+        return out
+
+
+def _best_hits(refs: References, identity: float, coverage: float, most: int | None):
+    def hit(seq: str) -> tuple | None:
+        good = [(r, x) for r in refs.near(seq, refs.most_shared(seq, most), identity, coverage) if (x := align(seq, refs.seqs[r])).identity >= identity and x.covered >= coverage]
+        if not good:
+            return None
+        r, x = min(good, key=lambda g: (-g[1].identity, refs.ids[g[0]]))
+        return refs.ids[r], x.identity, x.low, x.high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *h) for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if s and (h := hit(s))]
+            columns = zip(*found, strict=True) if found else [()] * 5
+            kinds = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["id", "b", "identity", "low", "high"])
+
+    return run
+
+
+HIT = "id string, b string, identity double, low int, high int"
+
+
+def _in_blocks(sequences: DataFrame, fit: DataFrame, job, schema: str) -> DataFrame:
+    """job(block) over the sequences (id, seq), for each block of the references fit."""
+    letters = fit.agg(F.sum(F.length("seq"))).first()[0] or 0
+    blocks = max(1, math.ceil(letters / BLOCK))
+    found = []
+    for k in range(blocks):
+        rows = fit.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # about BLOCK letters
+        found.append(sequences.mapInArrow(job(References([(r["id"], r["seq"]) for r in rows])), schema))
+    return reduce(DataFrame.union, found)
+
+
+def _shared_counts(refs: References, most: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chosen = refs.most_shared(s or "", most)
+                n = refs.shared(s or "")[chosen]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(chosen), pa.string()), pa.array([refs.ids[r] for r in chosen], pa.string()), pa.array(n, pa.int64())], ["id", "b", "shared"])
+
+    return run
+
+
+def segment_candidates(sequences: DataFrame, references: DataFrame, most: int | None = 32) -> DataFrame:
+    """id, b, shared: the references (of any length) that extract_seq_segments() looks at for
+    each sequence, and the distinct words of A, C, G and T that the two share."""
+    fit = cut(references.select("id", F.upper(to_dna(F.col("seq"))).alias("seq")))
+    rows = sequences.select("id", F.upper(to_dna(F.col("seq"))).alias("seq"))
+    return _in_blocks(rows, fit, lambda refs: _shared_counts(refs, most), "id string, b string, shared long")
+
+
 def extract_seq_segments(
     sequences: DataFrame,
     references: DataFrame,
@@ -138,26 +458,26 @@ def extract_seq_segments(
     target_coverage: float = 0.9,
     min_seq_len: int = 32,
     max_seq_len: int = 50_000,
+    most: int | None = 32,
 ) -> tuple[DataFrame, DataFrame]:
     """(segments, unmatched): of each sequence the part that aligns best with a reference
     segment on the same strand, if identity and the covered share of the segment suffice.
 
-    The lengths bound the references. Equal identities: the first id of the references.
+    The lengths bound the references. Equal identities: the first id of the references. Of
+    each block of references a sequence looks at the `most` that share most words with it,
+    SHARED or more; None looks at all, and loses nothing. The references go to all tasks,
+    a block of BLOCK letters (or one longer reference) at a time; the sequences are read
+    once for each block.
     """
     for name, value in (("perc_identity", perc_identity), ("target_coverage", target_coverage)):
         check_range(name, value, 0, 1, open_low=True)
     for name, value in (("min_seq_len", min_seq_len), ("max_seq_len", max_seq_len)):
         check_range(name, value, 1)
-    fit = references.where(F.length("seq").between(min_seq_len, max_seq_len))
-    shared = words(sequences, WORD).join(words(fit, WORD).withColumnRenamed("id", "b"), "word")
-    ids = shared.select(F.col("id").alias("a"), "b").distinct()
     upper = F.upper(to_dna(F.col("seq")))
-    pairs = ids.join(sequences.select(F.col("id").alias("a"), upper.alias("seq_a")), "a").join(
-        fit.select(F.col("id").alias("b"), upper.alias("seq_b")), "b"
-    )
-    good = aligned_pairs(pairs).where((F.col("identity") >= perc_identity) & (F.col("covered") >= target_coverage))
-    first = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("identity"), "b"))
-    best = good.withColumn("n", first).where("n = 1").select(F.col("a").alias("id"), "low", "high")
+    fit = cut(references.where(F.length("seq").between(min_seq_len, max_seq_len)).select("id", upper.alias("seq")))
+    every = cut(_in_blocks(sequences.select("id", upper.alias("seq")), fit, lambda refs: _best_hits(refs, perc_identity, target_coverage, most), HIT))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("identity"), "b"))
+    best = every.withColumn("n", first).where("n = 1").select("id", "low", "high")
     part = F.substring(F.col("seq"), F.col("low") + 1, F.col("high") - F.col("low"))
     segments = sequences.join(best, "id").withColumn("seq", part).select(*sequences.columns)
     return segments, sequences.join(best, "id", "left_anti")

@@ -134,9 +134,17 @@ def evaluate_taxonomy(spark, sf_dir):
     return _rounded(out, "entropy", "p_terminating", "p_classified", "p_unclassified")
 
 
+def _short_segments(spark, sf_dir):
+    return V.segments(spark, sf_dir).withColumn("seq", F.substring("seq", 21, 60))
+
+
 def extract_segments(spark, sf_dir):
-    refs = V.segments(spark, sf_dir).withColumn("seq", F.substring("seq", 21, 60))
-    return align.extract_seq_segments(V.segments(spark, sf_dir), refs)[0].select("id", "seq")
+    """Of every document the part that is most like a passage of the benchmark."""
+    return align.extract_seq_segments(V.sequences(spark, sf_dir), _short_segments(spark, sf_dir), 0.8, 0.9)[0].select("id", "seq")
+
+
+def segment_candidates(spark, sf_dir):
+    return align.segment_candidates(V.sequences(spark, sf_dir), _short_segments(spark, sf_dir))
 
 
 def derep_clustered(spark, sf_dir):
@@ -178,6 +186,7 @@ QUERIES = {
     "parse_silva": parse_silva,
     "evaluate_taxonomy": evaluate_taxonomy,
     "extract_segments": extract_segments,
+    "segment_candidates": segment_candidates,
     "derep_clustered": derep_clustered,
     "subsample": _seqs(lambda df: S.subsample_fasta(df, 0.3, 7)),
     "sample_exact": _seqs(lambda df: S.sample_exactly(df, 0.3, 7)),
@@ -357,6 +366,13 @@ ORACLE_SQL = {
     f"SELECT id, CASE WHEN strand = '-' THEN {_TURNED} ELSE seq END AS seq FROM sequences JOIN h USING (id) WHERE strand <> '?'",
     "parse_silva": _SILVA,
     "evaluate_taxonomy": f"{_sql_evaluated('taxonomy', 'whole')} UNION ALL BY NAME {_sql_evaluated('observed', 'observed')}",
+    "segment_candidates": _with(V.SQL_SEQUENCES, V.SQL_SEGMENTS).rstrip() + """,
+w AS MATERIALIZED (SELECT id, unnest(list_distinct(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8)))) AS word FROM sequences),
+r AS MATERIALIZED (SELECT id AS b, unnest(list_distinct(list_transform(range(1, length(substr(seq, 21, 60)) - 6), lambda i: substr(substr(seq, 21, 60), i, 8)))) AS word FROM segments),
+g AS (SELECT * FROM r WHERE regexp_full_match(word, '[ACGT]{8}')),
+s AS (SELECT id, b, count(*) AS shared FROM w JOIN g USING (word) GROUP BY id, b),
+n AS (SELECT b, count(*) AS n FROM g GROUP BY b)
+SELECT id, b, shared FROM s JOIN n USING (b) WHERE shared >= least(12, n) QUALIFY row_number() OVER (PARTITION BY id ORDER BY shared DESC, b) <= 32""",
     "sample_exact": _with(V.SQL_SEQUENCES) + """SELECT id, seq FROM (SELECT id, seq, row_number() OVER (ORDER BY substr(md5('7:' || id), 1, 13), id) AS place, count(*) OVER () AS n FROM sequences)
 WHERE place <= CAST(floor(0.3 * n) AS BIGINT)""",
     "subsample": _sql_seq("CAST('0x' || substr(md5('7:' || id), 1, 13) AS BIGINT) / 4503599627370496.0 < 0.3"),

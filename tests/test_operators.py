@@ -358,3 +358,76 @@ def test_sorted_prefixes_match_brute_force(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 4)
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def mutated(rng, seq, rate):
+    out = []
+    for c in seq:
+        x = rng.random()
+        if x >= rate / 3:
+            out += [rng.choice("ACGT")] if x < 2 * rate / 3 else []
+            out.append(rng.choice("ACGT") if x < rate else c)
+    return "".join(out)
+
+
+def test_band_and_whole_alignment_agree():
+    rng = random.Random(1)
+    some = lambda *n: "".join(rng.choice("ACGT") for _ in range(rng.choice(n)))
+    for _ in range(120):
+        core = some(5, 30, 80)
+        a, b = some(0, 10, 40) + mutated(rng, core, 0.08) + some(0, 10, 40), some(0, 7, 30) + core + some(0, 7, 30)
+        whole, band = align.align(a, b), align.align_band(a, b, -1000, 1000)
+        assert whole.identity == pytest.approx(band.identity) and whole.covered == band.covered
+    a = some(2000)
+    b = mutated(rng, a, 0.05)
+    assert align.align(a, b) == align.align_band(a, b, -80, 80)
+
+
+def test_least_distances_match_brute_force():
+    rng = random.Random(2)
+
+    def least(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, d in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    for _ in range(60):
+        text = "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 60)))
+        patterns = ["".join(rng.choice("ACGTR") for _ in range(rng.randint(1, 70))) for _ in range(rng.randint(1, 5))]
+        assert align.least_distances(text, patterns) == [least(p, text) for p in patterns]
+
+
+def test_segments_lose_nothing_that_aligns(spark, monkeypatch):
+    """All candidates, bounded by distance, against all pairs aligned; and in blocks."""
+    rng = random.Random(7)
+    refs = ["".join(rng.choice("ACGT") for _ in range(rng.randint(40, 90))) for _ in range(12)]
+    rows = [(f"s{i:02}", "".join(rng.choice("ACGT") for _ in range(60)) + mutated(rng, rng.choice(refs), rng.choice((0.02, 0.1, 0.2))) + "ACGTAC") for i in range(40)]
+    rows += [("none", "A" * 80), ("empty", ""), ("odd", "ACGTNNNNACGTRYACGT" * 5)]
+    want = {}
+    for i, s in rows:
+        good = [(-x.identity, f"r{k:02}", s[x.low : x.high]) for k, r in enumerate(refs) if s and (x := align.align(s, r)).identity >= 0.8 and x.covered >= 0.9]
+        if good:
+            want[i] = min(good)[2]
+    df, ref_df = seqs(spark, rows), seqs(spark, [(f"r{k:02}", r) for k, r in enumerate(refs)])
+    segs, missed = align.extract_seq_segments(df, ref_df, 0.8, 0.9, most=None)
+    assert {r.id: r.seq for r in segs.collect()} == want and ids(missed) == sorted({i for i, _ in rows} - set(want)) and len(want) > 20
+    monkeypatch.setattr(align, "BLOCK", 200)
+    got = {r.id: r.seq for r in align.extract_seq_segments(df, ref_df, 0.8, 0.9)[0].collect()}
+    assert len(got) >= 0.9 * len(want) and got.items() <= want.items()
+
+
+def test_candidates_of_clusters_find_similar_records(spark):
+    """Recall of the minimizers against all pairs, on copies with edits; hot words offer
+    only their first records, so a large group costs no square of pairs."""
+    rng = random.Random(3)
+    bases = ["".join(rng.choice("ACGT") for _ in range(rng.randint(80, 160))) for _ in range(4)]
+    rows = [(f"c{i:03}", mutated(rng, bases[i % 4], rng.choice((0.0, 0.02, 0.05)))) for i in range(48)]
+    df = seqs(spark, rows).select("id", "ord", "seq")
+    exact, got = ({r.centroid: r.target for r in align.greedy_clusters(df, 0.9, exact=e).collect()} for e in (True, False))
+    assert len(exact) > 30
+    assert sum(k in got for k in exact) >= 0.9 * len(exact) and len(got) <= 1.05 * len(exact)
+    assert align.candidates(df, 0.9).count() <= align.TAKEN * len(rows)
