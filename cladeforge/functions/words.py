@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of an ASCII letter; as many letters fit a 64-bit code.
@@ -76,29 +76,63 @@ def unit_weights(k: int):
     return run
 
 
-def shared_words(seq: Column, k: int, sets: list[list[str]]) -> Column:
-    """An array with, for each set of words, how many of the distinct words of seq it has.
+_BASE = np.full(256, 4, dtype=np.int64)
+_BASE[[ord(c) for c in "ACGT"]] = range(4)
+#: Bytes of a piece of a bitmap, as the SQL functions over bitmaps take them.
+PIECE = 4096
 
-    The sets go to all tasks, so their size must be bounded.
-    """
-    plain = [np.sort(np.array([w.encode() for w in s if w.isascii()], dtype=f"S{k}")) for s in sets]
-    whole = [{w for w in s if not w.isascii()} for s in sets]
 
-    def known(words: np.ndarray, some: np.ndarray) -> int:
-        if not len(some):
-            return 0
-        place = np.minimum(np.searchsorted(some, words), len(some) - 1)
-        return int((some[place] == words).sum())
+def base_codes(seq: str, k: int) -> tuple[np.ndarray, list[str]]:
+    """The distinct words of A, C, G and T as numbers in base 4, and those with other letters."""
+    letters = seq.encode("ascii", "replace")
+    base = _BASE[np.frombuffer(letters, dtype=np.uint8)]
+    n = max(0, len(base) - k + 1)
+    code, odd = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for i in range(k):
+        part = base[i : i + n]
+        code, odd = code * 4 + (part & 3), odd | (part > 3)
+    return np.unique(code[~odd]), list({seq[i : i + k] for i in np.flatnonzero(odd)})
+
+
+def word_bitmap(seqs: DataFrame, k: int) -> np.ndarray:
+    """A bit for each of the 4**k words of A, C, G and T, set if a sequence (the only column)
+    has it. Tasks send pieces that are joined by or: 4**k / 8 bytes reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(max(4**k, 8 * PIECE), dtype=bool)
+        for batch in batches:
+            for seq in batch.column(0).to_pylist():
+                seen[base_codes(seq or "", k)[0]] = True
+        pieces = np.packbits(seen, bitorder="little").reshape(-1, PIECE)
+        some = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], ["piece", "bits"])
+
+    out = np.zeros((max(4**k // 8, PIECE) // PIECE, PIECE), dtype=np.uint8)
+    for r in seqs.mapInArrow(run, "piece long, bits binary").groupBy("piece").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
+        out[r["piece"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
+def turned_bitmap(bits: np.ndarray, k: int) -> np.ndarray:
+    """The bitmap of the reverse complements of a bitmap's words."""
+    left = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+    code = np.zeros(len(left), dtype=np.int64)
+    for _ in range(k):
+        left, letter = np.divmod(left, 4)
+        code = code * 4 + 3 - letter
+    out = np.zeros(len(bits) * 8, dtype=bool)
+    out[code] = True
+    return np.packbits(out, bitorder="little")
+
+
+def shared_words(seq: Column, k: int, bitmaps: list[np.ndarray], others: list[list[str]]) -> Column:
+    """An array with, for each bitmap and list of words with other letters, how many of the
+    distinct words of seq are there. They go to all tasks, so the lists must be bounded."""
+    sets = [frozenset(o) for o in others]
 
     def count(seq: str | None) -> list[int]:
-        if seq is None:
-            return [0] * len(sets)
-        if seq.isascii():
-            words = np.unique(windows(seq, k))
-            return [known(words, some) for some in plain]
-        words = {seq[i : i + k] for i in range(len(seq) - k + 1)}
-        ascii_words = np.unique(np.array([w.encode() for w in words if w.isascii()], dtype=f"S{k}"))
-        return [known(ascii_words, a) + len(words & b) for a, b in zip(plain, whole, strict=True)]
+        codes, odd = base_codes(seq or "", k)
+        return [int((bits[codes >> 3] >> (codes & 7) & 1).sum()) + sum(w in s for w in odd) for bits, s in zip(bitmaps, sets, strict=True)]
 
     @F.arrow_udf("array<int>")
     def counted(seqs: pa.Array) -> pa.Array:

@@ -2,57 +2,116 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeforge.functions.dust import dust_masked
 from cladeforge.functions.sequence import kmers, reverse_complement, to_dna
-from cladeforge.functions.words import shared_words
-from cladeforge.operators.align import words
+from cladeforge.functions.words import shared_words, turned_bitmap, word_bitmap
+from cladeforge.operators import sequences as S
+from cladeforge.operators.rounds import cut
+from cladeforge.schema import check_choice, unused
 
 WORD = 12
 #: Times as many words as on the other strand that a strand needs.
 MARGIN = 4
-#: Distinct words of the references that are sent to all tasks; more are joined.
+#: Distinct words with other letters than A, C, G and T that are sent to all tasks.
 SENT_WORDS = 2_000_000
 
 
-def orientation(sequences: DataFrame, references: DataFrame, key: str = "id") -> DataFrame:
+def orientation(sequences: DataFrame, references: DataFrame, key: str = "id", dbmask: str | None = None) -> DataFrame:
     """key, strand (+, - or ?), forward, backward: distinct words shared by each strand.
 
-    Up to SENT_WORDS words of the references are looked up inside the rows, so no word of
-    a sequence is shuffled; beyond that, words meet by a join. An empty or null sequence
-    shares none.
+    The references' words of A, C, G and T are a bitmap of all there can be (2 MB a strand),
+    looked up inside the rows, so that no word of a sequence is shuffled, however large the
+    references. Their words with other letters go along while they are at most SENT_WORDS;
+    more meet by a join. An empty or null sequence shares none. dbmask: see masked().
     """
-    known = words(references.select("id", "seq"), WORD).select("word").distinct()
+    letters = to_dna(F.col("seq"))
+    refs = masked(references.select((letters if dbmask == "soft" else F.upper(letters)).alias("seq")), dbmask)
+    plain = word_bitmap(refs, WORD)
+    odd = F.filter(F.array_distinct(kmers(F.col("seq"), WORD)), lambda w: ~w.rlike("^[ACGT]*$"))
+    known = cut(refs.where("not seq rlike '^[ACGT]*$'").select(F.explode(odd).alias("word")).distinct())
+    if dbmask in ("soft", "dust"):
+        known = known.where(~F.contains("word", F.lit(MASKED)))
     turned = known.select(reverse_complement(F.col("word")).alias("word"))  # a sequence turned, or the words: the same hits
     seq = F.upper(to_dna(F.col("seq")))
     sent = [r["word"] for r in known.limit(SENT_WORDS + 1).collect()]
-    if len(sent) <= SENT_WORDS:
-        back = [r["word"] for r in turned.collect()]
-        shared = shared_words(seq, WORD, [sent, back])
-        all_keys = sequences.select(key, shared.alias("n")).select(key, F.col("n")[0].alias("forward"), F.col("n")[1].alias("backward"))
+    few = len(sent) <= SENT_WORDS
+    back = [r["word"] for r in turned.collect()] if few else []
+    shared = shared_words(seq, WORD, [plain, turned_bitmap(plain, WORD)], [sent if few else [], back])
+    all_keys = sequences.select(key, shared.alias("n"), *([] if few else [seq.alias("seq")]))
+    counts = [F.col("n")[0].alias("forward"), F.col("n")[1].alias("backward")]
+    if few:
+        all_keys = all_keys.select(key, *counts)
     else:
         every = known.withColumn("strand", F.lit("+")).unionByName(turned.withColumn("strand", F.lit("-")))
-        found = F.array_distinct(kmers(seq, WORD))
-        hits = sequences.select(key, F.explode(found).alias("word")).join(every, "word").groupBy(key).agg(
-            *[F.sum(F.when(F.col("strand") == s, 1).otherwise(0)).alias(n) for s, n in (("+", "forward"), ("-", "backward"))]
+        hits = all_keys.select(key, F.explode(odd).alias("word")).join(every, "word").groupBy(key).agg(
+            *[F.sum(F.when(F.col("strand") == s, 1).otherwise(0)).alias(n) for s, n in (("+", "more_forward"), ("-", "more_backward"))]
         )
-        all_keys = sequences.select(key).join(hits, key, "left").fillna(0, ["forward", "backward"])
+        all_keys = all_keys.select(key, *counts).join(hits, key, "left").fillna(0, ["more_forward", "more_backward"])
+        sums = [(F.col(n) + F.col(f"more_{n}")).alias(n) for n in ("forward", "backward")]
+        all_keys = all_keys.select(key, *sums)
     f, b = F.col("forward"), F.col("backward")
     strand = F.when((f >= 1) & (f >= MARGIN * b), "+").when((b >= 1) & (b >= MARGIN * f), "-").otherwise("?")
     return all_keys.select(key, strand.alias("strand"), "forward", "backward")
 
 
-def orient_seqs(sequences: DataFrame, references: DataFrame | None = None, dbmask: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(oriented, unmatched); without references every sequence is reverse-complemented."""
-    if dbmask not in (None, "none"):
-        raise NotImplementedError("references are not masked; dbmask must be none")
+#: The letter of masked places, which no word of a sequence has.
+MASKED = "\x01"
+
+
+def masked(references: DataFrame, dbmask: str | None) -> DataFrame:
+    """References (seq, letters in upper case but for soft) whose masked letters match none:
+    with dust the stretches of low complexity (see functions.dust), with none nothing."""
+    check_choice("dbmask", dbmask or "none", ("none", "dust", "soft"))
+    if dbmask in (None, "none"):
+        return references
+    if dbmask == "dust":
+        return references.select(dust_masked(F.col("seq"), MASKED).alias("seq"))
+    return references.select(F.upper(F.translate("seq", string.ascii_lowercase, MASKED * 26)).alias("seq"))
+
+
+def orient_seqs(
+    sequences: DataFrame,
+    references: DataFrame | None = None,
+    dbmask: str | None = None,
+    relabel: str | None = None,
+    relabel_keep: bool = False,
+    relabel_md5: bool = False,
+    relabel_self: bool = False,
+    relabel_sha1: bool = False,
+    sizein: bool = False,
+    sizeout: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(oriented, unmatched); without references every sequence is reverse-complemented, and
+    the other parameters have no part.
+
+    dbmask (none, dust or soft: lower-case letters) masks the references. The oriented
+    sequences get new ids: relabel and a number in the order of the ids, or their md5, sha1
+    or letters; relabel_keep keeps the old id as description. sizeout gives ids their
+    abundance, which is that of `;size=n` in the old id with sizein, else 1.
+    """
+    if sum([relabel is not None, relabel_md5, relabel_self, relabel_sha1]) > 1:
+        raise ValueError("give one of relabel, relabel_md5, relabel_self and relabel_sha1")
     turned = reverse_complement(F.col("seq"))
     if references is None:
         return sequences.withColumn("seq", turned), sequences.where(F.lit(False))
-    told = sequences.join(orientation(sequences, references).select("id", "strand"), "id")
-    oriented = told.where("strand <> '?'").withColumn("seq", F.when(F.col("strand") == "-", turned).otherwise(F.col("seq")))
-    return oriented.select(*sequences.columns), told.where("strand = '?'").select(*sequences.columns)
+    strand = unused("strand", sequences.columns)
+    told = sequences.join(orientation(sequences, references, dbmask=dbmask).select("id", F.col("strand").alias(strand)), "id")
+    oriented = told.where(F.col(strand) != "?").withColumn("seq", F.when(F.col(strand) == "-", turned).otherwise(F.col("seq")))
+    oriented, unmatched = oriented.select(*sequences.columns), told.where(F.col(strand) == "?").select(*sequences.columns)
+    size = unused("size", sequences.columns)
+    if sizeout:
+        oriented = oriented.withColumn(size, S.abundance(oriented) if sizein else F.lit(1).cast("long"))
+    by = "ticker" if relabel is not None else "md5" if relabel_md5 else "self" if relabel_self else "sha1" if relabel_sha1 else None
+    if by is not None:
+        oriented = S.relabel(oriented, by, relabel or "", relabel_keep)
+    if sizeout:
+        oriented = S.with_abundance(oriented, size).drop(size)
+    return oriented, unmatched
 
 
 def orient_reads(reads: DataFrame, references: DataFrame, dbmask: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +121,9 @@ def orient_reads(reads: DataFrame, references: DataFrame, dbmask: str | None = N
     are not turned. Reads of samples without a reverse direction are turned themselves,
     with their qualities.
     """
-    if dbmask not in (None, "none"):
-        raise NotImplementedError("references are not masked; dbmask must be none")
     key = F.struct("sample_id", "read_no")
     forward = reads.where("direction = 'forward'").select(key.alias("key"), "seq")
-    told = orientation(forward, references, "key").select("key.sample_id", "key.read_no", "strand")
+    told = orientation(forward, references, "key", dbmask).select("key.sample_id", "key.read_no", "strand")
     paired = reads.groupBy("sample_id").agg(F.max(F.col("direction") == "reverse").alias("paired"))
     every = reads.join(told, ["sample_id", "read_no"]).join(F.broadcast(paired), "sample_id")  # a row a sample
     minus, pair = F.col("strand") == "-", F.col("paired")

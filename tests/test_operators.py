@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cladeforge.functions import dust, words
 from cladeforge.operators import align, dereplicate, evaluate, lineages, orient
 from cladeforge.operators import sequences as S
 from cladeforge.operators import taxonomy as X
@@ -431,3 +433,72 @@ def test_candidates_of_clusters_find_similar_records(spark):
     assert len(exact) > 30
     assert sum(k in got for k in exact) >= 0.9 * len(exact) and len(got) <= 1.05 * len(exact)
     assert align.candidates(df, 0.9).count() <= align.TAKEN * len(rows)
+
+
+def test_bitmaps_of_words():
+    rng = random.Random(4)
+    seq = "".join(rng.choice("ACGTN") for _ in range(300))
+    codes, odd = words.base_codes(seq, 4)
+    want = {seq[i : i + 4] for i in range(297)}
+    named = {"".join("ACGT"[c >> s & 3] for s in (6, 4, 2, 0)) for c in codes.tolist()}
+    assert named | set(odd) == want and not named & set(odd)
+    bits = np.zeros(8 * words.PIECE, dtype=bool)
+    bits[codes] = True
+    back = np.flatnonzero(np.unpackbits(words.turned_bitmap(np.packbits(bits, bitorder="little"), 4), bitorder="little"))
+    turned = {w[::-1].translate(str.maketrans("ACGT", "TGCA")) for w in named}
+    assert {"".join("ACGT"[c >> s & 3] for s in (6, 4, 2, 0)) for c in back.tolist()} == turned
+
+
+def test_dust_finds_low_complexity():
+    rng = random.Random(8)
+    some = "".join(rng.choice("ACGT") for _ in range(200))
+    assert dust.low_complexity(some).mean() < 0.1
+    masked = dust.low_complexity(some + "A" * 40 + some)
+    assert masked[200:240].all() and masked[:190].sum() + masked[250:].sum() < 30
+    assert dust.low_complexity("ACACACAC" * 8).all() and not dust.low_complexity("ACGT").any()
+
+    def brute(t):
+        best = (0, 0, 0)
+        for i in range(len(t)):
+            for j in range(i + 1, len(t)):
+                counts = [t[i : j + 1].count(x) for x in set(t[i : j + 1])]
+                best = max(best, (10 * sum(n * (n - 1) // 2 for n in counts) // (j - i), -i, -j))
+        return best[0]
+
+    for _ in range(20):
+        part = [rng.choice((1, 2, 3)) for _ in range(rng.randint(2, 12))]
+        assert dust.worst_part(np.array(part))[0] == brute(part)
+
+
+def test_masked_references_orient_nothing(spark):
+    rng = random.Random(6)
+    plain, low = "".join(rng.choice("ACGT") for _ in range(80)), "AC" * 30
+    df = seqs(spark, [("x", plain), ("y", low), ("z", plain[::-1].translate(str.maketrans("ACGT", "TGCA")))])
+    refs = seqs(spark, [("r", plain + low), ("odd", "ACGTNNNNACGTACGTNACGT")])
+    strands = lambda mask, r: {x.id: x.strand for x in orient.orientation(df, r, dbmask=mask).collect()}
+    assert strands(None, refs) == {"x": "+", "y": "+", "z": "-"}
+    assert strands("dust", refs) == {"x": "+", "y": "?", "z": "-"}
+    soft = seqs(spark, [("r", plain.lower() + low)])
+    assert strands("soft", soft) == {"x": "?", "y": "+", "z": "?"} and strands("none", soft)["x"] == "+"
+    with pytest.raises(ValueError):
+        orient.orientation(df, refs, dbmask="x")
+
+
+def test_oriented_sequences_are_relabelled(spark, monkeypatch):
+    rng = random.Random(6)
+    plain = "".join(rng.choice("ACGT") for _ in range(80))
+    df = seqs(spark, [("b;size=3", plain), ("a;size=5;", plain[10:]), ("q", "ACGT")])
+    refs = seqs(spark, [("r", plain)])
+    out, missed = orient.orient_seqs(df, refs, relabel="n", relabel_keep=True, sizein=True, sizeout=True)
+    assert {r.id: r.description for r in out.collect()} == {"n1;size=5": "a;size=5;", "n2;size=3": "b;size=3"} and ids(missed) == ["q"]
+    assert ids(orient.orient_seqs(df, refs, sizeout=True)[0]) == ["a;size=1", "b;size=1"]
+    assert ids(orient.orient_seqs(df, refs, relabel_self=True)[0]) == sorted([plain, plain[10:]])
+    with pytest.raises(ValueError):
+        orient.orient_seqs(df, refs, relabel="x", relabel_md5=True)
+
+
+def test_odd_words_meet_by_a_join_where_they_are_many(spark, monkeypatch):
+    refs, df = seqs(spark, [("r", "ACGTNACGTNACGTRYACGTACGT")]), seqs(spark, [("x", "ACGTNACGTNACGTRYACGTACGT"), ("y", "ACGTACGTRYACGTNACGTNACGT"), ("z", None)])
+    want = sorted(map(tuple, orient.orientation(df, refs).collect()))
+    monkeypatch.setattr(orient, "SENT_WORDS", 2)
+    assert sorted(map(tuple, orient.orientation(df, refs).collect())) == want and want[0][2] > 5
