@@ -153,49 +153,54 @@ class Labeller:
 
     def __init__(self, net: Network):
         self.labels, self.bias = len(net.labels), net.p["bias"]
-        self.out = {"f": net.p["out"][:HIDDEN], "b": net.p["out"][HIDDEN:]}
+        # States and gates are rows over the texts, so that each operation runs along memory.
+        self.out = {"f": net.p["out"][:HIDDEN].T.copy(), "b": net.p["out"][HIDDEN:].T.copy()}
         # What a byte gives to the gates; these go through tanh, of which a sigmoid is a half.
         half = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)
-        self.given = {s: ((net.p["embed"] @ net.p[f"{s}_in"] + net.p[f"{s}_b"]) * half).astype(np.float32) for s in "fb"}
-        self.again = {s: (net.p[f"{s}_re"] * half).astype(np.float32) for s in "fb"}
-
-    def _step(self, side: str, h: np.ndarray, data: np.ndarray) -> None:
-        """One byte further: h (texts x HIDDEN) is changed in place."""
-        g, a = self.given[side][data], h @ self.again[side]
-        gates = g[:, : 2 * HIDDEN]
-        gates += a[:, : 2 * HIDDEN]
+        given = {s: (net.p["embed"] @ net.p[f"{s}_in"] + net.p[f"{s}_b"]) * half for s in "fb"}
+        self.given = {s: np.ascontiguousarray(given[s].T.astype(np.float32)) for s in "fb"}
+        self.again = {s: np.ascontiguousarray((net.p[f"{s}_re"] * half).T.astype(np.float32)) for s in "fb"}
+
+    def _step(self, side: str, h: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The states h (HIDDEN x texts) one byte further."""
+        g, a = self.given[side].take(data, axis=1), self.again[side] @ h
+        gates, new, past = g[: 2 * HIDDEN], g[2 * HIDDEN :], a[2 * HIDDEN :]
+        gates += a[: 2 * HIDDEN]
         np.tanh(gates, out=gates)
         gates += 1
         gates *= 0.5
-        new = a[:, 2 * HIDDEN :] * 1  # the reset gate was not halved for it
-        new *= gates[:, HIDDEN:]
-        new += g[:, 2 * HIDDEN :]
+        past *= gates[HIDDEN:]  # the reset gate was not halved for it
+        new += past
         np.tanh(new, out=new)
-        h -= new
-        h *= gates[:, :HIDDEN]
+        h = h - new
+        h *= gates[:HIDDEN]
         h += new
+        return h
 
     def _side_by_side(self, data: np.ndarray, live: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Sums of the label probabilities over the positions inside each segment; data and
         inside are (time, segment), longest first, live how many have each step."""
         steps, width = data.shape
-        states = np.zeros((steps, width, HIDDEN), dtype=np.float32)
-        h = np.zeros((width, HIDDEN), dtype=np.float32)
+        states = np.zeros((steps, HIDDEN, width), dtype=np.float32)
+        h = np.zeros((HIDDEN, 0), dtype=np.float32)
         for t in range(steps - 1, -1, -1):
-            self._step("b", h[: live[t]], data[t, : live[t]])
-            states[t, : live[t]] = h[: live[t]]
+            if live[t] > h.shape[1]:
+                h = np.concatenate([h, np.zeros((HIDDEN, live[t] - h.shape[1]), dtype=np.float32)], axis=1)
+            h = states[t, :, : live[t]] = self._step("b", h, data[t, : live[t]])
         total = np.zeros((width, self.labels))
-        h[:] = 0
+        h = np.zeros((HIDDEN, width), dtype=np.float32)
         for t0 in range(0, steps, STRIDE):
             t1, n = min(t0 + STRIDE, steps), live[t0]
-            ahead = np.zeros((t1 - t0, n, HIDDEN), dtype=np.float32)
+            ahead = np.zeros((t1 - t0, HIDDEN, n), dtype=np.float32)
             for t in range(t0, t1):
-                self._step("f", h[: live[t]], data[t, : live[t]])
-                ahead[t - t0, : live[t]] = h[: live[t]]
-            logit = ahead @ self.out["f"] + states[t0:t1, :n] @ self.out["b"] + self.bias
-            np.exp(logit - logit.max(axis=2, keepdims=True), out=logit)
-            logit /= logit.sum(axis=2, keepdims=True)
-            total[:n] += np.einsum("tnl,tn->nl", logit, inside[t0:t1, :n].astype(np.float32))
+                h = ahead[t - t0, :, : live[t]] = self._step("f", h[:, : live[t]], data[t, : live[t]])
+            logit = self.out["f"] @ ahead
+            logit += self.out["b"] @ states[t0:t1, :, :n]
+            logit += self.bias[:, None]
+            logit -= logit.max(axis=1, keepdims=True)
+            np.exp(logit, out=logit)
+            logit *= (inside[t0:t1, :n] / logit.sum(axis=1))[:, None].astype(np.float32)
+            total[:n] += logit.sum(axis=0).T
         return total
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
