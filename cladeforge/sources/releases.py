@@ -28,6 +28,7 @@ SILVA_MAPS = {"SSURef_NR99": "ssu_ref_nr", "SSURef": "ssu_ref", "LSURef_NR99": "
 SILVA_HOST = "https://www.arb-silva.de/fileadmin/silva_databases"
 #: GTDB versions, marker sets, hosts.
 GTDB_VERSIONS = ("202.0", "207.0", "214.0", "214.1", "220.0", "226.0", "232.0")
+#: The GTDB versions whose files are plain FASTA.
 GTDB_FNA_VERSIONS = ("220.0", "226.0", "232.0")
 GTDB_HOSTS = {
     "Primary": "https://data.gtdb.ecogenomic.org/releases",
@@ -35,12 +36,12 @@ GTDB_HOSTS = {
 }
 #: UNITE identifiers by version and group, without and with singletons.
 UNITE_DOIS = {
-    "2025-02-19": {"fungi": ("3301241", "3301242"), "eukaryotes": ("3301243", "3301244")},
-    "2024-04-04": {"fungi": ("2959336", "2959337"), "eukaryotes": ("2959338", "2959339")},
-    "2023-07-18": {"fungi": ("2938079", "2938080"), "eukaryotes": ("2938081", "2938082")},
-    "2022-10-16": {"fungi": ("2483915", "2483916"), "eukaryotes": ("2483917", "2483918")},
-    "2021-05-10": {"fungi": ("1264708", "1264763"), "eukaryotes": ("1264819", "1264861")},
-    "2020-02-20": {"fungi": ("786385", "786387"), "eukaryotes": ("786386", "786388")},
+    "2025-02-19": {"fungi": ("10.15156/BIO/3301241", "10.15156/BIO/3301242"), "eukaryotes": ("10.15156/BIO/3301243", "10.15156/BIO/3301244")},
+    "2024-04-04": {"fungi": ("10.15156/BIO/2959336", "10.15156/BIO/2959337"), "eukaryotes": ("10.15156/BIO/2959338", "10.15156/BIO/2959339")},
+    "2023-07-18": {"fungi": ("10.15156/BIO/2938079", "10.15156/BIO/2938080"), "eukaryotes": ("10.15156/BIO/2938081", "10.15156/BIO/2938082")},
+    "2022-10-16": {"fungi": ("10.15156/BIO/2483915", "10.15156/BIO/2483916"), "eukaryotes": ("10.15156/BIO/2483917", "10.15156/BIO/2483918")},
+    "2021-05-10": {"fungi": ("10.15156/BIO/1264708", "10.15156/BIO/1264763"), "eukaryotes": ("10.15156/BIO/1264819", "10.15156/BIO/1264861")},
+    "2020-02-20": {"fungi": ("10.15156/BIO/786385", "10.15156/BIO/786387"), "eukaryotes": ("10.15156/BIO/786386", "10.15156/BIO/786388")},
 }
 UNITE_API = "https://api.plutof.ut.ee/v1/public/dois/?format=vnd.api%2Bjson&identifier="
 #: PR2 release folders and file stems.
@@ -53,6 +54,7 @@ PR2_HOST = "https://github.com/pr2database/pr2database/releases/download"
 #: Genes of MIDORI2 and Eukaryome.
 MITO_GENES = ("A6", "A8", "CO1", "CO2", "CO3", "Cytb", "ND1", "ND2", "ND3", "ND4L", "ND4", "ND5", "ND6", "lrRNA", "srRNA")
 RRNA_GENES = ("SSU", "LSU", "ITS", "longread")
+#: Addresses of the services.
 MIDORI2_HOST = "https://www.reference-midori.info/download/Databases"
 EUKARYOME_HOST = "https://sisu.ut.ee/wp-content/uploads/sites/643"
 ENTREZ_HOST = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils"
@@ -93,7 +95,7 @@ def unite_query(version: str = "2025-02-19", taxon_group: str = "eukaryotes", si
     """Address of the record that names the file."""
     check_choice("version", version, UNITE_DOIS)
     check_choice("taxon_group", taxon_group, UNITE_DOIS[version])
-    return f"{UNITE_API}10.15156/BIO/{UNITE_DOIS[version][taxon_group][singletons]}"
+    return f"{UNITE_API}{UNITE_DOIS[version][taxon_group][singletons]}"
 
 
 def unite_file(record: str) -> str:
