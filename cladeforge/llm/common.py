@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeforge.schema import unused  # noqa: F401  (the operators take it from here)
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -22,14 +24,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def unused(base: str, names: list[str]) -> str:
-    """base, or base with underscores where a column of that name (in any case) exists."""
-    taken = {n.lower() for n in names}
-    while base.lower() in taken:
-        base += "_"
-    return base
-
-
 #: Folders of tables written and not dropped yet, in turn.
 _written: list[str] = []
 
