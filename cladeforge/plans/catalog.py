@@ -151,6 +151,30 @@ def derep_clustered(spark, sf_dir):
     return dereplicate.clusters(V.segments(spark, sf_dir), perc_identity=0.9)
 
 
+def ncbi_lineages(spark, sf_dir):
+    """Customers as taxonomy records: some without a genus, some named with it."""
+    rows = V.table(spark, sf_dir, "customer").join(V.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(V.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rank = lambda name, value: F.struct(F.lit(name).alias("rank"), F.col(value).alias("name"))
+    phylum, genus = rank("phylum", "n_name"), rank("genus", "c_mktsegment")
+    records = rows.select(
+        F.col("c_custkey").cast("string").alias("taxid"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat_ws(" ", "c_mktsegment", "c_name")).otherwise(F.col("c_name")).alias("organism"),
+        F.col("r_name").alias("division"),
+        F.when(F.col("c_custkey") % 3 == 0, F.array(phylum)).otherwise(F.array(phylum, genus)).alias("lineage"),
+        F.array(F.concat(F.lit("old"), F.col("c_custkey").cast("string"))).alias("aka"),
+    )
+    return lineages.ncbi_lineages(records, ["kingdom", "phylum", "genus", "species"], rank_propagation=False)
+
+
+def features_with_sequences(spark, sf_dir):
+    """Documents as features of seven genomes, with the letters that their digests stand for."""
+    docs = V.sequences(spark, sf_dir).withColumn("md5", F.md5(F.col("seq").cast("binary")))
+    features = docs.select((F.col("ord") % 7).cast("string").alias("genome_id"), F.col("id").alias("feature_id"), F.col("md5").alias("na_sequence_md5"), F.lit(None).cast("string").alias("aa_sequence_md5"))
+    known = docs.where("ord % 3 <> 0").select("md5", F.lower("seq").alias("sequence")).distinct()
+    return lineages.features_with_sequences(features, known)[0]
+
+
 QUERIES = {
     "derep_lca": _derep("lca", 1),
     "derep_uniq": _derep("uniq", 1),
@@ -187,6 +211,8 @@ QUERIES = {
     "evaluate_taxonomy": evaluate_taxonomy,
     "extract_segments": extract_segments,
     "segment_candidates": segment_candidates,
+    "ncbi_lineages": ncbi_lineages,
+    "features_with_sequences": features_with_sequences,
     "derep_clustered": derep_clustered,
     "subsample": _seqs(lambda df: S.subsample_fasta(df, 0.3, 7)),
     "sample_exact": _seqs(lambda df: S.sample_exactly(df, 0.3, 7)),
@@ -373,6 +399,14 @@ g AS (SELECT * FROM r WHERE regexp_full_match(word, '[ACGT]{8}')),
 s AS (SELECT id, b, count(*) AS shared FROM w JOIN g USING (word) GROUP BY id, b),
 n AS (SELECT b, count(*) AS n FROM g GROUP BY b)
 SELECT id, b, shared FROM s JOIN n USING (b) WHERE shared >= least(12, n) QUALIFY row_number() OVER (PARTITION BY id ORDER BY shared DESC, b) <= 32""",
+    "ncbi_lineages": """WITH r AS (SELECT c_custkey AS k, c_mktsegment AS m, r_name, n_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' ' || c_name ELSE c_name END AS o
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT *, CASE WHEN k % 3 <> 0 THEN m WHEN contains(o, ' ') THEN substr(o, 1, strpos(o, ' ') - 1) ELSE '' END AS g,
+ CASE WHEN k % 3 <> 0 AND starts_with(o, m || ' ') THEN substr(o, length(m) + 2) WHEN k % 3 = 0 AND contains(o, ' ') THEN substr(o, strpos(o, ' ') + 1) ELSE o END AS e FROM r),
+t AS (SELECT k, 'k__' || r_name || '; p__' || n_name || '; g__' || g || '; s__' || e AS taxon FROM s)
+SELECT CAST(k AS VARCHAR) AS taxid, taxon FROM t UNION ALL SELECT 'old' || k, taxon FROM t""",
+    "features_with_sequences": _with(V.SQL_SEQUENCES) + """SELECT CAST(ord % 7 AS VARCHAR) AS genome_id, id AS feature_id, seq FROM sequences
+WHERE md5(seq) IN (SELECT md5(seq) FROM sequences WHERE ord % 3 <> 0)""",
     "sample_exact": _with(V.SQL_SEQUENCES) + """SELECT id, seq FROM (SELECT id, seq, row_number() OVER (ORDER BY substr(md5('7:' || id), 1, 13), id) AS place, count(*) OVER () AS n FROM sequences)
 WHERE place <= CAST(floor(0.3 * n) AS BIGINT)""",
     "subsample": _sql_seq("CAST('0x' || substr(md5('7:' || id), 1, 13) AS BIGINT) / 4503599627370496.0 < 0.3"),
