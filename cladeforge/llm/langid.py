@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .hmm import held_out
 
-HIDDEN = 12
+HIDDEN = 8
 EMBED = 12
 #: Distinct training texts of each language, at most, and the excerpts of each that are
 #: learned: how many, and their characters.
