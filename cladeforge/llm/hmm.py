@@ -15,8 +15,8 @@ all, come 0.1 E / N and 50 u(w), with u(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); d
 their sum over V + 1 words, the 1 standing for all unseen ones, that is what the state
 emits. So the whole is a probability over texts whose unseen words are not told apart.
 
-A text is looked at as a whole whatever its length; long ones are worked on in stretches of
-BLOCK positions, of which the forward pass keeps the ends only.
+A text is looked at as a whole whatever its length; one of more than BLOCK tokens is worked
+on in stretches, of which the forward pass keeps the ends only.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ TOLERANCE, ROUNDS = 0.005, 8
 WEIGHT = 50.0
 #: Distinct words a task counts before it hands them over.
 COUNTED_WORDS = 200_000
-#: Texts worked on together, and positions that one padded block may have.
-TEXTS, BLOCK = 1000, 300_000
+#: Texts read together, and tokens over which the recursions run together.
+TEXTS, BLOCK = 1000, 1_000_000
 #: Stands for the end of a text; no word has a space.
 END = " "
 SMOOTH = 0.1
@@ -96,8 +96,7 @@ def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
 
 
 def _encoder(top: pa.Array):
-    """Codes of every document's tokens, the end being 0, and its rare words with their
-    counts; the code of a frequent word is its place in top + 1, that of a rare one goes on
+    """Codes of every document's tokens, the end being 0, and its rare words; the code of a frequent word is its place in top + 1, that of a rare one goes on
     from there with its place in the document's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,14 +109,11 @@ def _encoder(top: pa.Array):
             text = np.repeat(np.arange(batch.num_rows), np.diff(before))
             kinds = words.take(pa.array(rare)).dictionary_encode()
             width = max(1, len(kinds.dictionary))
-            keys, first, number, n = np.unique(
-                text[rare] * width + kinds.indices.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True, return_counts=True
-            )
+            keys, number = np.unique(text[rare] * width + kinds.indices.to_numpy(zero_copy_only=False), return_inverse=True)
             ends = np.searchsorted(keys, np.arange(batch.num_rows + 1) * width)
             codes[rare] = first_rare + number - ends[text[rare]]
             every = np.insert(codes, before[1:], 0).astype(np.int32)
-            fields = [kinds.dictionary.take(pa.array(keys % width)), pa.array(n.astype(np.int64))]
-            lists = [_lists(before + np.arange(len(before)), pa.array(every)), _lists(ends, pa.StructArray.from_arrays(fields, ["word", "n"]))]
+            lists = [_lists(before + np.arange(len(before)), pa.array(every)), _lists(ends, kinds.dictionary.take(pa.array(keys % width)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["row", "doc_id", "held_out", "codes", "rare"])
 
     return run
@@ -144,62 +140,78 @@ class Model:
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Padded time-major classes, lengths (falling) and the sequences' numbers."""
+class Steps:
+    """Sequences of classes by step: the first classes of all of them, longest first, then
+    the second ones of those that have two, and so on. Step t lies at cuts[t] : cuts[t + 1],
+    so that no place is padded and what is done for a step runs along memory."""
+
+    def __init__(self, sequences: list[np.ndarray], numbers: np.ndarray):
+        lengths = np.array([len(sequences[i]) for i in numbers])  # falling
+        live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+        self.numbers, self.cuts = numbers, np.concatenate(([0], np.cumsum(live)))
+        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self._places = self.cuts[step] + np.repeat(np.arange(len(numbers)), lengths)
+        self.codes = self.placed(sequences)
+
+    def placed(self, sequences: list[np.ndarray]) -> np.ndarray:
+        out = np.empty(len(self._places), dtype=np.int32)
+        out[self._places] = np.concatenate([sequences[i] for i in self.numbers])
+        return out
+
+    def stretches(self, size: int) -> list[tuple[int, int]]:
+        """First step and the one after the last of stretches of up to size places, a step at least."""
+        out, at = [], 0
+        while at < len(self.cuts) - 1:
+            to = max(at + 1, int(np.searchsorted(self.cuts, self.cuts[at] + size, side="right")) - 1)
+            out.append((at, to))
+            at = to
+        return out
+
+
+def blocks(sequences: list[np.ndarray]) -> Iterator[Steps]:
+    """The sequences, those of like length together, in blocks of up to BLOCK places or of
+    a single sequence."""
     order = np.argsort([-len(s) for s in sequences], kind="stable")
+    ends = np.cumsum([len(sequences[i]) for i in order])
     at = 0
     while at < len(order):
-        longest = len(sequences[order[at]])
-        some = order[at : at + max(1, BLOCK // longest)]
-        at += len(some)
-        lengths = np.array([len(sequences[i]) for i in some])
-        padded = np.zeros((longest, len(some)), dtype=np.int32)
-        for column, i in enumerate(some):
-            padded[: lengths[column], column] = sequences[i]
-        yield padded, lengths, some
-
-
-
-
-def _live(lengths: np.ndarray, steps: int) -> np.ndarray:
-    """How many of the sequences, longest first, have each step."""
-    return np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+        yield Steps(sequences, order[at:to])
+        at = to
+
+
+def _forward(model: Model, emit: np.ndarray, steps: Steps, stretch: tuple[int, int], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities (states x places) and scales of a stretch; emit: states x
+    classes; before: the probabilities of the step before it, None at the start."""
+    cuts = steps.cuts[stretch[0] : stretch[1] + 1]
+    alpha = np.take(emit, steps.codes[cuts[0] : cuts[-1]], axis=1)
+    scales = np.empty(alpha.shape[1], dtype=alpha.dtype)
+    turned = np.ascontiguousarray(model.move.T)
+    cuts = (cuts - cuts[0]).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        now = alpha[:, a:b]
+        now *= model.start[:, None] if before is None else turned @ before[:, : b - a]
+        now /= np.add.reduce(now, axis=0, out=scales[a:b])
+        before = now
+    return alpha, scales
 
 
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each sequence of classes, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
-    for padded, lengths, numbers in blocks(sequences):
-        live = _live(lengths, len(padded))
-        total = np.zeros(len(lengths))
-        alpha = model.start * model.emit[padded[0]]
-        for t in range(len(padded)):
-            n = live[t]
-            if t:
-                alpha = (alpha[:n] @ model.move) * model.emit[padded[t, :n]]
-            scale = alpha.sum(axis=1)
-            total[:n] += np.log(scale)
-            alpha /= scale[:, None]
-        out[numbers] = total
+    emit = np.ascontiguousarray(model.emit.T)
+    for steps in blocks(sequences):
+        before = None
+        for stretch in steps.stretches(BLOCK // 4):
+            alpha, scales = _forward(model, emit, steps, stretch, before)
+            cuts = steps.cuts[stretch[0] : stretch[1] + 1]
+            live = np.diff(cuts)
+            which = np.arange(len(scales)) - np.repeat(cuts[:-1] - cuts[0], live)
+            out[steps.numbers] += np.bincount(which, weights=np.log(scales), minlength=len(steps.numbers))
+            before = alpha[:, len(scales) - live[-1] :].copy()
     return out
 
 
-def _forward(model: Model, padded: np.ndarray, live: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities and scales of a stretch; before: those of the step
-    before it, None at the start of the sequences."""
-    steps, width = padded.shape
-    alpha = np.zeros((steps, width, len(model.start)), dtype=model.emit.dtype)
-    scales = np.ones((steps, width), dtype=model.emit.dtype)
-    given = model.emit[padded]
-    for t in range(steps):
-        n = live[t]
-        last = alpha[t - 1, :n] if t else before
-        a = model.start * given[0] if last is None else (last[:n] @ model.move) * given[t, :n]
-        scales[t, :n] = a.sum(axis=1)
-        alpha[t, :n] = a / scales[t, :n, None]
-    return alpha, scales
-
-
 class Expected:
     """Expected starts, transitions and emissions, and the log-likelihood, summed up."""
 
@@ -209,46 +221,44 @@ class Expected:
 
     def add(self, model: Model, sequences: list[np.ndarray], slots: list[np.ndarray] | None = None) -> None:
         """Counts the sequences of classes; emissions under slots, where these are given."""
-        for padded, lengths, numbers in blocks(sequences):
-            places = padded
-            if slots is not None:
-                places = np.zeros_like(padded)
-                for column, i in enumerate(numbers):
-                    places[: lengths[column], column] = slots[i]
-            live = _live(lengths, len(padded))
-            size = max(1, BLOCK // padded.shape[1])
-            cuts = [slice(at, at + size) for at in range(0, len(padded), size)]
+        emit = np.ascontiguousarray(model.emit.T)
+        for steps in blocks(sequences):
+            places = steps.codes if slots is None else steps.placed(slots)
+            stretches = steps.stretches(BLOCK)
             ends: list = [None]
-            for cut in cuts[:-1]:
-                ends.append(_forward(model, padded[cut], live[cut], ends[-1])[0][-1])
-            beta = np.ones((padded.shape[1], len(model.start)), dtype=model.emit.dtype)
-            for cut, before in zip(cuts[::-1], ends[::-1], strict=True):
-                self._stretch(model, padded[cut], places[cut], live[cut], before, beta)
-
-    def _stretch(self, model: Model, padded: np.ndarray, places: np.ndarray, live: np.ndarray, before: np.ndarray | None, beta: np.ndarray) -> None:
+            for stretch in stretches[:-1]:
+                width = steps.cuts[stretch[1]] - steps.cuts[stretch[1] - 1]
+                ends.append(_forward(model, emit, steps, stretch, ends[-1])[0][:, -width:].copy())
+            beta = np.ones((len(model.start), len(steps.numbers)), dtype=emit.dtype)
+            for stretch, before in zip(stretches[::-1], ends[::-1], strict=True):
+                self._stretch(model, emit, steps, places, stretch, before, beta)
+
+    def _stretch(self, model: Model, emit: np.ndarray, steps: Steps, places: np.ndarray, stretch: tuple[int, int], before: np.ndarray | None, beta: np.ndarray) -> None:
         """beta: backward probabilities after the stretch, on return those before it."""
-        alpha, scales = _forward(model, padded, live, before)
-        steps = len(padded)
-        inside = np.arange(padded.shape[1])[None, :] < live[:, None]
+        alpha, scales = _forward(model, emit, steps, stretch, before)
+        cuts = steps.cuts[stretch[0] : stretch[1] + 1]
+        held = slice(cuts[0], cuts[-1])
         self.log += float(np.log(scales, dtype=np.float64).sum())
-        turned = model.move.T.copy()
-        moved = np.zeros_like(model.move)
-        given = model.emit[padded] / scales[:, :, None]
-        for t in range(steps - 1, -1, -1):
-            n = live[t]
-            after = given[t, :n] * beta[:n]
-            alpha[t, :n] *= beta[:n]
-            last = alpha[t - 1, :n] if t else before
+        given = np.take(emit, steps.codes[held], axis=1)
+        given /= scales
+        moved = np.zeros(model.move.shape)
+        cuts = (cuts - cuts[0]).tolist()
+        for t in range(len(cuts) - 2, -1, -1):
+            a, b = cuts[t], cuts[t + 1]
+            here = beta[:, : b - a]
+            after = given[:, a:b]
+            after *= here
+            alpha[:, a:b] *= here
+            last = alpha[:, cuts[t - 1] :] if t else before
             if last is None:
                 break
-            moved += last[:n].T @ after
-            beta[:n] = after @ turned
+            moved += last[:, : b - a] @ after.T
+            here[:] = model.move @ after
         self.move += model.move * moved
         if before is None:
-            self.start += alpha[0].sum(axis=0)
-        flat = places[inside]
+            self.start += alpha[:, : cuts[1]].sum(axis=1, dtype=np.float64)
         for k in range(len(self.start)):
-            self.emit[:, k] += np.bincount(flat, weights=alpha[:, :, k][inside], minlength=len(self.emit))
+            self.emit[:, k] += np.bincount(places[held], weights=alpha[k], minlength=len(self.emit))
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,6 +274,17 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return offsets - offsets[0], column.values.slice(offsets[0], offsets[-1] - offsets[0])
 
 
+def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose lists have BLOCK tokens, or a row at least."""
+    for batch in batches:
+        ends = batch.column(column).offsets.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _split(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
@@ -294,8 +315,8 @@ def _expecter(model: Model, first_rare: int, rare_classes: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Expected(states, len(model.emit))
         some = False
-        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
-            some = some or batch.num_rows > 0
+        for batch in _batches(batches, 0):
+            some = True
             offsets, codes = _flat(batch.column(0))
             rare, kinds = _flat(batch.column(1))
             codes = codes.to_numpy().copy()
@@ -328,7 +349,7 @@ def _expecter(model: Model, first_rare: int, rare_classes: int, words: bool):
 def _sums(coded: DataFrame, model: Model, first_rare: int, rare_classes: int, words: bool) -> DataFrame:
     names = [f"k{k}" for k in range(len(model.start))]
     schema = ", ".join(["key int", "word string", *(f"{n} double" for n in names)])
-    given = coded.select("codes", F.col("rare.word" if words else "kinds"))
+    given = coded.select("codes", F.col("rare" if words else "kinds"))
     found = given.mapInArrow(_expecter(model, first_rare, rare_classes, words), schema)
     return found.groupBy("key", "word").agg(*(F.sum(n).alias(n) for n in names))
 
@@ -374,9 +395,7 @@ def _scorer(model: Model, base_log: np.ndarray, known: np.ndarray, least: np.nda
     first_rare, states = len(known), len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
-            if not batch.num_rows:
-                continue
+        for batch in _batches(batches, 2):
             offsets, codes = _flat(batch.column(2))
             codes = codes.to_numpy().astype(np.int64)
             listed = batch.column(3)
@@ -449,9 +468,9 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
 
     coded = given.mapInArrow(
         _encoder(top.column("word").combine_chunks().cast(pa.string())),
-        f"row long, doc_id {id_type}, held_out boolean, codes array<int>, rare array<struct<word: string, n: long>>",
+        f"row long, doc_id {id_type}, held_out boolean, codes array<int>, rare array<string>",
     )
-    coded = write_table(coded.withColumn("kinds", F.transform("rare", lambda x: kind(x["word"]))))
+    coded = write_table(coded.withColumn("kinds", F.transform("rare", kind)))
     learned = coded.where("not held_out")
     model = fit(learned, class_counts, first_rare)
     # The last round: by word.
@@ -472,7 +491,7 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
     known = class_counts[:first_rare] > 0
     base_log = np.log10((class_counts[:first_rare] + SMOOTH) / total)
     # Each document's rare words with their counts, whole and by state.
-    asked = coded.select("row", F.posexplode("rare.word").alias("at", "word")).join(table, "word", "left")
+    asked = coded.select("row", F.posexplode("rare").alias("at", "word")).join(table, "word", "left")
     told = write_table(asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "k"))).alias("told")))
     for done in (table, counts):
         drop_table(done)
