@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,8 @@ QUANTILES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 def _labels(n: int, labels: list[str] | None) -> list[str]:
     """Names of n tables: those given, numbers where they run out."""
     given = list(labels or [])[:n]
+    if len(given) < n:
+        warnings.warn(f"{n} tables and {len(given)} labels: the others are named by their numbers, which may meet a label", UserWarning, stacklevel=4)
     return given + [str(i + 1) for i in range(len(given), n)]
 
 
@@ -28,6 +31,13 @@ def _stacked(tables: list[DataFrame], labels: list[str] | None) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
+def numbered(results: DataFrame, *order: str) -> DataFrame:
+    """A table of results (a row for each level and dataset) with a first column id, text,
+    that counts from 1 in the given order."""
+    number = F.row_number().over(Window.orderBy(*order)).cast("string")
+    return results.select(number.alias("id"), *(c for c in results.columns if c != "id"))
+
+
 def entropy(counts: DataFrame, by: list[str], n: str) -> DataFrame:
     """by, entropy (natural log), kinds of rows with counts n; a row a kind.
 

@@ -71,7 +71,8 @@ def edit_taxonomy(
     edited = taxon
     for search, template in pairs.items():
         pattern = java_regex(search) if use_regex else java_literal(search)
-        new = java_template(template, re.compile(search).groups if use_regex else 0)
+        found = re.compile(search if use_regex else "")
+        new = java_template(template, found.groups, dict(found.groupindex))
         edited = F.when(taxon.rlike(pattern), F.regexp_replace(edited, pattern, F.lit(new))).otherwise(edited)
     return taxonomy.withColumn("taxon", edited)
 

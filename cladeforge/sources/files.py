@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cladeforge.operators.rounds import cut
 from cladeforge.schema import SILVA_MAP_FILE, SILVA_RANKS_FILE, TAXONOMY
@@ -59,22 +60,65 @@ def read_taxonomy(spark: SparkSession, path: str | list[str], header: bool = Tru
     return rows.toDF("feature_id", "taxon", *rows.columns[2:])
 
 
+def write_metadata(table: DataFrame, path: str) -> None:
+    """Tab-separated files with a header, whose first column is named id; empty for null."""
+    named = table.withColumnRenamed(table.columns[0], "id")
+    named.write.csv(path, sep="\t", header=True, emptyValue="", quote="")
+
+
+def write_loci(loci: DataFrame, path: str) -> None:
+    """GFF lines (genome_id, ord, value), in order, as one file in a folder for each genome."""
+    ordered = loci.repartition("genome_id").sortWithinPartitions("genome_id", "ord")
+    ordered.select("value", "genome_id").write.partitionBy("genome_id").text(path)
+
+
 def write_taxonomy(taxonomy: DataFrame, path: str) -> None:
     named = taxonomy.withColumnsRenamed({"feature_id": "Feature ID", "taxon": "Taxon"})
     named.write.csv(path, sep="\t", header=True, quote="")
 
 
+def _silva_rows(lines: DataFrame, schema: StructType, path: str, taxid: str) -> DataFrame:
+    """The columns of schema of tab-separated lines; empty cells are null.
+
+    A line of another number of cells, without a `;` in the column path or without a number
+    in the column taxid fails the job that reads it, whatever columns that needs.
+    """
+    cells = F.transform(F.split("value", "\t", -1), lambda x: F.nullif(F.trim(x), F.lit("")))
+    cell = {name: F.get(cells, F.lit(i)) for i, name in enumerate(schema.names)}
+    fault = (
+        F.when(F.size(cells) != len(schema), F.lit(f"not {len(schema)} fields"))
+        .when(~F.coalesce(F.contains(cell[path], F.lit(";")), F.lit(False)), F.lit(f"{path} is no lineage of labels that end in ;"))
+        .when(cell[taxid].try_cast("double").isNull(), F.lit(f"{taxid} is no number"))
+    )
+    right = F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(fault, F.lit(": "), "value")).cast("boolean"))
+    return lines.where(right).select(*(cell[f.name].cast(f.dataType).alias(f.name) for f in schema))
+
+
 def read_silva_ranks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=SILVA_RANKS_FILE, mode="FAILFAST")
+    """Raises ValueError if the file is empty (a job over its first line)."""
+    lines = spark.read.text(path)
+    if lines.isEmpty():
+        raise ValueError("a rank table of SILVA without records")
+    return _silva_rows(lines, SILVA_RANKS_FILE, SILVA_RANKS_FILE.names[0], SILVA_RANKS_FILE.names[1])
 
 
 def read_silva_map(spark: SparkSession, path: str) -> DataFrame:
-    """Either spelling of the header of the organism's name is read."""
-    rows = spark.read.csv(path, sep="\t", header=True, quote="")
-    rows = rows.withColumnsRenamed({"organismName": "organism_name"})
-    if lacking := [f.name for f in SILVA_MAP_FILE if f.name not in rows.columns]:
+    """Either spelling of the header of the organism's name is read.
+
+    Raises ValueError if the header is another or nothing follows it (a job over the first
+    two lines).
+    """
+    lines = spark.read.text(path)
+    first = [r["value"] for r in lines.limit(2).collect()]
+    header = [c.strip() for c in first[0].split("\t")] if first else []
+    names = ["organism_name" if c == "organismName" else c for c in header]
+    if lacking := [n for n in SILVA_MAP_FILE.names if n not in names]:
         raise ValueError(f"not a SILVA taxonomy map; it lacks {', '.join(lacking)}")
-    return rows.select(*SILVA_MAP_FILE.names)
+    if names != SILVA_MAP_FILE.names:
+        raise ValueError(f"not a SILVA taxonomy map; its header is {', '.join(header)}")
+    if len(first) == 1:
+        raise ValueError("a taxonomy map of SILVA without records")
+    return _silva_rows(lines.where(F.col("value") != first[0]), SILVA_MAP_FILE, "path", "taxid")
 
 
 def read_replacements(spark: SparkSession, path: str) -> dict[str, str]:

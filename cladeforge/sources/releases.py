@@ -194,3 +194,13 @@ def fetch(url: str, target: str, md5: str | None = None, tries: int = 10, get: C
         if digest.hexdigest() != md5:
             raise ValueError(f"the file of {url} is damaged")
     return target
+
+
+def fetch_checked(url: str, target: str, **options) -> str:
+    """Lands a file and checks it against the digest in the file beside it, whose name ends
+    in .md5 (a line: the digest, blanks, a name). options go to fetch()."""
+    with open(fetch(f"{url}.md5", f"{target}.md5", **options)) as beside:
+        words = beside.read().split()
+    if not words:
+        raise ValueError(f"no digest in {url}.md5")
+    return fetch(url, target, md5=words[0], **options)

@@ -1,9 +1,12 @@
 import gzip
 import io
+import re
 import urllib.error
 
 import pytest
+from pyspark.sql import functions as F
 
+from cladeforge.operators import evaluate
 from cladeforge.functions.patterns import java_literal, java_regex, java_template
 from cladeforge.schema import check_choice, check_range, check_subset, handles
 from cladeforge.sources import files, releases
@@ -48,6 +51,57 @@ def test_silva_files(spark, tmp_path):
     assert files.read_silva_ranks(spark, str(tmp_path / "k.tsv")).first().rank == "domain"
 
 
+MAP_HEADER = "primaryAccession\tstart\tstop\tpath\torganism_name\ttaxid\n"
+
+
+@pytest.mark.parametrize("line", ["A\t1\t2\tp;\torg", "A\t1\t2\tp;\torg\t7\t8", "A\t1\t2\tp\torg\t7", "A\t1\t2\tp;\torg\tx"])
+def test_silva_map_lines_are_checked(spark, tmp_path, line):
+    (tmp_path / "m.tsv").write_text(MAP_HEADER + "B\t1\t2\tp;\t\t7\n" + line + "\n")
+    with pytest.raises(Exception, match="not 6 fields|no lineage|no number"):
+        files.read_silva_map(spark, str(tmp_path / "m.tsv")).select("primaryAccession").collect()
+
+
+def test_silva_files_of_another_shape(spark, tmp_path):
+    for name, text, read, told in (
+        ("empty.tsv", "", files.read_silva_ranks, "without records"),
+        ("head.tsv", MAP_HEADER, files.read_silva_map, "without records"),
+        ("more.tsv", "x\t" + MAP_HEADER, files.read_silva_map, "its header"),
+    ):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError, match=told):
+            read(spark, str(tmp_path / name))
+    for i, line in enumerate(["A;\t2\tdomain\t", "A\t2\tdomain\t\t", "A;\ttwo\tdomain\t\t"]):
+        (tmp_path / f"k{i}.tsv").write_text(f"A;B;\t3\tphylum\t\t138\n{line}\n")
+        with pytest.raises(Exception, match="not 5 fields|no lineage|no number"):
+            files.read_silva_ranks(spark, str(tmp_path / f"k{i}.tsv")).collect()
+
+
+def test_metadata_and_loci(spark, tmp_path):
+    files.write_metadata(spark.createDataFrame([("a", 1.5, None)], "genome string, x double, y string").coalesce(1), str(tmp_path / "m"))
+    (part,) = (tmp_path / "m").glob("*.csv")
+    assert part.read_text() == "id\tx\ty\na\t1.5\t\n"
+    rows = [("g1", 2, "b\tc"), ("g2", 1, "z"), ("g1", 1, "##gff-version 3")]
+    files.write_loci(spark.createDataFrame(rows, "genome_id string, ord long, value string"), str(tmp_path / "l"))
+    (part,) = (tmp_path / "l" / "genome_id=g1").glob("*.txt")
+    assert part.read_text() == "##gff-version 3\nb\tc\n"
+
+
+def test_results_are_numbered_and_labels_told(spark):
+    levels = spark.createDataFrame([(2, "b"), (1, "b"), (1, "a")], "level int, dataset string")
+    assert [tuple(r) for r in evaluate.numbered(levels, "dataset", "level").collect()] == [("1", 1, "a"), ("2", 1, "b"), ("3", 2, "b")]
+    taxa = spark.createDataFrame([("f", "a;b")], "feature_id string, taxon string")
+    with pytest.warns(UserWarning, match="2 tables and 1 labels"):
+        evaluate.evaluate_taxonomy([taxa, taxa], ["one"])
+
+
+def test_digest_beside_a_file(tmp_path):
+    held = {"u": b"data", "u.md5": b"8d777f385d3dfec8815d20f7496026dc  f\n", "v": b"data", "v.md5": b"0  f\n"}
+    get = lambda url, timeout: io.BytesIO(held[url])
+    assert releases.fetch_checked("u", str(tmp_path / "f"), get=get) == str(tmp_path / "f")
+    with pytest.raises(ValueError, match="damaged"):
+        releases.fetch_checked("v", str(tmp_path / "f"), get=get)
+
+
 def test_fastq(spark, tmp_path):
     with gzip.open(tmp_path / "r.fastq.gz", "wt") as f:
         f.write("@r1 a\nACGT\n+\nIIII\n@r2\nGG\n+\nJJ\n")
@@ -134,6 +188,31 @@ def test_patterns_and_checks():
     assert handles(["species", "domain"]) == ["d__", "s__"] and handles(["disable"]) == []
 
 
+PATTERNS = [
+    r"\d+", r"[^\d_]+", r"\bé\w*", r"\Bb", r"a.c", r"(?s)a.c", r"c$", r"(?m)^b$", r"c\Z", r"\A\W", r"[\W\d]+", r"[^\W\d]{2,3}?", r"(?i)É", r"(?ai)k",
+    r"(?P<one_x>[ab])(?P=one_x)", r"(?P<two>.)\1", r"(?:a|bc|)d", r"(?<=a)b(?!c)", r"(?<!\s)b", r"a(?i:B)c", r"(?i)a(?-i:b)c", r"[]\[&&^-]+", r"[a-c&&b]", r"(?>a+)b",
+    r"a*+b", r"\s+", r"(?a:\s\w)", r"(?x) a  # first\n b", r"x{2}", "#|\\.", r"\$\{", r"[[:alpha:]]+", r"(a)(b)?\1", r"(?!)x|\u00e9",
+]
+TEXTS = ["", "abc", "aabbcc", "a\nb\nc", "a\nb\nc\n", "a\rc", "a\x85c", "éa ébc", "É ä_9", "٣4 five", "K k", "ABC aBc", "x]^&[-", "b&a", "bcd d", "xx#.${y}", "\u2003\x1c z", "[:al:]", "😀a😀"]
+
+
+def test_patterns_mean_what_python_means(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "x string").coalesce(1)
+    columns = [F.regexp_replace("x", java_regex(p), "<>").alias(f"c{i}") for i, p in enumerate(PATTERNS)]
+    for row in df.select("x", *columns).collect():
+        for i, p in enumerate(PATTERNS):
+            assert row[f"c{i}"] == re.sub(p, "<>", row.x), (p, row.x)
+
+
+def test_patterns_without_an_equal():
+    for bad in (r"(a)?(?(1)b|c)", "(", r"(?P<a>x"):
+        with pytest.raises(ValueError):
+            java_regex(bad)
+    assert java_template(r"\g<one_x>-\g<two>", 2, {"one_x": 1, "two": 2}) == "$1-${two}"
+    with pytest.raises(ValueError):
+        java_template(r"\g<three>", 2, {"one_x": 1, "two": 2})
+
+
 def test_streams(spark, tmp_path):
     rows = [("a", "", "AC-GU"), ("b", "", "A" * 20), ("c", "", "--")]
     df = spark.createDataFrame(rows, "id string, description string, seq string")
