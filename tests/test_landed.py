@@ -39,6 +39,43 @@ def test_members_in_pieces(spark, tmp_path, monkeypatch):
     assert [(r.member, r.ord, r.value) for r in got] == [("d/one.txt", i, v) for i, v in enumerate(["a", "bb", "", "ccc"])]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+@pytest.mark.parametrize("separator", ["\n", "\n>", "ab"])
+def test_pieces_over_the_edges_of_blocks(monkeypatch, size, separator):
+    monkeypatch.setattr(archives, "READ", size)
+    for text in ("", "é", ">a\nab\n>b\n\n>", "abaab\n", "\n>", "aab\n\n>é>\nabb"):
+        want = text.split(separator)
+        assert list(archives._pieces(io.BytesIO(text.encode()), separator)) == (want if want[-1] else want[:-1])
+
+
+def test_members_of_a_zip_archive_are_dealt_to_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "TASK", 10)
+    path = zipped(tmp_path / "x y.zip", {"a.txt": "1234", "b.txt": "123456", "c.txt": "1", "d.bin": "1", "e.txt": "x" * 50, "f/": "", "g.txt": ""})
+    reader = archives._Reader({"archives": json.dumps([f"file://{path.replace(' ', '%20')}"]), "names": "*.txt"})
+    planned = reader.partitions()
+    assert [p.names for p in planned] == [["a.txt", "b.txt"], ["c.txt"], ["e.txt"], ["g.txt"]]
+    assert [[(r["member"], r["ord"]) for b in reader.read(p) for r in b.to_pylist()] for p in planned] == [[("a.txt", 0), ("b.txt", 0)], [("c.txt", 0)], [("e.txt", 0)], []]
+
+
+@pytest.mark.parametrize("mode", ["w", "w:gz", "w:bz2", "w:xz"])
+def test_tar_archives_stream(tmp_path, mode):
+    path = tar(tmp_path / "x.tar", {"a.txt": "é\nb\n", "n/c.txt": "\n", "d.bin": "1"}, mode)
+    reader = archives._Reader({"archives": json.dumps([path]), "names": "*.txt"})
+    (whole,) = reader.partitions()
+    assert [(r["member"], r["ord"], r["value"]) for b in reader.read(whole) for r in b.to_pylist()] == [("a.txt", 0, "é"), ("a.txt", 1, "b"), ("n/c.txt", 0, "")]
+
+
+def test_archives_by_pattern(spark, tmp_path):
+    for i in range(3):
+        zipped(tmp_path / f"p {i}.zip", {f"m{i}.txt": f"{i}\n{i}"})
+    got = archives.members(spark, f"{tmp_path}/p*.zip").groupBy("member").count().collect()
+    assert sorted(map(tuple, got)) == [("m0.txt", 2), ("m1.txt", 2), ("m2.txt", 2)]
+    with pytest.raises(FileNotFoundError):
+        archives.members(spark, f"{tmp_path}/none*.zip")
+    zipped(tmp_path / "none.zip", {})
+    assert archives.members(spark, f"{tmp_path}/none.zip").count() == 0
+
+
 def test_gtdb_joins_domains(spark, tmp_path):
     packed = tar(tmp_path / "ar53_ssu_reps_r214.tar.gz", {"ar53_ssu_reps_r214.fna": ">g1 d__A;s__B [x=1]\nAC\nGT\n"})
     plain = tmp_path / "bac120_ssu_reps_r226.fna.gz"
