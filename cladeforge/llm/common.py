@@ -14,13 +14,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; in local mode one is set where the session names none."""
+    """The folder all executors see; in local mode one is set where the session names none
+    (as the context's, since a running session's own setting can't be changed)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="cladeforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="cladeforge-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
