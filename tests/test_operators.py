@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -422,6 +423,48 @@ def test_segments_lose_nothing_that_aligns(spark, monkeypatch):
     assert len(got) >= 0.9 * len(want) and got.items() <= want.items()
 
 
+def test_segments_align_whole_texts_only_where_a_part_is_as_good(monkeypatch):
+    """Long texts without a segment, and one with two: the segments found are those of all
+    pairs aligned, and few pairs are."""
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("AACGTTACGR") for _ in range(n))
+    refs = [(f"r{k:02}", some(60)) for k in range(30)] + [("long", some(90))]
+    texts = [some(9000) for _ in range(4)]
+    texts += [some(700) + mutated(rng, refs[3][1], 0.1) + some(300) + refs[4][1][:-5] + some(40), mutated(rng, refs[30][1], 0.05) + some(600), refs[5][1][3:], refs[6][1]]
+    want = []
+    for t, s in enumerate(texts):
+        good = [(-x.identity, i, x.low, x.high) for i, r in refs if (x := align.align(s, r)).identity >= 0.8 and x.covered >= 0.9]
+        want += [(f"t{t}", i, -y, low, high) for y, i, low, high in [min(good)] if good] if good else []
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{t}" for t in range(len(texts))]), pa.array(texts)], ["id", "seq"])
+    calls, whole = [], align.align
+    monkeypatch.setattr(align, "align", lambda a, b: calls.append(len(a)) or whole(a, b))
+    for most in (None, 32):
+        got = pa.Table.from_batches(align._best_hits(align.References(refs), 0.8, 0.9, most)([batch])).to_pylist()
+        assert [tuple(r.values()) for r in got] == want and len(want) == 4
+    assert len(calls) <= 12 and max(calls) < 9000  # of 496 pairs, of which 31 x 4 are of the long texts
+
+
+def test_parts_align_as_the_whole():
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    seen = 0
+    for _ in range(150):
+        ref = some(rng.choice((20, 40, 60)))
+        text = some(rng.choice((0, 2, 5, 40))) + mutated(rng, ref[rng.choice((0, 2)) : len(ref) - rng.choice((0, 3))], 0.12) + some(rng.choice((0, 1, 4, 50)))
+        x = align.align(text, ref)
+        if x.identity >= 0.75 and x.covered >= 0.85:
+            most, left = align.most_edits(len(ref), 0.75, 0.85)
+            ends = align.near_ends(text, [ref], [most])[0]
+            _, _, same = align.Lanes([ref], [most]).ends([text], [np.array([0])])
+            assert same.tolist() == [e for e in ends if e] and x.high in ends
+            parts = align.near_parts(len(text), len(ref), ends, 0.75, left)
+            (low, high), = [p for p in parts if p[0] <= x.low and x.high <= p[1]]
+            y = align.align_parts([text[low:high]], [ref], np.array([low]), np.array([len(text) - high]))[0]
+            assert y._replace(low=y.low + low, high=y.high + low) == x
+            seen += 1
+    assert seen > 60
+
+
 def test_candidates_of_clusters_find_similar_records(spark):
     """Recall of the minimizers against all pairs, on copies with edits; hot words offer
     only their first records, so a large group costs no square of pairs."""
