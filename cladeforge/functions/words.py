@@ -49,29 +49,43 @@ def decoded(codes: np.ndarray, k: int) -> list[str]:
     return [row.tobytes().decode() for row in letters]
 
 
+#: Sequences whose words are summed up together, and distinct words held before they are handed over.
+TEXTS, HELD = 200, 200_000
+
+
 def unit_weights(k: int):
-    """word, w: of rows seq the counts of their words, scaled to length one, summed up."""
+    """word, w: of rows seq the counts of their words, scaled to length one, summed up.
+
+    The sums go on through all batches of a task, so what is held is bounded by TEXTS
+    sequences and HELD words, whatever the size of a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, weights, others = [], [], Counter()
+        kinds, sums, others = np.zeros(0, dtype=np.int64), np.zeros(0), Counter()
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(decoded(kinds, k) + list(others), pa.string()), pa.array([*sums.tolist(), *others.values()], pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, ["word", "w"])
+
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+            codes, weights = [kinds], [sums]
             for seq in batch.column(0).to_pylist():
                 if seq is None or len(seq) < k:
                     continue
                 if seq.isascii() and k <= CODED:
-                    kinds, n = np.unique(word_codes(seq, k), return_counts=True)
-                    codes.append(kinds)
+                    own, n = np.unique(word_codes(seq, k), return_counts=True)
+                    codes.append(own)
                     weights.append(n / np.sqrt((n * n).sum()))
                 else:
                     words, n = word_counts(seq, k)
                     for word, w in zip(words, n / np.sqrt((n * n).sum()), strict=True):
                         others[word] += float(w)
-            words, sums = list(others), list(others.values())
-            if codes:
-                kinds, place = np.unique(np.concatenate(codes), return_inverse=True)
-                words += decoded(kinds, k)
-                sums += np.bincount(place, weights=np.concatenate(weights)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(sums, pa.float64())], ["word", "w"])
+            kinds, place = np.unique(np.concatenate(codes), return_inverse=True)
+            sums = np.bincount(place, weights=np.concatenate(weights), minlength=len(kinds))
+            if len(kinds) + len(others) > HELD:
+                yield rows()
+                kinds, sums, others = kinds[:0], sums[:0], Counter()
+        yield rows()
 
     return run
 

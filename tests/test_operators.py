@@ -478,6 +478,29 @@ def test_candidates_of_clusters_find_similar_records(spark):
     assert align.candidates(df, 0.9).count() <= align.TAKEN * len(rows)
 
 
+def test_unit_weights_hold_few_words_of_a_large_batch():
+    """What a task holds doesn't grow with its batch, and the sums are those of one count."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    seqs = ["".join(x) for x in rng.choice(list("acgtry"), (3000, 900))] + ["acgté" * 9, None, "ac"]
+    peaks = []
+    for rows in (600, len(seqs)):
+        batch = pa.RecordBatch.from_arrays([pa.array(seqs[-rows:])], ["seq"])
+        tracemalloc.start()
+        found = pa.Table.from_batches(list(words.unit_weights(4)([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+    want = {}
+    for s in seqs:
+        kinds, n = words.word_counts(s or "", 4)
+        for word, w in zip(kinds, n / np.sqrt((n * n).sum()), strict=True):
+            want[word] = want.get(word, 0.0) + float(w)
+    got = found.group_by("word").aggregate([("w", "sum")]).to_pylist()
+    assert {r["word"]: r["w_sum"] for r in got} == pytest.approx(want)
+
+
 def test_bitmaps_of_words():
     rng = random.Random(4)
     seq = "".join(rng.choice("ACGTN") for _ in range(300))
