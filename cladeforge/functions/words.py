@@ -96,15 +96,32 @@ _BASE[[ord(c) for c in "ACGT"]] = range(4)
 PIECE = 4096
 
 
+def rolled(letters: np.ndarray, k: int, base: int) -> np.ndarray:
+    """The words of k letters as numbers in that base, each from two of half its length."""
+    out, size = letters, 1
+    for bit in f"{k:b}"[1:]:
+        n = max(0, len(letters) - 2 * size + 1)
+        out = out[:n] * out.dtype.type(pow(base, size, 1 << 8 * out.itemsize)) + out[size : size + n]
+        size *= 2
+        if bit == "1":
+            n = max(0, len(letters) - size)
+            out = out[:n] * out.dtype.type(base) + letters[size : size + n]
+            size += 1
+    return out
+
+
+def base_places(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the number in base 4, if all its letters are A, C, G and T, and whether it has others."""
+    base = _BASE[letters]
+    kind = np.uint32 if k < 16 else np.uint64
+    others = np.concatenate(([0], np.cumsum(base > 3)))
+    n = max(0, len(base) - k + 1)
+    return rolled((base & 3).astype(kind), k, 4), others[k : k + n] > others[:n]
+
+
 def base_codes(seq: str, k: int) -> tuple[np.ndarray, list[str]]:
     """The distinct words of A, C, G and T as numbers in base 4, and those with other letters."""
-    letters = seq.encode("ascii", "replace")
-    base = _BASE[np.frombuffer(letters, dtype=np.uint8)]
-    n = max(0, len(base) - k + 1)
-    code, odd = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    for i in range(k):
-        part = base[i : i + n]
-        code, odd = code * 4 + (part & 3), odd | (part > 3)
+    code, odd = base_places(np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8), k)
     return np.unique(code[~odd]), list({seq[i : i + k] for i in np.flatnonzero(odd)})
 
 
@@ -116,7 +133,8 @@ def word_bitmap(seqs: DataFrame, k: int) -> np.ndarray:
         seen = np.zeros(max(4**k, 8 * PIECE), dtype=bool)
         for batch in batches:
             for seq in batch.column(0).to_pylist():
-                seen[base_codes(seq or "", k)[0]] = True
+                code, odd = base_places(np.frombuffer((seq or "").encode("ascii", "replace"), dtype=np.uint8), k)
+                seen[code[~odd]] = True
         pieces = np.packbits(seen, bitorder="little").reshape(-1, PIECE)
         some = np.flatnonzero(pieces.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], ["piece", "bits"])
@@ -139,17 +157,50 @@ def turned_bitmap(bits: np.ndarray, k: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
+#: Bits of the marks of words with other letters, and the base of their hashes.
+MARKS, HASH = 24, 0x9E3779B97F4A7C15
+
+
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - MARKS)
+
+
+def _has(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> places.dtype.type(3)] >> (places & places.dtype.type(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def _marked(words: list[str], k: int) -> np.ndarray:
+    """A bitmap of the first bits of the hashes of the words, all of k letters."""
+    seen = np.zeros(1 << MARKS, dtype=bool)
+    for at in range(0, len(words), PIECE):
+        letters = np.frombuffer("".join(words[at : at + PIECE]).encode("ascii", "replace"), dtype=np.uint8)
+        seen[_marks(rolled(letters.astype(np.uint64), k, HASH)[::k])] = True
+    return np.packbits(seen, bitorder="little")
+
+
 def shared_words(seq: Column, k: int, bitmaps: list[np.ndarray], others: list[list[str]]) -> Column:
     """An array with, for each bitmap and list of words with other letters, how many of the
-    distinct words of seq are there. They go to all tasks, so the lists must be bounded."""
+    distinct words of seq are there. They go to all tasks, so the lists must be bounded.
+
+    Words are told apart only where the bitmap, or the hash's mark, has them.
+    """
     sets = [frozenset(o) for o in others]
+    marks = [_marked(list(o), k) if o else None for o in others]
 
     def count(seq: str | None) -> list[int]:
-        codes, odd = base_codes(seq or "", k)
-        return [int((bits[codes >> 3] >> (codes & 7) & 1).sum()) + sum(w in s for w in odd) for bits, s in zip(bitmaps, sets, strict=True)]
+        letters = np.frombuffer((seq or "").encode("ascii", "replace"), dtype=np.uint8)
+        code, odd = base_places(letters, k)
+        plain, odd = code[~odd], np.flatnonzero(odd)
+        out = [len(np.unique(plain[_has(bits, plain)])) for bits in bitmaps]
+        if len(odd) and any(sets):
+            hashes = _marks(rolled(letters.astype(np.uint64), k, HASH)[odd])
+            for i, (mark, s) in enumerate(zip(marks, sets, strict=True)):
+                if s:
+                    out[i] += len({seq[x : x + k] for x in odd[_has(mark, hashes)].tolist()} & s)
+        return out
 
     @F.arrow_udf("array<int>")
     def counted(seqs: pa.Array) -> pa.Array:
         return pa.array([count(s) for s in seqs.to_pylist()], pa.list_(pa.int32()))
 
-    return counted(seq)
+    return counted.asNondeterministic()(seq)  # so that a filter on the counts doesn't make them twice

@@ -21,13 +21,15 @@ MARGIN = 4
 SENT_WORDS = 2_000_000
 
 
-def orientation(sequences: DataFrame, references: DataFrame, key: str = "id", dbmask: str | None = None) -> DataFrame:
-    """key, strand (+, - or ?), forward, backward: distinct words shared by each strand.
+def with_orientation(sequences: DataFrame, references: DataFrame, strand: str, forward: str, backward: str, key: str = "id", dbmask: str | None = None) -> DataFrame:
+    """sequences with columns of those names: strand (+, - or ?), and the distinct words
+    that each strand shares with the references.
 
     The references' words of A, C, G and T are a bitmap of all there can be (2 MB a strand),
     looked up inside the rows, so that no word of a sequence is shuffled, however large the
-    references. Their words with other letters go along while they are at most SENT_WORDS;
-    more meet by a join. An empty or null sequence shares none. dbmask: see masked().
+    references. Their words with other letters go along while they are at most SENT_WORDS, and
+    then no sequence is shuffled; more meet by a join. An empty or null sequence shares
+    none. dbmask: see masked().
     """
     letters = to_dna(F.col("seq"))
     refs = masked(references.select((letters if dbmask == "soft" else F.upper(letters)).alias("seq")), dbmask)
@@ -42,21 +44,25 @@ def orientation(sequences: DataFrame, references: DataFrame, key: str = "id", db
     few = len(sent) <= SENT_WORDS
     back = [r["word"] for r in turned.collect()] if few else []
     shared = shared_words(seq, WORD, [plain, turned_bitmap(plain, WORD)], [sent if few else [], back])
-    all_keys = sequences.select(key, shared.alias("n"), *([] if few else [seq.alias("seq")]))
-    counts = [F.col("n")[0].alias("forward"), F.col("n")[1].alias("backward")]
-    if few:
-        all_keys = all_keys.select(key, *counts)
-    else:
+    n = unused("n", [*sequences.columns, strand, forward, backward])
+    told = sequences.select("*", shared.alias(n)).select(*sequences.columns, F.col(n)[0].alias(forward), F.col(n)[1].alias(backward))
+    if not few:
         every = known.withColumn("strand", F.lit("+")).unionByName(turned.withColumn("strand", F.lit("-")))
-        hits = all_keys.select(key, F.explode(odd).alias("word")).join(every, "word").groupBy(key).agg(
-            *[F.sum(F.when(F.col("strand") == s, 1).otherwise(0)).alias(n) for s, n in (("+", "more_forward"), ("-", "more_backward"))]
+        words = sequences.select(F.col(key).alias("key"), seq.alias("seq")).select("key", F.explode(odd).alias("word"))
+        hits = words.join(every, "word").groupBy(F.col("key").alias(n)).agg(
+            *[F.sum(F.when(F.col("strand") == s, 1).otherwise(0)).alias(f"{n}{s}") for s in "+-"]
         )
-        all_keys = all_keys.select(key, *counts).join(hits, key, "left").fillna(0, ["more_forward", "more_backward"])
-        sums = [(F.col(n) + F.col(f"more_{n}")).alias(n) for n in ("forward", "backward")]
-        all_keys = all_keys.select(key, *sums)
-    f, b = F.col("forward"), F.col("backward")
-    strand = F.when((f >= 1) & (f >= MARGIN * b), "+").when((b >= 1) & (b >= MARGIN * f), "-").otherwise("?")
-    return all_keys.select(key, strand.alias("strand"), "forward", "backward")
+        more = lambda name, s: (F.col(name) + F.coalesce(f"{n}{s}", F.lit(0))).alias(name)
+        told = told.join(hits, F.col(key) == F.col(n), "left").select(*sequences.columns, more(forward, "+"), more(backward, "-"))
+    f, b = F.col(forward), F.col(backward)
+    sign = F.when((f >= 1) & (f >= MARGIN * b), "+").when((b >= 1) & (b >= MARGIN * f), "-").otherwise("?")
+    return told.withColumn(strand, sign)
+
+
+def orientation(sequences: DataFrame, references: DataFrame, key: str = "id", dbmask: str | None = None) -> DataFrame:
+    """key, strand (+, - or ?), forward, backward: distinct words shared by each strand; see with_orientation()."""
+    told = with_orientation(sequences.select(key, "seq"), references, "strand", "forward", "backward", key, dbmask)
+    return told.select(key, "strand", "forward", "backward")
 
 
 #: The letter of masked places, which no word of a sequence has.
@@ -99,8 +105,8 @@ def orient_seqs(
     turned = reverse_complement(F.col("seq"))
     if references is None:
         return sequences.withColumn("seq", turned), sequences.where(F.lit(False))
-    strand = unused("strand", sequences.columns)
-    told = sequences.join(orientation(sequences, references, dbmask=dbmask).select("id", F.col("strand").alias(strand)), "id")
+    names = [unused(n, sequences.columns) for n in ("strand", "forward", "backward")]
+    told, strand = with_orientation(sequences, references, *names, dbmask=dbmask), names[0]
     oriented = told.where(F.col(strand) != "?").withColumn("seq", F.when(F.col(strand) == "-", turned).otherwise(F.col("seq")))
     oriented, unmatched = oriented.select(*sequences.columns), told.where(F.col(strand) == "?").select(*sequences.columns)
     size = unused("size", sequences.columns)

@@ -501,6 +501,24 @@ def test_unit_weights_hold_few_words_of_a_large_batch():
     assert {r["word"]: r["w_sum"] for r in got} == pytest.approx(want)
 
 
+def test_oriented_rows_stay_where_they_are(spark):
+    """The strand is told in the row: one pass of Python, and no letters shuffled; words with
+    other letters count once, and only true ones."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("AACGTTACGR") for _ in range(n))
+    refs = [("r1", some(300)), ("r2", some(90) + "é" + some(20)), ("r3", "ACGTRYSWKMBDHVNACGT")]
+    rows = [("a", refs[0][1][20:200] * 2), ("b", refs[1][1]), ("c", some(400)), ("d", ""), ("e", "ACGT" * 2), ("f", refs[1][1].replace("é", "ö")), ("g", refs[2][1])]
+    turn = str.maketrans("ACGTURYSWKMBDHVN", "TGCAAYRSWMKVHDBN")
+    rows += [(f"{i}-", s.translate(turn)[::-1]) for i, s in rows]
+    own = lambda s: {s[i : i + 12] for i in range(len(s) - 11)}
+    known = set().union(*(own(r) for _, r in refs))
+    df, ref_df = seqs(spark, rows), seqs(spark, refs)
+    got = {r.id: (r.forward, r.backward) for r in orient.orientation(df, ref_df).collect()}
+    assert got == {i: (len(own(s) & known), len(own(s.translate(turn)[::-1]) & known)) for i, s in rows}
+    plan = orient.orient_seqs(df, ref_df)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_bitmaps_of_words():
     rng = random.Random(4)
     seq = "".join(rng.choice("ACGTN") for _ in range(300))
