@@ -24,21 +24,28 @@ def _members(sequences: DataFrame, derep_prefix: bool, perc_identity: float, min
     """id, ord, centroid of every sequence of min_length or more; see clusters().
 
     Equal sequences meet by a 256-bit digest, so the letters stay where they are; only
-    for prefixes and similarity are those of the centroids joined.
+    for prefixes and similarity are those of the centroids joined. A prefix has the first
+    min_length letters of its extensions, so those of centroids that share them with no
+    other (told by a hash) are not looked at.
     """
     key = F.upper(to_dna(F.col("seq")))
     keys = sequences.select("id", F.col(_order(sequences)).alias("ord"), key.alias("key")).where(F.length("key") >= min_length)
-    rows = keys.select("id", "ord", F.unhex(F.sha2("key", 256)).alias("digest"))
-    kinds = rows.groupBy("digest").agg(F.min(F.struct("ord", "id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    kinds = kinds.select("digest", F.col("first.id").alias("centroid"), F.col("first.ord").alias("ord"), "n")
+    rows = keys.select("id", "ord", F.unhex(F.sha2("key", 256)).alias("digest"), F.xxhash64(F.substring("key", 1, max(0, min_length))).alias("head"))
+    if derep_prefix:
+        rows = cut(rows)  # read several times, the letters once
+    kinds = rows.groupBy("digest").agg(F.min(F.struct("ord", "id")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("head").alias("head"))
+    kinds = kinds.select("digest", F.col("first.id").alias("centroid"), F.col("first.ord").alias("ord"), "n", "head")
     out = rows.join(kinds.select("digest", "centroid"), "digest").select("id", "ord", "centroid")
     if not derep_prefix and perc_identity >= 1:
         return out
-    kinds = kinds.select("centroid", "ord", "n").join(keys.select(F.col("id").alias("centroid"), "key"), "centroid")
+    letters = keys.select(F.col("id").alias("centroid"), "key")
     if derep_prefix:
-        moves = _prefix_map(kinds)
+        heads = kinds.groupBy("head").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        shared = kinds.join(heads, "head", "left_semi")
+        moves = _prefix_map(shared.select("centroid", "ord", "n").join(letters, "centroid"))
         out = _recentred(out, moves)
         kinds = kinds.join(moves, "centroid", "left_anti")
+    kinds = kinds.select("centroid", "ord").join(letters, "centroid")
     if perc_identity < 1:
         out = _recentred(out, align.greedy_clusters(kinds.select(F.col("centroid").alias("id"), "ord", F.col("key").alias("seq")), perc_identity))
     return out

@@ -363,6 +363,29 @@ def test_sorted_prefixes_match_brute_force(spark):
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_prefixes_look_only_at_shared_beginnings(spark, monkeypatch):
+    """Sequences whose first letters no other one has stay out of the order, and the clusters
+    are those of all pairs."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    bases = [some(80) for _ in range(3)]
+    keys = [some(60) for _ in range(30)] + [b[:n] for b in bases for n in (33, 40, 40, 80)] + [bases[0][:35] + "AAAA", bases[1][:31] + "A", bases[2][:40].lower()]
+    df = seqs(spark, [(f"k{i:02}", k) for i, k in enumerate(keys)])
+    looked, whole = [], dereplicate._prefix_map
+    monkeypatch.setattr(dereplicate, "_prefix_map", lambda kinds: looked.append(kinds.count()) or whole(kinds))
+    for least, most in ((32, 11), (1, 41)):
+        upper = [(k.upper(), f"k{i:02}") for i, k in enumerate(keys) if len(k) >= least]
+        first, n = {}, {}
+        for k, i in upper:
+            first.setdefault(k, i)
+            n[k] = n.get(k, 0) + 1
+        longer = lambda k: [q for q in first if q != k and q.startswith(k)]
+        to = {k: min((len(q), -n[q], first[q]) for q in longer(k) if not longer(q))[2] if longer(k) else first[k] for k in first}
+        got = {r.id: r.centroid for r in dereplicate.clusters(df, derep_prefix=True, min_length=least).collect()}
+        assert got == {i: to[k] for k, i in upper}
+        assert looked.pop() <= most
+
+
 def mutated(rng, seq, rate):
     out = []
     for c in seq:
