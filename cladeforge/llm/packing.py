@@ -29,7 +29,7 @@ OPEN_WINDOWS = 16
 #: Partitions whose leftovers one merging task takes.
 FAN_IN = 32
 #: Words whose ids a Python worker remembers; the memory is bounded, results don't depend on it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 #: Texts encoded together.
 TEXTS = 200
 ID_BYTES = 4

@@ -56,3 +56,17 @@ def test_pack_round_trip(spark):
 
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_of_a_large_vocabulary_are_encoded_once():
+    from types import SimpleNamespace
+
+    from cladeforge.llm import packing
+
+    asked = []
+    coder = packing.WordEncoder.__new__(packing.WordEncoder)
+    coder.memo = {}
+    coder.tokenizer = SimpleNamespace(encode_batch_fast=lambda words, add_special_tokens: asked.append(len(words)) or [SimpleNamespace(ids=[len(w)]) for w in words])
+    texts = [b" ".join(b"%d" % i for i in range(at, at + 50_000)) for at in range(0, 600_000, 50_000)]
+    first = [coder.encode_all([t]) for t in texts]
+    assert [coder.encode_all([t]) for t in texts] == first and sum(asked) == 600_000
