@@ -8,19 +8,26 @@ All rounds run over all training documents and whole texts, until a round gains
 TOLERANCE of the log-likelihood. In the rounds but the last, the states emit classes: each
 of the TOP most frequent words is its own class, the end of a text is one, and the other
 words are dealt to RARE classes by a hash; so what tasks hold of the corpus is bounded. In
-the last round every word counts for itself: its expected counts in each state are a Spark
-table of all training words, and each document is scored with the rows of its own words,
-which reach it by a join. To the expected count E(w) of w in a state, whose words are E in
-all, come 0.1 E / N and 50 u(w), with u(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); divided by
-their sum over V + 1 words, the 1 standing for all unseen ones, that is what the state
-emits. So the whole is a probability over texts whose unseen words are not told apart.
-
-A text is looked at as a whole whatever its length; one of more than BLOCK tokens is worked
-on in stretches, of which the forward pass keeps the ends only.
+the last round every word counts for itself: its expected counts in each state are summed
+over all training words, and each document is scored with the sums of its own words. To
+the expected count E(w) of w in a state, whose words are E in all, come 0.1 E / N and
+50 u(w), with u(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); divided by their sum over V + 1
+words, the 1 standing for all unseen ones, that is what the state emits. So the whole is a
+probability over texts whose unseen words are not told apart.
+
+Texts are encoded once, into rows of some BLOCK tokens: their classes, a number of two
+bytes each, in the order in which the recursions read them, and the block's distinct rare
+words. A block's rare words go to their buckets by hash with the block's counts of them,
+where the counts of all blocks are summed, and the sums come back by block: each word
+travels once for a block and not once for a text.
+
+A text is looked at as a whole whatever its length; of one of more than BLOCK tokens the
+forward pass keeps the ends of stretches only.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -43,8 +50,13 @@ TOLERANCE, ROUNDS = 0.005, 8
 WEIGHT = 50.0
 #: Distinct words a task counts before it hands them over.
 COUNTED_WORDS = 200_000
-#: Texts read together, and tokens over which the recursions run together.
-TEXTS, BLOCK = 1000, 1_000_000
+#: Texts and bytes of texts that are split into words together.
+TEXTS, BYTES = 1000, 4_000_000
+#: Tokens of a block, over which the recursions run together; steps of up to PIECE tokens
+#: are looked up and summed together; at most LANES texts run side by side.
+BLOCK, PIECE, LANES = 4_000_000, 131_072, 2048
+#: Rows of sums that are added up together, and words of blocks that meet in a bucket.
+CHUNK, BUCKET = 1024, 150_000
 #: Stands for the end of a text; no word has a space.
 END = " "
 SMOOTH = 0.1
@@ -65,6 +77,18 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return before[offsets - offsets[0]], words.filter(some)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of up to TEXTS rows and BYTES in the column, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right"))
+            to = min(max(at + 1, to), at + TEXTS)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
 
@@ -72,7 +96,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
         return table.rename_columns(["word", "n"])
 
-    for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+    for batch in _slices(batches, 0):
         found = words_of(batch.column(0))[1].value_counts()
         words, n = found.field("values"), found.field("counts").cast(pa.int64())
         held.append(pa.table({"word": pa.concat_arrays([words, pa.array([END])]), "n": pa.concat_arrays([n, pa.array([batch.num_rows])])}))
@@ -91,30 +115,79 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(words))
+
+
+def _bytes(array: np.ndarray) -> bytes:
+    return np.ascontiguousarray(array).tobytes()
+
+
+def _code_type(classes: int) -> str:
+    return "<u2" if classes <= 1 << 16 else "<u4"
+
+
+def _encoded(ids: list[pa.Array], lengths: list[np.ndarray], codes: list[np.ndarray], rare: list[pa.Array], first_rare: int, rare_classes: int) -> list:
+    """A block of texts: doc_ids and lengths in the order of the lanes, texts of each lane,
+    classes by step, distinct rare words by hash, and the number of each rare token's word."""
+    kinds = pa.chunked_array(rare, pa.string()).combine_chunks().dictionary_encode()
+    words, number = kinds.dictionary, kinds.indices.to_numpy(zero_copy_only=False)
+    hashes = _hashes(words)
+    by_hash = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(words), dtype=np.int32)
+    rank[by_hash] = np.arange(len(words), dtype=np.int32)
+    order, lanes = Lanes.dealt(np.concatenate(lengths))
+    every = np.concatenate(codes)
+    at = np.flatnonzero(every < 0)
+    every[at] = (hashes % rare_classes + first_rare)[number]
+    slots = np.zeros(len(every), dtype=np.int32)
+    slots[at] = rank[number]
+    given = np.concatenate(lengths)
+    moved = _runs((np.cumsum(given) - given)[order], lanes.lengths)
+    places = lanes.places()
+    every[places], slots[places] = every[moved], slots[moved]
+    return [
+        pa.chunked_array(ids).combine_chunks().take(pa.array(order)),
+        _bytes(lanes.lengths.astype("<i4")),
+        _bytes(lanes.texts.astype("<i4")),
+        _bytes(every.astype(_code_type(first_rare + rare_classes))),
+        _bytes(slots[every >= first_rare].astype("<i4")),
+        words.take(pa.array(by_hash)),
+        len(words),
+    ]
+
+
+BLOCKS = ["held_out", "ids", "lengths", "texts", "codes", "slots", "words", "n_words"]
 
 
-def _encoder(top: pa.Array):
-    """Codes of every document's tokens, the end being 0, and its rare words; the code of a frequent word is its place in top + 1, that of a rare one goes on
-    from there with its place in the document's list."""
+def _encoder(top: pa.Array, rare_classes: int):
+    """Blocks of texts that are held out, or of others: see _encoded(). The end's class is
+    0, that of a frequent word its place in top + 1, and the rare ones' classes follow."""
+
+    def block(held: bool, parts: list[tuple]) -> pa.RecordBatch:
+        ids, *binaries, words, n = _encoded(*map(list, zip(*parts, strict=True)), len(top) + 1, rare_classes)
+        listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, words)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([held]), listed[0], *(pa.array([x], pa.binary()) for x in binaries), listed[1], pa.array([n], pa.int32())], BLOCKS
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_rare = len(top) + 1
-        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
-            before, words = words_of(batch.column(3))
-            place = pc.index_in(words, value_set=top)
-            codes = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            rare = np.flatnonzero(codes == 0)
-            text = np.repeat(np.arange(batch.num_rows), np.diff(before))
-            kinds = words.take(pa.array(rare)).dictionary_encode()
-            width = max(1, len(kinds.dictionary))
-            keys, number = np.unique(text[rare] * width + kinds.indices.to_numpy(zero_copy_only=False), return_inverse=True)
-            ends = np.searchsorted(keys, np.arange(batch.num_rows + 1) * width)
-            codes[rare] = first_rare + number - ends[text[rare]]
-            every = np.insert(codes, before[1:], 0).astype(np.int32)
-            lists = [_lists(before + np.arange(len(before)), pa.array(every)), _lists(ends, kinds.dictionary.take(pa.array(keys % width)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["row", "doc_id", "held_out", "codes", "rare"])
+        parts: dict[bool, list[tuple]] = {False: [], True: []}
+        for batch in _slices(batches, 2):
+            for held, kept in parts.items():
+                given = batch.filter(pc.equal(batch.column(1), held))
+                if not given.num_rows:
+                    continue
+                before, words = words_of(given.column(2))
+                codes = pc.index_in(words, value_set=top).fill_null(-2).to_numpy(zero_copy_only=False).astype(np.int32) + 1
+                rare = words.take(pa.array(np.flatnonzero(codes < 0)))
+                kept.append((given.column(0), np.diff(before) + 1, np.insert(codes, before[1:], 0), rare))
+                if sum(len(p[2]) for p in kept) >= BLOCK:
+                    yield block(held, kept)
+                    kept.clear()
+        for held, kept in parts.items():
+            if kept:
+                yield block(held, kept)
 
     return run
 
@@ -140,282 +213,388 @@ class Model:
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-class Steps:
-    """Sequences of classes by step: the first classes of all of them, longest first, then
-    the second ones of those that have two, and so on. Step t lies at cuts[t] : cuts[t + 1],
-    so that no place is padded and what is done for a step runs along memory."""
+def _index(array: np.ndarray) -> np.ndarray:
+    """Rising whole numbers in four bytes, where they fit."""
+    return array.astype(np.int32) if not len(array) or array[-1] < 1 << 31 else array
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of runs of such starts and lengths, one run after the other."""
+    ends = np.cumsum(lengths)
+    kind = np.int32 if not len(ends) or ends[-1] + starts.max() < 1 << 31 else np.int64
+    out = np.arange(ends[-1] if len(ends) else 0, dtype=kind)
+    out += np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    return out
+
+
+class Lanes:
+    """Texts side by side: each lane holds texts one after the other, lanes being longest
+    first, and step t has the token t of all lanes that have one. It lies at cuts[t] :
+    cuts[t + 1], so that no place is padded and what is done for a step runs along memory.
 
-    def __init__(self, sequences: list[np.ndarray], numbers: np.ndarray):
-        lengths = np.array([len(sequences[i]) for i in numbers])  # falling
-        live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-        self.numbers, self.cuts = numbers, np.concatenate(([0], np.cumsum(live)))
-        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self._places = self.cuts[step] + np.repeat(np.arange(len(numbers)), lengths)
-        self.codes = self.placed(sequences)
+    lengths: of the texts, lane by lane; texts: number of them in each lane."""
 
-    def placed(self, sequences: list[np.ndarray]) -> np.ndarray:
-        out = np.empty(len(self._places), dtype=np.int32)
-        out[self._places] = np.concatenate([sequences[i] for i in self.numbers])
+    def __init__(self, lengths: np.ndarray, texts: np.ndarray):
+        self.lengths, self.texts = lengths.astype(np.int64), texts.astype(np.int64)
+        before, first = np.concatenate(([0], np.cumsum(self.lengths))), np.concatenate(([0], np.cumsum(self.texts)))
+        self.sizes = np.diff(before[first])
+        live = np.searchsorted(-self.sizes, -np.arange(1, self.sizes[0] + 1), side="right")
+        self.cuts = np.concatenate(([0], np.cumsum(live)))
+        lane = np.repeat(np.arange(len(self.texts)), self.texts)
+        step = before[:-1] - before[first[:-1]][lane]
+        by_step = np.argsort(step, kind="stable")
+        #: Lanes in which a text starts, by step; those of step t at start_at[t] : start_at[t + 1].
+        self.starting, self.start_at = lane[by_step], np.searchsorted(step[by_step], np.arange(len(live) + 1))
+        self.start_places = self.cuts[step[by_step]] + self.starting
+
+    @classmethod
+    def dealt(cls, lengths: np.ndarray) -> tuple[np.ndarray, Lanes]:
+        """The texts' order in lanes of like size, and these. The longest text sets the steps."""
+        total, longest = int(lengths.sum()), int(lengths.max())
+        lanes: list[list[int]] = [[] for _ in range(min(LANES, len(lengths), -(-total // longest)))]
+        sizes = [(0, i) for i in range(len(lanes))]
+        for text in np.argsort(-lengths, kind="stable").tolist():
+            size, i = sizes[0]
+            lanes[i].append(text)
+            heapq.heapreplace(sizes, (size + int(lengths[text]), i))
+        lanes = [lanes[i] for _, i in sorted(sizes, key=lambda x: (-x[0], x[1]))]
+        order = np.concatenate([np.array(texts) for texts in lanes])
+        return order, cls(lengths[order], np.array([len(texts) for texts in lanes]))
+
+    def places(self) -> np.ndarray:
+        """The place of each token, taken lane by lane."""
+        out = _index(self.cuts)[_runs(np.zeros_like(self.sizes), self.sizes)]
+        out += np.repeat(_index(np.arange(len(self.sizes))), self.sizes)
         return out
 
-    def stretches(self, size: int) -> list[tuple[int, int]]:
+    def placed(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        out[self.places()] = values
+        return out
+
+    def stretches(self, size: int, steps: tuple[int, int] | None = None) -> list[tuple[int, int]]:
         """First step and the one after the last of stretches of up to size places, a step at least."""
-        out, at = [], 0
-        while at < len(self.cuts) - 1:
-            to = max(at + 1, int(np.searchsorted(self.cuts, self.cuts[at] + size, side="right")) - 1)
+        at, end = steps or (0, len(self.cuts) - 1)
+        out = []
+        while at < end:
+            to = min(end, max(at + 1, int(np.searchsorted(self.cuts, self.cuts[at] + size, side="right")) - 1))
             out.append((at, to))
             at = to
         return out
 
 
-def blocks(sequences: list[np.ndarray]) -> Iterator[Steps]:
-    """The sequences, those of like length together, in blocks of up to BLOCK places or of
-    a single sequence."""
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    ends = np.cumsum([len(sequences[i]) for i in order])
+def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, Lanes, np.ndarray]]:
+    """Sequences' numbers in the order of lanes, these, and the classes by step, of up to
+    BLOCK tokens or a single sequence."""
+    ends = np.cumsum([len(s) for s in sequences])
     at = 0
-    while at < len(order):
+    while at < len(sequences):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
-        yield Steps(sequences, order[at:to])
+        order, lanes = Lanes.dealt(np.array([len(s) for s in sequences[at:to]]))
+        yield order + at, lanes, lanes.placed(np.concatenate([sequences[at + i] for i in order]))
         at = to
 
 
-def _forward(model: Model, emit: np.ndarray, steps: Steps, stretch: tuple[int, int], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities (states x places) and scales of a stretch; emit: states x
-    classes; before: the probabilities of the step before it, None at the start."""
-    cuts = steps.cuts[stretch[0] : stretch[1] + 1]
-    alpha = np.take(emit, steps.codes[cuts[0] : cuts[-1]], axis=1)
-    scales = np.empty(alpha.shape[1], dtype=alpha.dtype)
-    turned = np.ascontiguousarray(model.move.T)
-    cuts = (cuts - cuts[0]).tolist()
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        now = alpha[:, a:b]
-        now *= model.start[:, None] if before is None else turned @ before[:, : b - a]
-        now /= np.add.reduce(now, axis=0, out=scales[a:b])
+def _forward(model: Model, lanes: Lanes, codes: np.ndarray, stretch: tuple[int, int], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities (places x states) and scales of a stretch; before: the
+    probabilities of the step before it, None at the start."""
+    cuts = lanes.cuts[stretch[0] : stretch[1] + 1]
+    alpha = np.take(model.emit, codes[cuts[0] : cuts[-1]], axis=0, mode="clip")
+    scales = np.empty(len(alpha), dtype=alpha.dtype)
+    states, widest = len(model.start), int(cuts[1] - cuts[0])
+    ones = np.ones((states, states), dtype=alpha.dtype)
+    moved, sums = np.empty((widest, states), dtype=alpha.dtype), np.empty((widest, states), dtype=alpha.dtype)
+    cuts, starting = (cuts - cuts[0]).tolist(), lanes.starting
+    starts = lanes.start_at[stretch[0] : stretch[1] + 1].tolist()
+    for a, b, c, d in zip(cuts, cuts[1:], starts, starts[1:], strict=False):
+        now, come, total = alpha[a:b], moved[: b - a], sums[: b - a]
+        if before is not None:
+            np.matmul(before[: b - a], model.move, out=come)
+        if d > c:
+            come[starting[c:d]] = model.start
+        now *= come
+        np.matmul(now, ones, out=total)  # each row's sum, in all its columns
+        now /= total
+        scales[a:b] = total[:, 0]
         before = now
     return alpha, scales
 
 
+def _logs(model: Model, lanes: Lanes, codes: np.ndarray) -> np.ndarray:
+    """Natural log probability of each text, in the order of the lanes."""
+    logs, before = np.empty(lanes.cuts[-1]), None
+    for stretch in lanes.stretches(PIECE):
+        alpha, scales = _forward(model, lanes, codes, stretch, before)
+        logs[lanes.cuts[stretch[0]] : lanes.cuts[stretch[1]]] = np.log(scales)
+        before = alpha[len(alpha) - (lanes.cuts[stretch[1]] - lanes.cuts[stretch[1] - 1]) :].copy()
+    return np.add.reduceat(logs[lanes.places()], np.cumsum(lanes.lengths) - lanes.lengths)
+
+
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each sequence of classes, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
-    emit = np.ascontiguousarray(model.emit.T)
-    for steps in blocks(sequences):
-        before = None
-        for stretch in steps.stretches(BLOCK // 4):
-            alpha, scales = _forward(model, emit, steps, stretch, before)
-            cuts = steps.cuts[stretch[0] : stretch[1] + 1]
-            live = np.diff(cuts)
-            which = np.arange(len(scales)) - np.repeat(cuts[:-1] - cuts[0], live)
-            out[steps.numbers] += np.bincount(which, weights=np.log(scales), minlength=len(steps.numbers))
-            before = alpha[:, len(scales) - live[-1] :].copy()
+    for numbers, lanes, codes in blocks(sequences):
+        out[numbers] = _logs(model, lanes, codes)
     return out
 
 
 class Expected:
     """Expected starts, transitions and emissions, and the log-likelihood, summed up."""
 
-    def __init__(self, states: int, slots: int):
-        self.start, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((slots, states))
+    def __init__(self, states: int, classes: int):
+        self.start, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
         self.log = 0.0
 
-    def add(self, model: Model, sequences: list[np.ndarray], slots: list[np.ndarray] | None = None) -> None:
-        """Counts the sequences of classes; emissions under slots, where these are given."""
-        emit = np.ascontiguousarray(model.emit.T)
-        for steps in blocks(sequences):
-            places = steps.codes if slots is None else steps.placed(slots)
-            stretches = steps.stretches(BLOCK)
-            ends: list = [None]
-            for stretch in stretches[:-1]:
-                width = steps.cuts[stretch[1]] - steps.cuts[stretch[1] - 1]
-                ends.append(_forward(model, emit, steps, stretch, ends[-1])[0][:, -width:].copy())
-            beta = np.ones((len(model.start), len(steps.numbers)), dtype=emit.dtype)
-            for stretch, before in zip(stretches[::-1], ends[::-1], strict=True):
-                self._stretch(model, emit, steps, places, stretch, before, beta)
-
-    def _stretch(self, model: Model, emit: np.ndarray, steps: Steps, places: np.ndarray, stretch: tuple[int, int], before: np.ndarray | None, beta: np.ndarray) -> None:
-        """beta: backward probabilities after the stretch, on return those before it."""
-        alpha, scales = _forward(model, emit, steps, stretch, before)
-        cuts = steps.cuts[stretch[0] : stretch[1] + 1]
-        held = slice(cuts[0], cuts[-1])
-        self.log += float(np.log(scales, dtype=np.float64).sum())
-        given = np.take(emit, steps.codes[held], axis=1)
-        given /= scales
-        moved = np.zeros(model.move.shape)
-        cuts = (cuts - cuts[0]).tolist()
+    def add(self, model: Model, lanes: Lanes, codes: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray | None:
+        """Counts a block; returns the states' probabilities at the asked places (rising)."""
+        stretches, ends = lanes.stretches(BLOCK), [None]
+        for stretch in stretches[:-1]:
+            width = lanes.cuts[stretch[1]] - lanes.cuts[stretch[1] - 1]
+            ends.append(_forward(model, lanes, codes, stretch, ends[-1])[0][-width:].copy())
+        beta = np.ones((len(lanes.sizes), len(model.start)), dtype=model.emit.dtype)
+        told = None if asked is None else np.empty((len(asked), len(model.start)), dtype=model.emit.dtype)
+        for stretch, before in zip(stretches[::-1], ends[::-1], strict=True):
+            alpha, scales = _forward(model, lanes, codes, stretch, before)
+            self.log += float(np.log(scales, dtype=np.float64).sum())
+            first = lanes.cuts[stretch[0]]
+            for piece in lanes.stretches(PIECE, stretch)[::-1]:
+                a, b = lanes.cuts[piece[0]] - first, lanes.cuts[piece[1]] - first
+                last = alpha[lanes.cuts[piece[0] - 1] - first : a] if piece[0] > stretch[0] else before
+                held = self._piece(model, lanes, codes, piece, alpha[a:b], scales[a:b], last, beta)
+                if told is not None:
+                    c, d = np.searchsorted(asked, [first + a, first + b])
+                    np.take(held, asked[c:d] - (first + a), axis=0, out=told[c:d])
+        return told
+
+    def _piece(self, model: Model, lanes: Lanes, codes: np.ndarray, piece: tuple[int, int], alpha: np.ndarray, scales: np.ndarray, last: np.ndarray | None, beta: np.ndarray) -> np.ndarray:
+        """The states' probabilities at the piece's places. last: forward probabilities of the
+        step before; beta: backward ones of each lane after the piece, on return before it."""
+        cuts = lanes.cuts[piece[0] : piece[1] + 1]
+        codes, cuts = codes[cuts[0] : cuts[-1]], (cuts - cuts[0]).tolist()
+        starts, starting = lanes.start_at[piece[0] : piece[1] + 1].tolist(), lanes.starting
+        given = np.take(model.emit, codes, axis=0, mode="clip")
+        given /= scales[:, None]
+        held, turned = np.empty_like(given), np.ascontiguousarray(model.move.T)
         for t in range(len(cuts) - 2, -1, -1):
-            a, b = cuts[t], cuts[t + 1]
-            here = beta[:, : b - a]
-            after = given[:, a:b]
+            a, b, c, d = cuts[t], cuts[t + 1], starts[t], starts[t + 1]
+            here, after = beta[: b - a], given[a:b]
+            held[a:b] = here
             after *= here
-            alpha[:, a:b] *= here
-            last = alpha[:, cuts[t - 1] :] if t else before
-            if last is None:
-                break
-            moved += last[:, : b - a] @ after.T
-            here[:] = model.move @ after
+            if d > c:
+                new = starting[c:d]
+                after[new] = 0  # nothing moves from one text to the next
+                np.matmul(after, turned, out=here)
+                here[new] = 1
+            else:
+                np.matmul(after, turned, out=here)
+        moved = np.zeros(model.move.shape)
+        if last is not None:
+            moved += last[: cuts[1]].T @ given[: cuts[1]]
+        # Runs of steps as wide as the one before each: its tokens lie that many places back.
+        width = np.diff(cuts)
+        edges = [0, *(np.flatnonzero(np.diff(width)) + 1).tolist(), len(width)]
+        for x, y in zip(edges, edges[1:], strict=False):
+            if x:
+                moved += alpha[cuts[x - 1] : cuts[x - 1] + cuts[x + 1] - cuts[x]].T @ given[cuts[x] : cuts[x + 1]]
+            for a in range(cuts[x + 1], cuts[y], PIECE // 8):
+                b = min(cuts[y], a + PIECE // 8)
+                moved += alpha[a - width[x] : b - width[x]].T @ given[a:b]
         self.move += model.move * moved
-        if before is None:
-            self.start += alpha[:, : cuts[1]].sum(axis=1, dtype=np.float64)
+        held *= alpha
+        first = slice(starts[0], starts[-1])
+        self.start += held[lanes.start_places[first] - lanes.cuts[piece[0]]].sum(axis=0, dtype=np.float64)
         for k in range(len(self.start)):
-            self.emit[:, k] += np.bincount(places[held], weights=alpha[k], minlength=len(self.emit))
+            self.emit[:, k] += np.bincount(codes, weights=held[:, k], minlength=len(self.emit))
+        return held
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, transitions and emissions over the sequences."""
     found = Expected(len(model.start), len(model.emit))
-    found.add(model, sequences)
+    for _, lanes, codes in blocks(sequences):
+        found.add(model, lanes, codes)
     return found.start, found.move, found.emit
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Offsets from 0, and the values of the lists."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    return offsets - offsets[0], column.values.slice(offsets[0], offsets[-1] - offsets[0])
+def _lanes(row: dict) -> Lanes:
+    return Lanes(np.frombuffer(row["lengths"], "<i4"), np.frombuffer(row["texts"], "<i4"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices whose lists have BLOCK tokens, or a row at least."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks one by one; lists stay in Arrow."""
     for batch in batches:
-        ends = batch.column(column).offsets.to_numpy()
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, side="right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+        for i in range(batch.num_rows):
+            yield {name: c[i].values if pa.types.is_list(c.type) else c[i].as_py() for name, c in zip(batch.schema.names, batch.columns, strict=True)}
+
 
+def _chunks(total: Expected) -> Iterator[tuple[int, bytes]]:
+    """Number and sums of each CHUNK of rows that has any: emissions of the classes, starts,
+    moves and the log-likelihood."""
+    states = len(total.start)
+    table = np.vstack([total.emit, total.start[None, :], total.move, np.full((1, states), total.log / states)])
+    for i, at in enumerate(range(0, len(table), CHUNK)):
+        if table[at : at + CHUNK].any():
+            yield i, _bytes(table[at : at + CHUNK])
 
-def _split(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
+def _of_chunks(rows: list, states: int, classes: int) -> Expected:
+    """The sums (classes and a few more: bounded) as one object; rows: chunk, sums."""
+    table = np.zeros((classes + states + 2, states))
+    for chunk, sums in rows:
+        table[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(sums).reshape(-1, states)
+    out = Expected(states, classes)
+    out.emit[:], out.start[:], out.move[:] = table[:classes], table[classes], table[classes + 1 : -1]
+    out.log = float(table[-1].sum())
+    return out
 
-def _rare_places(codes: np.ndarray, offsets: np.ndarray, rare: np.ndarray, first_rare: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which codes are rare words, and the places of these in the lists (offsets rare)."""
-    at = np.flatnonzero(codes >= first_rare)
-    text = np.searchsorted(offsets, at, side="right") - 1
-    return at, rare[text] + codes[at] - first_rare
 
+def _added(batches: Iterator[pa.RecordBatch], column: str) -> bytes:
+    total: np.ndarray | float = 0.0
+    for batch in batches:
+        for x in batch.column(column):
+            total = total + np.frombuffer(x.as_buffer())
+    return _bytes(total)
 
-def rare_class(words: pa.Array, rare_classes: int) -> np.ndarray:
-    """A class of each word, by a hash of its bytes."""
-    return np.fromiter((zlib.crc32(w) % rare_classes for w in words.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(words))
 
+def _single(model: Model) -> Model:
+    return Model(*(np.ascontiguousarray(x, dtype=np.float32) for x in (model.start, model.move, model.emit)))
 
-def _expecter(model: Model, first_rare: int, rare_classes: int, words: bool):
-    """Expected counts of a partition by key: a class, -1 the starts, -2 - k moves from k,
-    -2 - states the log-likelihood; with words rare ones by word and not by class."""
-    model = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
-    states = len(model.start)
-    names = ["key", "word", *(f"k{k}" for k in range(states))]
 
-    def rows(keys: np.ndarray, kinds: pa.Array | None, values: np.ndarray) -> pa.RecordBatch:
-        kinds = pa.nulls(len(keys), pa.string()) if kinds is None else kinds
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), kinds, *map(pa.array, values.T.copy())], names)
+def _expecter(model: Model):
+    """Expected counts of a partition over the classes."""
+    model = _single(model)
+    classes, states = model.emit.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Expected(states, len(model.emit))
-        some = False
-        for batch in _batches(batches, 0):
-            some = True
-            offsets, codes = _flat(batch.column(0))
-            rare, kinds = _flat(batch.column(1))
-            codes = codes.to_numpy().copy()
-            at, place = _rare_places(codes, offsets, rare, first_rare)
-            if not words:
-                codes[at] = kinds.to_numpy()[place]
-                total.add(model, _split(codes, offsets))
-                continue
-            kinds = kinds.dictionary_encode()
-            slots, number = codes.copy(), kinds.indices.to_numpy(zero_copy_only=False)
-            classes = rare_class(kinds.dictionary, rare_classes) + first_rare
-            codes[at], slots[at] = classes[number[place]], first_rare + number[place]
-            mine = Expected(states, first_rare + len(kinds.dictionary))
-            mine.add(model, _split(codes, offsets), _split(slots, offsets))
-            total.start, total.move, total.log = total.start + mine.start, total.move + mine.move, total.log + mine.log
-            total.emit[:first_rare] += mine.emit[:first_rare]
-            if len(kinds.dictionary):
-                counts = np.rint(mine.emit[first_rare:] * 1024) / 1024  # few bits: they are shuffled and joined
-                yield rows(np.full(len(kinds.dictionary), first_rare), kinds.dictionary, counts)
-        if not some:
-            return
-        seen = np.flatnonzero(total.emit.any(axis=1))
-        log = np.full((1, states), total.log / states)
-        keys = np.concatenate(([-1], -2 - np.arange(states), [-2 - states], seen))
-        yield rows(keys, None, np.vstack([total.start[None, :], total.move, log, total.emit[seen]]))
+        total = Expected(states, classes)
+        for row in _rows(batches):
+            total.add(model, _lanes(row), np.frombuffer(row["codes"], _code_type(classes)))
+        for chunk, sums in _chunks(total):
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "sums": pa.array([sums], pa.binary())})
 
     return run
 
 
-def _sums(coded: DataFrame, model: Model, first_rare: int, rare_classes: int, words: bool) -> DataFrame:
-    names = [f"k{k}" for k in range(len(model.start))]
-    schema = ", ".join(["key int", "word string", *(f"{n} double" for n in names)])
-    given = coded.select("codes", F.col("rare" if words else "kinds"))
-    found = given.mapInArrow(_expecter(model, first_rare, rare_classes, words), schema)
-    return found.groupBy("key", "word").agg(*(F.sum(n).alias(n) for n in names))
+def _add_chunks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([_added(batches, "sums")], pa.binary())})
 
 
-def _collected(sums: DataFrame, states: int, classes: int) -> Expected:
-    """The sums by key (classes and a few more: bounded) as one object."""
-    table = sums.drop("word").toArrow()
-    keys = table.column("key").to_numpy()
-    values = np.column_stack([table.column(f"k{k}").to_numpy() for k in range(states)])
-    out = Expected(states, classes)
-    out.emit[keys[keys >= 0]] = values[keys >= 0]
-    out.start += values[keys == -1].sum(axis=0)
-    moves = (keys < -1) & (keys > -2 - states)
-    out.move[-2 - keys[moves]] = values[moves]
-    out.log = float(values[keys == -2 - states].sum())
-    return out
-
-
-def baum_welch(coded: DataFrame, model: Model, unigram: np.ndarray, first_rare: int) -> tuple[Model, float]:
+def baum_welch(coded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[Model, float]:
     """One round over the classes of all rows: the next model, and the log-likelihood of
     this one."""
-    sums = write_table(_sums(coded, model, first_rare, len(unigram) - first_rare, False))
-    found = _collected(sums, len(model.start), len(unigram))
+    found = coded.select("lengths", "texts", "codes").mapInArrow(_expecter(model), "chunk int, sums binary")
+    sums = write_table(found.groupBy("chunk").applyInArrow(_add_chunks, "chunk int, sums binary"))
+    found = _of_chunks(sums.collect(), len(model.start), len(unigram))
     drop_table(sums)
     return Model.of_counts(found.start, found.move, found.emit, unigram, WEIGHT), found.log
 
 
-def fit(coded: DataFrame, class_counts: np.ndarray, first_rare: int) -> Model:
-    """The model of classes of all rows of coded (codes, kinds)."""
+def fit(coded: DataFrame, class_counts: np.ndarray) -> Model:
+    """The model of classes of all blocks."""
     unigram = (class_counts + SMOOTH) / (class_counts.sum() + SMOOTH * len(class_counts))
     model, before = Model.first(unigram), -math.inf
     for _ in range(ROUNDS if class_counts.any() else 0):
-        model, log = baum_welch(coded, model, unigram, first_rare)
+        model, log = baum_welch(coded, model, unigram)
         if log - before < -TOLERANCE * log:
             break
         before = log
     return model
 
 
-def _scorer(model: Model, base_log: np.ndarray, known: np.ndarray, least: np.ndarray, whole: np.ndarray, total: float):
-    """Number of tokens, of known ones, base and score of each text, given the counts of
-    its rare words, whole and by state (null for words that training didn't see)."""
-    first_rare, states = len(known), len(model.start)
+WORDS = "bucket int, block long, words array<string>, counts binary, sums binary"
+TOLD = "bucket int, block long, counts binary, sums binary"
+
+
+def _asker(model: Model, first_rare: int, buckets: int):
+    """The rare words of each block by bucket, in the block's order, with their number and
+    expected counts by state in it (null where it is held out); the partition's sums over
+    classes, as buckets -1, -2 and so on."""
+    model = _single(model)
+    classes, states = model.emit.shape
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+
+    def rows(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["bucket", "block", "words", "counts", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches, 2):
-            offsets, codes = _flat(batch.column(2))
-            codes = codes.to_numpy().astype(np.int64)
-            listed = batch.column(3)
-            sizes = pc.list_value_length(listed).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            rare, told = np.concatenate(([0], np.cumsum(sizes))), listed.flatten()
-            counts = told.field("c").fill_null(0).to_numpy(zero_copy_only=False)
-            rows = told.field("k")
-            emit = np.zeros((len(rows), states))
-            has = rows.is_valid().to_numpy(zero_copy_only=False)
-            emit[has] = rows.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
-            emit = (emit + least + WEIGHT * ((counts + SMOOTH) / total)[:, None]) / whole
-            at, place = _rare_places(codes, offsets, rare, first_rare)
-            codes[at] = first_rare + place
-            sums = [
-                np.diff(offsets),
-                np.add.reduceat(np.concatenate([known, counts > 0])[codes].astype(np.int64), offsets[:-1]),
-                np.add.reduceat(np.concatenate([base_log, np.log10((counts + SMOOTH) / total)])[codes], offsets[:-1]),
-                log_likelihoods(Model(model.start, model.move, np.vstack([model.emit, emit])), _split(codes, offsets)) / math.log(10),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, sums)], SCORED)
+        total = Expected(states, classes)
+        for row in _rows(batches):
+            words = row["words"]
+            if not row["held_out"]:
+                codes, slots = np.frombuffer(row["codes"], _code_type(classes)), np.frombuffer(row["slots"], "<i4")
+                told = total.add(model, _lanes(row), codes, np.flatnonzero(codes >= first_rare))
+                counts = np.bincount(slots, minlength=len(words)).astype("<i8")
+                sums = np.column_stack([np.bincount(slots, weights=told[:, k], minlength=len(words)) for k in range(states)]).astype("<f4")
+            of = _hashes(words) * buckets >> 32
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])) if len(of) else np.zeros(1, dtype=np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words)
+            parts = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+            none = [None] * len(parts)
+            found = (none, none) if row["held_out"] else ([_bytes(x[a:b]) for a, b in parts] for x in (counts, sums))
+            yield rows(of[cuts[:-1]].tolist(), [row["block"]] * len(parts), listed, *found)
+        chunks = list(_chunks(total))
+        none = [None] * len(chunks)
+        yield rows([-1 - i for i, _ in chunks], none, none, none, [x for _, x in chunks])
+
+    return run
+
+
+def _answerer(states: int):
+    """The words of a bucket, of all blocks: for each block its words' counts in all."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = key[0].as_py()
+        names = ["bucket", "block", "counts", "sums"]
+        if bucket < 0:
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_added(batches, "sums")])], names)
+            return
+        table = pa.Table.from_batches(batches)
+        listed = table.column("words").combine_chunks()
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False))))
+        kinds = listed.flatten().dictionary_encode()
+        number, size = kinds.indices.to_numpy(zero_copy_only=False), len(kinds.dictionary)
+        learned = np.repeat(table.column("counts").is_valid().to_numpy(), np.diff(ends))
+        joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).drop_null().to_pylist()), kind)
+        n, given = joined("counts", "<i8"), joined("sums", "<f4").reshape(-1, states)
+        seen = number[learned]
+        counts = np.zeros(size, dtype="<i8")
+        np.add.at(counts, seen, n)
+        sums = np.column_stack([np.bincount(seen, weights=given[:, k], minlength=size) for k in range(states)]).astype("<f4")
+        for block, a, b in zip(table.column("block").to_pylist(), ends, ends[1:], strict=False):
+            asked = number[a:b]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([_bytes(counts[asked])]), pa.array([_bytes(sums[asked])])], names
+            )
+
+    return run
+
+
+def _scorer(model: Model, base_log: np.ndarray, known: np.ndarray, least: np.ndarray, whole: np.ndarray, total: float, classes: int):
+    """Number of tokens, of known ones, base and score of each text of a block, given the
+    counts of its rare words, whole and by state (0 for words that training didn't see)."""
+    first_rare, states = len(known), len(model.start)
+
+    def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return pa.table({name: pa.array([], kind) for name, kind in zip(SCORED, [blocks.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
+        row = next(_rows(blocks.combine_chunks().to_batches()))
+        lanes = _lanes(row)
+        codes = np.frombuffer(row["codes"], _code_type(classes)).astype(np.int64)
+        told = told.sort_by("bucket")
+        joined = lambda name, kind: np.frombuffer(b"".join(told.column(name).to_pylist()), kind)
+        counts, sums = joined("counts", "<i8"), joined("sums", "<f4").reshape(-1, states)
+        codes[codes >= first_rare] = first_rare + np.frombuffer(row["slots"], "<i4")
+        emit = (sums + least + WEIGHT * ((counts + SMOOTH) / total)[:, None]) / whole
+        order, starts = codes[lanes.places()], np.cumsum(lanes.lengths) - lanes.lengths
+        found = [
+            row["ids"],
+            pa.array(np.full(len(starts), row["held_out"])),
+            pa.array(lanes.lengths),
+            pa.array(np.add.reduceat(np.concatenate([known, counts > 0])[order].astype(np.int64), starts)),
+            pa.array(np.add.reduceat(np.concatenate([base_log, np.log10((counts + SMOOTH) / total)])[order], starts)),
+            pa.array(_logs(Model(model.start, model.move, np.vstack([model.emit, emit])), lanes, codes) / math.log(10)),
+        ]
+        return pa.table(found, names=SCORED)
 
     return run
 
@@ -444,7 +623,6 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select(
-        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         held_out(modulus, remainder).alias("held_out"),
         F.col("text").cast("string").alias("text"),
@@ -466,38 +644,32 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, frequent: int
     for r in others.groupBy(kind(F.col("word")).alias("class")).agg(F.sum("c").alias("n")).collect():
         class_counts[r["class"]] = r["n"]
 
+    drop_table(counts)
+    classes = len(class_counts)
     coded = given.mapInArrow(
-        _encoder(top.column("word").combine_chunks().cast(pa.string())),
-        f"row long, doc_id {id_type}, held_out boolean, codes array<int>, rare array<string>",
+        _encoder(top.column("word").combine_chunks().cast(pa.string()), rare_classes),
+        f"held_out boolean, ids array<{id_type}>, lengths binary, texts binary, codes binary, slots binary, words array<string>, n_words int",
     )
-    coded = write_table(coded.withColumn("kinds", F.transform("rare", kind)))
-    learned = coded.where("not held_out")
-    model = fit(learned, class_counts, first_rare)
+    # Rows are large: Parquet's writer looks at its memory after each.
+    coded = write_table(coded.withColumn("block", F.monotonically_increasing_id()), **{f"parquet.{x}.size.row.check.min": 1 for x in ("block", "page")})
+    model = fit(coded.where("not held_out"), class_counts)
     # The last round: by word.
-    sums = write_table(_sums(learned, model, first_rare, rare_classes, True))
-    found = _collected(sums.where("word is null"), STATES, first_rare)
-    names = [f"k{k}" for k in range(STATES)]
-    every = F.array(*(F.coalesce(k, F.lit(0.0)).cast("float") for k in names)).alias("k")
-    table = write_table(others.join(sums.where("word is not null"), "word", "left").select("word", "c", every))
-    drop_table(sums)
-    rest = table.agg(*(F.sum(F.col("k")[k].cast("double")) for k in range(STATES))).first()
+    buckets = -(-(coded.agg(F.sum("n_words")).first()[0] or 1) // BUCKET)
+    asked = coded.select("block", "held_out", "lengths", "texts", "codes", "slots", "words").mapInArrow(_asker(model, first_rare, buckets), WORDS)
+    told = write_table(asked.groupBy("bucket").applyInArrow(_answerer(STATES), TOLD))
+    found = _of_chunks([(-1 - r["bucket"], r["sums"]) for r in told.where("bucket < 0").select("bucket", "sums").collect()], STATES, classes)
     total = float(n + SMOOTH * (v + 1))
-    said = found.emit.sum(axis=0) + np.array([x or 0.0 for x in rest])
+    said = found.emit.sum(axis=0)
     least = SMOOTH * said / max(n, 1)
     whole = said + (v + 1) * least + WEIGHT
-    emit = (found.emit + least + WEIGHT * ((class_counts[:first_rare] + SMOOTH) / total)[:, None]) / whole
+    emit = (found.emit[:first_rare] + least + WEIGHT * ((class_counts[:first_rare] + SMOOTH) / total)[:, None]) / whole
     start, move = found.start + 0.1, found.move + 0.1
     model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
     known = class_counts[:first_rare] > 0
     base_log = np.log10((class_counts[:first_rare] + SMOOTH) / total)
-    # Each document's rare words with their counts, whole and by state.
-    asked = coded.select("row", F.posexplode("rare").alias("at", "word")).join(table, "word", "left")
-    told = write_table(asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "c", "k"))).alias("told")))
-    for done in (table, counts):
-        drop_table(done)
-    scored = coded.select("row", "doc_id", "held_out", "codes").join(told, "row", "left").select("doc_id", "held_out", "codes", "told")
-    done = scored.mapInArrow(
-        _scorer(model, base_log, known, least, whole, total),
+    texts = coded.select("block", "held_out", "ids", "lengths", "texts", "codes", "slots")
+    done = texts.groupBy("block").cogroup(told.where("bucket >= 0").groupBy("block")).applyInArrow(
+        _scorer(model, base_log, known, least, whole, total, classes),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return done.select(*SCORED[:4], F.lit(n).cast("long").alias("train_tokens"), *SCORED[4:])

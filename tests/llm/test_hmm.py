@@ -124,3 +124,42 @@ def test_scores_are_those_of_a_distribution_over_words(spark):
     assert 0 < one < 1
     more = spark.createDataFrame(learned + [(held[i], f"{a} {b}") for i, (a, b) in enumerate([("a", "b"), ("h", "unseen")])], "doc_id long, text string")
     assert all(r.score < 0 for r in hmm.score(more, frequent=3, rare_classes=2).collect())
+
+
+def test_scores_do_not_hang_on_blocks_and_buckets(spark, monkeypatch):
+    """Rare words meet in buckets from several blocks of texts, and no count is rounded."""
+    df = spark.createDataFrame([(d, t) for d, t in rows(120) if d is not None], "doc_id long, text string")
+    one = sorted(map(tuple, hmm.score(df.repartition(1), frequent=5, rare_classes=4).collect()))
+    monkeypatch.setattr(hmm, "BUCKET", 40)
+    many = sorted(map(tuple, hmm.score(df.repartition(5), frequent=5, rare_classes=4).collect()))
+    assert [r[:5] for r in one] == [r[:5] for r in many]
+    assert np.allclose([r[5:] for r in one], [r[5:] for r in many], rtol=1e-4)
+
+
+def test_written_tables_have_rows_by_block_and_not_by_text_or_word(spark, monkeypatch):
+    """What lies on disk between the steps: blocks, and a block's words once for each bucket."""
+    sizes, write = [], hmm.write_table
+
+    def counted(df, **options):
+        out = write(df, **options)
+        sizes.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(hmm, "write_table", counted)
+    df = spark.createDataFrame([(d, f"common rare{d % 90} word{d % 70}") for d in range(400)], "doc_id long, text string").repartition(2)
+    assert hmm.score(df, frequent=3, rare_classes=4).count() == 400
+    assert max(n for columns, n in sizes if columns != ["word", "c"]) < 10
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 2048])
+def test_texts_in_one_lane_do_not_meet(monkeypatch, lanes):
+    rng = np.random.default_rng(6)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3).T)
+    seqs = [rng.integers(0, 9, size=k).astype(np.int64) for k in (40, 1, 7, 7, 2, 30, 1, 12)]
+    want = [hmm.expected_counts(model, [s]) for s in seqs]
+    logs = [hmm.log_likelihoods(model, [s])[0] for s in seqs]
+    monkeypatch.setattr(hmm, "LANES", lanes)
+    monkeypatch.setattr(hmm, "PIECE", 16)
+    for a, b in zip(hmm.expected_counts(model, seqs), map(sum, zip(*want))):
+        assert np.allclose(a, b)
+    assert np.allclose(hmm.log_likelihoods(model, seqs), logs)
