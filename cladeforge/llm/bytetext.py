@@ -15,6 +15,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _rng = np.random.default_rng(20)
 _VALUE = _rng.integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_INK = np.where(SPACE, np.uint64(0), _VALUE)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,23 +49,45 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
-def powers(n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, _STEP, dtype=np.uint64))))
+#: Powers of a step known so far, and of its inverse; of no more places than a slice has.
+_known: dict[int, np.ndarray] = {}
 
 
-def window_sums(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
+def powers(step: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of an odd step (at least)."""
+    known = _known.get(step)
+    if known is None or len(known) < n:
+        factors = np.full(max(n, 1), step, dtype=np.uint64)
+        factors[0] = 1
+        known = np.multiply.accumulate(factors)
+        if n <= SLICE + 1:
+            _known[step] = known
+    return known
+
+
+def inverse(step: int) -> int:
+    return pow(int(step), -1, 1 << 64)
+
+
+def sums(hashes: np.ndarray, step: int) -> np.ndarray:
+    """Sums of the words before each place and before the end, for window_sums()."""
+    out = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(int(step), len(hashes))[: len(hashes)], out=out[1:])
+    return out
+
+
+def window_sums(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, step: int, before: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of the words from first to end (exclusive), for each of the places.
 
     A polynomial in step over the words' hashes, the same wherever the words stand: taken
-    from sums over all words before, so its cost doesn't grow with the windows.
+    from sums over all words before (sums(), if at hand), so its cost doesn't grow with
+    the windows.
     """
     if not len(first):
         return np.zeros(0, dtype=np.uint64)
-    ones = np.ones(len(hashes) + 1, dtype=np.uint64)
-    up, down = ones, ones.copy()
-    up[1:], down[1:] = np.uint64(step), np.uint64(pow(step, -1, 1 << 64))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * np.multiply.accumulate(up)[:-1], dtype=np.uint64)))
-    return mix((sums[end] - sums[first]) * np.multiply.accumulate(down)[first]) | np.uint64(1)
+    if before is None:
+        before = sums(hashes, step)
+    return mix((before[end] - before[first]) * powers(inverse(step), len(hashes) + 1)[first]) | np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,9 +101,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each word's bytes: a polynomial over random byte values, mixed."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    value = np.where(SPACE[data], np.uint64(0), _VALUE[data])
-    upto = np.append(starts[1:], len(data))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, upto - starts)
-    np.minimum(place, np.repeat(ends - starts, upto - starts), out=place)
-    value = value[starts[0] :] * powers(int(place.max()))[place]
-    return mix(np.add.reduceat(value, starts - starts[0]))
+    # The sum of a word's byte values times the powers of their places in all the data, put
+    # back by the power of its start; white space counts nothing.
+    value = _INK[data] * powers(int(_STEP), len(data))[: len(data)]
+    return mix(np.add.reduceat(value, starts) * powers(inverse(_STEP), len(data))[starts])

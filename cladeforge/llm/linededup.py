@@ -5,26 +5,25 @@ passages seldom begin at a line break, the SPAN words that begin at each word. O
 hashes of WINDOW successive ones of the second kind the smallest is selected with its
 place, so any run of SPAN + WINDOW - 1 = `run` words that two texts share has a selected
 hash in common; of the first kind, whose runs may be one line long, the window is one and
-every line of LINE words or more is selected. Selected hashes that occur more than once
-are joined back to their places, and the match is extended from there both ways: window
-by window of `run` words, as far as windows lie round the place. All but the first
+every line of LINE words or more is selected. Every window of `run` words selects one hash,
+so a selected hash has a stretch of neighbouring windows, and equal windows are in the
+stretches of equal hashes. Where a hash occurs more than once, the match is extended from
+there both ways: first by the whole stretch, whose windows are all repeats if an earlier
+stretch is equal, then, for the stretches left, window by window. All but the first
 occurrence of a window or line are repeats, and the words that repeats cover are deleted.
 
-What is deleted was compared by two hashes of different polynomials, of 64 and of 32 bits
-(64 for whole texts), so that among 10^13 windows two unlike ones agree with a chance
-under 10^-3.
+What is deleted was compared by two hashes of different polynomials, of 64 and of 32 bits,
+so that among 10^13 windows two unlike ones agree with a chance under 10^-3.
 
 The first occurrence is the one in the row of the smallest doc_id (then of the smallest
 xxhash64 of the text), then the leftmost. Rows are put in that order first, so a row's
 number says which of two comes first. Within one text a window repeats an earlier one only if the two
-don't overlap. Texts that are equal as sequences of words to an earlier row's are repeats
-as a whole if they have a window at all.
+don't overlap; a stretch only if it doesn't overlap the earlier one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,29 +37,37 @@ from .common import drop_table, unused, write_table
 RUN, SPAN = 50, 25
 #: Words that a line of the text needs to count as repeated by itself.
 LINE = 8
-#: Keys that may be broadcast: those that take more than 1/HOT of all rows each.
+#: A hash is frequent if more than 1/HOT of all stretches have it.
 HOT = 1000
 #: Groups that the stretches of a frequent hash are dealt out to.
 SALTS = 64
+#: Frequent hashes are told from one stretch of so many (a plan switch: results are the same).
+LOOK = 16
 #: Odd bases of the two polynomials (fractions of the golden ratio and of root 2).
 BASES = (0x9E3779B97F4A7C15, 0x6A09E667F3BCC909)
+#: Kinds of stretches: repeats, and others whose windows are compared, of rare and of frequent hashes.
+REPEAT, RARE, FREQUENT = range(3)
+FOUND = "row long, at long, n int, kind int"
 
 
-def selected(grams: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
-    """Places of the window minima of the spans, in each text; all of equal minima's
-    rightmost. A text with fewer spans than the window selects none."""
+def selected(grams: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Places of the window minima of the spans, in each text, all of equal minima's
+    rightmost, with the first and the number of the windows that each is the minimum of.
+    A text with fewer spans than the window selects none."""
     n = len(grams) - window + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    least, at, width = grams.copy(), np.arange(len(grams)), 1
+        return (np.zeros(0, dtype=np.int64),) * 3
+    least, at, width = grams, np.arange(len(grams)), 1
     while width < window:  # minima of ever wider windows, the rightmost of equal ones
         step = min(width, window - width)
         m = len(least) - step
         right = least[step:] <= least[:m]
-        least, at = np.where(right, least[step:], least[:m]), np.where(right, at[step:], at[:m])
+        least, at = np.minimum(least[step:], least[:m]), np.where(right, at[step:], at[:m])
         width += step
-    whole = (text[window - 1 :] == text[:n]) & (grams[window - 1 :] != 0) & (grams[:n] != 0)
-    return np.unique(at[whole])
+    whole = np.flatnonzero((text[window - 1 :] == text[:n]) & (grams[window - 1 :] != 0) & (grams[:n] != 0))
+    at = at[whole]
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+    return at[new], whole[new], np.diff(np.append(new, len(at)))
 
 
 class Words:
@@ -69,24 +76,24 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.n = data, len(offsets) - 1
         self.starts, self.ends = bytetext.words(data, offsets)
-        self.text = np.searchsorted(offsets, self.starts, side="right") - 1
+        self.before = np.searchsorted(self.starts, offsets)
+        self.text = np.repeat(np.arange(self.n), np.diff(self.before))
         self.hashes = bytetext.word_hashes(data, self.starts, self.ends)
-        self.size = np.bincount(self.text, minlength=self.n)
-        self.before = np.concatenate(([0], np.cumsum(self.size)))
+        self.sums = {base: bytetext.sums(self.hashes, base) for base in BASES}
 
     def spans(self, size: int, base: int) -> np.ndarray:
         """Hash of the `size` words that begin at each word; 0 where the text ends before."""
         out = np.zeros(len(self.text), dtype=np.uint64)
         first = np.arange(max(0, len(out) - size + 1))
         first = first[self.text[first + size - 1] == self.text[first]]
-        out[first] = bytetext.window_sums(self.hashes, first, first + size, base)
+        out[first] = bytetext.window_sums(self.hashes, first, first + size, base, self.sums[base])
         return out
 
-    def hashed(self, first: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    def hashed(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of stretches of words a hash, and their place in the text over half of another."""
-        one, two = (bytetext.window_sums(self.hashes, first, end, base) for base in BASES)
+        one, two = (bytetext.window_sums(self.hashes, first, end, base, self.sums[base]) for base in BASES)
         spot = (first - self.before[self.text[first]]).astype(np.int64) << 32 | (two >> np.uint64(32)).astype(np.int64)
-        return [_signed(one), pa.array(spot)]
+        return one, spot
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and word after the last of every line that has words."""
@@ -103,106 +110,139 @@ def _word_lists(texts: pa.Array) -> Iterator[tuple[int, Words]]:
         yield row, Words(data, offsets)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _table(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for name, x in columns.items()})
 
 
-def _lists(text: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
-    """Values, whose texts are given in order, as a list for each of n texts."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), values)
-
-
-def _prints(run: int, span: int, line: int):
-    """Of each text its number of words, two hashes of them all (0 if fewer than run),
-    the selected spans and lines."""
+def _stretches(run: int, span: int, line: int):
+    """hash, key, n, row, spot of the stretches of windows by the span they select, and of
+    the lines, which are shorter than run: the span's hash, two hashes of all n words."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = batch.column(0).to_numpy()
             for row, w in _word_lists(batch.column(1)):
-                keys = [np.zeros(w.n, dtype=np.uint64) for _ in BASES]
-                long = np.flatnonzero(w.size >= run)
-                for key, base in zip(keys, BASES, strict=True):
-                    key[long] = bytetext.window_sums(w.hashes, w.before[long], w.before[long + 1], base)
                 grams = w.spans(span, BASES[0])
-                at = selected(grams, w.text, run - span + 1)
-                text = w.text[at]
-                fields = [_signed(grams[at]), pa.array((at - w.before[text]).astype(np.int32))]
-                marks = _lists(text, w.n, pa.StructArray.from_arrays(fields, ["hash", "at"]))
-                first, end = w.lines()
-                fit = (end - first >= line) & (end - first < run)
-                first, end = first[fit], end[fit]
-                text = w.text[first]
-                fields = [*w.hashed(first, end), pa.array((end - first).astype(np.int32))]
-                lines = _lists(text, w.n, pa.StructArray.from_arrays(fields, ["hash", "spot", "n"]))
-                columns = [batch.column(0).slice(row, w.n), pa.array(w.size.astype(np.int64)), *map(_signed, keys), marks, lines]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "words", "k1", "k2", "marks", "lines"])
+                at, first, windows = selected(grams, w.text, run - span + 1)
+                lines, ends = w.lines()
+                fit = (ends - lines >= line) & (ends - lines < run)
+                lines, ends = lines[fit], ends[fit]
+                starts, ends = np.r_[first, lines], np.r_[first + windows + (run - 1), ends]
+                key, spot = w.hashed(starts, ends)
+                found = np.r_[grams[at], ~key[len(at) :]]  # a line's is no span's
+                yield _table({"hash": found, "key": key, "n": (ends - starts).astype(np.int32), "row": rows[row + w.text[starts]], "spot": spot})
 
     return go
 
 
-def _windows(run: int, span: int, frequent: np.ndarray):
-    """row, hash, spot of the windows of words within reach of the given places, and
-    whether they contain a frequent span."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The columns of batches sorted by the first, the rows of each of its values together."""
+    held: list[list[np.ndarray]] = []  # of the value seen last
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut or (held and held[-1][0][-1] != now[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)]
+            held = []
+        held.append([c[cut:] for c in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _met(others: bool):
+    """row, at, n, kind of stretches of hash, key, n, row, spot sorted by the first, where a
+    hash has more than one: REPEAT if an earlier one is equal, else, if asked for, RARE if
+    the hash has another one that is no repeat."""
+
+    def told(hashes, key, n, row, spot):
+        new = np.r_[True, hashes[1:] != hashes[:-1]]
+        some = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        group = np.cumsum(new)[some]
+        key, n, row, spot = (x[some] for x in (key, n, row, spot))
+        at, half = spot >> 32, spot & 0xFFFFFFFF
+        order = np.lexsort((at, row, n, half, key, group))
+        group, key, n, row, at, half = (x[order] for x in (group, key, n, row, at, half))
+        same = np.zeros(len(group), dtype=bool)
+        same[1:] = (group[1:] == group[:-1]) & (key[1:] == key[:-1]) & (half[1:] == half[:-1]) & (n[1:] == n[:-1])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(group))))
+        again = same & ((row != row[first]) | (at >= at[first] + n))
+        left = np.bincount(group[~again], minlength=len(new) + 1)
+        use = again | others & (left[group] > 1)
+        kind = np.where(again, REPEAT, RARE).astype(np.int32)
+        return _table({"row": row[use], "at": at[use], "n": n[use], "kind": kind[use]})
+
+    return lambda batches: (told(*columns) for columns in _groups(batches))
+
+
+def _windows(run: int):
+    """row, hash, spot, many of the windows of words in the given stretches; many as given."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(2)
+            rows, places = batch.column(0).to_numpy(), batch.column(2)
             for row, w in _word_lists(batch.column(1)):
-                near = np.zeros(len(w.text) + 1, dtype=np.int32)
-                for i in range(w.n):
-                    a, b = w.before[i], w.before[i + 1]
-                    reach = places[row + i].values
-                    first, last = (a + reach.field(k).to_numpy() for k in (0, 1))
-                    np.add.at(near, np.maximum(first, a), 1)
-                    np.add.at(near, np.minimum(last + 1, b), -1)
-                at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                at = at[at + run <= w.before[w.text[at] + 1]]
-                rows = batch.column(0).slice(row, w.n).take(pa.array(w.text[at]))
-                many = np.zeros(len(at), dtype=bool)
-                if len(frequent):
-                    upto = np.concatenate(([0], np.cumsum(np.isin(w.spans(span, BASES[0]), frequent))))
-                    many = upto[at + run - span + 1] > upto[at]
-                yield pa.RecordBatch.from_arrays([rows, *w.hashed(at, at + run), pa.array(many)], ["row", "hash", "spot", "many"])
+                some = places.slice(row, w.n)
+                at, n, many = (some.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                text = np.repeat(np.arange(w.n), some.value_lengths().to_numpy())
+                size = n.astype(np.int64) - (run - 1)
+                ends = np.cumsum(size)
+                first = np.repeat(w.before[text] + at - ends + size, size) + np.arange(size.sum())
+                key, spot = w.hashed(first, first + run)
+                yield _table({"row": rows[row + w.text[first]], "hash": key, "spot": spot, "many": np.repeat(many, size)})
 
     return go
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, at, n of all but the first of the equal stretches: of hash, salt, n, row, spot,
-    sorted by these. Of the first of a hash and salt only its place is kept."""
-    held = None  # hash, salt, row and spot of the first stretch of the group seen last
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, salt, n, row, spot = (batch.column(i).to_numpy() for i in range(5))
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-        new[0] = held is None or (key[0], salt[0]) != held[:2]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first_row, first_spot = row[first], spot[first]
-        if held is not None:
-            first_row, first_spot = np.where(first >= 0, first_row, held[2]), np.where(first >= 0, first_spot, held[3])
-        held = key[-1], salt[-1], first_row[-1], first_spot[-1]
-        same = (spot ^ first_spot) & 0xFFFFFFFF == 0
-        again = ~new & same & ((row != first_row) | (spot >> 32 >= (first_spot >> 32) + n))
-        yield pa.RecordBatch.from_arrays([pa.array(row[again]), pa.array(spot[again] >> 32), pa.array(n[again])], ["row", "at", "n"])
-
-
-def later(rows: DataFrame, frequent: bool) -> DataFrame:
-    """row, at, n of all but the first of the equal stretches row, hash, spot, n.
-
-    One sorted pass. Where hashes may be frequent, theirs are dealt out to SALTS groups,
-    each of which begins with the first stretch of all: with n = 0, so it sorts first.
+def _later(others: bool):
+    """row, at, n, kind of the stretches of hash, salt, n, row, spot, sorted by these: of
+    all but the first of the equal ones as REPEAT and, if asked for, of others as FREQUENT.
+    Of the first of a hash and salt only its place is kept."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # hash, salt, row and spot of the first stretch of the group seen last
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, salt, n, row, spot = (batch.column(i).to_numpy() for i in range(5))
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            new[0] = held is None or (key[0], salt[0]) != held[:2]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            first_row, first_spot = row[first], spot[first]
+            if held is not None:
+                first_row, first_spot = np.where(first >= 0, first_row, held[2]), np.where(first >= 0, first_spot, held[3])
+            held = key[-1], salt[-1], first_row[-1], first_spot[-1]
+            same = (spot ^ first_spot) & 0xFFFFFFFF == 0
+            again = ~new & same & ((row != first_row) | (spot >> 32 >= (first_spot >> 32) + n))
+            use = (n > 0) & (again | others)
+            kind = np.where(again, REPEAT, FREQUENT).astype(np.int32)
+            yield _table({"row": row[use], "at": spot[use] >> 32, "n": n[use], "kind": kind[use]})
+
+    return go
+
+
+def later(rows: DataFrame, others: bool = False) -> DataFrame:
+    """row, at, n, kind of the stretches row, hash, spot, n, whose hashes may be frequent: of
+    all but the first of the equal ones as REPEAT and, if asked for, of others as FREQUENT.
+
+    One sorted pass. A hash's stretches are dealt out to SALTS groups, each of which begins
+    with the first stretch of all: with n = 0, so it sorts first.
     """
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)) if frequent else F.lit(0).cast("long")
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
     rows = rows.select("hash", salt.cast("int").alias("salt"), "n", "row", "spot")
-    if frequent:
-        groups = rows.groupBy("hash", "salt").agg(F.min(F.struct("row", "spot")).alias("first"))
-        firsts = groups.groupBy("hash").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
-        marks = firsts.select("hash", F.explode("salts").alias("salt"), F.lit(0).alias("n"), "first.row", "first.spot")
-        rows = rows.unionByName(marks)
-    ordered = rows.repartition("hash", "salt").sortWithinPartitions("hash", "salt", "n", "row", "spot")
-    return ordered.mapInArrow(_later, "row long, at long, n int")
+    groups = rows.groupBy("hash", "salt").agg(F.min(F.struct("row", "spot")).alias("first"))
+    firsts = groups.groupBy("hash").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
+    marks = firsts.select("hash", F.explode("salts").alias("salt"), F.lit(0).alias("n"), "first.row", "first.spot")
+    ordered = rows.unionByName(marks).repartition("hash", "salt").sortWithinPartitions("hash", "salt", "n", "row", "spot")
+    return ordered.mapInArrow(_later(others), FOUND)
+
+
+def met(rows: DataFrame, others: bool = False) -> DataFrame:
+    """row, at, n, kind of the stretches hash, key, n, row, spot, no hash of which is frequent."""
+    rows = rows.select("hash", "key", "n", "row", "spot")
+    return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(_met(others), FOUND)
 
 
 def joined_runs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,53 +254,64 @@ def joined_runs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    for batch in batches:
-        out = []
-        for places in batch.column(1):
-            at, size = (places.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-            out.append([{"a": a, "b": b} for a, b in zip(*(x.tolist() for x in joined_runs(at, size)), strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["row", "runs"])
+    """row, runs of row, at, n, sorted by row."""
+    for row, at, size in _groups(batches):
+        new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        text = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(row))))
+        # All texts at once: each one's places lie beyond those of the text before.
+        base = np.concatenate(([0], np.cumsum(np.maximum.reduceat(at + size, new) + 1)))
+        a, b = joined_runs(at + base[text], size)
+        owner = np.searchsorted(base, a, side="right") - 1
+        values = pa.StructArray.from_arrays([pa.array(a - base[owner]), pa.array(b - base[owner])], ["a", "b"])
+        offsets = pa.array(np.searchsorted(owner, np.arange(len(new) + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.ListArray.from_arrays(offsets, values)], ["row", "runs"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, places of row, at, n, many, sorted by row."""
+    for row, *fields in _groups(batches):
+        new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        values = pa.StructArray.from_arrays([pa.array(x) for x in fields], ["at", "n", "many"])
+        offsets = pa.array(np.append(new, len(row)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.ListArray.from_arrays(offsets, values)], ["row", "places"])
+
+
+def cut_all(texts: pa.Array, runs: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts without the given runs (lists of a, b: first word, word after the last, in
+    order) and the white space after each of them, and the number of their words."""
+    kept, sizes, lengths = [], [], []
+    for row, data, offsets in bytetext.slices(texts):
+        starts, _ = bytetext.words(data, offsets)
+        before = np.searchsorted(starts, offsets)
+        some = runs.slice(row, len(offsets) - 1)
+        a, b = (some.flatten().field(k).to_numpy() for k in (0, 1))
+        text = np.repeat(np.arange(len(some)), some.value_lengths().fill_null(0).to_numpy())
+        first, end = before[text] + a, before[text] + b
+        starts = np.append(starts, len(data))
+        gone = starts[first], np.where(end < before[text + 1], starts[end], offsets[text + 1])
+        kept += [data[p:q] for p, q in zip(np.r_[0, gone[1]].tolist(), np.r_[gone[0], len(data)].tolist(), strict=True)]
+        sizes.append(np.diff(before))
+        lengths.append(np.diff(offsets) - np.bincount(text, gone[1] - gone[0], len(some)).astype(np.int64))
+    if not sizes:
+        return texts, np.zeros(0, dtype=np.int64)
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype(np.int32)
+    valid = texts.is_valid().buffers()[1] if texts.null_count else None
+    left = pa.Array.from_buffers(pa.string(), len(texts), [valid, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(kept))])
+    return left, np.concatenate(sizes).astype(np.int64)
 
 
 def cut(text: bytes, word_runs: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """text without the given runs (first word, word after the last) and the white space
-    after each of them, and the number of its words."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    starts, _ = bytetext.words(data, np.array([0, len(data)]))
-    size, starts = len(starts), np.append(starts, len(data))
-    out, at = [], 0
-    for a, b in word_runs:
-        out.append(text[at : starts[a]])
-        at = starts[b]
-    return b"".join([*out, text[at:]]), size
+    """cut_all() of one text."""
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    left, size = cut_all(pa.array([text.decode()]), pa.array([[{"a": a, "b": b} for a, b in word_runs]], kind))
+    return left[0].as_py().encode(), int(size[0])
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, runs, number of words, others of text, runs, any number, others."""
     for batch in batches:
-        texts, sizes = [], []
-        for t, some in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            left, size = cut(t or b"", [(r["a"], r["b"]) for r in some or ()])
-            texts.append(None if t is None else left.decode())
-            sizes.append(size)
-        columns = [pa.array(texts, pa.string()), batch.column(1), pa.array(sizes, pa.int64()), *batch.columns[3:]]
-        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-
-def repeated(rows: DataFrame, key: list[str], rank=None) -> DataFrame:
-    """The rows whose key occurs more than once, with the least rank (first) of the key.
-
-    rows is a written table. Keys that more than 1/HOT of all rows have (and 1,000 at
-    least), of which there are HOT at most, are told by a broadcast and the others by a
-    join, so that no task gets all rows of a frequent key.
-    """
-    firsts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), *([] if rank is None else [F.min(rank).alias("first")]))
-    firsts = firsts.where("times > 1")
-    many = max(1000, rows.count() // HOT + 1)
-    hot = F.broadcast(firsts.where(F.col("times") >= many).drop("times"))
-    cold = rows.join(hot.select(*key), key, "left_anti").join(firsts.where(F.col("times") < many).drop("times"), key)
-    return rows.join(hot, key).unionByName(cold)
+        left, sizes = cut_all(batch.column(0), batch.column(1))
+        yield pa.RecordBatch.from_arrays([left, batch.column(1), pa.array(sizes), *batch.columns[3:]], batch.schema.names)
 
 
 def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE) -> DataFrame:
@@ -269,40 +320,33 @@ def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE)
     if not 1 <= span <= run or line < 1:
         raise ValueError("span must be 1 to run, line 1 or more")
     given = docs.select("row", F.col("text").cast("string").alias("text"))
-    schema = "row long, words long, k1 long, k2 long, marks array<struct<hash: long, at: int>>, lines array<struct<hash: long, spot: long, n: int>>"
-    prints = write_table(given.mapInArrow(_prints(run, span, line), schema))
-    # Whole copies of an earlier text need no comparison of windows.
-    keyed = write_table(prints.where("k1 <> 0").select("k1", "k2", "row", "words"))
-    copies = write_table(repeated(keyed, ["k1", "k2"], F.col("row")).where(F.col("row") != F.col("first")).select("row", "words"))
-    drop_table(keyed)
-    # Lines that occur more than once; the places of selected spans that do.
-    originals = prints.join(copies, "row", "left_anti")
-    lines = write_table(originals.select("row", F.inline("lines")))
-    line_repeats = write_table(later(lines, True))
-    drop_table(lines)
-    marks = write_table(originals.select("row", F.inline("marks")))
-    drop_table(prints)
-    reach = F.struct((F.col("at") - (run - span)).alias("first"), F.col("at").alias("last"))
-    places = write_table(repeated(marks, ["hash"]).groupBy("row").agg(F.collect_list(reach).alias("places")))
-    # The windows round these places: all but the first occurrence of one repeat it. Spans
-    # that more than 1/HOT of all have (HOT at most) tell the windows that may be frequent.
-    many = max(1000, marks.count() // HOT + 1)
-    counts = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= many)
-    frequent = np.array([r["hash"] for r in counts.select("hash").collect()], dtype=np.int64).view(np.uint64)
-    drop_table(marks)
-    # The same plan at every size: what joins the texts grows with them.
-    windows = given.join(places.hint("merge"), "row").select("row", "text", "places")
-    windows = write_table(windows.mapInArrow(_windows(run, span, frequent), "row long, hash long, spot long, many boolean"))
-    drop_table(places)
-    stretches = lambda rows: rows.select("row", "hash", "spot", F.lit(run).alias("n"))
-    found = [write_table(later(stretches(windows.where(F.col("many") == many)), many)) for many in (False, True)]
-    drop_table(windows)
-    every = reduce(DataFrame.unionByName, [line_repeats, *found]).select("row", F.struct("at", F.col("n").cast("long").alias("n")).alias("stretch"))
-    kind = "array<struct<a: bigint, b: bigint>>"
-    runs = every.groupBy("row").agg(F.collect_list("stretch").alias("stretches")).mapInArrow(_runs, f"row long, runs {kind}")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("words").alias("b")))
-    runs = write_table(runs.unionByName(copies.select("row", whole.cast(kind).alias("runs"))))
-    for done in (line_repeats, *found, copies):
+    stretches = write_table(given.mapInArrow(_stretches(run, span, line), "hash long, key long, n int, row long, spot long"))
+    # The stretches of a hash meet in one task, but for those that more than 1/HOT of all
+    # have (2 * HOT at most): equal ones of these meet, dealt out to groups.
+    look = stretches.where(F.pmod(F.xxhash64("row", "spot"), F.lit(LOOK)) == 0)
+    many = max(1000, stretches.count() // HOT + 1) / (2 * LOOK)
+    counts = look.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= many)
+    frequent = [r["hash"] for r in counts.select("hash").collect()]
+    found = met(stretches.where(~F.col("hash").isin(frequent)), others=True)
+    if frequent:
+        rows = stretches.where(F.col("hash").isin(frequent)).select("row", F.col("key").alias("hash"), "spot", "n")
+        found = found.unionByName(later(rows, others=True))
+    found = write_table(found)
+    drop_table(stretches)
+    # The windows of those that are no repeats as a whole; what joins the texts grows with
+    # them, so the plan is the same at every size.
+    by_row = lambda rows: rows.repartition("row").sortWithinPartitions("row")
+    places = found.where((F.col("kind") != REPEAT) & (F.col("n") >= run)).select("row", "at", "n", (F.col("kind") == FREQUENT).alias("many"))
+    places = by_row(places).mapInArrow(_places, "row long, places array<struct<at: long, n: int, many: boolean>>")
+    windows = given.join(places.hint("shuffle_hash"), "row").select("row", "text", "places")
+    windows = write_table(windows.mapInArrow(_windows(run), "row long, hash long, spot long, many boolean"))
+    alike = windows.select("hash", F.col("hash").alias("key"), F.lit(run).alias("n"), "row", "spot", "many")
+    every = found.unionByName(met(alike.where("not many")))
+    if frequent:
+        every = every.unionByName(later(alike.where("many")))
+    every = every.where(F.col("kind") == REPEAT).select("row", "at", F.col("n").cast("long").alias("n"))
+    runs = write_table(by_row(every).mapInArrow(_runs, "row long, runs array<struct<a: bigint, b: bigint>>"))
+    for done in (found, windows):
         drop_table(done)
     return runs
 
@@ -317,7 +361,7 @@ def _deduped(docs: DataFrame, run: int, span: int, line: int) -> tuple[DataFrame
     found = repeats(held.select(F.col(row).alias("row"), "text"), run, span, line).toDF(row, runs)
     others = [c for c in names if c != "text"]
     number = F.lit(0).cast("long").alias(size)
-    joined = held.join(found.hint("merge"), row, "left").select(F.col("text").cast("string").alias("text"), runs, number, *others)
+    joined = held.join(found.hint("shuffle_hash"), row, "left").select(F.col("text").cast("string").alias("text"), runs, number, *others)
     return joined.mapInArrow(_remover, joined.schema), runs, size
 
 

@@ -142,3 +142,42 @@ def test_cut():
 def test_slices_of_arrow(spark):
     texts = pa.array([None, "a b", "", "c " * 10]).slice(1)
     assert sum(len(w.hashes) for _, w in linededup._word_lists(texts)) == 12
+
+
+def test_copies_meet_by_stretches_not_by_windows(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(d, " ".join([f"a{d}", *passage, f"z{d}"])) for d in range(60)]
+    written, real = [], linededup.write_table
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "write_table", counted)
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.words, r.removed_words) for r in got) == [(402, 0)] + [(402, 400)] * 59
+    assert sum(written) < 60 * 400 / 2  # a row for each window is 60 * 351
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_stretches_that_overlap(spark, monkeypatch, frequent):
+    if frequent:
+        monkeypatch.setattr(linededup, "max", lambda a, b: 1, raising=False)
+        monkeypatch.setattr(linededup, "LOOK", 1)
+    turns = [" ".join(f"t{i % k}" for i in range(n)) for k, n in ((1, 40), (7, 60), (13, 70), (19, 33))]
+    rows = [(d, f"x{d} {t} y{d} {t[: 40 + d]}") for d, t in enumerate(turns * 2)] + [(20, None), (21, ""), (22, "é " * 30)]
+    words, gone = brute(rows, 10, 4)
+    got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 10, 5, 4).collect()}
+    for (d, t), w, g in zip(rows, words, gone):
+        left = None if t is None else b" ".join(x for i, x in enumerate(w) if i not in g)
+        assert (None if t is None else b" ".join(got[d].text.encode().split()), got[d].removed_words) == (left, len(g))
+
+
+def test_groups_stay_together_over_batches():
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 5]
+    batches = [pa.record_batch([pa.array(keys[i : i + n]), pa.array(range(i, i + n))], ["k", "v"]) for i, n in ((0, 3), (3, 0), (3, 2), (5, 3), (8, 2), (10, 1))]
+    parts = [(k.tolist(), v.tolist()) for k, v in linededup._groups(iter(batches)) if len(k)]
+    assert sum((k for k, _ in parts), []) == keys and sum((v for _, v in parts), []) == list(range(11))
+    assert not any(set(a) & set(b) for (a, _), (b, _) in zip(parts, parts[1:]))
