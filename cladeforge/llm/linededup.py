@@ -253,20 +253,66 @@ def joined_runs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[np.r_[0, cuts]], reach[np.r_[cuts - 1, len(at) - 1]]
 
 
+def runs_of_rows(row: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where each row begins in the given stretches, which are sorted by row, and the owner
+    (a number of these), first and end of the rows' runs."""
+    new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    text = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(row))))
+    # All texts at once: each one's places lie beyond those of the text before.
+    base = np.concatenate(([0], np.cumsum(np.maximum.reduceat(at + size, new) + 1)))
+    a, b = joined_runs(at + base[text], size)
+    owner = np.searchsorted(base, a, side="right") - 1
+    return new, owner, a - base[owner], b - base[owner]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, runs of row, at, n, sorted by row."""
     for row, at, size in _groups(batches):
-        new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        text = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(row))))
-        # All texts at once: each one's places lie beyond those of the text before.
-        base = np.concatenate(([0], np.cumsum(np.maximum.reduceat(at + size, new) + 1)))
-        a, b = joined_runs(at + base[text], size)
-        owner = np.searchsorted(base, a, side="right") - 1
-        values = pa.StructArray.from_arrays([pa.array(a - base[owner]), pa.array(b - base[owner])], ["a", "b"])
+        new, owner, a, b = runs_of_rows(row, at, size)
+        values = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
         offsets = pa.array(np.searchsorted(owner, np.arange(len(new) + 1)).astype(np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.ListArray.from_arrays(offsets, values)], ["row", "runs"])
 
 
+def _apart(first: dict[str, np.ndarray]):
+    """row, at, n, kind, hash, spot of the stretches key, n, row, spot: as REPEAT the runs of
+    those that equal one of the given ones (key, n, row, spot, sorted by key), which are the
+    first of their kind, and don't overlap it; the others as they are, as FREQUENT."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n, row, spot = (c.to_numpy() for c in batch.columns)
+            at = spot >> 32
+            i = np.minimum(np.searchsorted(first["key"], key), len(first["key"]) - 1)
+            same = (first["key"][i] == key) & (first["n"][i] == n) & ((first["spot"][i] ^ spot) & 0xFFFFFFFF == 0)
+            again = same & ((row != first["row"][i]) | (at >= (first["spot"][i] >> 32) + n))
+            rest = np.flatnonzero(~again)
+            kind = np.full(len(rest), FREQUENT, dtype=np.int32)
+            yield _table({"row": row[rest], "at": at[rest], "n": n[rest], "kind": kind, "hash": key[rest], "spot": spot[rest]})
+            if again.any():
+                told = np.flatnonzero(again)
+                told = told[np.argsort(row[told], kind="stable")]
+                new, owner, a, b = runs_of_rows(row[told], at[told], n[told].astype(np.int64))
+                none = np.zeros(len(a), dtype=np.int64)
+                yield _table({"row": row[told][new][owner], "at": a, "n": (b - a).astype(np.int32), "kind": none.astype(np.int32) + REPEAT, "hash": none, "spot": none})
+
+    return go
+
+
+def apart(stretches: DataFrame, least: float) -> DataFrame:
+    """_apart() of stretches key, n, row, spot, written. Those that occur `least` times are
+    few; each one's first is taken from partial minima and sent to where the others lie, so
+    that copies of a frequent stretch are told in their place, whatever their number."""
+    half = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")
+    firsts = stretches.groupBy("key", "n", half).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "spot")).alias("first"))
+    found = firsts.where(F.col("times") >= least).select("key", "n", "first.row", "first.spot").collect()
+    columns = np.array(sorted([(0, 0, 0, 0), *map(tuple, found)]), dtype=np.int64).T  # one of no words, as there may be none
+    first = dict(zip(("key", "n", "row", "spot"), columns, strict=True))
+    return write_table(stretches.mapInArrow(_apart(first), f"{FOUND}, hash long, spot long"))
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, places of row, at, n, many, sorted by row."""
     for row, *fields in _groups(batches):
@@ -322,17 +368,22 @@ def repeats(docs: DataFrame, run: int = RUN, span: int = SPAN, line: int = LINE)
     given = docs.select("row", F.col("text").cast("string").alias("text"))
     stretches = write_table(given.mapInArrow(_stretches(run, span, line), "hash long, key long, n int, row long, spot long"))
     # The stretches of a hash meet in one task, but for those that more than 1/HOT of all
-    # have (2 * HOT at most): equal ones of these meet, dealt out to groups.
+    # have (2 * HOT at most): of these, copies of a frequent stretch are told in their place
+    # and the equal ones of the others meet, dealt out to groups.
     look = stretches.where(F.pmod(F.xxhash64("row", "spot"), F.lit(LOOK)) == 0)
     many = max(1000, stretches.count() // HOT + 1) / (2 * LOOK)
     counts = look.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= many)
     frequent = [r["hash"] for r in counts.select("hash").collect()]
     found = met(stretches.where(~F.col("hash").isin(frequent)), others=True)
+    used = [stretches]
     if frequent:
-        rows = stretches.where(F.col("hash").isin(frequent)).select("row", F.col("key").alias("hash"), "spot", "n")
-        found = found.unionByName(later(rows, others=True))
+        told = apart(stretches.where(F.col("hash").isin(frequent)).select("key", "n", "row", "spot"), many * LOOK)
+        rest = told.where(F.col("kind") != REPEAT).select("row", "hash", "spot", "n")
+        found = found.unionByName(told.where(F.col("kind") == REPEAT).select("row", "at", "n", "kind")).unionByName(later(rest, others=True))
+        used.append(told)
     found = write_table(found)
-    drop_table(stretches)
+    for done in used:
+        drop_table(done)
     # The windows of those that are no repeats as a whole; what joins the texts grows with
     # them, so the plan is the same at every size.
     by_row = lambda rows: rows.repartition("row").sortWithinPartitions("row")

@@ -175,6 +175,30 @@ def test_stretches_that_overlap(spark, monkeypatch, frequent):
         assert (None if t is None else b" ".join(got[d].text.encode().split()), got[d].removed_words) == (left, len(g))
 
 
+def test_copies_of_a_frequent_stretch_are_told_in_their_place(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "max", lambda a, b: 8, raising=False)  # stretches of four rows are frequent
+    dealt, real = [], linededup.later
+
+    def counted(rows, others=False):
+        dealt.append(rows.count())
+        return real(rows, others)
+
+    monkeypatch.setattr(linededup, "later", counted)
+    rng = random.Random(4)
+    passage = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    line = " ".join(f"l{i}" for i in range(9))
+    turn = " ".join(["t"] * 25)
+    for copies in (40, 80):
+        dealt.clear()
+        rows = [(d, " ".join([f"a{d}", *passage, f"z{d}\n{line}\n{turn} x{d}\n{line}"])) for d in range(copies)]
+        rows += [(copies + d, rows[d][1]) for d in range(copies)]
+        got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 10, 5, 4).collect()
+        words, gone = brute(rows, 10, 4)
+        assert [(r.words, r.removed_words) for r in sorted(got)] == [(len(w), len(g)) for w, g in zip(words, gone)]
+        # Nearly all stretches are copies of a frequent one: the passage has some 80 in each row.
+        assert dealt[0] < 12 * 2 * copies, dealt
+
+
 def test_groups_stay_together_over_batches():
     keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 5]
     batches = [pa.record_batch([pa.array(keys[i : i + n]), pa.array(range(i, i + n))], ["k", "v"]) for i, n in ((0, 3), (3, 0), (3, 2), (5, 3), (8, 2), (10, 1))]
